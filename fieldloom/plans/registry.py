@@ -1,4 +1,485 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL, over the driver's tables (roles as in FIXTURES.md)."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar
+from ..operators import compare, ofa, series, spatial
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Species and their sensor groups.
+GROUPS = [(1, "A"), (2, "A"), (3, "B"), (4, "B"), (5, "C"), (6, "C"), (7, "C")]
+GROUPS_SQL = "g(species, grp) AS (VALUES " + ", ".join(f"({s}, '{g}')" for s, g in GROUPS) + ")"
+OFA_SQL = """ofa AS (SELECT l_shipdate AS ts, l_orderkey AS id, l_suppkey AS tile, l_linenumber AS species, l_quantity AS obs,
+  l_quantity * (1 - l_discount) AS fcst, l_quantity * (1 + l_tax) AS ana, l_tax AS obsvar, l_discount AS fcstvar, l_extendedprice AS price,
+  l_returnflag <> 'N' AS assim FROM lineitem)"""
+MONTH_SQL = "CAST(date_trunc('month', ts - INTERVAL 3 HOUR) AS DATE)"
+STATE_SQL = "st AS (SELECT o_custkey % 50 AS tile, o_orderdate AS ts, o_totalprice / 1000 AS v, o_orderstatus AS exp, o_orderkey AS id FROM orders)"
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def ofa_table(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    return _t(spark, d, "lineitem").select(
+        c("l_shipdate").alias("ts"), c("l_orderkey").alias("id"), c("l_suppkey").alias("tile"), c("l_linenumber").alias("species"), c("l_quantity").alias("obs"), (c("l_quantity") * (1 - c("l_discount"))).alias("fcst"),
+        (c("l_quantity") * (1 + c("l_tax"))).alias("ana"), c("l_tax").alias("obsvar"), c("l_discount").alias("fcstvar"), c("l_extendedprice").alias("price"), (c("l_returnflag") != "N").alias("assim"))
+
+
+def states(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    return _t(spark, d, "orders").select((c("o_custkey") % 50).alias("tile"), c("o_orderdate").alias("ts"), (c("o_totalprice") / 1000).alias("v"), c("o_orderstatus").alias("exp"), c("o_orderkey").alias("id"))
+
+
+def groups(x: DataFrame) -> DataFrame:
+    """The sensor group of each species, from a literal map."""
+    return x.withColumn("grp", F.element_at(F.create_map(*[F.lit(v) for p in GROUPS for v in p]), F.col("species").cast("int"))).where("grp is not null")
+
+
+def r(df: DataFrame, *columns: str, places: int = 4) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), places) for c in columns})
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+FINAL_SQL = """
+ s AS (SELECT {keys}, count(*) AS n, avg(obs) AS mo, avg(fcst) AS mf, avg(ana) AS ma, avg(obsvar) AS ov, avg(fcstvar) AS fv,
+  stddev_pop(obs - fcst) AS omf_std, stddev_pop(obs - ana) AS oma_std FROM {source} WHERE obs IS NOT NULL GROUP BY {keys})"""
+
+
+@query(f"WITH {OFA_SQL}, {GROUPS_SQL}, o2 AS (SELECT * FROM ofa WHERE species > 2 OR assim), {FINAL_SQL.format(keys='tile, species', source='o2')}"
+       """ SELECT tile, grp, round(sum(CASE WHEN n >= 20 THEN (mo - mf) * n END) / nullif(sum(CASE WHEN n >= 20 THEN n ELSE 0 END), 0), 4) AS omf_mean,
+       round(sum(CASE WHEN n >= 20 THEN omf_std * n END) / nullif(sum(CASE WHEN n >= 20 THEN n ELSE 0 END), 0), 4) AS omf_std,
+       round(sum(CASE WHEN n >= 20 THEN omf_std / sqrt(ov + fv) * n END) / nullif(sum(CASE WHEN n >= 20 THEN n ELSE 0 END), 0), 4) AS norm_std, CAST(sum(n) AS BIGINT) AS n
+       FROM s JOIN g USING (species) GROUP BY tile, grp""")
+def omf_stats(spark: SparkSession, d: str) -> DataFrame:
+    """A1-A4, F2: partial sums by month, merged, finalised, weighted by counts."""
+    x = ofa_table(spark, d).where((F.col("species") > 2) | F.col("assim")).withColumn("month", ofa.month_of(F.col("ts")))
+    parts = ofa.partial_sums(x, ["month", "tile", "species"])
+    stats = ofa.finalise(ofa.merge(parts, ["tile", "species"]))
+    return r(ofa.weighted(groups(stats), ["tile", "grp"], ["omf_mean", "omf_std", "norm_std"]), "omf_mean", "omf_std", "norm_std")
+
+
+@query(f"WITH {OFA_SQL}, {GROUPS_SQL}, m AS (SELECT *, {MONTH_SQL} AS month FROM ofa), {FINAL_SQL.format(keys='month, tile, species', source='m')}"
+       " SELECT month, grp, CAST(sum(n) AS BIGINT) AS n, round(sum((mo - mf) * n) / sum(n), 4) AS omf_mean, round(sum(omf_std * n) / sum(n), 4) AS omf_std, round(sum((mo - ma) * n) / sum(n), 4) AS oma_mean FROM s JOIN g USING (species) GROUP BY month, grp")
+def omf_monthly_group(spark: SparkSession, d: str) -> DataFrame:
+    """A5, A6."""
+    x = ofa_table(spark, d).withColumn("month", ofa.month_of(F.col("ts")))
+    stats = groups(ofa.finalise(ofa.partial_sums(x, ["month", "tile", "species"])))
+    return r(ofa.weighted(stats, ["month", "grp"], ["omf_mean", "omf_std", "oma_mean"], least=0), "omf_mean", "omf_std", "oma_mean")
+
+
+@query(f"""WITH {OFA_SQL} SELECT CAST(ts AS DATE) AS day, species, count(*) AS n, round(avg(obs), 8) AS mean_obs, round(avg(fcst), 8) AS mean_fcst, round(avg(ana), 8) AS mean_ana, round(avg(obs - fcst), 8) AS omf_mean,
+  round(avg(obs - ana), 8) AS oma_mean, round(max(abs(obs - fcst)), 8) AS omf_max, round(stddev_pop(obs - fcst), 8) AS omf_std, round(stddev_pop(obs - ana), 8) AS oma_std FROM ofa GROUP BY 1, 2""")
+def daily_series(spark: SparkSession, d: str) -> DataFrame:
+    """A7."""
+    return r(ofa.daily_series(ofa_table(spark, d), ["species"]), "mean_obs", "mean_fcst", "mean_ana", "omf_mean", "oma_mean", "omf_max", "omf_std", "oma_std", places=8)
+
+
+@query(f"""WITH {OFA_SQL}, s AS (SELECT CAST(ts AS DATE) AS day, hour(ts) AS hr, tile, bool_or(species <= 2) AS a, bool_or(species IN (3, 4)) AS b FROM ofa GROUP BY 1, 2, 3)
+  SELECT day, CAST(count(*) FILTER (a AND b) AS BIGINT) AS n_both FROM s GROUP BY day""")
+def joint_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """A8."""
+    return ofa.joint_coverage(groups(ofa_table(spark, d)).withColumnRenamed("grp", "sensor"), "A", "B")
+
+
+@query(f"""WITH {OFA_SQL}, s AS (SELECT tile, count(*) AS n, avg(obs - fcst) AS mean, var_samp(obs - fcst) AS var, sum((obs - fcst) ** 2) AS s2, sum((obs - fcst) ** 3) AS s3, covar_samp(obs - fcst, obs - ana) AS cov,
+  min(obs - ana) AS lo, max(obs - ana) AS hi, corr(obs, ana) AS rr, count(DISTINCT ts) AS n_times FROM ofa GROUP BY tile HAVING count(*) >= 20)
+  SELECT tile, n, round(mean, 4) AS mean, round(var, 4) AS var, round((s3 / (n - 1) - 3 * (s2 / n) * mean + 2 * mean ** 3) / nullif(var, 0) ** 1.5, 4) AS skew, round(cov, 4) AS cov, round(lo, 4) AS oma_min, round(hi, 4) AS oma_max, round(rr, 4) AS oa_corr, n_times FROM s""")
+def ofa_extended(spark: SparkSession, d: str) -> DataFrame:
+    """A9, A11."""
+    return r(ofa.extended(ofa_table(spark, d), ["tile"], 20), "mean", "var", "skew", "cov", "oma_min", "oma_max", "oa_corr")
+
+
+@query(f"WITH {OFA_SQL} SELECT species, CAST(greatest(1, least(20, ceil((obs - fcst) / 0.26))) AS INTEGER) AS bin, count(*) AS n FROM ofa GROUP BY 1, 2")
+def innov_hist(spark: SparkSession, d: str) -> DataFrame:
+    """A10."""
+    return ofa.histogram(ofa_table(spark, d), ["species"], 0.0, 0.26, 20)
+
+
+@query(f"""WITH {OFA_SQL}, ol AS (SELECT * FROM ofa WHERE NOT assim), da AS (SELECT CAST(ts AS DATE) AS day, tile, max_by(obs, id * 10 + species) AS obs_da FROM ofa WHERE assim GROUP BY 1, 2)
+  SELECT ol.tile, count(*) AS n, round(avg(obs_da - fcst), 4) AS omf_mean FROM ol JOIN da ON CAST(ol.ts AS DATE) = da.day AND ol.tile = da.tile GROUP BY ol.tile""")
+def crossmask(spark: SparkSession, d: str) -> DataFrame:
+    """J4-J6."""
+    x = ofa_table(spark, d).withColumn("day", F.to_date("ts")).withColumn("order", F.col("id") * 10 + F.col("species"))
+    both = compare.crossmask(x.where("not assim"), x.where("assim"), ["day", "tile"], ["order"])
+    return r(both.groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("obs_da") - F.col("fcst")).alias("omf_mean")), "omf_mean")
+
+
+DUP_SQL = f"{OFA_SQL}, c AS (SELECT *, date_diff('day', DATE '1990-01-01', CAST(ts AS DATE)) AS cycle, id * 10 + species AS rid FROM ofa)"
+
+
+def _cycles(spark: SparkSession, d: str) -> DataFrame:
+    x = ofa_table(spark, d)
+    return x.withColumns({"cycle": F.datediff("ts", F.lit("1990-01-01").cast("date")), "rid": F.col("id") * 10 + F.col("species")})
+
+
+@query(f"""WITH {DUP_SQL} SELECT b.rid, CAST(b.cycle AS INTEGER) AS cycle, min(a.rid) AS first_row FROM c b JOIN c a ON a.tile = b.tile AND a.species = b.species AND a.cycle + 1 = b.cycle AND abs(a.obs - b.obs) <= 1e-6 GROUP BY 1, 2""")
+def dup_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """J20."""
+    return compare.consecutive(_cycles(spark, d), ["tile", "species"], "cycle", "obs", "rid")
+
+
+@query(f"""WITH {DUP_SQL}, w AS (SELECT *, lead(cycle) OVER (PARTITION BY tile, species, round(obs) ORDER BY cycle, rid) AS nx FROM c)
+  SELECT rid, CAST(cycle AS INTEGER) AS cycle, tile FROM w WHERE nx IS NULL OR nx - cycle > 3""")
+def dup_keep_last(spark: SparkSession, d: str) -> DataFrame:
+    """W9."""
+    x = _cycles(spark, d).withColumn("q", F.round("obs"))
+    return series.keep_last(x, ["tile", "species", "q"], "cycle", ["rid"]).select("rid", "cycle", "tile")
+
+
+@query(f"WITH {STATE_SQL} SELECT tile, CAST(month(ts) AS INTEGER) AS month, round(avg(v), 4) AS clim, count(v) AS n FROM st WHERE year(ts) BETWEEN 1995 AND 1997 GROUP BY 1, 2")
+def monthly_clim(spark: SparkSession, d: str) -> DataFrame:
+    """A16."""
+    return r(series.monthly_climatology(states(spark, d), ["tile"], "v", 1995, 1997), "clim")
+
+
+@query(f"""WITH {STATE_SQL}, d AS (SELECT tile, dayofyear(ts) AS doy, avg(v) AS v FROM st GROUP BY 1, 2)
+  SELECT a.tile, CAST(a.doy AS INTEGER) AS doy, round(avg(b.v), 8) AS clim FROM d a JOIN d b ON a.tile = b.tile AND least((a.doy - b.doy + 732) % 366, (b.doy - a.doy + 732) % 366) <= 15 GROUP BY 1, 2""")
+def doy_clim_cyclic(spark: SparkSession, d: str) -> DataFrame:
+    """A17, W2."""
+    return r(series.cyclic_doy(states(spark, d), ["tile"], "v"), "clim", places=8)
+
+
+NDOY_SQL = "dayofyear(ts) - CASE WHEN dayofyear(last_day(make_date(CAST(year(ts) AS INTEGER), 12, 1))) = 366 AND dayofyear(ts) >= 60 THEN 1 ELSE 0 END"
+
+
+@query(f"""WITH {STATE_SQL}, p AS (SELECT tile, {NDOY_SQL} AS d, v FROM st WHERE v IS NOT NULL), c AS (SELECT unnest(generate_series(3, 363, 5)) AS doy)
+  SELECT tile, CAST(doy AS INTEGER) AS doy, round(sum(v) / count(*), 8) AS clim, CAST(count(*) AS BIGINT) AS n FROM p JOIN c ON least((d - doy + 730) % 365, (doy - d + 730) % 365) <= 15 GROUP BY 1, 2 HAVING count(*) >= 5""")
+def pooled_clim(spark: SparkSession, d: str) -> DataFrame:
+    """A18."""
+    return r(series.pooled_clim(states(spark, d), ["tile"], "v", 5), "clim", places=8)
+
+
+@query(f"""WITH {OFA_SQL}, p AS (SELECT species, {NDOY_SQL.replace('>= 60', '>= 61')} AS d, obs, fcst FROM ofa WHERE NOT (month(ts) = 2 AND day(ts) = 29)), c AS (SELECT k AS pentad, 5 * k - 2 AS doy FROM (SELECT unnest(generate_series(1, 73)) AS k))
+  SELECT species, CAST(pentad AS INTEGER) AS pentad, count(*) AS n, round(avg(obs), 4) AS o_mean, round(stddev_pop(obs), 4) AS o_std, round(avg(fcst), 4) AS m_mean, round(stddev_pop(fcst), 4) AS m_std, round(min(fcst), 4) AS m_min, round(max(fcst), 4) AS m_max
+  FROM p JOIN c ON (d - doy + 37 + 730) % 365 < 75 GROUP BY 1, 2 HAVING count(*) >= 20""")
+def scaling_window(spark: SparkSession, d: str) -> DataFrame:
+    """A20, W3."""
+    return r(series.scaling_windows(ofa_table(spark, d), ["species"]), "o_mean", "o_std", "m_mean", "m_std", "m_min", "m_max")
+
+
+@query(f"""WITH {STATE_SQL}, c AS (SELECT tile, month(ts) AS m, avg(v) AS clim FROM st WHERE exp = 'F' GROUP BY 1, 2)
+  SELECT exp, tile, count(*) AS n, round(var_samp(v - clim), 4) AS var FROM st JOIN c ON st.tile = c.tile AND month(ts) = m GROUP BY exp, st.tile ORDER BY 1""".replace("SELECT exp, tile", "SELECT exp, st.tile AS tile"))
+def anom_variance(spark: SparkSession, d: str) -> DataFrame:
+    """Anomalies of both runs against the control run's climatology."""
+    x = states(spark, d)
+    clim = series.monthly_climatology(x.where("exp = 'F'"), ["tile"], "v", 0, 9999).drop("n")
+    a = series.deseasonalise(x, clim, ["tile"], "v")
+    return r(a.groupBy("exp", "tile").agg(F.count(F.lit(1)).alias("n"), F.var_samp("anom").alias("var")), "var")
+
+
+@query(f"""WITH {STATE_SQL}, a AS (SELECT tile, var_pop(v) AS var_daily, count(v) AS n FROM st GROUP BY 1), m0 AS (SELECT tile, date_trunc('month', ts) AS m, avg(v) AS mean, var_pop(v) AS within FROM st GROUP BY 1, 2),
+  m AS (SELECT tile, avg(within) AS var_within, var_pop(mean) AS var_monthly FROM m0 GROUP BY 1), y AS (SELECT tile, var_pop(mean) AS var_annual FROM (SELECT tile, year(ts) AS y, avg(v) AS mean FROM st GROUP BY 1, 2) GROUP BY 1)
+  SELECT tile, round(var_daily, 3) AS var_daily, n, round(var_within, 3) AS var_within, round(var_monthly, 3) AS var_monthly, round(var_annual, 3) AS var_annual FROM a JOIN m USING (tile) JOIN y USING (tile)""")
+def var_decomp(spark: SparkSession, d: str) -> DataFrame:
+    """A35."""
+    return r(series.variance_parts(states(spark, d), ["tile"], "v"), "var_daily", "var_within", "var_monthly", "var_annual", places=3)
+
+
+COL_SQL = f"{OFA_SQL}, d AS (SELECT species, tile % 10 AS cell, CAST(ts AS DATE) AS day, avg(fcst) AS m, avg(obs) AS o, avg(ana * (1 + obsvar)) AS c FROM ofa GROUP BY 1, 2, 3)"
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    x = ofa_table(spark, d)
+    return x.groupBy("species", (F.col("tile") % 10).alias("cell"), F.to_date("ts").alias("day")).agg(F.avg("fcst").alias("m"), F.avg("obs").alias("o"), F.avg(F.col("ana") * (1 + F.col("obsvar"))).alias("c"))
+
+
+@query(f"""WITH {COL_SQL}, p AS (SELECT a.*, b.m AS ml, b.o AS ol FROM d a JOIN d b ON a.species = b.species AND a.cell = b.cell AND a.day = b.day + 2),
+  s AS (SELECT species, cell, count(*) AS n, avg(m) AS mm, avg(o) AS mo, avg(m * m) AS qm, avg(o * o) AS qo, avg(m * o) AS xmo, avg(m * ml) AS xm, avg(o * ol) AS xo, avg(m * ol) AS xml FROM p GROUP BY 1, 2 HAVING count(*) >= 20),
+  c AS (SELECT species, cell, n, CASE WHEN qm - mm * mm > 0 THEN qm - mm * mm END AS cmm, CASE WHEN qo - mo * mo > 0 THEN qo - mo * mo END AS coo, CASE WHEN xmo - mm * mo > 0 THEN xmo - mm * mo END AS cmo,
+   CASE WHEN xm - mm * mm > 0 THEN xm - mm * mm END AS lm, CASE WHEN xo - mo * mo > 0 THEN xo - mo * mo END AS lo, CASE WHEN xml - mm * mo > 0 THEN xml - mm * mo END AS lmo FROM s),
+  k AS (SELECT *, sqrt(lm / lo) AS sd, lmo / lo AS ss FROM c)
+  SELECT species, cell, n, round(CASE WHEN cmo * sd / cmm IS NOT NULL THEN least(1.0, cmo * sd / cmm) ELSE 1.0 END, 3) AS r2_mod_ivd, round(CASE WHEN cmo / coo / sd IS NOT NULL THEN least(1.0, cmo / coo / sd) ELSE 1.0 END, 3) AS r2_obs_ivd,
+   round(CASE WHEN cmo * ss / cmm IS NOT NULL THEN least(1.0, cmo * ss / cmm) ELSE 1.0 END, 3) AS r2_mod_ivs, round(CASE WHEN cmo / coo / ss IS NOT NULL THEN least(1.0, cmo / coo / ss) ELSE 1.0 END, 3) AS r2_obs_ivs, round(cmo / sqrt(cmm * coo), 3) AS r FROM k""".replace(" ELSE 1.0 END", " END"))
+def iv_skill(spark: SparkSession, d: str) -> DataFrame:
+    """A22, J9."""
+    p = series.day_lag_join(_cells(spark, d), ["species", "cell"], "day", 2, ["m", "o"])
+    return r(series.instrumental(p, ["species", "cell"], 20), "r2_mod_ivd", "r2_obs_ivd", "r2_mod_ivs", "r2_obs_ivs", "r", places=3)
+
+
+def _tc(p: str, u: str, v: str, w: str) -> str:
+    return f"{u} * {v} / {w} AS s_{p}, CASE WHEN {u} * {v} / {w} / {p}{p} >= 0.001 THEN least(1.0, {u} * {v} / {w} / {p}{p}) END AS r2_{p}, {p}{p} - {u} * {v} / {w} AS err_{p}"
+
+
+@query(f"""WITH {COL_SQL}, s AS (SELECT cell, count(*) AS n, var_pop(m) AS aa, var_pop(o) AS bb, var_pop(c) AS cc, covar_pop(m, o) AS ab, covar_pop(m, c) AS ac, covar_pop(o, c) AS bc FROM d GROUP BY 1 HAVING count(*) >= 20),
+  t AS (SELECT cell, n, {_tc('a', 'ab', 'ac', 'bc')}, {_tc('b', 'ab', 'bc', 'ac')}, {_tc('c', 'ac', 'bc', 'ab')} FROM s),
+  k AS (SELECT *, list_sort(list_filter([s_a, s_b, s_c], lambda x: x > 1e-12)) AS z FROM t), q AS (SELECT *, CASE WHEN z[-1] / z[1] <= 50 THEN list_median(z) END AS sig FROM k)
+  SELECT cell, n, round(r2_a, 4) AS r2_a, round(r2_b, 4) AS r2_b, round(r2_c, 4) AS r2_c, round(err_a, 4) AS err_a, round(err_b, 4) AS err_b, round(err_c, 4) AS err_c,
+   round(CASE WHEN err_a / sig >= 0 THEN err_a / sig END, 4) AS fmse_a, round(CASE WHEN err_b / sig >= 0 THEN err_b / sig END, 4) AS fmse_b, round(CASE WHEN err_c / sig >= 0 THEN err_c / sig END, 4) AS fmse_c FROM q""")
+def tc_skill(spark: SparkSession, d: str) -> DataFrame:
+    """A23, A24."""
+    x = _cells(spark, d).select("cell", F.col("m").alias("a"), F.col("o").alias("b"), "c")
+    return r(series.triple(x, ["cell"], 20), *[f"{k}_{p}" for k in ("r2", "err", "fmse") for p in "abc"])
+
+
+@query(f"WITH {STATE_SQL} SELECT tile, round(regr_slope(v, date_diff('day', DATE '1990-01-01', CAST(ts AS DATE)) / 3652.5), 3) AS slope, count(v) AS n FROM st GROUP BY tile")
+def ols_trend(spark: SparkSession, d: str) -> DataFrame:
+    """Slope per decade."""
+    return r(series.ols_trend(states(spark, d), ["tile"], F.datediff("ts", F.lit("1990-01-01").cast("date")) / 3652.5, "v"), "slope", places=3)
+
+
+ANNUAL_SQL = f"{STATE_SQL}, a AS (SELECT tile, CAST(year(ts) * 12 + month(ts) AS DOUBLE) / 12 AS t, avg(v) AS v FROM st GROUP BY 1, 2)"
+
+
+def _monthly(spark: SparkSession, d: str) -> DataFrame:
+    return states(spark, d).groupBy("tile", ((F.year("ts") * 12 + F.month("ts")).cast("double") / 12).alias("t")).agg(F.avg("v").alias("v"))
+
+
+@query(f"""WITH {ANNUAL_SQL} SELECT x.tile, round(quantile_cont((y.v - x.v) / (y.t - x.t), 0.5), 3) AS slope, sum(sign(y.v - x.v)) :: DOUBLE AS s, count(*) AS pairs FROM a x JOIN a y ON x.tile = y.tile AND x.t < y.t GROUP BY x.tile""")
+def theil_sen_small(spark: SparkSession, d: str) -> DataFrame:
+    """A30 by pairs."""
+    return r(series.theil_sen_pairs(_monthly(spark, d), ["tile"], "t", "v"), "slope", places=3)
+
+
+@query()
+def theil_sen_mk(spark: SparkSession, d: str) -> DataFrame:
+    """With the Mann-Kendall p."""
+    return series.theil_sen_mk(_monthly(spark, d), "tile", "t", "v")
+
+
+@query(f"WITH {STATE_SQL} SELECT tile, id, round(sum(v - 150) OVER (PARTITION BY tile ORDER BY ts, id ROWS UNBOUNDED PRECEDING), 6) AS total FROM st")
+def cum_increment(spark: SparkSession, d: str) -> DataFrame:
+    """A31, W1."""
+    x = states(spark, d).withColumn("incr", F.col("v") - 150)
+    return r(series.running_sum(x, ["tile"], ["ts", "id"], "incr").select("tile", "id", "total"), "total", places=6)
+
+
+@query("""WITH x AS (SELECT p_size AS grp, p_retailprice - 1400 AS v, p_partkey % 7 + 1.0 AS w FROM part), y AS (SELECT *, sum(w) OVER (PARTITION BY grp ORDER BY v) AS run, sum(w) OVER (PARTITION BY grp) AS al FROM x)
+  SELECT grp, round(sum(v * w) / sum(w), 4) AS wmean, round(min(CASE WHEN run >= 0.5 * al THEN v END), 4) AS wmedian, round(sum(CASE WHEN v > 0 THEN w ELSE 0 END) / sum(w), 4) AS share_positive FROM y GROUP BY grp""")
+def area_summary(spark: SparkSession, d: str) -> DataFrame:
+    """A40."""
+    x = _t(spark, d, "part").select(F.col("p_size").alias("grp"), (F.col("p_retailprice") - 1400).alias("v"), (F.col("p_partkey") % 7 + F.lit(1.0)).alias("w"))
+    return r(compare.area_summary(x, ["grp"], "v", "w"), "wmean", "wmedian", "share_positive")
+
+
+@query(f"WITH {STATE_SQL}, l AS (SELECT tile, v, lag(v) OVER (PARTITION BY tile ORDER BY ts, id) AS b FROM st) SELECT tile, round(corr(b, v), 4) AS lag1, count(b) AS n FROM l GROUP BY tile")
+def lag1(spark: SparkSession, d: str) -> DataFrame:
+    """W7."""
+    return r(series.lag_pairs(states(spark, d), ["tile"], ["ts", "id"], "v"), "lag1")
+
+
+PAIR_SQL = f"{STATE_SQL}, mo AS (SELECT exp, tile, date_trunc('month', ts) AS month, avg(v) AS v FROM st GROUP BY 1, 2, 3), pr AS (SELECT a.tile, a.month, a.v AS ol, b.v AS da FROM mo a JOIN mo b ON a.tile = b.tile AND a.month = b.month AND a.exp = 'F' AND b.exp = 'O')"
+SUITE_SQL = """su AS (SELECT tile, count(*) AS n, avg(da - ol) AS mean_diff, avg(abs(da - ol)) AS abs_diff, stddev_pop(da) / nullif(stddev_pop(ol), 0) AS std_ratio,
+  100 * ((max(da) - min(da)) - (max(ol) - min(ol))) / nullif(max(ol) - min(ol), 0) AS amp_change, corr(ol, da) AS r, sqrt(avg((da - ol) ** 2)) AS rmse FROM pr GROUP BY tile)"""
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    m = states(spark, d).groupBy("exp", "tile", F.trunc("ts", "month").alias("month")).agg(F.avg("v").alias("v"))
+    return compare.align(m.where("exp = 'F'"), m.where("exp = 'O'"), ["tile", "month"], "v")
+
+
+@query(f"WITH {PAIR_SQL}, {SUITE_SQL} SELECT tile, n, round(mean_diff, 3) AS mean_diff, round(abs_diff, 3) AS abs_diff, round(std_ratio, 3) AS std_ratio, round(amp_change, 3) AS amp_change, round(CASE WHEN isnan(r) THEN NULL ELSE r END, 3) AS r, round(rmse, 3) AS rmse FROM su")
+def compare_suite(spark: SparkSession, d: str) -> DataFrame:
+    """A37, J1, J2."""
+    return r(compare.experiment_difference(_pairs(spark, d), ["tile"]), "mean_diff", "abs_diff", "std_ratio", "amp_change", "r", "rmse", places=3)
+
+
+@query(f"""WITH {PAIR_SQL}, {SUITE_SQL}, h AS (SELECT * REPLACE (CASE WHEN isnan(r) THEN NULL ELSE r END AS r) FROM su)
+  SELECT * FROM (SELECT 'mean_diff' AS list, tile, round(mean_diff, 3) AS value FROM h ORDER BY abs(mean_diff) DESC, tile LIMIT 20) UNION ALL SELECT * FROM (SELECT 'low_r', tile, round(r, 3) FROM h WHERE r IS NOT NULL ORDER BY r, tile LIMIT 20)
+  UNION ALL SELECT * FROM (SELECT 'amp_change', tile, round(amp_change, 3) FROM h WHERE amp_change IS NOT NULL ORDER BY abs(amp_change) DESC, tile LIMIT 20)""")
+def hotspots(spark: SparkSession, d: str) -> DataFrame:
+    """A top-k report."""
+    return r(compare.hotspots(compare.experiment_difference(_pairs(spark, d), ["tile"]), "tile"), "value", places=3)
+
+
+@query(f"""WITH {OFA_SQL}, e(period, y0, y1) AS (VALUES ('early', 1990, 1994), ('late', 1995, 2005), ('all', 1990, 2005)), x AS (SELECT period, tile, month(ts) AS m, obs, fcst FROM ofa JOIN e ON year(ts) BETWEEN y0 AND y1),
+  c AS (SELECT *, obs - avg(obs) OVER w AS ao, fcst - avg(fcst) OVER w AS af FROM x WINDOW w AS (PARTITION BY period, tile, m))
+  SELECT period, tile, count(*) AS n, round(sum(ao * af) / nullif(sqrt(sum(ao * ao) * sum(af * af)), 0), 4) AS anomaly_r, round(sqrt(avg((ao - af) ** 2)), 4) AS anomaly_rmse FROM c GROUP BY 1, 2 HAVING count(*) >= 24""")
+def period_skill(spark: SparkSession, d: str) -> DataFrame:
+    """The climatology is that of the period."""
+    from pyspark.sql import Window
+
+    periods = spark.createDataFrame([("early", 1990, 1994), ("late", 1995, 2005), ("all", 1990, 2005)], "period string, y0 int, y1 int")
+    x = ofa_table(spark, d).join(F.broadcast(periods), F.year("ts").between(F.col("y0"), F.col("y1")))
+    w = Window.partitionBy("period", "tile", F.month("ts"))
+    c = x.withColumns({"ao": F.col("obs") - F.avg("obs").over(w), "af": F.col("fcst") - F.avg("fcst").over(w)})
+    s = c.groupBy("period", "tile").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.sum(F.col("ao") * F.col("af")), F.sqrt(F.sum(F.col("ao") ** 2) * F.sum(F.col("af") ** 2))).alias("anomaly_r"), F.sqrt(F.avg((F.col("ao") - F.col("af")) ** 2)).alias("anomaly_rmse"))
+    return r(s.where("n >= 24"), "anomaly_r", "anomaly_rmse")
+
+
+@query("""SELECT CAST(least(10, floor((p_size - 1) / 4.9) + 1) AS INTEGER) AS bin, count(*) AS n, round(avg(p_retailprice), 4) AS mean, round(stddev_pop(p_retailprice), 4) AS std, round(quantile_cont(p_retailprice, 0.5), 4) AS median,
+  round(quantile_cont(p_retailprice, 0.25), 4) AS q25, round(quantile_cont(p_retailprice, 0.75), 4) AS q75 FROM part GROUP BY 1""")
+def binned(spark: SparkSession, d: str) -> DataFrame:
+    """A55."""
+    return r(compare.binned(_t(spark, d, "part"), "p_size", "p_retailprice", 1.0, 50.0, 10), "mean", "std", "median", "q25", "q75")
+
+
+@query("""WITH x AS (SELECT p_retailprice AS y, unnest(['p_size', 'p_partkey']) AS predictor, unnest([p_size :: DOUBLE, p_partkey :: DOUBLE]) AS x FROM part),
+  k AS (SELECT *, rank() OVER (PARTITION BY predictor ORDER BY x) + (count(*) OVER (PARTITION BY predictor, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY predictor ORDER BY y) + (count(*) OVER (PARTITION BY predictor, y) - 1) / 2.0 AS ry FROM x)
+  SELECT predictor, count(*) AS n, round(corr(x, y), 4) AS r, round(corr(rx, ry), 4) AS rho, round(regr_slope(y, x), 4) AS slope, round(regr_intercept(y, x), 3) AS intercept FROM k GROUP BY predictor""")
+def screening(spark: SparkSession, d: str) -> DataFrame:
+    """A57, W11."""
+    return r(r(compare.screening(_t(spark, d, "part"), "p_retailprice", ["p_size", "p_partkey"]), "r", "rho", "slope"), "intercept", places=3)
+
+
+@query(f"""WITH {OFA_SQL}, x AS (SELECT species, obs - ana AS v FROM ofa) SELECT species, count(v) AS n, round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.25), 4) AS p25, round(quantile_cont(v, 0.75), 4) AS p75, round(quantile_cont(v, 0.05), 4) AS p05,
+  round(quantile_cont(v, 0.95), 4) AS p95, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 4) AS iqr, round(avg((v > 0) :: INTEGER), 4) AS positive FROM x GROUP BY species""")
+def robust_summary(spark: SparkSession, d: str) -> DataFrame:
+    """A54."""
+    x = ofa_table(spark, d).withColumn("v", F.col("obs") - F.col("ana"))
+    return r(compare.robust(x, ["species"], "v"), "median", "p25", "p75", "p05", "p95", "iqr", "positive")
+
+
+GRID_SQL = f"{OFA_SQL}, k AS (SELECT tile % 16 AS i, species AS j, obs, fcstvar AS w, tile FROM ofa)"
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    return ofa_table(spark, d).select((F.col("tile") % 16).alias("i"), F.col("species").alias("j"), "obs", F.col("fcstvar").alias("w"), "tile")
+
+
+@query(f"WITH {GRID_SQL} SELECT i, j, round(sum(obs * w) / nullif(sum(w), 0), 4) AS obs FROM k GROUP BY i, j")
+def tile2grid(spark: SparkSession, d: str) -> DataFrame:
+    """A47."""
+    return r(_grid(spark, d).groupBy("i", "j").agg(F.try_divide(F.sum(F.col("obs") * F.col("w")), F.sum("w")).alias("obs")), "obs")
+
+
+@query(f"WITH {GRID_SQL}, c AS (SELECT i, j, count(*) AS n, avg(obs) AS v FROM k GROUP BY i, j) SELECT CAST(floor(j / 4) AS BIGINT) AS j, CAST(floor(i / 4) AS BIGINT) AS i, CAST(sum(n) AS BIGINT) AS n, round(avg(v), 4) AS v FROM c GROUP BY 1, 2")
+def coarsen(spark: SparkSession, d: str) -> DataFrame:
+    """A48."""
+    c = _grid(spark, d).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.avg("obs").alias("v"))
+    return r(spatial.coarsen(c, 4, ["n"], ["v"]), "v")
+
+
+@query(f"WITH {OFA_SQL} SELECT CAST(floor(obs / 5) AS BIGINT) AS i, CAST(floor((fcst - 1) / 5) AS BIGINT) AS j, count(ana) AS n, round(avg(ana), 4) AS mean FROM ofa GROUP BY 1, 2")
+def cell_bin(spark: SparkSession, d: str) -> DataFrame:
+    """A49."""
+    return r(spatial.bin_points(ofa_table(spark, d), "obs", "fcst", 0.0, 1.0, 5.0, "ana"), "mean")
+
+
+@query(f"WITH {OFA_SQL}, c AS (SELECT tile, species, count(*) AS n FROM ofa GROUP BY 1, 2) SELECT tile, species, n FROM (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY n DESC, species) AS k FROM c) WHERE k = 1")
+def modal(spark: SparkSession, d: str) -> DataFrame:
+    """A50."""
+    return spatial.modal(ofa_table(spark, d), ["tile"], "species")
+
+
+XY_SQL = """a AS (SELECT c_custkey AS site, (c_custkey * 37 % 3600) / 10.0 - 180 AS x, c_acctbal / 125 AS y FROM customer), b AS (SELECT p_partkey AS tile, (p_partkey * 101 % 3600) / 10.0 - 180 AS u, p_size * 3.0 - 75 AS v, p_retailprice AS val FROM part),
+  p AS (SELECT *, (x - u) ** 2 + (y - v) ** 2 AS d2 FROM a JOIN b ON abs(x - u) <= 2 AND abs(y - v) <= 2 WHERE (x - u) ** 2 + (y - v) ** 2 <= 4)"""
+
+
+def _points(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = F.col
+    a = _t(spark, d, "customer").select(c("c_custkey").alias("site"), ((c("c_custkey") * 37 % 3600) / 10.0 - 180).alias("x"), (c("c_acctbal") / 125).alias("y"))
+    b = _t(spark, d, "part").select(c("p_partkey").alias("tile"), ((c("p_partkey") * 101 % 3600) / 10.0 - 180).alias("u"), (c("p_size") * 3.0 - 75).alias("v"), c("p_retailprice").alias("val"))
+    return a, b
+
+
+@query(f"WITH {XY_SQL} SELECT site, tile, round(sqrt(d2), 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY d2, tile) AS k FROM p) WHERE k = 1")
+def nearest(spark: SparkSession, d: str) -> DataFrame:
+    """J11-J13."""
+    a, b = _points(spark, d)
+    return r(spatial.nearest(a, b, "site", "tile", 2.0, ("x", "y"), ("u", "v")), "distance")
+
+
+@query(f"WITH {XY_SQL} SELECT site, count(val) AS n, round(avg(val), 4) AS mean FROM p GROUP BY site")
+def radius_pool(spark: SparkSession, d: str) -> DataFrame:
+    """J16."""
+    a, b = _points(spark, d)
+    return r(spatial.pool(b, a, 2.0, ("u", "v"), ("x", "y"), "site", "val"), "mean")
+
+
+@query(f"""WITH {XY_SQL}, q AS (SELECT site, tile, 2 * 6371.0 * asin(sqrt(least(1.0, sin(radians(v - y) / 2) ** 2 + cos(radians(y)) * cos(radians(v)) * sin(radians(u - x) / 2) ** 2))) AS km FROM a JOIN b ON abs(y - v) <= 3 AND abs(y) <= 80 AND abs(v) <= 80)
+  SELECT site, tile, round(km, 3) AS km FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY km, tile) AS k FROM q WHERE km <= 200) WHERE k = 1""")
+def nearest_km(spark: SparkSession, d: str) -> DataFrame:
+    """J14."""
+    a, b = _points(spark, d)
+    return r(spatial.nearest_km(a.where(F.abs("y") <= 80), b.where(F.abs("v") <= 80), "site", "tile", 200.0, ("y", "x"), ("v", "u")), "km", places=3)
+
+
+@query(f"WITH {PAIR_SQL} SELECT month(month) :: INTEGER AS m, round(avg(da - ol), 3) AS mean_delta, round(stddev_samp(da - ol), 3) AS std_delta, count(DISTINCT tile) AS n_sites FROM pr GROUP BY 1")
+def paired_delta(spark: SparkSession, d: str) -> DataFrame:
+    """A27 (without the t factor)."""
+    p = _pairs(spark, d).withColumn("m", F.month("month"))
+    return r(compare.paired(p, ["m"], "tile", "ol", "da"), "mean_delta", "std_delta", places=3)
+
+
+@query(f"""WITH {OFA_SQL}, x AS (SELECT id, species, obs / 50 AS x, fcst / 50 * 0.7 AS y FROM ofa) SELECT id, species, round(greatest(-5.0, least(5.0, CASE WHEN y < 0.6 * x THEN 5 * (x - y / 0.6) WHEN x < 0.55 THEN -5 * y * (1 - x / 0.55) ELSE 0 END)), 6) AS incr FROM x""")
+def snow_rule(spark: SparkSession, d: str) -> DataFrame:
+    """X14."""
+    x = ofa_table(spark, d).select("id", "species", (F.col("obs") / 50).alias("x"), (F.col("fcst") / 50 * 0.7).alias("y"))
+    return r(x.select("id", "species", scalar.snow_increment(F.col("x"), F.col("y")).alias("incr")), "incr", places=6)
+
+
+@query(f"""WITH {OFA_SQL}, y AS (SELECT tile, year(ts) AS yr, sum(obs) AS p, sum(fcst) AS pet, avg(obs) AS t FROM ofa GROUP BY 1, 2)
+  SELECT tile, round(avg(CASE WHEN pet > 1e-3 THEN p / pet END), 4) AS ai, round(avg(CASE WHEN p > 1e-3 THEN pet / p END), 4) AS phi, round(avg(CASE WHEN pet > 1e-3 THEN (p - pet) / pet END), 4) AS cmi, round(avg(CASE WHEN t + 10 > 1e-3 THEN p / (t + 10) END), 4) AS martonne FROM y GROUP BY tile""")
+def aridity(spark: SparkSession, d: str) -> DataFrame:
+    """A46."""
+    y = ofa_table(spark, d).groupBy("tile", F.year("ts").alias("yr")).agg(F.sum("obs").alias("p"), F.sum("fcst").alias("pet"), F.avg("obs").alias("t"))
+    return r(compare.aridity(y, ["tile"]), "ai", "phi", "cmi", "martonne")
+
+
+@query(f"""WITH {OFA_SQL} SELECT t AS threshold, species, count(*) AS n, round(avg(obs - fcst), 4) AS mean, round(stddev_pop(obs - fcst), 4) AS std FROM ofa, (SELECT unnest([0.5 :: DOUBLE, 1.0, 2.0]) AS t) WHERE abs(obs - fcst) > t GROUP BY 1, 2""")
+def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """A68."""
+    x = ofa_table(spark, d).withColumn("d", F.col("obs") - F.col("fcst"))
+    return r(compare.threshold_sweep(x, ["species"], "d", [0.5, 1.0, 2.0]), "mean", "std")
+
+
+@query(f"""WITH {STATE_SQL}, n AS (SELECT ceil(count(DISTINCT ts) * 0.02) AS need FROM st), k AS (SELECT tile FROM st, n GROUP BY tile, need HAVING count(v) >= need) SELECT tile, count(*) AS n, round(avg(v), 4) AS mean FROM st WHERE tile IN (SELECT tile FROM k) GROUP BY tile""")
+def sparse_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """F4."""
+    kept = series.sparse_tiles(states(spark, d), ["tile"], "v", 0.02)
+    return r(kept.groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")), "mean")
+
+
+@query(f"""WITH {STATE_SQL} SELECT tile, count(CASE WHEN NOT (coalesce(v - 100 < 0, false) OR coalesce(id % 10 > 7, false)) THEN v END) AS n, round(avg(CASE WHEN NOT (v < 100 OR id % 10 > 7) THEN v END), 4) AS mean FROM st GROUP BY tile""")
+def frozen_mask(spark: SparkSession, d: str) -> DataFrame:
+    """F3."""
+    x = states(spark, d).withColumn("m", ofa.frozen_mask(F.col("v"), F.col("v"), F.col("id") % 10, 100.0, 7.0))
+    return r(x.groupBy("tile").agg(F.count("m").alias("n"), F.avg("m").alias("mean")), "mean")
+
+
+@query("""WITH w AS (SELECT p_retailprice AS v FROM part), e AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM w) SELECT count(*) AS n_all, count(CASE WHEN v BETWEEN lo AND hi THEN 1 END) AS n, round(avg(CASE WHEN v BETWEEN lo AND hi THEN v END), 4) AS mean FROM w, e""")
+def percentile_clip(spark: SparkSession, d: str) -> DataFrame:
+    """F14."""
+    x = compare.percentile_clip(_t(spark, d, "part").select(F.col("p_retailprice").alias("v")), "v")
+    return r(x.agg(F.count(F.lit(1)).alias("n_all"), F.count("v").alias("n"), F.avg("v").alias("mean")), "mean")
+
+
+@query(f"""WITH {OFA_SQL}, t AS (SELECT CAST(ts AS DATE) AS d, dayofyear(ts) AS doy, dayofyear(last_day(make_date(CAST(year(ts) AS INTEGER), 12, 1))) = 366 AS leap FROM ofa GROUP BY ALL)
+  SELECT d, CAST(CASE WHEN leap AND doy >= 59 THEN floor((doy - 2) / 5) + 1 ELSE floor((doy - 1) / 5) + 1 END AS INTEGER) AS pentad, CAST(floor((doy + 2) / 5) AS INTEGER) AS pentad_scaling, CAST(doy - CASE WHEN leap AND doy >= 60 THEN 1 ELSE 0 END AS INTEGER) AS normal_doy,
+  CAST(day(last_day(d)) AS INTEGER) AS days_in_month, CAST(date_diff('day', DATE '1950-01-01', d) AS INTEGER) AS since_1950 FROM t""")
+def calendar(spark: SparkSession, d: str) -> DataFrame:
+    """The calendar of every day in the data."""
+    days = ofa_table(spark, d).select(F.to_date("ts").alias("d")).distinct()
+    c = F.col("d")
+    return days.select("d", scalar.pentad(c).alias("pentad"), scalar.pentad_scaling(F.dayofyear(c)).alias("pentad_scaling"), scalar.normal_doy(c).alias("normal_doy"), scalar.days_in_month(c).alias("days_in_month"), scalar.days_since_1950(c).alias("since_1950"))
+
+
+@query()
+def validation(spark: SparkSession, d: str) -> DataFrame:
+    """Confidence limits at the effective sample size."""
+    x = ofa_table(spark, d).select("tile", "species", "ts", "id", "obs", F.col("fcst").alias("model"))
+    return series.validation(x, ["tile"], ["ts", "id", "species"])
+
+
+@query()
+def significance(spark: SparkSession, d: str) -> DataFrame:
+    """Welch t and F between assimilated and other rows."""
+    x = ofa_table(spark, d).withColumn("v", F.col("obs") - F.col("fcst")).groupBy("tile", "assim").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+    return compare.welch(x.where("assim").drop("assim"), x.where("not assim").drop("assim"), ["tile"])
+
+
+@query()
+def ease_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of points and the cells' centres."""
+    a, _ = _points(spark, d)
+    row, col = scalar.ease_index(F.col("y"), F.col("x"), "M36")
+    cells = a.where(F.abs("y") < 84).select("site", "y", "x", row.alias("row"), col.alias("col"))
+    lat, lon = scalar.ease_center(F.col("row"), F.col("col"), "M36")
+    return cells.select("site", "row", "col", lat.alias("lat"), lon.alias("lon"))
