@@ -211,12 +211,13 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     nodes = keep(nodes, "nodes")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
     shared = keep(buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("bucket", "hub"), "buckets")
-    ties = components(buckets.join(shared, "bucket").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    ties = components(buckets.join(shared.hint("merge"), "bucket").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     sizes = ties.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     chosen = ties.join(sizes, "root").join(nodes.select("node", "first"), "node")
     chosen = keep(chosen.select("node", F.col("root").alias("comp"), F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"), F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")), "chosen")
     bundles = max(1, chosen.count() // BUNDLE)
-    read = texts.join(chosen.withColumnRenamed("doc_id", "own"), (texts["th"] == chosen["th"]) & texts["doc_id"].eqNullSafe(F.col("own"))).select("text", "node", "comp", "chunks")
+    # one plan at every size: the candidates grow with the corpus
+    read = texts.join(chosen.withColumnRenamed("doc_id", "own").hint("merge"), (texts["th"] == chosen["th"]) & texts["doc_id"].eqNullSafe(F.col("own"))).select("text", "node", "comp", "chunks")
     sets = read.mapInArrow(_sets, "node long, comp long, chunks int, runs binary")
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     sets = sets.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
