@@ -42,19 +42,20 @@ def _full(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the half-length runs at each word, and which of them are anchors."""
+def _anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes; hashes of the half-length runs at each word; the least of them in the window at each word; which runs are anchors."""
     half, n = window // 2, len(w.start)
-    runs = _full(grams(w.hashes(), half), n)
+    words = w.hashes()
+    runs = _full(grams(words, half), n)
     runs[~_valid(w, half)] = TOP
     span = window - half + 1
     if n < window:
-        return runs, np.zeros(n, bool)
+        return words, runs, np.zeros(0, np.uint64), np.zeros(n, bool)
     least = slide(runs, span)
     least = np.where(_valid(w, window)[: len(least)], least, np.uint64(0))
     padded = np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(n - len(least), np.uint64)])
     reach = slide(padded, span, np.maximum)[:n]
-    return runs, (runs == reach) & (runs != TOP)
+    return words, runs, least, (runs == reach) & (runs != TOP)
 
 
 def _pairs(ids: np.ndarray, *cols: np.ndarray) -> list[np.ndarray]:
@@ -73,7 +74,7 @@ def _level_one(window: int):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, hi in pieces(texts):
                 w = Words(texts.slice(lo, hi - lo))
-                runs, anchor = _anchors(w, window)
+                _, runs, _, anchor = _anchors(w, window)
                 doc = np.repeat(ids[lo:hi], w.counts)[anchor].astype(np.int64)
                 doc, run_ = _pairs(doc, runs[anchor])
                 yield pa.RecordBatch.from_arrays([signed(run_), pa.array(doc)], ["run", "doc_id"])
@@ -107,17 +108,13 @@ def _level_two(window: int):
                 w = Words(texts.slice(i, 1))
                 if len(w.start) < window:
                     continue
-                runs, anchor = _anchors(w, window)
-                alive = np.flatnonzero(anchor & _member(runs, _listed(batch, "runs", i)))
-                if not len(alive):
+                words, runs, least, _ = _anchors(w, window)
+                # equal windows have equal least runs, so the least run of a window that repeats has survived
+                at = np.flatnonzero(_member(least[: len(words) - window + 1], _listed(batch, "runs", i)))
+                if not len(at):
                     continue
-                # a window holds an anchor if it starts at most window - half words before it
-                mark = np.zeros(len(runs) + 1, np.int32)
-                np.add.at(mark, np.maximum(0, alive - (window - window // 2)), 1)
-                np.add.at(mark, alive + 1, -1)
-                at = np.flatnonzero(np.cumsum(mark)[: len(runs) - window + 1])
-                full = doubled(runs, window // 2) if window % 2 == 0 else grams(w.hashes(), window)
-                first = w.hashes()[at]
+                full = doubled(runs, window // 2) if window % 2 == 0 else grams(words, window)
+                first = words[at]
                 out.append(_pairs(np.full(len(at), batch.column("doc_id")[i].as_py(), np.int64), full[at], (first >> np.uint64(32)).astype(np.uint64)))
                 if sum(len(x[0]) for x in out) > 200_000:
                     yield _windows(out)
