@@ -185,3 +185,8 @@ def slide(values: np.ndarray, width: int, best=np.minimum) -> np.ndarray:
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
+
+
+def folded(docs: DataFrame, without: str = "") -> DataFrame:
+    """doc_id and text, and the row (but for one column) in a struct, so that no other column can clash with those used inside."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != without]).alias("_all"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, keep, table
+from .common import BLANKS, folded, keep, table
 
 
 class MergeIndex:
@@ -93,7 +93,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     points = runs.select("row", F.col("points").alias("_points"))
     stay = level.join(points, level["keep_row"] == points["row"]).select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_id"), "_points")
     own = F.unhex(F.sha2(F.translate(F.coalesce("text", F.lit("")), BLANKS, ""), 256))
-    rows = docs.withColumns({"_own": own, "_size": F.length(F.coalesce("text", F.lit(""))).cast("long")})
+    rows = folded(docs).withColumns({"_own": own, "_size": F.length(F.coalesce("text", F.lit(""))).cast("long")})
     right = rows if wrong.isEmpty() else rows.join(wrong, rows["_own"] == wrong["digest"], "left_anti")
     same = (F.col("_own") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_points"))
     out = right.join(stay, same, "left_semi").dropDuplicates(["_own", "doc_id", "_size"])
@@ -101,7 +101,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
         odd = rows.join(wrong, rows["_own"] == wrong["digest"], "left_semi").withColumn("_normal", F.translate(F.coalesce("text", F.lit("")), BLANKS, ""))
         order = Window.partitionBy("_normal").orderBy(F.desc("_size"), F.col("doc_id").isNull(), "doc_id")
         out = out.unionByName(odd.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_normal", "_place"))
-    return out.drop("_own", "_size")
+    return out.select("_all.*")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

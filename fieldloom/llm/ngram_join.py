@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TOP, Words, grams, keep, mix, pieces, signed, strings, table
+from .common import TOP, Words, folded, grams, keep, mix, pieces, signed, strings, table
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 #: A pair at the threshold misses all of 24 bands of 4 values with a probability of 3e-6.
@@ -246,9 +246,9 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     th = F.xxhash64(F.coalesce("text", F.lit("")))
     classes = jaccard_classes(docs)
     stay = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("keep_th"))).select(F.col("doc_id").alias("_id"), F.col("th").alias("_stay")).distinct()
-    rows = docs.withColumn("_th", th)
+    rows = folded(docs).withColumn("_th", th)
     rows = rows.join(keep(stay, "stay"), (F.col("_th") == F.col("_stay")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates(["_th", "doc_id"]).drop("_th")
+    return rows.dropDuplicates(["_th", "doc_id"]).select("_all.*")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TOP, Words, doubled, grams, keep, pieces, signed, slide, strings, table
+from .common import TOP, Words, doubled, folded, grams, keep, pieces, signed, slide, strings, table
 
 
 def _valid(w: Words, length: int) -> np.ndarray:
@@ -179,10 +179,9 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
 
 def _stripped(docs: DataFrame, window: int) -> DataFrame:
     found = repeated_windows(docs, window).withColumnRenamed("doc_id", "_id")
-    docs = docs.select(*[c for c in docs.columns if c not in ("runs", "text")], "text")
     both = docs.join(found, docs["doc_id"].cast("long") == found["_id"], "left").drop("_id")
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return both.mapInArrow(_strip(window), schema + ", n_words long, n_removed long, kept_sha256 string, kept_text string")
+    schema = ", ".join(f"{c} {t}" for c, t in docs.dtypes if c != "text")
+    return both.mapInArrow(_strip(window), schema + ", text string, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -192,12 +191,12 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
 
 def strip_documents(docs: DataFrame, window: int = 50) -> DataFrame:
     """The rows of ``docs`` with their columns; texts without the repeated words, and no row of which nothing is left."""
-    out = _stripped(docs, window).where("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
+    out = _stripped(folded(docs, without="text"), window).where("n_removed = 0 or n_removed < n_words")
+    cut = F.col("n_removed") > 0
+    new = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(cut, F.length("kept_text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("_all.n_chars"))
+    return out.select(*[(new[c] if c in new else F.col(f"_all.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
