@@ -130,7 +130,7 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
             gain = (_xlogx(n + r) - base).sum(axis=1) + (_xlogx(n.T + l) - base.T).sum(axis=1)
             d = np.arange(classes)
             gain += _xlogx(n[d, d] + r + l + own) + base[d, d] - _xlogx(n[d, d] + r) - _xlogx(n[d, d] + l)
-            rows, cols, tr, tl = n.sum(axis=1), n.sum(axis=0), r.sum() + own, l.sum() + own
+            rows, cols, tr, tl = n.sum(axis=1) + l, n.sum(axis=0) + r, r.sum() + own, l.sum() + own  # wherever the word goes, its neighbours' classes count it
             gain -= _xlogx(rows + tr) - _xlogx(rows) + _xlogx(cols + tl) - _xlogx(cols)
             b = int(np.argmax(gain)) if gain.max() > gain[a] + 1e-9 else a
             n[b] += r

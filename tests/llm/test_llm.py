@@ -159,11 +159,19 @@ def test_probabilities_add_up():
     assert (10**logs).sum(axis=1) == pytest.approx(np.ones(6), abs=1e-6)
 
 
-def test_exchange_finds_classes():
-    n = np.zeros((8, 8))
-    n[:4, 4:], n[4:, :4] = np.arange(1, 17).reshape(4, 4), np.arange(20, 4, -1).reshape(4, 4)
-    c = class_lm.exchange(n, 2)
-    assert len(set(c[:4])) == len(set(c[4:])) == 1 and c[0] != c[4]
+def test_exchange_raises_the_likelihood():
+    n = np.random.default_rng(3).integers(0, 30, (40, 40)).astype(float)
+    n[:20, 20:] *= 6
+
+    def value(c):
+        m = np.eye(4)[c].T @ n @ np.eye(4)[c]
+        f = class_lm._xlogx
+        return f(m).sum() - f(m.sum(axis=0)).sum() - f(m.sum(axis=1)).sum()
+
+    c = class_lm.exchange(n, 4)
+    assert value(c) > value(np.arange(40) % 4) and set(c) <= set(range(4))
+    best = [max(value(np.r_[c[:w], k, c[w + 1 :]]) for k in range(4)) for w in range(40)]
+    assert max(best) <= value(c) + 1e-6  # no single word can move for the better
 
 
 def test_ngram_join(docs, none):
