@@ -30,6 +30,7 @@ from .common import keep, table
 
 CURVES, DIMS, BITS, ROWS = 6, 8, 4, 1500
 PROBES, RECALL, SAMPLE = 60, 0.955, 20_000
+MOST = 50_000  # rows of a block
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -140,9 +141,6 @@ def search(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, rows
                     yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(np.full(len(r), c, np.int32)), pa.array(r), batch.column("v")], ["vec_id", "curve", "range", "v"])
 
     placed = keep(base.mapInArrow(place, "vec_id long, curve int, range int, v array<double>"), "placed")
-    load = placed.groupBy("curve", "range").agg(F.count(F.lit(1)).alias("n"))
-    blocks = keep(load.select("curve", "range", F.ceil(F.col("n") / (2 * rows)).cast("int").alias("blocks")), "blocks")
-
     def brute(queries: np.ndarray, ids: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -165,8 +163,13 @@ def search(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, rows
         apart = exact.join(F.broadcast(own), "query_id").join(spot, ["vec_id", "curve"]).groupBy("query_id", "vec_id").agg(F.min(F.abs(F.col("range") - F.col("at"))).alias("apart"))
         apart = np.sort([r["apart"] for r in apart.select("apart").collect()])  # at most probes * k numbers
         reach = int(apart[min(len(apart) - 1, int(np.ceil(recall * len(apart))))]) if len(apart) else 0
+    # ranges are joined by `reach`, so that a query meets three blocks of each curve, however far its neighbours lie
+    wide = max(1, reach)
+    placed = placed.withColumn("range", F.floor(F.col("range") / wide).cast("int"))
+    load = placed.groupBy("curve", "range").agg(F.count(F.lit(1)).alias("n"))
+    blocks = keep(load.select("curve", "range", F.ceil(F.col("n") / min(2 * rows * wide, MOST)).cast("int").alias("blocks")), "blocks")
     rows_ = placed.join(blocks, ["curve", "range"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).select("curve", "range", "block", "vec_id", "v")
-    asked = placed.where(is_query).select("curve", F.explode(F.sequence(F.col("range") - reach, F.col("range") + reach)).alias("range"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    asked = placed.where(is_query).select("curve", F.explode(F.sequence(F.col("range") - min(1, reach), F.col("range") + min(1, reach))).alias("range"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     asked = asked.join(blocks, ["curve", "range"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asked = asked.select(F.col("curve").alias("c"), F.col("range").alias("r"), F.col("block").alias("b"), "query_id", "q")
 
