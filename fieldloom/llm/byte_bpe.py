@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import strings, table
 
-#: Most chunks, matches and states that a worker remembers.
-CACHE, TOKENS, STATES = 200_000, 500_000, 200_000
+#: Most chunks, matches, states and token pairs that a worker remembers, and the longest chunk or match that it does.
+CACHE, TOKENS, STATES, PAIRS, LONGEST = 200_000, 500_000, 200_000, 1_000_000, 64
 _NONE = 1 << 40
 
 
@@ -44,13 +44,22 @@ class Transducer:
         self.good: dict[int, bool] = {}
         self.spines: dict[int, tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]] | None] = {}
         self.nodes: dict[bytes, tuple[list[tuple[int, int]], bytes, list[int]]] = {}
+        # a state: (token before or -1, open suffix, a path to each boundary at which a token may begin)
+        self.states: list[tuple[int, bytes, tuple[tuple[int, ...], ...]]] = []
+        self.number: dict[tuple, int] = {}
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # state << 8 | byte -> next state, tokens
         self._forget()
 
     def _forget(self) -> None:
-        # a state: (token before or -1, open suffix, a path to each boundary at which a token may begin)
-        self.states = [(-1, b"", ((),))]
-        self.number = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # state << 8 | byte -> next state, tokens
+        """Keep the first state alone; the others are made again when met."""
+        for memory in (self.states, self.number, self.moves, self.nodes):
+            memory.clear()
+        self._number((-1, b"", ((),)))
+
+    def _number(self, key: tuple) -> int:
+        n = self.number[key] = len(self.states)
+        self.states.append(key)
+        return n
 
     def merged(self, text: bytes, least_parts: int = 1) -> list[bytes]:
         """The encoding by the definition: the pair of least rank is merged, again and again."""
@@ -100,6 +109,8 @@ class Transducer:
                 i += 1
             else:
                 j += 1
+        if len(self.good) >= PAIRS:
+            self.good.clear()
         self.good[key] = known
         return known
 
@@ -139,15 +150,13 @@ class Transducer:
             kept = [p[shared:] for p in kept]
         key = (before, rest, tuple(kept))
         n = self.number.get(key)
-        if n is None:
-            n = self.number[key] = len(self.states)
-            self.states.append(key)
-        out = self.moves[state << 8 | byte] = (n, first[:shared])
+        if n is None and len(self.states) >= STATES:
+            self._forget()
+            return self._number(key), first[:shared]  # no move to remember: the state it left is forgotten
+        out = self.moves[state << 8 | byte] = (self._number(key) if n is None else n, first[:shared])
         return out
 
     def encode(self, text: bytes) -> list[int]:
-        if len(self.states) > STATES:
-            self._forget()
         state, out, moves = 0, [], self.moves
         for byte in text:
             move = moves.get(state << 8 | byte) or self.step(state, byte)
@@ -211,6 +220,7 @@ class Codec(dict):
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         self.machine, self.find = Transducer(ranks), regex.compile(pattern).findall
+        self.tied = regex.compile(r"\s (?:\s|\Z)").search
         self.table = [self.machine.bytes_of.get(i, b"") for i in range(max(ranks.values(), default=0) + 1)]
         self.tokens: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -223,9 +233,10 @@ class Codec(dict):
                 raw = piece.encode()
                 rank = self.machine.ranks.get(raw)
                 ids = array("I", self.machine.encode(raw) if rank is None else [rank]).tobytes()
-                if len(self.tokens) > TOKENS:
+                if len(self.tokens) >= TOKENS:
                     self.tokens.clear()
-                self.tokens[piece] = ids
+                if len(piece) <= LONGEST:
+                    self.tokens[piece] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -233,6 +244,8 @@ class Codec(dict):
         ids = self.old.get(chunk)
         if ids is None:
             ids = self._cut(" " + chunk)
+        if len(chunk) > LONGEST:
+            return ids
         if len(self) >= CACHE:  # the last generation stays in reach
             self.old = dict(self)
             self.clear()
@@ -241,8 +254,8 @@ class Codec(dict):
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, as bytes."""
-        if "  " in text or not text:
-            return self._cut(text)  # a run of spaces is one match, so the text can't be cut at spaces
+        if self.tied(text):
+            return self._cut(text)  # a space inside a run of white space belongs to the run's match: no cut there
         first, *rest = text.split(" ")
         return self._cut(first) + b"".join(map(self.__getitem__, rest))
 

@@ -108,6 +108,23 @@ def test_byte_bpe(docs, none):
     assert byte_bpe.encode_texts(none, path, P.PATTERN).count() == 0
 
 
+def test_byte_bpe_cuts_and_bounds(monkeypatch):
+    own = {bytes((b,)): b for b in range(256)} | {b"\n ": 256, b" \n": 257}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own, special_tokens={})
+    codec = byte_bpe.Codec(own, P.PATTERN)
+    for s in ["x\n \ny", "x\n ", " \nx", "a   b", "a  b", "", " ", "\n \n", "a \u3000 b"]:
+        assert list(array("I", codec.encode(s))) == enc.encode_ordinary(s), s
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for name in ["STATES", "PAIRS", "TOKENS", "CACHE"]:
+        monkeypatch.setattr(byte_bpe, name, 25)
+    codec = byte_bpe.Codec(ranks, P.PATTERN)
+    for _ in range(150):
+        s = "".join(RND.choice("abcdefgh éß漢 '12-") for _ in range(200))
+        assert list(array("I", codec.encode(s))) == enc.encode_ordinary(s)
+    assert max(len(codec), len(codec.old), len(codec.tokens), len(codec.machine.states), len(codec.machine.good)) <= 26
+
+
 def test_packing(docs, none):
     path = P.path("word_bpe_49k.json")
     got = packing.pack(docs, path).toPandas()
