@@ -38,11 +38,11 @@ SAME, SAME_WEIGHT = 0, 8
 
 def features(word: str) -> list[int]:
     """The buckets of a word and of its character n-grams."""
-    raw = f"<{word}>"
-    out = [zlib.crc32(raw.encode("utf-8", "replace"), 7) % BUCKETS]
-    for n in range(SHORT, LONG + 1):
-        out += [zlib.crc32(raw[i : i + n].encode("utf-8", "replace")) % BUCKETS for i in range(len(raw) - n + 1)]
-    return out
+    raw = f"<{word}>".encode("utf-8", "replace")
+    # where characters begin, and the end
+    at = range(len(raw) + 1) if raw.isascii() else [i for i, b in enumerate(raw) if b & 0xC0 != 0x80] + [len(raw)]
+    hashed = [zlib.crc32(raw[i:j]) % BUCKETS for n in range(SHORT, LONG + 1) for i, j in zip(at, at[n:])]
+    return [zlib.crc32(raw, 7) % BUCKETS, *hashed]
 
 
 def _document(text: str, known) -> tuple[np.ndarray, np.ndarray]:
@@ -103,9 +103,20 @@ class Scorer(dict):
         super().__init__()
         self.of, self.cache, self.model = model.weights.tolist(), cache, model
         self.sums, self.sizes = np.zeros(cache + 1), np.zeros(cache + 1)
+        self.old: tuple[dict[str, int], np.ndarray, np.ndarray] = ({}, self.sums, self.sizes)
+
+    def _turn(self) -> None:
+        """Begin a new generation; the last one stays in reach, so that frequent words are not hashed again."""
+        self.old = (dict(self), self.sums, self.sizes)
+        self.sums, self.sizes = np.zeros(self.cache + 1), np.zeros(self.cache + 1)
+        self.clear()
 
     def __missing__(self, word: str) -> int:
         k = self[word] = len(self)
+        known = self.old[0].get(word)
+        if known is not None:
+            self.sums[k], self.sizes[k] = self.old[1][known], self.old[2][known]
+            return k
         own = features(word)
         self.sums[k], self.sizes[k] = sum(map(self.of.__getitem__, own)), len(own)
         return k
@@ -118,7 +129,7 @@ class Scorer(dict):
         total = size * self.of[SAME]
         for lo in range(0, len(words), 100_000):
             if len(self) + 100_000 > self.cache:
-                self.clear()
+                self._turn()
             k = np.fromiter(map(self.__getitem__, words[lo : lo + 100_000]), np.int64)
             total, size = total + self.sums[k].sum(), size + self.sizes[k].sum()
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total / size + self.model.bias))))

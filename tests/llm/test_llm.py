@@ -281,3 +281,18 @@ def test_pipeline(spark, sf):
     assert len({squash(t) for t in exact.values()}) == len(exact) == len({squash(t) for t in after["exact_dedup"].values()})
     assert set(after["substring_dedup"]) <= set(exact)
     assert docs.agg(F.sum("length")).first()[0] == docs.select("doc_id", "doc_tokens").distinct().agg(F.sum("doc_tokens")).first()[0]
+
+
+def test_quality_words_and_generations():
+    import zlib
+
+    for word in ["a", "abc", "é漢x", "😀", "longer-word"]:
+        raw = f"<{word}>"
+        plain = [zlib.crc32(raw.encode(), 7)] + [zlib.crc32(raw[i : i + n].encode()) for n in (2, 3, 4) for i in range(len(raw) - n + 1)]
+        assert quality.features(word) == [h % quality.BUCKETS for h in plain]
+    model = quality.Model(np.random.default_rng(0).normal(size=quality.BUCKETS).astype(np.float32), 0.1, 0.5)
+    small, large = quality.Scorer(model, 100_050), quality.Scorer(model)
+    for _ in range(60):
+        s = " ".join("".join(RND.choice("abé漢") for _ in range(RND.randint(1, 4))) for _ in range(RND.randint(0, 80)))
+        assert abs(small.score(s) - large.score(s)) < 1e-9
+    assert small.old[0] and len(small) < len(large)
