@@ -483,3 +483,6 @@ def ease_grid(spark: SparkSession, d: str) -> DataFrame:
     cells = a.where(F.abs("y") < 84).select("site", "y", "x", row.alias("row"), col.alias("col"))
     lat, lon = scalar.ease_center(F.col("row"), F.col("col"), "M36")
     return cells.select("site", "row", "col", lat.alias("lat"), lon.alias("lon"))
+
+
+from . import summaries  # noqa: E402,F401  (registers its queries; needs the names above)

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import compare
+
 # fixed values: the record layout of an observation file
 STAMP = ("year", "month", "day", "hour", "minute", "second", "dofyr", "pentad")
 FIELDS = (("assim", "i4"), ("species", "i4"), ("tilenum", "i4"), ("lon", "f4"), ("lat", "f4"), ("obs", "f4"), ("obsvar", "f4"), ("fcst", "f4"), ("fcstvar", "f4"), ("ana", "f4"), ("anavar", "f4"))
@@ -67,6 +69,75 @@ def read_tiles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "tilenum int, " + ", ".join(f"{n} {'int' if k == 'i4' else 'float'}" for n, k in TILE_FIELDS))
 
 
+# fixed values: the layout of a tile-grid record after its 40 characters of grid type, and the lines of a species in the metadata file
+GRID_FIELDS = (("ind_base", "i4"), ("i_dir", "i4"), ("j_dir", "i4"), ("n_lon", "i4"), ("n_lat", "i4"), ("i_offg", "i4"), ("j_offg", "i4"), ("ll_lon", "f4"), ("ll_lat", "f4"), ("ur_lon", "f4"), ("ur_lat", "f4"), ("dlon", "f4"), ("dlat", "f4"))
+SPECIES_TEXT = ("descr", "FOV_units", "assim", "scale", "getinnov", "varname", "units", "path", "name", "maskpath", "maskname", "scalepath", "scalename", "flistpath", "flistname", "zeromean", "coarsen_pert")
+SPECIES_FIELDS = ("descr", "species", "orbit", "pol", "N_ang", "ang", "freq", "FOV", "FOV_units", "assim", "scale", "getinnov", "RTM_ID", "bias_Npar", "bias_trel", "bias_tcut", "nodata", "varname", "units", "path", "name", "maskpath", "maskname", "scalepath", "scalename", "flistpath", "flistname", "errstd", "std_normal_max", "zeromean", "coarsen_pert", "xcorr", "ycorr", "adapt")
+
+
+def read_tile_grids(spark: SparkSession, path: str) -> DataFrame:
+    """S3: the global and the domain grid of each file."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for content in f["content"]:
+                for kind, (order, raw) in zip(("global", "domain"), _records(content)):
+                    row = {"kind": kind, "gridtype": raw[:40].decode("ascii").strip("\0 ")}
+                    for at, (name, form) in enumerate(GRID_FIELDS):
+                        row[name] = np.frombuffer(raw, f"{order}{form}", 1, 40 + 4 * at)[0]
+                    yield pd.DataFrame([row])
+
+    schema = "kind string, gridtype string, " + ", ".join(f"{n} {'int' if k == 'i4' else 'float'}" for n, k in GRID_FIELDS)
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+
+
+def read_species(spark: SparkSession, path: str) -> DataFrame:
+    """A count, then a line for each field of each species; text may be quoted, ``ang`` holds any number of angles."""
+    lines = F.split(F.rtrim("value"), r"\r?\n")
+    width = len(SPECIES_FIELDS)
+    rows = spark.read.text(path, wholetext=True).select(lines.alias("l")).select("l", F.explode(F.expr("sequence(0, CAST(trim(l[0]) AS INT) - 1)")).alias("k"))
+    text = lambda i: F.trim(F.get("l", 1 + F.col("k") * width + i))
+
+    def field(i: int, name: str) -> Column:
+        if name in SPECIES_TEXT:
+            return F.btrim(text(i), F.lit('"')).alias(name)
+        if name == "ang":
+            return F.split(text(i), r"\s+").cast("array<double>").alias(name)
+        return text(i).cast("double").cast("int" if name in ("species", "N_ang") else "double").alias(name)
+
+    return rows.where("size(l) > 1").select(*[field(i, n) for i, n in enumerate(SPECIES_FIELDS)])
+
+
+def scan_snow_cover(pixels: DataFrame, west: float, east: float, south: float, north: float) -> DataFrame:
+    """Good pixels of a box with their snow fraction; the box prunes before the quality rule."""
+    box = require(pixels, ["lon", "lat", "snow_cover", "clear_index", "snow_spatial_qa"]).where(F.col("lon").between(west, east) & F.col("lat").between(south, north))
+    return box.withColumn("scf", compare.snow_fraction(F.col("snow_cover"), F.col("clear_index"), F.col("snow_spatial_qa"))).where("scf is not null")
+
+
+def scan_slice(x: DataFrame, hour: int, nodata: float = -9999.0) -> DataFrame:
+    """The quarter of the day that belongs to an analysis hour of 3, 9, 15 or 21, without fills."""
+    if hour not in (3, 9, 15, 21):
+        raise ValueError(f"no slice for hour {hour}")
+    return x.where((F.col("slice") == (hour - 3) // 6) & F.col("sm").isNotNull() & ~F.isnan("sm") & (F.abs(F.col("sm") - nodata) >= 0.01))
+
+
+def scan_swath(x: DataFrame) -> DataFrame:
+    """Good soil moisture of a day and cell, the mean of the orbits that have it."""
+    good = compare.smap_good(require(x, ["sm", "retrieval_qual_flag", "surface_flag", "surface_status", "tb_qual_h", "tb_qual_v"]))
+    return x.groupBy("day", "cell").agg(F.avg(good).alias("sm"))
+
+
+def scan_footprints(x: DataFrame) -> DataFrame:
+    """Footprints whose processing flag is clear."""
+    return require(x, ["lat", "lon", "ssom", "tpcx", "domo", "smpf", "smcf", "alfr", "iwfr", "snoc", "flsf"]).where("smpf = 0")
+
+
+def scan_stations(x: DataFrame) -> DataFrame:
+    """Stations, of the network SCAN only those inside its box."""
+    inside = (F.col("lat") > 25) & (F.col("lat") <= 45) & (F.col("lon") >= -130) & (F.col("lon") < -60)
+    return x.where((F.col("network") != "SCAN") | inside)
+
+
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
     """The required-column check at the door."""
     missing = [c for c in columns if c not in df.columns]
