@@ -19,6 +19,7 @@ empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,6 +32,9 @@ from pyspark.sql import functions as F
 from .common import keep, strings, table
 
 WINDOW, END, QUEUES, CACHE = 4096, 2, 64, 300_000
+#: Python's split() also cuts at these, the tokenizer's \s does not.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+SPACE = re.compile(rf"[^\S{SEPARATORS}]+")
 
 
 class WordIds(dict):
@@ -41,8 +45,10 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.type = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        self.whole = any(t.normalized for t in added)  # these show only in the normalised text
+        self.type = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self.normal, self.cut, self.model = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
         self.old: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
@@ -72,8 +78,11 @@ class WordIds(dict):
         return got
 
     def ids(self, text: str) -> bytes:
-        """The ids of a text: no match of the tokenizer's pattern holds a blank, so runs stand for themselves."""
-        return b"".join(map(self.__getitem__, text.split()))
+        """The ids of a text: no match of the tokenizer's pattern holds a blank, so runs stand for themselves. Texts with an added token go through the tokenizer whole."""
+        if self.whole or any(t in text for t in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+        runs = SPACE.split(text) if any(c in text for c in SEPARATORS) else text.split()
+        return b"".join(map(self.__getitem__, runs))
 
 
 @lru_cache(maxsize=2)

@@ -142,6 +142,16 @@ def test_packing(docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_packing_ids_are_the_tokenizers():
+    path = P.path("word_bpe_49k.json")
+    own, tokenizer = packing.WordIds(path), Tokenizer.from_file(path)
+    texts = ["a\x1cb", "a\x1fb", "\x1d", " \x1e x\x1c\x1c y ", "x <|endoftext|> y", "x<|startoftext|>É\x1cy<|endoftext|>", "x <|ENDOFTEXT|> y", "<|endoftext|>"]
+    texts += [f"a{chr(c)}b {chr(c)} É{chr(c)}" for c in (*range(0x100), 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+    texts += ["".join(RND.choice(["a", "É", "e\u0301", "ΑΣ", "'s", "9", " ", "\u0301", "\x1c", "\x85", "<|endoftext|>", "<|", "漢", "."]) for _ in range(30)) for _ in range(300)]
+    for s in texts:
+        assert np.frombuffer(own.ids(s), own.type).tolist() == tokenizer.encode(s, add_special_tokens=False).ids, repr(s)
+
+
 def test_rounds_cover_the_stream():
     rounds = packing.Rounds(np.array([10, 3, 7]), np.array([4, 1, 3]))
     seen = []
