@@ -152,6 +152,42 @@ def test_packing_ids_are_the_tokenizers():
         assert np.frombuffer(own.ids(s), own.type).tolist() == tokenizer.encode(s, add_special_tokens=False).ids, repr(s)
 
 
+def _packed(spark, sizes, **options):
+    """Pieces of documents of ten tokens by source, after checks that they hold every token once and fill the windows."""
+    rows = [(k, "one two three four five six seven eight nine", s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), P.path("word_bpe_49k.json"), 100, **options).toPandas()
+    got["source"] = got["doc_id"].map({k: s for k, _, s in rows})
+    place = got.sort_values(["sequence_id", "offset"])
+    assert (place["sequence_id"] * 100 + place["offset"]).tolist() == [0, *place["length"].cumsum()[:-1]]
+    ids = np.array([*Tokenizer.from_file(P.path("word_bpe_49k.json")).encode(rows[0][1], add_special_tokens=False).ids, 2], "<u4")
+    assert len(ids) == 10 and all(zlib.crc32(ids[s : s + n].tobytes()) == c for s, n, c in zip(got["start"], got["length"], got["ids_crc32"]))
+    for _, g in got.groupby("doc_id"):
+        g = g.sort_values("start")
+        assert g["start"].tolist() == [0, *g["length"].cumsum()[:-1]] and g["length"].sum() == 10
+    return got
+
+
+def test_packing_carries_fractions(spark):
+    sizes = {"hot": 2000, "low": 8, "mid": 28}  # of 100 tokens: 98.2, 0.39 and 1.4
+    for queues in (64, 2):
+        got = _packed(spark, sizes, queues=queues)
+        sent = got.groupby(["source", "sequence_id"])["length"].sum()
+        for s, n in sizes.items():
+            have = sent[s].reindex(range(-(-2036 * 10 // 100)), fill_value=0).cumsum()
+            assert (abs(have - (have.index + 1) * 100 * n / 2036)[:-1] <= 3).all(), (s, queues)
+
+
+def test_packing_many_sources_and_targets(spark):
+    got = _packed(spark, {f"s{k:03d}": 3 for k in range(150)} | {"hot": 450})
+    assert got["queue"].nunique() == 151
+    hot = got[got["source"] == "hot"].groupby("sequence_id")["length"].sum()
+    assert len(hot) == 90 and hot.between(40, 60).all()
+    for sizes, queues in (({"a": 60, "b": 60, "c": 10}, 64), ({"a": 60, "b": 60, "c": 10}, 2), ({f"s{k:03d}": 1 for k in range(70)} | {"a": 60, "b": 60}, 64)):
+        got = _packed(spark, sizes, queues=queues, targets={"a": 0.75, "b": 0.25})
+        sent = got[got["sequence_id"] < 7].groupby(["sequence_id", "source"])["length"].sum().unstack(fill_value=0)
+        assert set(sent.columns) == {"a", "b"} and sent["a"].between(73, 77).all(), (sizes, queues)
+
+
 def test_rounds_cover_the_stream():
     rounds = packing.Rounds(np.array([10, 3, 7]), np.array([4, 1, 3]))
     seen = []
