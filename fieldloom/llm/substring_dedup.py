@@ -5,8 +5,9 @@ shuffled: in every window of ``window`` words, the half-length runs with the
 least hash. Equal windows have equal anchors, so a window whose anchors
 all occur in one document alone can't repeat. Where anchors occur in more than
 one document, the next level hashes the runs of twice the length, here
-the full windows, and again only those that repeat survive; further doublings
-find how long repeats are (``longest``), until no candidates are left.
+the full windows, and again only those that repeat survive. There are these two
+levels only: no further doubling finds how long repeats are. For an odd window, the second
+level hashes the full length directly.
 
 Counting goes through partial aggregation; what survives is joined back by sort
 merge joins of written tables, whose hot keys Spark splits.
