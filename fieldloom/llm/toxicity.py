@@ -1,8 +1,8 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 2).
 
-Five small transducers read a clause word by word: insult, threat, target,
-negation and reported speech. Their composition is one machine, made lazily,
-whose state says what the clause has shown so far; at the end of a clause that
+One machine reads a clause word by word for insults, threats, targets,
+negation and reported speech. It is the product of these five, written by hand: there are
+no separate transducers and no composition. Its transitions are kept as they are met, and its state says what the clause has shown so far; at the end of a clause that
 holds an insult or a threat it emits the clause's class (with or without
 target, negation before it, reported speech). A document's score is a logistic function of
 how many clauses of each class matched, so single words count only by their
@@ -82,7 +82,7 @@ def learn_insults(rows: list[tuple[str, int]], shortest: int = 3, longest: int =
 
 
 class Grammar(dict):
-    """A word as written -> its symbol; and the composed machine."""
+    """A word as written -> its symbol; and the product machine."""
 
     CLASSES = 16
 
