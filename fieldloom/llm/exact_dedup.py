@@ -1,7 +1,8 @@
 """Exact dedup by a log-structured merge index of text digests (operator 9).
 
 A flush sorts the digests of a batch inside every task and writes them as a run
-(Parquet with a Bloom filter on the digest). Compaction merges all runs with one
+(Parquet with a Bloom filter on the digest; nothing here looks digests up by it). A batch query
+flushes once, so there is one run. Compaction merges all runs with one
 partial and final aggregation, keeping for each digest the row that stays. Rows
 whose digest occurs more than once are hits, and hits are verified byte for
 byte: a digest stands only if the least and the greatest text under it are the
@@ -47,6 +48,12 @@ class MergeIndex:
             out = out.unionByName(run)
         return out
 
+    def all_texts(self) -> DataFrame:
+        out = self.texts[0]
+        for more in self.texts[1:]:
+            out = out.unionByName(more)
+        return out
+
     def compact(self) -> DataFrame:
         """digest -> the row that stays (most code points, then smallest doc_id) and the group's size."""
         first = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("n"), "doc_id", "row"))
@@ -56,11 +63,8 @@ class MergeIndex:
 
     def false_hits(self, level: DataFrame) -> DataFrame:
         """The digests that stand for unlike texts: byte verification of every hit."""
-        texts = self.texts[0]
-        for more in self.texts[1:]:
-            texts = texts.unionByName(more)
         hits = level.where("group_size > 1").select("digest")
-        seen = texts.select("digest", "normal").join(hits, "digest").groupBy("digest")
+        seen = self.all_texts().select("digest", "normal").join(hits, "digest").groupBy("digest")
         return seen.agg(F.min("normal").alias("a"), F.max("normal").alias("b")).where("a <> b").select("digest")
 
 
@@ -68,6 +72,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     index = MergeIndex(docs.sparkSession)
     index.flush(docs)
+    return verdicts(index)
+
+
+def verdicts(index: MergeIndex) -> DataFrame:
+    """The rows of all runs of an index, as ``exact_dedup`` returns them."""
     level = index.compact()
     wrong = keep(index.false_hits(level), "wrong")
     rows = index.all_runs().join(level, "digest")
@@ -75,7 +84,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     if wrong.isEmpty():
         return out
     # a digest with unlike texts: its rows, few, are grouped by the texts themselves
-    odd = index.texts[0].join(wrong, "digest").withColumn("row", F.monotonically_increasing_id())
+    odd = index.all_texts().join(wrong, "digest").withColumn("row", F.monotonically_increasing_id())
     odd = keep(odd, "odd")
     first = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("n"), "doc_id", "row"))
     groups = odd.groupBy("normal").agg(first.alias("best"), F.count(F.lit(1)).alias("group_size"))

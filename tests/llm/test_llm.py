@@ -91,6 +91,17 @@ def test_index_of_several_runs(docs):
     assert index.false_hits(index.compact()).count() == 0
 
 
+def test_repair_of_false_hits_reads_all_runs(docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda column, bits: F.lit("00" * 32))  # every text has the same digest
+    index = exact_dedup.MergeIndex(docs.sparkSession)
+    index.flush(docs.where("row < 8"))
+    index.flush(docs.where("row >= 8"))
+    got = exact_dedup.verdicts(index).collect()
+    texts = ["".join((t or "").split()) for _, t, _ in ROWS]
+    assert sorted(r["group_size"] for r in got) == sorted(texts.count(t) for t in texts)
+    assert sum(r["kept"] for r in got) == len(set(texts))
+
+
 def test_byte_bpe(docs, none):
     path = P.path("byte_bpe_50k.tiktoken")
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
