@@ -4,8 +4,9 @@ All training documents are counted. The most frequent words (``K``) are assigned
 to classes by exchange clustering on the counts of their bigrams, collected from
 the whole corpus (at most K x K numbers). The classes are then merged, pair by
 pair with the least loss of mutual information, into a few groups, and every
-other word, however rare, is exchanged into the group in whose company it stands,
-with its neighbours over the whole corpus as evidence. A text's probability is the
+other word, however rare, is put once, by an argmax and without exchange, into the group in whose company it stands,
+with those of its neighbours over the whole corpus that are among the K as evidence; words that have none
+of these share a class of their own. So the exchange itself doesn't grow with the vocabulary. A text's probability is the
 product of class transitions and word emissions; transitions are smoothed
 with the classes' own shares, and words that training lacks take the
 share that words seen once have after the same class (Good-Turing).
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, keep, pieces, remainder, signed, strings, table
 
-K, CLASSES, GROUPS, ROUNDS = 1000, 32, 6, 6
+K, CLASSES, GROUPS = 1000, 32, 6
 BLOCK = 1024  # documents
 END = np.uint64(0x51ED270B7F2A94C3)
 ONCE = 128  # the bit of a word that training holds once
@@ -109,14 +110,15 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-12))
 
 
-def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int) -> np.ndarray:
     """The exchange algorithm: each word moves to the class that makes the class bigrams likeliest, until none moves."""
     k = len(bigrams)
     c = np.arange(k) % classes
     one = np.eye(classes)
     right, left = bigrams @ one[c], bigrams.T @ one[c]  # by word: counts of the classes behind and before it
     n = one[c].T @ right
-    for _ in range(rounds):
+    moved = k
+    while moved:  # ends, as every move raises the likelihood
         moved = 0
         for w in range(k):
             a, own = c[w], bigrams[w, w]
@@ -142,8 +144,6 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
                 right[:, b] += bigrams[:, w]
                 left[:, a] -= bigrams[w]
                 left[:, b] += bigrams[w]
-        if not moved:
-            break
     return c
 
 
@@ -320,8 +320,8 @@ def score_documents(docs: DataFrame, held_out, k: int = K, classes: int = CLASSE
     joint = near.T @ bigrams @ near + 1.0
     joint = joint + joint.T
     affinity = np.log(joint * joint.sum() / np.outer(joint.sum(axis=0), joint.sum(axis=1)))
-    # classes 0..: frequent words; then the end token, the groups' other words, unknown words
-    end, unknown = classes, classes + 1 + groups
+    # classes 0..: frequent words; then the end token, the groups' other words, words without frequent neighbours, unknown words
+    end, alone, unknown = classes, classes + 1 + groups, classes + 2 + groups
     of[np.searchsorted(frequent, END)] = end
     own = group_of[np.minimum(of, classes - 1)]
     company = train.mapInArrow(_company(frequent, own, groups), "word long, " + ", ".join(f"g{g} int" for g in range(groups)))
@@ -330,7 +330,7 @@ def score_documents(docs: DataFrame, held_out, k: int = K, classes: int = CLASSE
     company = company.withColumn("fit", F.array(*fit)).select("word", (F.expr("array_position(fit, array_max(fit))").cast("int") + classes).alias("near"))
     named = spark.createDataFrame([(int(w), int(c)) for w, c in zip(frequent.view(np.int64), of)], "word long, named int")
     vocabulary = counts.join(F.broadcast(named), "word", "left").join(company, "word", "left")
-    vocabulary = keep(vocabulary.select("word", "n", F.coalesce("named", "near", F.lit(classes + 1)).alias("cls")), "vocabulary")
+    vocabulary = keep(vocabulary.select("word", "n", F.coalesce("named", "near", F.lit(alone)).alias("cls")), "vocabulary")
     mass = np.zeros(unknown + 1)
     for r in vocabulary.groupBy("cls").agg(F.sum("n").alias("n")).collect():
         mass[r["cls"]] = r["n"]

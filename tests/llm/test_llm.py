@@ -248,6 +248,30 @@ def test_exchange_raises_the_likelihood():
     assert max(best) <= value(c) + 1e-6  # no single word can move for the better
 
 
+def test_exchange_goes_on_until_none_moves():
+    n = np.random.default_rng(5).poisson(1.0, (200, 200)).astype(float)
+    f = class_lm._xlogx
+
+    def value(c):
+        m = np.eye(8)[c].T @ n @ np.eye(8)[c]
+        return f(m).sum() - f(m.sum(axis=0)).sum() - f(m.sum(axis=1)).sum()
+
+    c = class_lm.exchange(n, 8)
+    assert max(value(np.r_[c[:w], k, c[w + 1 :]]) for w in range(200) for k in range(8)) <= value(c) + 1e-6
+
+
+def test_words_without_frequent_neighbours_have_a_class(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(class_lm, "keep", lambda df, name, **options: kept.setdefault(name, keep(df, name, **options)))
+    rows = [(k, "a b a b") for k in range(9)] + [(20, "a c"), (21, "lonely"), (22, "forlorn")]
+    class_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False), k=3, classes=4, groups=2).count()
+    names = sorted(["a", "b", "c", "lonely", "forlorn"])
+    hashed = class_lm._sequence(class_lm.strings(class_lm.pa.array(names)))[0][::2].view(np.int64).tolist()
+    cls = {r["word"]: r["cls"] for r in kept["vocabulary"].collect()}
+    got = {name: cls[h] for name, h in zip(names, hashed)}
+    assert got["lonely"] == got["forlorn"] == 4 + 1 + 2 and got["c"] in (5, 6) and max(got["a"], got["b"]) < 4
+
+
 def test_ngram_join(docs, none):
     got = {(r["doc_id"]): r for r in ngram_join.jaccard_classes(docs).collect()}
     sets = {}
