@@ -287,13 +287,91 @@ def test_ngram_join(docs, none):
     assert stay.columns == docs.columns and sum(r["doc_id"] == 7 for r in stay.collect()) == 1
 
 
-def test_large_group_of_near_copies(spark):
+def _brute_classes(rows):
+    """n_links and class_id by every pair of sets; rows of (doc_id, text)."""
+    sets = {}
+    for i, t in rows:
+        w = words(t)
+        if w:
+            sets.setdefault(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))), []).append(i)
+    keys = list(sets)
+    links, root = [0] * len(keys), list(range(len(keys)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(keys)):
+        for b in range(a):
+            if 5 * len(keys[a] & keys[b]) >= 4 * len(keys[a] | keys[b]):
+                links[a] += 1
+                links[b] += 1
+                root[find(a)] = find(b)
+    least = {}
+    for k, s in enumerate(keys):
+        least[find(k)] = min(least.get(find(k), 1 << 60), *sets[s])
+    return {i: (links[k], least[find(k)], min(sets[s]), len(sets[s])) for k, s in enumerate(keys) for i in sets[s]}
+
+
+def test_components():
+    assert ngram_join._ranked(np.array([30, 10, 20, 5]), np.array([0]), np.array([2])).tolist() == [2, 1, 2, 3]
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    rnd = random.Random(1)
+    name = [rnd.getrandbits(60) for _ in range(400)]
+    pairs = [(k, k + 1) for k in range(120)] + [(200, k) for k in range(201, 300)] + [(300, 301), (301, 302), (302, 300), (310, 310)]
+    got = {r["node"]: r["root"] for r in ngram_join.components(spark.createDataFrame([(name[a], name[b]) for a, b in pairs], "a long, b long")).collect()}
+    for group in (range(121), range(200, 300), range(300, 303)):
+        assert {got[name[k]] for k in group} == {min(name[k] for k in group)}
+    assert len(got) == 121 + 100 + 3
+    assert ngram_join.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_groups_of_near_copies(spark):
     base = [RND.choice(WORDS) for _ in range(150)]
     rows = [(k, " ".join([*base[:100], f"n{k}", *base[101:]])) for k in range(700)]
     got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
     assert set(got["class_id"]) == {0} and set(got["n_links"]) == {699}
 
 
+def test_large_component_that_its_hub_does_not_settle(spark):
+    rnd = random.Random(8)
+    base, rows = [rnd.choice(WORDS) for _ in range(200)], []
+    for k in range(160):  # chains of edits: neighbours are linked, ends are not
+        if k % 40 == 0:
+            own = list(base)
+        for _ in range(rnd.randrange(1, 4)):
+            own[rnd.randrange(len(own))] = rnd.choice(WORDS)
+        rows.append((k, " ".join(own)))
+    rows += [(1000 + k, rows[k][1]) for k in range(0, 160, 7)]
+    rows += [(2000, rows[3][1]), (2000, rows[3][1])]
+    want = _brute_classes(rows)
+    for chunk in (16, 256):  # in blocks of a large component, and as one
+        got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r["n_links"], r["class_id"], r["rep_id"], r["n_copies"]) == want[r["doc_id"]]
+
+
+def test_near_copies_cost_linear_work(spark, monkeypatch):
+    """5,000 near copies: no table that the join writes has more rows than a few a node."""
+    written = {}
+
+    def counted(df, name, **options):
+        out = keep(df, name, **options)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "keep", counted)
+    base = [RND.choice(WORDS) for _ in range(120)]
+    rows = [(k, " ".join([*base[: k % 100], f"n{k}", *base[k % 100 + 1 :]])) for k in range(5000)]
+    got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert set(got["class_id"]) == {0} and set(got["n_links"]) == {4999}
+    assert max(written.values()) <= 3 * 5000, written
+
+
 def test_bayesian_bounds_keep_pairs_at_the_threshold():
     least = ngram_join.least_matches()
     assert (np.diff(least) > 0).all() and least[0] < 0.6 * 16
