@@ -12,7 +12,12 @@ after a lookahead of at most the longest token.
 Whole texts are cut at the matches of the pattern; each match is run through the
 transducer once for each worker and remembered in a table of bounded size.
 
-Null texts are empty: no ids. Ids are little-endian unsigned 32-bit integers.
+Decoding runs the bytes of a few thousand ids at a time through an incremental UTF-8 state
+machine, which holds the sequence that a piece leaves open.
+
+Null texts are empty: no ids. Ids are little-endian unsigned 32-bit integers. Repeated rows
+give repeated rows, an empty table an empty result; other columns of the input play no part, whatever
+their names. Very long texts are read whole; what a worker remembers is bounded by the constants below.
 """
 
 from __future__ import annotations
@@ -168,43 +173,67 @@ class Transducer:
 
 
 class Utf8Stream:
-    """An incremental UTF-8 state machine: bytes in pieces, text out, broken sequences as U+FFFD."""
+    """An incremental UTF-8 state machine: bytes in pieces, text out, broken sequences as U+FFFD.
+
+    Its state is the sequence that the pieces so far have begun and not ended; whole
+    sequences are turned into text at once, and the bytes of broken ones are looked at one by one.
+    """
 
     def __init__(self) -> None:
         self.need, self.held, self.low, self.high = 0, bytearray(), 0x80, 0xBF
 
+    def _open(self, b: int) -> bool:
+        """Enter the state that a first byte asks for; false if it can't begin a sequence of several bytes."""
+        if 0xC2 <= b <= 0xDF:
+            self.need, self.low, self.high = 1, 0x80, 0xBF
+        elif 0xE0 <= b <= 0xEF:
+            self.need, self.low, self.high = 2, (0xA0 if b == 0xE0 else 0x80), (0x9F if b == 0xED else 0xBF)
+        elif 0xF0 <= b <= 0xF4:
+            self.need, self.low, self.high = 3, (0x90 if b == 0xF0 else 0x80), (0x8F if b == 0xF4 else 0xBF)
+        else:
+            return False
+        self.held = bytearray((b,))
+        return True
+
     def feed(self, data: bytes, final: bool = False) -> str:
         out: list[str] = []
-        if not self.need and data.isascii():
-            return data.decode("ascii")
-        i = 0
-        while i < len(data):
+        i, n = 0, len(data)
+        while i < n:
             b = data[i]
-            if not self.need:
-                if b < 0x80:
-                    out.append(chr(b))
-                elif 0xC2 <= b <= 0xDF:
-                    self.need, self.held = 1, bytearray((b,))
-                elif 0xE0 <= b <= 0xEF:
-                    self.need, self.held = 2, bytearray((b,))
-                    self.low, self.high = (0xA0 if b == 0xE0 else 0x80), (0x9F if b == 0xED else 0xBF)
-                elif 0xF0 <= b <= 0xF4:
-                    self.need, self.held = 3, bytearray((b,))
-                    self.low, self.high = (0x90 if b == 0xF0 else 0x80), (0x8F if b == 0xF4 else 0xBF)
-                else:
-                    out.append("�")
+            if self.need:
+                if self.low <= b <= self.high:
+                    self.held.append(b)
+                    self.need, self.low, self.high = self.need - 1, 0x80, 0xBF
+                    if not self.need:
+                        out.append(self.held.decode())
+                    i += 1
+                else:  # the byte is looked at again as the first of a sequence
+                    out.append("\ufffd")
+                    self.need = 0
+                continue
+            end = n
+            for k in range(1, min(3, n - i) + 1):  # a sequence may be open at the end of the piece
+                if data[n - k] >= 0xC0:
+                    end = n - k
+                    break
+                if data[n - k] < 0x80:
+                    break
+            try:
+                out.append(data[i:end].decode() if i or end < n else data.decode())
+                i = end
+            except UnicodeDecodeError as e:
+                out.append(data[i : i + e.start].decode())
+                i += e.start
+                if not self._open(data[i]):
+                    out.append("\ufffd")
                 i += 1
-            elif self.low <= b <= self.high:
-                self.held.append(b)
-                self.need, self.low, self.high = self.need - 1, 0x80, 0xBF
-                if not self.need:
-                    out.append(self.held.decode())
+                continue
+            if i < n:  # the last sequence of the piece, whole or not
+                if not self._open(data[i]):
+                    out.append("\ufffd")
                 i += 1
-            else:  # the byte is looked at again as the first of a sequence
-                out.append("�")
-                self.need, self.low, self.high = 0, 0x80, 0xBF
         if final and self.need:
-            out.append("�")
+            out.append("\ufffd")
             self.need = 0
         return "".join(out)
 
@@ -286,7 +315,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = Tru
                 got = own.encode(value.as_py())
                 rows[0].append(len(got) // 4)
                 rows[1].append(hashlib.sha256(got).hexdigest())
-                rows[2].append(hashlib.sha256(own.decode_bytes(got)).hexdigest())
+                rows[2].append(hashlib.sha256(own.decode(got).encode()).hexdigest())
                 if ids:
                     rows[3].append(got)
             cols = [batch.column(key), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
