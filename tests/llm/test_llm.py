@@ -89,10 +89,16 @@ def test_index_of_several_runs(docs):
     index.flush(docs.where("row >= 8"))
     assert index.compact().agg(F.sum("group_size")).first()[0] == len(ROWS)
     assert index.false_hits(index.compact()).count() == 0
+    small = exact_dedup.MergeIndex(docs.sparkSession, memtable=200)  # a few rows, or one text
+    small.flush(docs)
+    assert small.false_hits(small.compact()).count() == 0
+    digest = hashlib.sha256("".join(ROWS[1][1].split()).encode()).digest()
+    assert sorted(r["doc_id"] for r in index.lookup([digest]).collect()) == sorted(r["doc_id"] for r in small.lookup([digest]).collect()) == [2, 4]
 
 
 def test_repair_of_false_hits_reads_all_runs(docs, monkeypatch):
     monkeypatch.setattr(exact_dedup.F, "sha2", lambda column, bits: F.lit("00" * 32))  # every text has the same digest
+    monkeypatch.setattr(exact_dedup, "_digest", lambda normal: b"\0" * 32)
     index = exact_dedup.MergeIndex(docs.sparkSession)
     index.flush(docs.where("row < 8"))
     index.flush(docs.where("row >= 8"))
@@ -218,6 +224,35 @@ def test_sharding(docs, none):
     assert sharding.shard_by_splitters(none).count() == 0
 
 
+def _law(rows, got, shards=8):
+    """What the law `bytes` asks of (doc_id, text) rows: every row once, near equal bytes, gapless slots, equal texts alike in crc32."""
+    want = sorted((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    have = sorted((str(None if i != i or i is None else int(i)), int(n), int(c)) for i, n, c in zip(got["doc_id"], got["size"], got["text_crc32"]))
+    assert have == want and set(got["law"]) == {"bytes"} and got["grown_shard"].isna().all()
+    sums = got.groupby("shard")["size"].sum().reindex(range(shards), fill_value=0)
+    assert sums.max() - sums.min() <= 2 * got["size"].max() and set(got["shard"]) <= set(range(shards))
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+
+
+def test_sharding_keeps_its_law(spark, docs):
+    rnd = random.Random(3)
+    rows = [(k, None if k % 3 else " ".join(rnd.choice(WORDS) for _ in range(rnd.randrange(40)))) for k in range(3000)] + [(5, "same row")] * 500 + [(9999, "long " * 2000)]
+    _law(rows, sharding.shard_by_splitters(spark.createDataFrame(rows, "doc_id long, text string")).toPandas())
+    _law([(i, t) for i, t, _ in ROWS], sharding.shard_by_splitters(docs).toPandas())
+
+
+def test_sharding_divides_hot_groups(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(sharding, "keep", lambda df, name, **options: kept.setdefault(name, keep(df, name, **options)))
+    rows = spark.range(60_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 > 0 THEN NULL ELSE concat('text of some length ', id) END AS text")
+    rows = rows.union(spark.range(20_000).selectExpr("7L AS doc_id", "'one and the same row' AS text"))
+    got = sharding.shard_by_splitters(rows)
+    assert got.groupBy("shard").agg(F.sum("size").alias("b")).agg(F.max("b") - F.min("b")).first()[0] <= 60
+    even = 80_000 / 512
+    assert kept["placed"].groupBy("range").count().agg(F.max("count")).first()[0] <= 3 * even
+
+
 def test_class_lm(docs, none):
     held = F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False))
     got = class_lm.score_documents(docs, held).toPandas()
