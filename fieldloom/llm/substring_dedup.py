@@ -4,18 +4,23 @@ Level one looks at runs of half the window's length. Of these only anchors are
 shuffled: in every window of ``window`` words, the half-length runs with the
 least hash. Equal windows have equal anchors, so a window whose anchors
 all occur in one document alone can't repeat. Where anchors occur in more than
-one document, the next level hashes the runs of twice the length, here
-the full windows, and again only those that repeat survive. There are these two
-levels only: no further doubling finds how long repeats are. For an odd window, the second
+one document, the next level hashes the runs of twice the length, the full windows, and again
+only those that repeat survive.
+
+Removal needs no longer runs than the window, as each word of a longer repeat is in a window
+that repeats. ``longest_repeats`` goes on from there: a run of
+twice the length is a candidate where both its halves repeat, and levels
+follow until no candidate survives. For an odd window, the second
 level hashes the full length directly.
 
 Counting goes through partial aggregation; what survives is joined back by sort
 merge joins of written tables, whose hot keys Spark splits.
 
-Words are runs outside ``[\\x20\\x09-\\x0D]``. Null texts have no words. A
+Words are runs outside ``[\\x20\\x09-\\x0D]``. Null and empty texts have no words. A
 document never counts against itself or against rows of the same doc_id; rows
 with a null doc_id keep all words and take none from others. Windows are
-judged on the input. Window identity is 96 bits of hash.
+judged on the input. Window identity is 96 bits of hash. Very long texts are read whole.
+An empty table gives an empty result. Other columns, whatever their names, play no part and are kept by ``strip_documents``.
 """
 
 from __future__ import annotations
@@ -126,6 +131,29 @@ def _level_two(window: int):
     return run
 
 
+def _level_up(window: int, length: int):
+    """The runs of twice ``length`` words of each document of which both halves repeat; ``length`` is the window or a doubling of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = strings(batch.column("text"))
+            for i in range(batch.num_rows):
+                words = Words(texts.slice(i, 1)).hashes()
+                if len(words) < 2 * length:
+                    continue
+                runs, have = doubled(_full(grams(words, window // 2), len(words)), window // 2)[: len(words) - window + 1] if window % 2 == 0 else grams(words, window), window
+                while have < length:
+                    runs, have = doubled(runs, have), 2 * have
+                alive = _member(runs, _listed(batch, "runs", i))
+                at = np.flatnonzero(alive[:-length] & alive[length:])
+                for lo in range(0, len(at), 200_000):
+                    part = at[lo : lo + 200_000]
+                    own = np.full(len(part), batch.column("doc_id")[i].as_py(), np.int64)
+                    yield _windows([_pairs(own, doubled(runs, length)[part], (words[part] >> np.uint64(32)).astype(np.uint64))])
+
+    return run
+
+
 def _windows(rows: list[list[np.ndarray]]) -> pa.RecordBatch:
     doc, run, more = (np.concatenate(x) for x in zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([signed(run), pa.array(more.astype(np.uint32).view(np.int32)), pa.array(doc)], ["run", "more", "doc_id"])
@@ -166,16 +194,39 @@ def _strip(window: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
-    """(doc_id, runs): for each document its windows that also start in a document with a smaller doc_id."""
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(run, more, a): of the runs those in more than one document, and the smallest doc_id."""
+    return rows.groupBy("run", "more").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("run", "more", "a")
+
+
+def _two_levels(docs: DataFrame, window: int) -> DataFrame:
+    """(run, more, doc_id, a): every window that starts in more than one document, by document."""
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     seen = keep(texts.mapInArrow(_level_one(window), "run long, doc_id long"), "anchors")
     again = keep(seen.groupBy("run").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("run"), "again")
     alive = seen.join(again, "run").groupBy("doc_id").agg(F.collect_set("run").alias("runs"))  # bounded by the document's own length
     full = texts.join(alive, "doc_id").mapInArrow(_level_two(window), "run long, more int, doc_id long")
     full = keep(full, "windows")
-    first = keep(full.groupBy("run", "more").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("run", "more", "a"), "first")
-    return full.join(first, ["run", "more"]).where("doc_id > a").groupBy("doc_id").agg(F.collect_set("run").alias("runs"))
+    return full.join(keep(_repeated(full), "first"), ["run", "more"])
+
+
+def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
+    """(doc_id, runs): for each document its windows that also start in a document with a smaller doc_id."""
+    return _two_levels(docs, window).where("doc_id > a").groupBy("doc_id").agg(F.collect_set("run").alias("runs"))
+
+
+def longest_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
+    """(doc_id, longest): for each document with a repeated window the greatest of window, 2 window, 4 window ... words that a run of it which is also in another document has."""
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+    length, found = window, keep(_two_levels(docs, window).select("run", "more", "doc_id"), "level")
+    out = found.select("doc_id").distinct().withColumn("longest", F.lit(window))
+    while not found.isEmpty():
+        alive = found.groupBy("doc_id").agg(F.collect_set("run").alias("runs"))  # bounded by the document's own length
+        full = keep(texts.join(alive, "doc_id").mapInArrow(_level_up(window, length), "run long, more int, doc_id long"), "candidates")
+        length *= 2
+        found = keep(full.join(keep(_repeated(full), "first"), ["run", "more"]).select("run", "more", "doc_id"), "level")
+        out = out.union(found.select("doc_id").distinct().withColumn("longest", F.lit(length)))
+    return out.groupBy("doc_id").agg(F.max("longest").alias("longest"))
 
 
 def _stripped(docs: DataFrame, window: int) -> DataFrame:
