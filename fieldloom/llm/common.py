@@ -54,11 +54,15 @@ def remainder(column: str, k: int):
     return F.crc32(F.col(column).cast("string")) % k
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train, bound: int) -> list[tuple[str, int]]:
-    """At most ``bound`` (text, label) pairs for fitting a classifier, in order of a hash of doc_id.
+#: Most bytes of text in a training sample of a classifier.
+SAMPLE_BYTES = 64 << 20
 
-    ``bound`` is the documented cap on a training sample; nothing else is capped.
-    Rows without a label or an identifier are left out.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train, bound: int, bound_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """At most ``bound`` (text, label) pairs of at most ``bound_bytes`` for fitting a classifier, in order of a hash of doc_id.
+
+    The bounds are the documented caps on a training sample; a text that alone has more than
+    a 64th of the bytes isn't taken. Nothing else is capped. Rows without a label or an identifier are left out.
     """
     chosen = (
         labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & train)
@@ -66,8 +70,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train, boun
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
     # bounded by `bound` rows of two numbers
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(chosen), "doc_id")
-    return [(r[0], r[1]) for r in rows.select("_text", "_label").orderBy(F.xxhash64("doc_id"), "_text").limit(bound).collect()]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).where(F.octet_length("_text") <= bound_bytes // 64).join(F.broadcast(chosen), "doc_id")
+    out, size = [], 0
+    # rows come one partition at a time, so that the driver never holds more than the bound and one partition of at most `bound` rows
+    for r in rows.select("_text", "_label").orderBy(F.xxhash64("doc_id"), "_text").limit(bound).toLocalIterator():
+        size += len(r[0].encode("utf-8", "replace"))
+        if size > bound_bytes:
+            break
+        out.append((r[0], r[1]))
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:

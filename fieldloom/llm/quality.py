@@ -5,12 +5,13 @@ so has the pair of a word with itself. A document is the average of all these
 vectors, and a softmax
 layer turns it into the probability of each label. Vectors and layer are trained
 by numpy stochastic gradient descent on a sample of labelled rows; ``bound`` caps
-that sample. For scoring, the layer is folded into the vectors, so that each
+that sample (rows; ``common.SAMPLE_BYTES`` caps its text). For scoring, the layer is folded into the vectors, so that each
 distinct word has one number, which workers remember; whole texts are scored.
 
 Null and empty texts have no words and get the share of label 1 in the sample.
-Without labelled rows every score is 0.5. Repeated rows score alike; other
-columns are ignored.
+Without labelled rows every score is 0.5. Repeated rows score alike; a null doc_id counts as not held out;
+an empty table gives an empty result; other columns are ignored, whatever their names. What a
+worker remembers is bounded, so very long texts are scored whole in pieces.
 """
 
 from __future__ import annotations
@@ -169,4 +170,4 @@ def quality_model(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Mod
 def op6_quality(spark: SparkSession, sf_dir: str, bound: int = BOUND) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = score_quality(docs, quality_model(docs, table(spark, sf_dir, "labels"), bound))
-    return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
