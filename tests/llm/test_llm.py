@@ -71,6 +71,28 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.strip_documents(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("window", [6, 5])
+def test_longest_repeats(spark, window):
+    rnd = random.Random(9)
+    parts = [[rnd.choice(WORDS) for _ in range(n)] for n in (13, 30, 50, 101)]
+    rows = [(k, " ".join(sum(([rnd.choice(WORDS) for _ in range(9)] + p for p in rnd.sample(parts, rnd.randrange(3))), []))) for k in range(25)] + [(30, None), (31, " ".join(parts[0] * 3)), (31, " ".join(parts[0] * 3))]
+    want = {}
+    length = window
+    while True:
+        seen = {}
+        for i, t in rows:
+            w = words(t)
+            for k in range(len(w) - length + 1):
+                seen.setdefault(tuple(w[k : k + length]), set()).add(i)
+        found = {i for ids in seen.values() if len(ids) > 1 for i in ids}
+        if not found:
+            break
+        want |= dict.fromkeys(found, length)
+        length *= 2
+    got = {r["doc_id"]: r["longest"] for r in substring_dedup.longest_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window).collect()}
+    assert got == want and max(want.values()) >= 16 * window
+
+
 def test_exact_dedup(docs, none, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
@@ -443,9 +465,54 @@ def test_toxicity(docs, none):
     assert got["score"].between(0, 1).all() and len(got) == len(ROWS)
     grammar = toxicity.Grammar(frozenset({"fool"}), frozenset())
     assert grammar.classes("you are a fool. fine")[4] == 1 and grammar.classes("he said you are not a fool")[7] == 1 and grammar.classes("fine")[0] == 0
+    assert grammar.classes("no you fool. they kill him")[[5, 12]].tolist() == [1, 1] and grammar.classes("not one two three four fool")[0] == 1
     assert toxicity.score_toxicity(none, train).count() == 0 and toxicity.score_toxicity(docs, []).count() == len(ROWS)
 
 
+def _clause(words, insults):
+    """The classes of one clause, spelled out: kinds by target, report and negation."""
+    target, report = any(w in toxicity.TARGETS for w in words), any(w in toxicity.REPORTS for w in words)
+    out = set()
+    for kind, lexicon in ((0, insults), (1, toxicity.THREATS)):
+        seen = [any(x in toxicity.NEGATIONS for x in words[max(0, k - toxicity.REACH) : k]) for k, w in enumerate(words) if w in lexicon]
+        if seen:
+            out.add(8 * kind + 4 * target + 2 * report + all(seen))
+    return out
+
+
+def test_cascade_against_clauses_spelled_out():
+    rnd = random.Random(2)
+    insults = frozenset({"fool", "trash"})
+    pool = ["fool", "trash", "you", "he", "not", "never", "said", "kill", "stab", "one", "two", "three", "four"]
+    grammar = toxicity.Grammar(insults, frozenset())
+    for _ in range(300):
+        clauses = [[rnd.choice(pool) for _ in range(rnd.randrange(1, 9))] for _ in range(rnd.randrange(1, 5))]
+        want = np.zeros(toxicity.Grammar.CLASSES)
+        for c in clauses:
+            for k in _clause(c, insults):
+                want[k] += 1
+        assert grammar.classes(". ".join(" ".join(c) for c in clauses)).tolist() == want.tolist()
+    assert 1 < len(grammar.machine.states) < 200  # made as they were met
+
+
+def test_toxicity_labels_and_split(spark, monkeypatch, tmp_path):
+    """Held-out labels, lang, source and doc_id change no score."""
+    rnd = random.Random(6)
+    rows = [(k, (f"you are a dreadful fool. " if k % 4 == 0 else "") + " ".join(rnd.choice(WORDS) for _ in range(12)), "en", "s", int(k % 4 == 0)) for k in range(300)] + [(None, "x", "en", "s", 1)]
+    held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 5 == 0
+
+    def run(name, rows):
+        d = tmp_path / name
+        spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(r[0], 1, r[4]) for r in rows], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        return {r["doc_id"]: r for r in toxicity.op2_toxicity(spark, str(d)).collect()}
+
+    a = run("a", rows)
+    b = run("b", [(i, t, "fr", "other", 1 - y if held(i) else y) for i, t, _, _, y in rows])
+    assert len(a) == len(rows) and all(a[i]["score"] == b[i]["score"] and a[i]["held_out"] == held(i) for i in a)
+    assert all(a[r[0]]["predicted"] == r[4] for r in rows if r[0] is not None)
+
+
 def test_quality(docs, none):
     train = [(plain(40), 1) for _ in range(80)] + [("%%% ### " + " ### ".join(RND.choice(WORDS) for _ in range(20)), 0) for _ in range(40)]
     model = quality.train(train)
