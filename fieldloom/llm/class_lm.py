@@ -1,24 +1,31 @@
 """LM scoring by a Brown class-based bigram model (operator 4).
 
-All training documents are counted. The most frequent words (``K``) are assigned
-to classes by exchange clustering on the counts of their bigrams, collected from
-the whole corpus (at most K x K numbers). The classes are then merged, pair by
-pair with the least loss of mutual information, into a few groups, and every
-other word, however rare, is put once, by an argmax and without exchange, into the group in whose company it stands,
-with those of its neighbours over the whole corpus that are among the K as evidence; words that have none
-of these share a class of their own. So the exchange itself doesn't grow with the vocabulary. A text's probability is the
+All training documents are counted, and every word gets its class by exchange. The most frequent words
+(``k``) start it: exchange clustering on the counts of their bigrams, collected from
+the whole corpus, until none moves (at most k x k numbers reach the driver). From there the whole vocabulary
+takes part, in rounds over the corpus. In the first, each word's neighbours among the
+frequent ones are counted by class, and the word goes to the class that gains most; in the
+others (``rounds``) neighbours of all kinds count, each with the class it has by
+then, and every word is looked at again and moves if it gains. All words of a round move at
+once, so the gain is that of the class bigrams of the round before. Words none of whose neighbours has a
+class share a class of their own. The model tells the frequent words of a class from the others.
+
+A text's probability is the
 product of class transitions and word emissions; transitions are smoothed
 with the classes' own shares, and words that training lacks take the
 share that words seen once have after the same class (Good-Turing).
 
-Word counts are joined with texts in blocks: the distinct words of a block of
-neighbouring documents meet the vocabulary in a sort merge join, and block and
-its words meet in a cogroup. The vocabulary is never broadcast.
+Texts are kept as blocks of some MB: the distinct words of a block, and its tokens as their
+places. The words of blocks meet the vocabulary in sort merge joins, and a block and
+the classes of its words meet in a cogroup. The vocabulary is never broadcast; what is summed for a word comes
+as one row from each block that holds it.
 
 Words are lower-cased (A-Z) runs outside ``[\\x20\\x09-\\x0D]``, known by 64 bits of
 hash; every text ends with an end token. Null texts are empty: the end token alone.
 Without training texts every token has probability 1 / (V + 1) as in the base,
-with V = 0. Repeated rows count as often as they occur.
+with V = 0. Repeated rows count as often as they occur. Ties in frequency go to the smaller hash, ties
+between classes to the smaller number. A very long text is a block of its own. Other columns play no part, whatever their names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,13 +34,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, keep, pieces, remainder, signed, strings, table
+from .common import Words, keep, remainder, signed, strings, table
 
-K, CLASSES, GROUPS = 1000, 32, 6
-BLOCK = 1024  # documents
+K, CLASSES, ROUNDS = 1000, 40, 2
+#: Bytes of text in a block, and rows of evidence that are summed in one group.
+BLOCK, BUCKET = 8 << 20, 400_000
 END = np.uint64(0x51ED270B7F2A94C3)
 ONCE = 128  # the bit of a word that training holds once
 
@@ -49,37 +58,70 @@ def _sequence(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+def _blocks(bound: int):
+    """Rows -> blocks: distinct words, their training counts, tokens as places of words, where texts begin, identifiers and split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            seq, first = _sequence(strings(rows.column("text")))
+            split = rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            words, at = np.unique(seq, return_inverse=True)
+            train = ~np.repeat(split, np.diff(first))
+            n = np.bincount(at[train], minlength=len(words)).astype(np.uint32)
+            whole = pa.array([0, len(split)], pa.int32())
+            data = [pa.array([x.tobytes()], pa.binary()) for x in (words, n, at.astype(np.uint32), first.astype(np.int64))]
+            return pa.RecordBatch.from_arrays([rows.column("row").slice(0, 1), *data, pa.ListArray.from_arrays(whole, rows.column("doc_id")), pa.ListArray.from_arrays(whole, rows.column("held_out"))], ["block", "words", "n", "seq", "first", "ids", "held"])
+
+        for batch in batches:
+            sizes = np.diff(np.frombuffer(strings(batch.column("text")).buffers()[1], np.int64)[: batch.num_rows + 1]) if batch.num_rows else []
+            lo = 0
+            for k, n in enumerate(sizes):
+                size += int(n) + 1
+                if size > bound:
+                    held.append(batch.slice(lo, k + 1 - lo))
+                    yield out()
+                    held, size, lo = [], 0, k + 1
+            if lo < batch.num_rows:
+                held.append(batch.slice(lo))
+        if held:
+            yield out()
+
+    return run
+
+
+class _Block:
+    """A row of ``_blocks``, read back."""
+
+    def __init__(self, row: dict):
+        self.words, self.n = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["n"], np.uint32)
+        if "seq" in row:
+            self.seq, self.first, self.split = np.frombuffer(row["seq"], np.uint32), np.frombuffer(row["first"], np.int64), np.array(row["held"], bool)
+
+    def training(self) -> np.ndarray:
+        """The tokens of training texts, one text after another; each ends with the end token."""
+        return self.seq[~np.repeat(self.split, np.diff(self.first))]
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        texts = strings(batch.column("text"))
-        for lo, hi in pieces(texts):
-            yield _sequence(texts.slice(lo, hi - lo))[0]
+        for k in range(batch.num_rows):
+            yield {name: batch.column(name)[k].as_py() for name in batch.schema.names}
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, counts, held = [], [], 0
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        w, n = np.concatenate(words), np.concatenate(counts)
-        order = np.argsort(w)
-        w, n = w[order], n[order]
-        head = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-        return w[head], np.add.reduceat(n, head)
-
-    for seq in _streams(batches):
-        w, n = np.unique(seq, return_counts=True)
-        words.append(w)
-        counts.append(n)
-        held += len(w)
-        if held > 3_000_000:
-            w, n = merged()
-            words, counts, held = [w], [n], len(w)
-            if held > 1_500_000:
-                yield pa.RecordBatch.from_arrays([signed(w), pa.array(n)], ["word", "n"])
-                words, counts, held = [], [], 0
-    if held:
-        w, n = merged()
-        yield pa.RecordBatch.from_arrays([signed(w), pa.array(n)], ["word", "n"])
+    for row in _rows(batches):
+        block = _Block(row)
+        some = block.n > 0
+        yield pa.RecordBatch.from_arrays([signed(block.words[some]), pa.array(block.n[some].astype(np.int64))], ["word", "n"])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in _rows(batches):
+        words = np.frombuffer(row["words"], np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), row["block"], np.int64)), pa.array(np.arange(len(words), dtype=np.int32)), signed(words)], ["block", "place", "word"])
 
 
 def _lookup(sorted_words: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,13 +133,16 @@ def _lookup(sorted_words: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _bigrams(frequent: np.ndarray):
-    """Counts of neighbours that are both frequent; the end token stands before every text."""
+    """Counts of neighbours in training texts that are both frequent; the end token stands before every text."""
     k = len(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k * k, np.int64)
-        for seq in _streams(batches):
-            at, known = _lookup(frequent, np.concatenate([[END], seq]))
+        end = _lookup(frequent, np.array([END]))[0]
+        for row in _rows(batches):
+            block = _Block(row)
+            at, known = _lookup(frequent, block.words)
+            at, known = (np.concatenate([x, of[block.training()]]) for x, of in ((end, at), ([True], known)))
             both = known[1:] & known[:-1]
             total += np.bincount((at[:-1] * k + at[1:])[both], minlength=k * k)
         pairs = np.flatnonzero(total)
@@ -147,114 +192,115 @@ def exchange(bigrams: np.ndarray, classes: int) -> np.ndarray:
     return c
 
 
-def merge_classes(n: np.ndarray, groups: int) -> np.ndarray:
-    """Class -> group: the two groups whose merger loses least mutual information become one, again and again."""
-    group = np.arange(len(n))
-    n = n.astype(float).copy()
-    while len(n) > groups:
-
-        def value(m: np.ndarray) -> float:
-            return _xlogx(m).sum() - _xlogx(m.sum(axis=0)).sum() - _xlogx(m.sum(axis=1)).sum()
+_ENTRY = np.dtype([("code", "u1"), ("n", "<u4")])
 
-        best = None
-        for a in range(len(n)):
-            for b in range(a):
-                m = n.copy()
-                m[b] += m[a]
-                m[:, b] += m[:, a]
-                m = np.delete(np.delete(m, a, 0), a, 1)
-                if best is None or (v := value(m)) > best[0]:
-                    best = (value(m), a, b, m)
-        _, a, b, n = best
-        group[group == a] = b
-        group[group > a] -= 1
-    return group
 
+def _evidence(block: _Block, cls: np.ndarray, classes: int) -> pa.Table:
+    """For each word of a block the classes of its neighbours with counts: code c behind it, ``classes`` + c before it. ``cls``: by place, -1 for none."""
+    seq = block.training()
+    of = cls[seq]
+    word = block.words[seq] != END
+    keys = []
+    for subject, near, shift in ((slice(0, -1), slice(1, None), 0), (slice(1, None), slice(0, -1), classes)):
+        ok = word[subject] & (of[near] >= 0)
+        keys.append(seq[subject][ok].astype(np.int64) * (2 * classes) + shift + of[near][ok])
+    key, n = np.unique(np.concatenate(keys), return_counts=True)
+    entries = np.empty(len(key), _ENTRY)
+    entries["code"], entries["n"] = key % (2 * classes), n
+    at = key // (2 * classes)
+    heads = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+    offsets = (np.r_[heads, len(at)] * _ENTRY.itemsize).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
+    places = at[heads]
+    return pa.table([signed(block.words[places]), pa.array(cls[places].astype(np.int32)), packed], ["word", "cls", "near"])
 
-def _company(frequent: np.ndarray, groups_of: np.ndarray, groups: int):
-    """For every other word: how many neighbours it has in each group."""
 
+def _first_evidence(frequent: np.ndarray, of: np.ndarray, classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, near, held = [], [], 0
+        for row in _rows(batches):
+            block = _Block(row)
+            at, known = _lookup(frequent, block.words)
+            yield from _evidence(block, np.where(known & (block.words != END), of[at], -1), classes).to_batches()
+
+    return run
+
+
+def _by_place(named: pa.Table, size: int, name: str, none: int) -> np.ndarray:
+    out = np.full(size, none, np.int64)
+    out[named.column("place").to_numpy()] = named.column(name).to_numpy()
+    return out
 
-        def out() -> pa.RecordBatch:
-            w, g = np.concatenate(words), np.concatenate(near)
-            order = np.argsort(w)
-            w, g = w[order], g[order]
-            new = np.r_[True, w[1:] != w[:-1]]
-            seg = np.cumsum(new) - 1
-            counts = np.bincount(seg * groups + g, minlength=(seg[-1] + 1) * groups).reshape(-1, groups).astype(np.int32)
-            return pa.RecordBatch.from_arrays([signed(w[new])] + [pa.array(np.ascontiguousarray(counts[:, k])) for k in range(groups)], ["word"] + [f"g{k}" for k in range(groups)])
-
-        for seq in _streams(batches):
-            at, known = _lookup(frequent, np.concatenate([[END], seq]))
-            real = known & (np.concatenate([[END], seq]) != END)
-            g = groups_of[at]
-            for rare, company, ok in ((~known[1:], g[:-1], real[:-1]), (~known[1:-1], g[2:], real[2:])):
-                pick = rare & ok
-                words.append(seq[: len(pick)][pick])
-                near.append(company[pick].astype(np.int64))
-                held += int(pick.sum())
-            if held > 3_000_000:
-                yield out()
-                words, near, held = [], [], 0
-        if held:
-            yield out()
+
+def _next_evidence(classes: int):
+    def run(blocks: pa.Table, named: pa.Table) -> pa.Table:
+        if not blocks.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.binary())], ["word", "cls", "near"])
+        block = _Block(next(_rows(blocks.to_batches())))
+        cls = _by_place(named, len(block.words), "cls", -1)
+        return _evidence(block, np.where(cls < classes, cls, -1), classes)
 
     return run
 
 
-def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words of every block; rows of a block follow each other."""
-    block, parts = None, []
+def affinities(joint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a neighbour of class c behind (or before) a word speaks for class g: log of joint over chance. ``joint``: class, class behind it."""
+    joint = joint + 0.5
+    log = np.log(joint * joint.sum() / np.outer(joint.sum(axis=1), joint.sum(axis=0)))
+    return log, log.T
+
+
+def _assign(behind: np.ndarray, before: np.ndarray):
+    """All evidence of some words -> the class of each that gains most; and the sums of their neighbours by class (rows without a word)."""
+    classes = len(behind)
+
+    def run(rows: pa.Table) -> pa.Table:
+        word, cls = rows.column("word").to_numpy(), rows.column("cls").to_numpy()
+        near = rows.column("near").combine_chunks()
+        lengths = np.array(pa.compute.binary_length(near)) // _ENTRY.itemsize
+        entries = np.frombuffer(b"".join(near.to_pylist()), _ENTRY)
+        words, at = np.unique(word, return_inverse=True)
+        old = np.full(len(words), -1, np.int64)
+        np.maximum.at(old, at, cls)
+        new = np.empty(len(words), np.int64)
+        joint = np.zeros((classes, 2 * classes))
+        order = np.argsort(np.repeat(at, lengths), kind="stable")
+        place, code, n = np.repeat(at, lengths)[order], entries["code"][order].astype(np.int64), entries["n"][order]
+        for lo in range(0, len(words), 20_000):
+            hi = min(len(words), lo + 20_000)
+            a, b = np.searchsorted(place, [lo, hi])
+            m = np.bincount((place[a:b] - lo) * (2 * classes) + code[a:b], n[a:b], (hi - lo) * 2 * classes).reshape(-1, 2 * classes)
+            gain = m[:, :classes] @ behind.T + m[:, classes:] @ before.T
+            best = gain.argmax(axis=1)
+            was = old[lo:hi]
+            stay = (was >= 0) & (gain[np.arange(hi - lo), np.maximum(was, 0)] >= gain.max(axis=1) - 1e-9)
+            new[lo:hi] = np.where(stay, was, best)
+            np.add.at(joint, new[lo:hi], m)
+        sums = np.flatnonzero(joint)
+        nothing = pa.nulls(len(sums), pa.int64())
+        assigned = pa.table([pa.array(words), pa.array(new.astype(np.int32)), pa.array(new != old), pa.nulls(len(words), pa.int32()), pa.nulls(len(words), pa.float64())], ["word", "cls", "moved", "at", "n"])
+        summed = pa.table([nothing, pa.nulls(len(sums), pa.int32()), pa.nulls(len(sums), pa.bool_()), pa.array(sums.astype(np.int32)), pa.array(joint.ravel()[sums])], ["word", "cls", "moved", "at", "n"])
+        return pa.concat_tables([assigned, summed])
 
-    def out(b: int) -> pa.RecordBatch:
-        w = np.unique(np.concatenate(parts))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(w), b, np.int64)), signed(w)], ["block", "word"])
+    return run
 
-    for batch in batches:
-        blocks = batch.column("block").to_numpy(zero_copy_only=False)
-        texts = strings(batch.column("text"))
-        cuts = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1], True]) if len(blocks) else []
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            if blocks[lo] != block and parts:
-                yield out(block)
-                parts = []
-            block = int(blocks[lo])
-            for a, b in pieces(texts.slice(lo, hi - lo)):
-                parts.append(np.unique(_sequence(texts.slice(lo + a, b - a))[0]))
-    if parts:
-        yield out(block)
-
-
-def _encode(total: int, distinct: int, mass: np.ndarray, unknown: int):
-    """A block and its words -> for each document the counts and sums, and its sequence of classes."""
-
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        key = words.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        key = key[order]
-        n = words.column("n").to_numpy()[order].astype(float)
-        cls = words.column("cls").to_numpy()[order].astype(np.int64)
+
+def _documents(total: int, distinct: int, mass: np.ndarray, unknown: int):
+    """A block and the classes and counts of its words -> for each document the counts and sums, and its sequence of classes."""
+
+    def run(blocks: pa.Table, named: pa.Table) -> pa.Table:
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "emission", "classes"]
+        block = _Block(next(_rows(blocks.select(["words", "n", "seq", "first", "held"]).to_batches())))
+        n = _by_place(named, len(block.words), "n", 0).astype(float)
+        cls = _by_place(named, len(block.words), "cls", unknown)
         base = np.log10((n + 1) / (total + distinct + 1))
-        emit = np.log10(n / np.maximum(1, mass[cls]))
+        emit = np.where(n > 0, np.log10(np.maximum(n, 1) / np.maximum(1, mass[cls])), 0.0)
         code = (cls | np.where(n == 1, ONCE, 0)).astype(np.uint8)
-        none = np.log10(1 / (total + distinct + 1))
-        texts = strings(docs.column("text"))
-        rows = [[], [], [], [], []]
-        for lo, hi in pieces(texts):
-            seq, first = _sequence(texts.slice(lo, hi - lo))
-            at, known = _lookup(key, seq)
-            if len(key):
-                b, e, c = np.where(known, base[at], none), np.where(known, emit[at], 0.0), np.where(known, code[at], np.uint8(unknown)).astype(np.uint8)
-            else:
-                b, e, c = np.full(len(seq), none), np.zeros(len(seq)), np.full(len(seq), unknown, np.uint8)
-            rows[0].append(np.diff(first))
-            for col, x in zip(rows[1:4], (known.astype(np.int64), b, e)):
-                col.append(np.add.reduceat(x, first[:-1]))
-            rows[4] += [c[x:y].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
-        cols = [np.concatenate(x) for x in rows[:4]]
-        return pa.table([docs.column("doc_id"), docs.column("held_out"), pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3]), pa.array(rows[4], pa.binary())], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "emission", "classes"])
+        head = block.first[:-1]
+        sums = [np.add.reduceat(x[block.seq], head) for x in ((n > 0).astype(np.int64), base, emit)]
+        c = code[block.seq]
+        rows = [c[x:y].tobytes() for x, y in zip(block.first[:-1].tolist(), block.first[1:].tolist())]
+        ids, held = (blocks.column(x).combine_chunks().flatten() for x in ("ids", "held"))
+        return pa.table([ids, held, pa.array(np.diff(block.first)), *map(pa.array, sums), pa.array(rows, pa.binary())], names)
 
     return run
 
@@ -295,19 +341,23 @@ def transition_logs(counts: np.ndarray, unknown: int, prior: float = 20.0) -> np
     return np.log10(np.maximum(p, 1e-300))
 
 
-def score_documents(docs: DataFrame, held_out, k: int = K, classes: int = CLASSES, groups: int = GROUPS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; rows where ``held_out`` is false train the model."""
-    spark = docs.sparkSession
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
-    train = rows.where("not held_out").select("text")
-    counts = keep(train.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total, distinct = sums["n"] or 0, sums["v"]
-    # the most frequent words: at most k
-    top = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(k).collect()]
+def _round(evidence: DataFrame, bucket: int, joint: np.ndarray) -> tuple[DataFrame, np.ndarray, int]:
+    """One exchange of all words that have evidence: (word, cls), the class bigrams that it leaves behind, and how many words moved."""
+    classes = len(joint)
+    out = evidence.groupBy(F.pmod(F.xxhash64("word"), F.lit(bucket)).alias("bucket")).applyInArrow(_assign(*affinities(joint)), "word long, cls int, moved boolean, at int, n double")
+    out = keep(out, "assigned")
+    sums = np.zeros((classes, 2 * classes))
+    for r in out.where("word is null").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most 2 classes^2 numbers
+        sums.flat[r["at"]] = r["n"]
+    return out.where("word is not null").select("word", "cls"), sums[:, :classes] + sums[:, classes:].T, out.where("moved").count()
+
+
+def cluster(blocks: DataFrame, counts: DataFrame, k: int, classes: int, rounds: int) -> tuple[DataFrame, list[int]]:
+    """(word, n, cls, frequent) for all training words, cls from 0, null without evidence; and the k most frequent words."""
+    spark = blocks.sparkSession
+    top = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(k).collect()]  # at most k
     frequent = np.unique(np.append(np.array(top, np.int64).view(np.uint64), END))
-    pairs = train.mapInArrow(_bigrams(frequent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # at most k * k
+    pairs = blocks.mapInArrow(_bigrams(frequent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # at most k * k
     bigrams = np.zeros(len(frequent) ** 2)
     bigrams[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
     bigrams = bigrams.reshape(len(frequent), -1)
@@ -315,31 +365,40 @@ def score_documents(docs: DataFrame, held_out, k: int = K, classes: int = CLASSE
     of = np.empty(len(frequent), np.int64)
     of[order] = exchange(bigrams[order][:, order], min(classes, len(frequent)))
     one = np.eye(classes)[of]
-    group_of = merge_classes(one.T @ bigrams @ one, groups)
-    near = one @ np.eye(groups)[group_of] if len(group_of) else one
-    joint = near.T @ bigrams @ near + 1.0
-    joint = joint + joint.T
-    affinity = np.log(joint * joint.sum() / np.outer(joint.sum(axis=0), joint.sum(axis=1)))
-    # classes 0..: frequent words; then the end token, the groups' other words, words without frequent neighbours, unknown words
-    end, alone, unknown = classes, classes + 1 + groups, classes + 2 + groups
-    of[np.searchsorted(frequent, END)] = end
-    own = group_of[np.minimum(of, classes - 1)]
-    company = train.mapInArrow(_company(frequent, own, groups), "word long, " + ", ".join(f"g{g} int" for g in range(groups)))
-    company = company.groupBy("word").agg(*[F.sum(f"g{g}").alias(f"g{g}") for g in range(groups)])
-    fit = [sum((F.col(f"g{h}") * float(affinity[g, h]) for h in range(groups)), F.lit(0.0)) for g in range(groups)]
-    company = company.withColumn("fit", F.array(*fit)).select("word", (F.expr("array_position(fit, array_max(fit))").cast("int") + classes).alias("near"))
-    named = spark.createDataFrame([(int(w), int(c)) for w, c in zip(frequent.view(np.int64), of)], "word long, named int")
-    vocabulary = counts.join(F.broadcast(named), "word", "left").join(company, "word", "left")
-    vocabulary = keep(vocabulary.select("word", "n", F.coalesce("named", "near", F.lit(alone)).alias("cls")), "vocabulary")
+    joint = one.T @ bigrams @ one
+    rows = blocks.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
+    bucket = 1 + int(rows) // BUCKET
+    evidence = blocks.mapInArrow(_first_evidence(frequent, of, classes), "word long, cls int, near binary")
+    named, joint, _ = _round(evidence, bucket, joint)
+    for _ in range(rounds - 1):
+        places = blocks.select("block", "words").mapInArrow(_places, "block long, place int, word long").join(named.hint("merge"), "word").select("block", "place", "cls")
+        evidence = blocks.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_next_evidence(classes), "word long, cls int, near binary")
+        named, joint, moved = _round(evidence, bucket, joint)
+        if not moved:
+            break
+    chosen = spark.createDataFrame([(w,) for w in top], "word long").withColumn("frequent", F.lit(True))
+    return counts.join(named.hint("merge"), "word", "left").join(F.broadcast(chosen), "word", "left").select("word", "n", "cls", F.coalesce("frequent", F.lit(False)).alias("frequent")), top
+
+
+def score_documents(docs: DataFrame, held_out, k: int = K, classes: int = CLASSES, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; rows where ``held_out`` is false train the model."""
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select("doc_id", "text", held_out.alias("held_out"), F.monotonically_increasing_id().alias("row"))
+    blocks = keep(rows.mapInArrow(_blocks(block), f"block long, words binary, n binary, seq binary, first binary, ids array<{kind}>, held array<boolean>"), "blocks", compression="zstd")
+    counts = keep(blocks.select("words", "n").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    total, distinct = sums["n"] or 0, sums["v"]
+    words, _ = cluster(blocks.select("block", "words", "n", "seq", "first", "held"), counts, k, classes, rounds)
+    # classes 0..: frequent words, and as many for the other words of the same classes; then the end token, words without evidence, unknown words
+    end, alone, unknown = 2 * classes, 2 * classes + 1, 2 * classes + 2
+    own = F.when(F.col("word") == int(END.astype(np.int64)), end).when(F.col("cls").isNull(), alone).when(F.col("frequent"), F.col("cls")).otherwise(F.col("cls") + classes)
+    vocabulary = keep(words.select("word", "n", own.alias("cls")), "vocabulary")
     mass = np.zeros(unknown + 1)
     for r in vocabulary.groupBy("cls").agg(F.sum("n").alias("n")).collect():
         mass[r["cls"]] = r["n"]
-    # neighbouring rows of a scan make a block
-    row = F.monotonically_increasing_id()
-    blocked = keep(rows.withColumn("block", row - F.pmod(row, F.lit(BLOCK))), "blocks", compression="zstd")
-    words = blocked.select("block", "text").mapInArrow(_block_words, "block long, word long").join(vocabulary, "word").select("block", "word", "n", "cls")
+    places = blocks.select("block", "words").mapInArrow(_places, "block long, place int, word long").join(vocabulary.hint("merge"), "word").select("block", "place", "n", "cls")
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, emission double, classes binary"
-    read = keep(blocked.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_encode(total, distinct, mass, unknown), schema), "sequences", compression="zstd")
+    read = keep(blocks.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_documents(total, distinct, mass, unknown), schema), "sequences", compression="zstd")
     size = unknown + 1
     flat = np.zeros(2 * size * size, np.int64)
     for r in read.where("not held_out").select("classes").mapInArrow(_transitions(size, unknown, end), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():

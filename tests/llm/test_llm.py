@@ -317,31 +317,52 @@ def test_exchange_goes_on_until_none_moves():
     assert max(value(np.r_[c[:w], k, c[w + 1 :]]) for w in range(200) for k in range(8)) <= value(c) + 1e-6
 
 
-def test_words_without_frequent_neighbours_have_a_class(spark, monkeypatch):
+def _vocabulary(spark, monkeypatch, rows, **options):
     kept = {}
-    monkeypatch.setattr(class_lm, "keep", lambda df, name, **options: kept.setdefault(name, keep(df, name, **options)))
-    rows = [(k, "a b a b") for k in range(9)] + [(20, "a c"), (21, "lonely"), (22, "forlorn")]
-    class_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False), k=3, classes=4, groups=2).count()
-    names = sorted(["a", "b", "c", "lonely", "forlorn"])
+    monkeypatch.setattr(class_lm, "keep", lambda df, name, **o: kept.setdefault(name, keep(df, name, **o)) if name == "vocabulary" else keep(df, name, **o))
+    class_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False), **options).count()
+    names = sorted({w for _, t in rows for w in t.split()})
     hashed = class_lm._sequence(class_lm.strings(class_lm.pa.array(names)))[0][::2].view(np.int64).tolist()
-    cls = {r["word"]: r["cls"] for r in kept["vocabulary"].collect()}
-    got = {name: cls[h] for name, h in zip(names, hashed)}
-    assert got["lonely"] == got["forlorn"] == 4 + 1 + 2 and got["c"] in (5, 6) and max(got["a"], got["b"]) < 4
+    cls = {r["word"]: (r["cls"], r["n"]) for r in kept["vocabulary"].collect()}
+    return {name: cls[h] for name, h in zip(names, hashed)}
 
 
-def test_ngram_join(docs, none):
-    got = {(r["doc_id"]): r for r in ngram_join.jaccard_classes(docs).collect()}
-    sets = {}
-    for i, t, _ in ROWS:
-        w = words(t)
-        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else None
-    for i, s in sets.items():
-        links = {o for o in sets.values() if s and o and o != s and len(o & s) / len(o | s) >= 0.8}
-        assert got[i]["n_links"] == len(links)
-    assert got[3]["class_id"] == got[4]["class_id"] == 2 and got[13]["class_id"] == 1 and got[5]["class_id"] == 5 and got[6]["class_id"] == 6
-    assert ngram_join.jaccard_classes(none).count() == 0
-    stay = ngram_join.drop_near_copies(docs)
-    assert stay.columns == docs.columns and sum(r["doc_id"] == 7 for r in stay.collect()) == 1
+def test_words_without_neighbours_have_a_class(spark, monkeypatch):
+    rows = [(k, "a b a b") for k in range(9)] + [(20, "a c"), (21, "lonely"), (22, "forlorn")]
+    got = {w: c for w, (c, _) in _vocabulary(spark, monkeypatch, rows, k=3, classes=4).items()}
+    assert got["lonely"] == got["forlorn"] == 2 * 4 + 1 and 4 <= got["c"] < 8 and max(got["a"], got["b"]) < 4
+
+
+def test_rounds_class_words_by_all_their_neighbours(spark, monkeypatch):
+    """Words without a frequent neighbour get the class of the words that stand where they stand."""
+    rnd = random.Random(12)
+    left, right = [f"l{k}" for k in range(40)], [f"r{k}" for k in range(40)]
+    rows = [(k, " ".join(f"{rnd.choice(left)} {rnd.choice(right)}" for _ in range(20))) for k in range(120)]
+    rows += [(1000 + k, f"{rnd.choice(left)} odd{k % 5} {rnd.choice(left)} odd{k % 5} {rnd.choice(left)}") for k in range(40)]
+    got = _vocabulary(spark, monkeypatch, rows, k=12, classes=2, rounds=3, block=3000)
+    rare = {w: c for w, (c, _) in got.items() if c >= 2}
+    assert len({c for w, c in rare.items() if w[0] == "l"}) == 1 and len({c for w, c in rare.items() if w[0] in "ro"}) == 1
+    assert len(set(rare.values())) == 2 and len(rare) > 60
+
+
+def test_base_scores_against_a_plain_count(docs, spark):
+    from collections import Counter
+    from math import log10
+
+    held = lambda i: i is not None and i % 3 == 0
+    lower = lambda t: (t or "").encode().lower().split()  # noqa: E731  (bytes: A-Z and ASCII blanks alone)
+    counts = Counter(w for i, t, _ in ROWS if not held(i) for w in [*lower(t), None])
+    total, distinct = sum(counts.values()), len(counts)
+    for block in (1 << 20, 500):
+        got = class_lm.score_documents(docs, F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False)), block=block).collect()
+        want = sorted((str(i), held(i), len(lower(t)) + 1, sum(counts[w] > 0 for w in [*lower(t), None]), total, round(sum(log10((counts[w] + 1) / (total + distinct + 1)) for w in [*lower(t), None]), 6)) for i, t, _ in ROWS)
+        assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+
+
+def test_class_model_beats_the_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = class_lm.score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2).where("held_out and n_tokens > 20").toPandas()
+    assert got["score"].sum() > got["base_score"].sum() and (got["score"] > got["base_score"]).mean() > 0.8
 
 
 def _brute_classes(rows):
