@@ -3,12 +3,13 @@
 All training documents are counted, and every word gets its class by exchange. The most frequent words
 (``k``) start it: exchange clustering on the counts of their bigrams, collected from
 the whole corpus, until none moves (at most k x k numbers reach the driver). From there the whole vocabulary
-takes part, in rounds over the corpus. In the first, each word's neighbours among the
-frequent ones are counted by class, and the word goes to the class that gains most; in the
-others (``rounds``) neighbours of all kinds count, each with the class it has by
-then, and every word is looked at again and moves if it gains. All words of a round move at
+takes part, in ``rounds`` over the corpus: every word's neighbours are counted by class, over all blocks, and the
+word moves to the class that gains most. Neighbours of all kinds count, each with the class it has by
+then; in the first round words that aren't frequent have the class that their
+frequent neighbours in the same block speak for. All words of a round move at
 once, so the gain is that of the class bigrams of the round before. Words none of whose neighbours has a
-class share a class of their own. The model tells the frequent words of a class from the others.
+class share a class of their own. The model tells the frequent words of a class from the others. One round is
+the default: each further one moves fewer words and writes about as much again as the input.
 
 A text's probability is the
 product of class transitions and word emissions; transitions are smoothed
@@ -34,15 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Words, keep, remainder, signed, strings, table
 
-K, CLASSES, ROUNDS = 1000, 40, 2
-#: Bytes of text in a block, and rows of evidence that are summed in one group.
-BLOCK, BUCKET = 8 << 20, 400_000
+K, CLASSES, ROUNDS = 1000, 40, 1
+#: Bytes of text in a block, rows of evidence that are summed in one group, and words of blocks that are packed together.
+BLOCK, BUCKET, PACK = 32 << 20, 400_000, 1_000_000
 END = np.uint64(0x51ED270B7F2A94C3)
 ONCE = 128  # the bit of a word that training holds once
 
@@ -124,6 +124,28 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), row["block"], np.int64)), pa.array(np.arange(len(words), dtype=np.int32)), signed(words)], ["block", "place", "word"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, place, cls, n) in any order -> for each block, lists of them as bytes."""
+    held, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        block, place, cls, n = (np.concatenate([x[k] for x in held]) for k in range(4))
+        order = np.lexsort((place, block))
+        block, place, cls, n = (x[order] for x in (block, place, cls, n))
+        cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+        lists = [[x[lo:hi].astype(kind).tobytes() for lo, hi in zip(cuts[:-1], cuts[1:])] for x, kind in ((place, "<u4"), (cls, "<i2"), (n, "<i8"))]
+        return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), *(pa.array(x, pa.binary()) for x in lists)], ["block", "place", "cls", "n"])
+
+    for batch in batches:
+        held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "place", "cls", "n")])
+        size += batch.num_rows
+        if size > PACK:
+            yield out()
+            held, size = [], 0
+    if size:
+        yield out()
+
+
 def _lookup(sorted_words: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places, and which are right."""
     if not len(sorted_words):
@@ -195,8 +217,8 @@ def exchange(bigrams: np.ndarray, classes: int) -> np.ndarray:
 _ENTRY = np.dtype([("code", "u1"), ("n", "<u4")])
 
 
-def _evidence(block: _Block, cls: np.ndarray, classes: int) -> pa.Table:
-    """For each word of a block the classes of its neighbours with counts: code c behind it, ``classes`` + c before it. ``cls``: by place, -1 for none."""
+def _neighbours(block: _Block, cls: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct place * 2 classes + code, and their counts, of the neighbours in training texts: code c behind a word, ``classes`` + c before it. ``cls``: by place, -1 for none."""
     seq = block.training()
     of = cls[seq]
     word = block.words[seq] != END
@@ -204,7 +226,23 @@ def _evidence(block: _Block, cls: np.ndarray, classes: int) -> pa.Table:
     for subject, near, shift in ((slice(0, -1), slice(1, None), 0), (slice(1, None), slice(0, -1), classes)):
         ok = word[subject] & (of[near] >= 0)
         keys.append(seq[subject][ok].astype(np.int64) * (2 * classes) + shift + of[near][ok])
-    key, n = np.unique(np.concatenate(keys), return_counts=True)
+    return np.unique(np.concatenate(keys), return_counts=True)
+
+
+def _gains(place: np.ndarray, code: np.ndarray, n: np.ndarray, size: int, affinity: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For some places after others (``place`` is sorted): the counts of their neighbours by code, and the gain of each class."""
+    behind, before = affinity
+    classes = len(behind)
+    for lo in range(0, size, 20_000):
+        hi = min(size, lo + 20_000)
+        a, b = np.searchsorted(place, [lo, hi])
+        m = np.bincount((place[a:b] - lo) * (2 * classes) + code[a:b], n[a:b], (hi - lo) * 2 * classes).reshape(-1, 2 * classes)
+        yield lo, hi, m, m[:, :classes] @ behind.T + m[:, classes:] @ before.T
+
+
+def _evidence(block: _Block, cls: np.ndarray, classes: int) -> pa.Table:
+    """For each word of a block the classes of its neighbours with counts."""
+    key, n = _neighbours(block, cls, classes)
     entries = np.empty(len(key), _ENTRY)
     entries["code"], entries["n"] = key % (2 * classes), n
     at = key // (2 * classes)
@@ -215,29 +253,36 @@ def _evidence(block: _Block, cls: np.ndarray, classes: int) -> pa.Table:
     return pa.table([signed(block.words[places]), pa.array(cls[places].astype(np.int32)), packed], ["word", "cls", "near"])
 
 
-def _first_evidence(frequent: np.ndarray, of: np.ndarray, classes: int):
+def _first_evidence(frequent: np.ndarray, of: np.ndarray, affinity: tuple[np.ndarray, np.ndarray]):
+    classes = len(affinity[0])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             block = _Block(row)
             at, known = _lookup(frequent, block.words)
-            yield from _evidence(block, np.where(known & (block.words != END), of[at], -1), classes).to_batches()
+            cls = np.where(known & (block.words != END), of[at], -1)
+            key, n = _neighbours(block, cls, classes)
+            for lo, hi, m, gain in _gains(key // (2 * classes), key % (2 * classes), n, len(cls), affinity):
+                own = cls[lo:hi]  # what is written here is read no more
+                own[:] = np.where(known[lo:hi] | ~m.any(axis=1), own, gain.argmax(axis=1))
+            yield from _evidence(block, cls, classes).to_batches()
 
     return run
 
 
-def _by_place(named: pa.Table, size: int, name: str, none: int) -> np.ndarray:
-    out = np.full(size, none, np.int64)
-    out[named.column("place").to_numpy()] = named.column(name).to_numpy()
-    return out
+def _by_place(named: pa.Table, size: int, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes (``none`` where there is none) and counts by place."""
+    cls, n = np.full(size, none, np.int64), np.zeros(size, np.int64)
+    for row in _rows(named.to_batches()):
+        at = np.frombuffer(row["place"], "<u4")
+        cls[at], n[at] = np.frombuffer(row["cls"], "<i2"), np.frombuffer(row["n"], "<i8")
+    return cls, n
 
 
 def _next_evidence(classes: int):
     def run(blocks: pa.Table, named: pa.Table) -> pa.Table:
-        if not blocks.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.binary())], ["word", "cls", "near"])
         block = _Block(next(_rows(blocks.to_batches())))
-        cls = _by_place(named, len(block.words), "cls", -1)
-        return _evidence(block, np.where(cls < classes, cls, -1), classes)
+        return _evidence(block, _by_place(named, len(block.words), -1)[0], classes)
 
     return run
 
@@ -249,31 +294,26 @@ def affinities(joint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return log, log.T
 
 
-def _assign(behind: np.ndarray, before: np.ndarray):
+def _assign(affinity: tuple[np.ndarray, np.ndarray]):
     """All evidence of some words -> the class of each that gains most; and the sums of their neighbours by class (rows without a word)."""
-    classes = len(behind)
+    classes = len(affinity[0])
 
     def run(rows: pa.Table) -> pa.Table:
         word, cls = rows.column("word").to_numpy(), rows.column("cls").to_numpy()
-        near = rows.column("near").combine_chunks()
-        lengths = np.array(pa.compute.binary_length(near)) // _ENTRY.itemsize
-        entries = np.frombuffer(b"".join(near.to_pylist()), _ENTRY)
+        near = rows.column("near").to_pylist()
+        lengths = np.array([len(x) // _ENTRY.itemsize for x in near], np.int64)
+        entries = np.frombuffer(b"".join(near), _ENTRY)
         words, at = np.unique(word, return_inverse=True)
         old = np.full(len(words), -1, np.int64)
         np.maximum.at(old, at, cls)
-        new = np.empty(len(words), np.int64)
+        new = old.copy()
         joint = np.zeros((classes, 2 * classes))
-        order = np.argsort(np.repeat(at, lengths), kind="stable")
-        place, code, n = np.repeat(at, lengths)[order], entries["code"][order].astype(np.int64), entries["n"][order]
-        for lo in range(0, len(words), 20_000):
-            hi = min(len(words), lo + 20_000)
-            a, b = np.searchsorted(place, [lo, hi])
-            m = np.bincount((place[a:b] - lo) * (2 * classes) + code[a:b], n[a:b], (hi - lo) * 2 * classes).reshape(-1, 2 * classes)
-            gain = m[:, :classes] @ behind.T + m[:, classes:] @ before.T
-            best = gain.argmax(axis=1)
+        place = np.repeat(at, lengths)
+        order = np.argsort(place, kind="stable")
+        for lo, hi, m, gain in _gains(place[order], entries["code"][order].astype(np.int64), entries["n"][order], len(words), affinity):
             was = old[lo:hi]
             stay = (was >= 0) & (gain[np.arange(hi - lo), np.maximum(was, 0)] >= gain.max(axis=1) - 1e-9)
-            new[lo:hi] = np.where(stay, was, best)
+            new[lo:hi] = np.where(stay, was, gain.argmax(axis=1))
             np.add.at(joint, new[lo:hi], m)
         sums = np.flatnonzero(joint)
         nothing = pa.nulls(len(sums), pa.int64())
@@ -290,8 +330,7 @@ def _documents(total: int, distinct: int, mass: np.ndarray, unknown: int):
     def run(blocks: pa.Table, named: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "emission", "classes"]
         block = _Block(next(_rows(blocks.select(["words", "n", "seq", "first", "held"]).to_batches())))
-        n = _by_place(named, len(block.words), "n", 0).astype(float)
-        cls = _by_place(named, len(block.words), "cls", unknown)
+        cls, n = _by_place(named, len(block.words), unknown)
         base = np.log10((n + 1) / (total + distinct + 1))
         emit = np.where(n > 0, np.log10(np.maximum(n, 1) / np.maximum(1, mass[cls])), 0.0)
         code = (cls | np.where(n == 1, ONCE, 0)).astype(np.uint8)
@@ -341,15 +380,21 @@ def transition_logs(counts: np.ndarray, unknown: int, prior: float = 20.0) -> np
     return np.log10(np.maximum(p, 1e-300))
 
 
-def _round(evidence: DataFrame, bucket: int, joint: np.ndarray) -> tuple[DataFrame, np.ndarray, int]:
-    """One exchange of all words that have evidence: (word, cls), the class bigrams that it leaves behind, and how many words moved."""
+def _round(evidence: DataFrame, bucket: int, joint: np.ndarray) -> tuple[DataFrame, np.ndarray, bool]:
+    """One exchange of all words that have evidence: (word, cls), the class bigrams that it leaves behind, and whether words moved."""
     classes = len(joint)
-    out = evidence.groupBy(F.pmod(F.xxhash64("word"), F.lit(bucket)).alias("bucket")).applyInArrow(_assign(*affinities(joint)), "word long, cls int, moved boolean, at int, n double")
+    out = evidence.groupBy(F.pmod(F.xxhash64("word"), F.lit(bucket)).alias("bucket")).applyInArrow(_assign(affinities(joint)), "word long, cls int, moved boolean, at int, n double")
     out = keep(out, "assigned")
     sums = np.zeros((classes, 2 * classes))
     for r in out.where("word is null").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most 2 classes^2 numbers
         sums.flat[r["at"]] = r["n"]
-    return out.where("word is not null").select("word", "cls"), sums[:, :classes] + sums[:, classes:].T, out.where("moved").count()
+    return out.where("word is not null").select("word", "cls"), sums[:, :classes] + sums[:, classes:].T, not out.where("moved").isEmpty()
+
+
+def _named_places(blocks: DataFrame, named: DataFrame) -> DataFrame:
+    """(block, place, cls, n), packed: what ``named`` has of the words of each block."""
+    places = blocks.select("block", "words").mapInArrow(_places, "block long, place int, word long")
+    return places.join(named.hint("merge"), "word").select("block", "place", "cls", "n").mapInArrow(_packed, "block long, place binary, cls binary, n binary")
 
 
 def cluster(blocks: DataFrame, counts: DataFrame, k: int, classes: int, rounds: int) -> tuple[DataFrame, list[int]]:
@@ -368,10 +413,10 @@ def cluster(blocks: DataFrame, counts: DataFrame, k: int, classes: int, rounds:
     joint = one.T @ bigrams @ one
     rows = blocks.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
     bucket = 1 + int(rows) // BUCKET
-    evidence = blocks.mapInArrow(_first_evidence(frequent, of, classes), "word long, cls int, near binary")
+    evidence = blocks.mapInArrow(_first_evidence(frequent, of, affinities(joint)), "word long, cls int, near binary")
     named, joint, _ = _round(evidence, bucket, joint)
     for _ in range(rounds - 1):
-        places = blocks.select("block", "words").mapInArrow(_places, "block long, place int, word long").join(named.hint("merge"), "word").select("block", "place", "cls")
+        places = _named_places(blocks, named.withColumn("n", F.lit(0).cast("long")))
         evidence = blocks.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_next_evidence(classes), "word long, cls int, near binary")
         named, joint, moved = _round(evidence, bucket, joint)
         if not moved:
@@ -396,7 +441,7 @@ def score_documents(docs: DataFrame, held_out, k: int = K, classes: int = CLASSE
     mass = np.zeros(unknown + 1)
     for r in vocabulary.groupBy("cls").agg(F.sum("n").alias("n")).collect():
         mass[r["cls"]] = r["n"]
-    places = blocks.select("block", "words").mapInArrow(_places, "block long, place int, word long").join(vocabulary.hint("merge"), "word").select("block", "place", "n", "cls")
+    places = _named_places(blocks, vocabulary)
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, emission double, classes binary"
     read = keep(blocks.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_documents(total, distinct, mass, unknown), schema), "sequences", compression="zstd")
     size = unknown + 1
