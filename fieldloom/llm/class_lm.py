@@ -42,7 +42,7 @@ from .common import Words, keep, remainder, signed, strings, table
 
 K, CLASSES, ROUNDS = 1000, 40, 1
 #: Bytes of text in a block, rows of evidence that are summed in one group, and words of blocks that are packed together.
-BLOCK, BUCKET, PACK = 32 << 20, 400_000, 1_000_000
+BLOCK, BUCKET, PACK = 16 << 20, 400_000, 1_000_000
 END = np.uint64(0x51ED270B7F2A94C3)
 ONCE = 128  # the bit of a word that training holds once
 
