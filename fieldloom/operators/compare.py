@@ -34,12 +34,27 @@ def crossmask(ol: DataFrame, da: DataFrame, keys: list[str], order: list[str]) -
     return ol.join(last, keys)
 
 
+def within(value: Column, tolerance: float, spread: bool = False) -> Column:
+    """The bucket of a value, or (``spread``) the one or two buckets that values within the tolerance of it can have."""
+    side = 4 * tolerance
+    return F.array_distinct(F.array(F.floor((value - 1.01 * tolerance) / side), F.floor((value + 1.01 * tolerance) / side))) if spread else F.floor(value / side)
+
+
+def cycle_before(x: DataFrame, keys: list[str], cycle: str, value: str, first: Column, tolerance: float) -> DataFrame:
+    """J20's candidates: rows of ``x`` with ``_first`` of each value of the cycle before that lies within the tolerance.
+
+    The cycle before comes as one row for each value and is joined by buckets of the
+    value, so a common value costs one row for each that repeats it, not a square.
+    """
+    a = x.groupBy(*keys, (F.col(cycle) + 1).alias(cycle), F.col(value).alias("_v")).agg(first.alias("_first")).withColumn("_at", F.explode(within(F.col("_v"), tolerance, spread=True)))
+    p = x.withColumn("_at", within(F.col(value), tolerance)).join(a, [*keys, cycle, "_at"])
+    return p.where(F.abs(F.col(value) - F.col("_v")) <= tolerance).drop("_at", "_v")
+
+
 def consecutive(x: DataFrame, keys: list[str], cycle: str, value: str, row: str, tolerance: float = 1e-6) -> DataFrame:
     """Rows that repeat the value of the same key in the cycle before; the first match for each."""
-    a = x.select(*keys, (F.col(cycle) + 1).alias(cycle), F.col(value).alias("_v"), F.col(row).alias("first_row"))
-    b = x.select(*keys, cycle, F.col(value), F.col(row))
-    p = b.join(a, [*keys, cycle]).where(F.abs(F.col(value) - F.col("_v")) <= tolerance)
-    return p.groupBy(row, cycle).agg(F.min("first_row").alias("first_row"))
+    p = cycle_before(x.select(*keys, cycle, value, row), keys, cycle, value, F.min(row), tolerance)
+    return p.groupBy(row, cycle).agg(F.min("_first").alias("first_row"))
 
 
 def fill_axis(x: DataFrame, keys: list[str], axis: str, low: int, high: int) -> DataFrame:
@@ -77,10 +92,43 @@ def station_good(sm: Column, kelvin: Column) -> Column:
     return F.when((kelvin >= 277.16) & (sm >= 1e-4), sm)
 
 
+def value_at_rank(v: DataFrame, rows: int, rank: int, most: int) -> float:
+    """The value with ``rank`` (from 0) of column v, by narrowing the values between approximate quantiles until at most ``most`` rows are left."""
+    while rows > most:
+        cuts = sorted(set(v.agg(F.percentile_approx("v", F.lit([k / 64 for k in range(1, 64)]), 1000)).first()[0]))
+        edges = F.array(*[F.lit(c) for c in cuts])
+        # even: between two cuts; odd: a cut itself
+        place = 2 * F.size(F.filter(edges, lambda c: c < F.col("v"))) + F.array_contains(edges, F.col("v")).cast("int")
+        placed = v.withColumn("_p", place)
+        for r in sorted(placed.groupBy("_p").count().collect()):  # at most 127 rows
+            if rank < r["count"]:
+                break
+            rank -= r["count"]
+        if r["_p"] % 2:
+            return cuts[r["_p"] // 2]
+        v, rows = placed.where(F.col("_p") == r["_p"]).drop("_p"), r["count"]
+    return sorted(r[0] for r in v.collect())[rank]
+
+
+def exact_percentiles(x: DataFrame, value: str, shares: list[float], most: int = 50_000) -> list[float | None]:
+    """Interpolated percentiles of a whole column; no task or driver holds more than ``most`` of its values."""
+    v = x.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    n = v.count()
+    if not n:
+        return [None] * len(shares)
+    need = sorted({min(n - 1, int(share * (n - 1)) + k) for share in shares for k in (0, 1)})
+    if n <= most:
+        whole = sorted(r[0] for r in v.collect())
+        at = {k: whole[k] for k in need}
+    else:
+        at = {k: value_at_rank(v, n, k, most) for k in need}
+    return [at[int(p)] + (p - int(p)) * (at[min(n - 1, int(p) + 1)] - at[int(p)]) for p in (share * (n - 1) for share in shares)]
+
+
 def percentile_clip(x: DataFrame, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """null outside the percentiles."""
-    edges = x.agg(F.percentile(value, F.lit(low)).alias("_lo"), F.percentile(value, F.lit(high)).alias("_hi"))
-    return x.join(F.broadcast(edges)).withColumn(value, F.when(F.col(value).between(F.col("_lo"), F.col("_hi")), F.col(value))).drop("_lo", "_hi")
+    lo, hi = exact_percentiles(x, value, [low, high])
+    return x.withColumn(value, F.when(F.col(value).between(F.lit(lo), F.lit(hi)), F.col(value)))
 
 
 def experiment_difference(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,6 +139,99 @@ def experiment_difference(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return s.select(*keys, "n", "mean_diff", "abs_diff", F.try_divide(F.col("std_da"), F.col("std_ol")).alias("std_ratio"), F.try_divide(100 * (amp(2) - amp(1)), amp(1)).alias("amp_change"), "r", "rmse")
 
 
+def anomaly_suite(pairs: DataFrame, keys: list[str], first: int = 0, last: int = 9999) -> DataFrame:
+    """OL against DA by anomalies from each run's own monthly climatology of the years ``first`` to ``last``.
+
+    ``pairs``: keys, month (a date), ol, da, both present. Correlations are uncentred, lag-1 pairs are consecutive rows, slopes
+    are by year. Measures with a zero divisor are null.
+    """
+    base = F.year("month").between(first, last)
+    clim = pairs.groupBy(*keys, F.month("month").alias("_m")).agg(F.avg(F.when(base, F.col("ol"))).alias("_co"), F.avg(F.when(base, F.col("da"))).alias("_cd"))
+    w = Window.partitionBy(*keys).orderBy("month")
+    x = pairs.withColumn("_m", F.month("month")).join(clim, [*keys, "_m"]).withColumns({"a": F.col("ol") - F.col("_co"), "b": F.col("da") - F.col("_cd"), "t": F.year("month") + (F.month("month") - 0.5) / 12})
+    x = x.withColumns({"a1": F.lead("a").over(w), "b1": F.lead("b").over(w)})
+
+    def uncentred(p: str, q: str) -> Column:
+        both = F.col(p).isNotNull() & F.col(q).isNotNull()
+        mean = lambda c: F.avg(F.when(both, c))
+        return F.try_divide(mean(F.col(p) * F.col(q)), F.sqrt(mean(F.col(p) ** 2) * mean(F.col(q) ** 2)))
+
+    positive = lambda c: F.when(c > 1e-12, c)
+    s = x.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("da") - F.col("ol")).alias("mean_diff"), positive(F.stddev_pop("a")).alias("so"), positive(F.stddev_pop("b")).alias("sd"), uncentred("a", "b").alias("anom_r"),
+        F.sqrt(F.avg((F.col("b") - F.col("a")) ** 2)).alias("anom_rmse"), F.avg(F.abs(F.col("da") - F.col("ol"))).alias("mad"), (F.regr_slope("da", "t") - F.regr_slope("ol", "t")).alias("delta_trend"), (uncentred("b", "b1") - uncentred("a", "a1")).alias("delta_rho1"))
+    ratio = F.try_divide(F.col("sd"), F.col("so"))
+    return s.select(*keys, "n", "mean_diff", ratio.alias("std_ratio"), ((ratio - 1) * 100).alias("amp_change"), "anom_r", "anom_rmse", F.try_divide(F.col("mad"), F.col("so")).alias("norm_abs_diff"), "delta_trend", "delta_rho1")
+
+
+def reference_skill(x: DataFrame, keys: list[str], reference: str, value: str, least: int) -> DataFrame:
+    """Plain and anomaly correlation and the anomalies' RMSE, the climatology being that of the group."""
+    w = Window.partitionBy(*keys, F.month("ts"))
+    c = x.withColumns({"ao": F.col(reference) - F.avg(reference).over(w), "af": F.col(value) - F.avg(value).over(w)})
+    s = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr(reference, value).alias("r"), F.try_divide(F.sum(F.col("ao") * F.col("af")), F.sqrt(F.sum(F.col("ao") ** 2) * F.sum(F.col("af") ** 2))).alias("anomaly_r"), F.sqrt(F.avg((F.col("ao") - F.col("af")) ** 2)).alias("anomaly_rmse"))
+    return s.where(F.col("n") >= least)
+
+
+def paired_interval(x: DataFrame, keys: list[str], a: str, b: str, up: bool = True, alpha: float = 0.05) -> DataFrame:
+    """Mean of b - a over paired sites (a - b where less is better), its standard error, and the half-width of its t interval."""
+    d = (F.col(b) - F.col(a)) * (1 if up else -1)
+    s = x.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_delta"), (F.coalesce(F.stddev_samp(d), F.lit(0.0)) / F.sqrt(F.count(F.lit(1)))).alias("std_error"))
+    factor = F.pandas_udf(lambda df: pd.Series(dist.t_quantile(1 - alpha / 2, df.to_numpy(float))), "double")
+    # the factor of each number of sites, once
+    factors = s.select("n").distinct().withColumn("_t", factor(F.greatest(F.col("n") - 1, F.lit(1)).cast("double")))
+    return s.join(factors, "n").withColumn("ci_half", F.col("_t") * F.col("std_error")).drop("_t")
+
+
+def significant_shares(stats: DataFrame, keys: list[str], p: list[str], alpha: float = 0.05) -> DataFrame:
+    """Of the cells of a group with a p, the share below alpha, for each p."""
+    out = [F.avg(F.when(F.col(c).isNotNull(), (F.col(c) < alpha).cast("int"))).alias(f"share_{c}") for c in p]
+    return stats.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells"), *out)
+
+
+def area_relations(x: DataFrame, keys: list[str], a: str, b: str, p_a: str, p_b: str, weight: str, alpha: float = 0.05) -> DataFrame:
+    """Weighted Pearson of a and b, and what share of the area is significant in a, in b, in both, in both with one sign, and has b > a.
+
+    The shares divide by the area of all rows, with or without values, as published.
+    """
+    ok = x.where(F.col(weight) > 0)
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    w = F.when(both, F.col(weight))
+    mean = lambda c: F.try_divide(F.sum(w * c), F.sum(w))
+    sig = {c: F.coalesce(F.col(p) < alpha, F.lit(False)) for c, p in ((a, p_a), (b, p_b))}
+    share = lambda c: F.sum(F.when(F.coalesce(c, F.lit(False)), F.col(weight)).otherwise(0.0)) / F.sum(weight)
+    s = ok.groupBy(*keys).agg(
+        mean(F.col(a)).alias("ma"), mean(F.col(b)).alias("mb"), mean(F.col(a) * F.col(b)).alias("mab"), mean(F.col(a) ** 2).alias("maa"), mean(F.col(b) ** 2).alias("mbb"), share(sig[a]).alias("sig_a"), share(sig[b]).alias("sig_b"), share(sig[a] & sig[b]).alias("sig_both"),
+        share(sig[a] & sig[b] & (F.signum(a) == F.signum(b))).alias("sig_agree"), share(F.col(b) > F.col(a)).alias("above"))
+    va, vb = F.col("maa") - F.col("ma") ** 2, F.col("mbb") - F.col("mb") ** 2
+    return s.select(*keys, F.try_divide(F.col("mab") - F.col("ma") * F.col("mb"), F.sqrt(F.greatest(F.lit(0.0), va) * F.greatest(F.lit(0.0), vb))).alias("weighted_r"), "sig_a", "sig_b", "sig_both", "sig_agree", "above")
+
+
+def bins_by_edges(x: DataFrame, by: str, value: str, edges: list[float]) -> DataFrame:
+    """The distribution of a value by bins (lower edge, upper edge], the first closed on both sides; repeated edges count once."""
+    cuts = sorted({e for e in edges if e is not None})
+    if len(cuts) < 2:
+        cuts = (cuts or [0.0]) * 2
+    k = F.greatest(F.lit(1), F.size(F.filter(F.array(*[F.lit(float(e)) for e in cuts[:-1]]), lambda e: e < F.col(by))))
+    p = lambda q: F.percentile(value, F.lit(q))
+    return x.where(F.col(by).between(cuts[0], cuts[-1])).groupBy(k.alias("bin")).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), p(0.5).alias("median"), p(0.25).alias("q25"), p(0.75).alias("q75"))
+
+
+def quantile_bins(x: DataFrame, by: str, value: str, q: int = 5) -> DataFrame:
+    """Bins of equally many rows."""
+    return bins_by_edges(x, by, value, exact_percentiles(x, by, [k / q for k in range(q + 1)]))
+
+
+def log_bins(x: DataFrame, by: str, value: str, low: float, high: float, bins: int) -> DataFrame:
+    """Bins of equal ratio from low to high; values that aren't positive are in none."""
+    return bins_by_edges(x.where(F.col(by) > 0), by, value, [low * (high / low) ** (k / bins) for k in range(bins + 1)])
+
+
+def robust_shares(x: DataFrame, keys: list[str], change: str, base: str, tolerance: float = 0.01) -> DataFrame:
+    """Shares of rows that improve (change > 0), lose (< 0) or stay within the tolerance, and the ratio of the summed change to the base."""
+    c = F.col(change)
+    return x.where(c.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg((c > 0).cast("int")).alias("improved"), F.avg((c < 0).cast("int")).alias("reduced"), F.avg((F.abs(c) <= tolerance).cast("int")).alias("within"), F.try_divide(F.sum(c), F.sum(base)).alias("ratio"))
+
+
 def hotspots(stats: DataFrame, key: str, k: int = 20) -> DataFrame:
     """Three top lists, labelled and stacked."""
     lists = [("mean_diff", F.desc(F.abs("mean_diff"))), ("low_r", F.asc("r")), ("amp_change", F.desc(F.abs("amp_change")))]
@@ -126,11 +267,29 @@ def average_rank(x: DataFrame, keys: list[str], value: str, name: str) -> DataFr
     return x.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (tie - 1) / 2)
 
 
+def whole_rank(x: DataFrame, keys: list[str], value: str, name: str, parts: int = 64) -> DataFrame:
+    """W11 over few and large groups: mean ranks of the distinct values, from counts.
+
+    Values are cut at approximate quantiles into ``parts`` of each group; running counts inside the parts and
+    sums of the parts before give the ranks, so that no task sorts a whole group.
+    """
+    counts = x.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    shares = [k / parts for k in range(1, parts)]
+    cuts = x.groupBy(*keys).agg(F.percentile_approx(value, F.lit(shares), 10_000).alias("_cuts"))  # a row for each group
+    counts = counts.join(cuts, keys).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    ahead = counts.groupBy(*keys, "_part").agg(F.sum("_n").alias("_all"))
+    ahead = ahead.withColumn("_ahead", F.sum("_all").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_all")).drop("_all")  # at most ``parts`` rows of each group
+    run = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy(value))
+    ranks = counts.withColumn("_run", run).join(ahead, [*keys, "_part"])
+    ranks = ranks.select(*keys, value, (F.col("_ahead") + F.col("_run") - F.col("_n") + (F.col("_n") + 1) / 2).alias(name))
+    return x.join(ranks, [*keys, value])
+
+
 def screening(x: DataFrame, target: str, predictors: list[str]) -> DataFrame:
     """Correlation, rank correlation and line of the target on each predictor."""
     pairs = ", ".join(f"'{p}', CAST(`{p}` AS DOUBLE)" for p in predictors)
     long = x.selectExpr(f"CAST(`{target}` AS DOUBLE) AS y", f"stack({len(predictors)}, {pairs}) AS (predictor, x)").where("x is not null and y is not null")
-    long = average_rank(average_rank(long, ["predictor"], "x", "rx"), ["predictor"], "y", "ry")
+    long = whole_rank(whole_rank(long, ["predictor"], "x", "rx"), ["predictor"], "y", "ry")
     return long.groupBy("predictor").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"), F.corr("rx", "ry").alias("rho"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
 
 

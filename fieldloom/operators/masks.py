@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .compare import exact_percentiles
 from .series import monthly_climatology
 
 # fixed values: what counts as a material increment
@@ -90,8 +91,8 @@ def percent_change(x: DataFrame, base: str, value: str, eps: float | None = None
     change = 100 * (F.col(value) - F.col(base)) / F.col(base)
     if eps is not None:
         return x.withColumn(name, F.when(F.col(base) > eps, change))
-    floor = x.agg(F.greatest(F.lit(tiny), F.percentile(base, F.lit(share))).alias("_floor"))
-    return x.join(F.broadcast(floor)).withColumn(name, F.when(F.col(base) > F.col("_floor"), change)).drop("_floor")
+    floor = max(tiny, exact_percentiles(x, base, [share])[0] or 0.0)
+    return x.withColumn(name, F.when(F.col(base) > floor, change))
 
 
 def cap(x: DataFrame, value: str, most: float = 500.0) -> DataFrame:

@@ -45,7 +45,9 @@ def finalise(sums: DataFrame) -> DataFrame:
 
     def spread(a: str, b: str) -> Column:
         cov = F.try_divide(F.col(f"x_{a}_{b}"), F.col("n")) - mean(a) * mean(b)
-        return F.sqrt(F.greatest(F.lit(0.0), var(a) + var(b) - 2 * cov))
+        v = var(a) + var(b) - 2 * cov
+        # what is left of the cancelled squares below their rounding noise is nothing
+        return F.sqrt(F.when(v > 1e-13 * (F.try_divide(F.col(f"q_{a}") + F.col(f"q_{b}"), F.col("n"))), v).when(v.isNotNull(), 0.0))
 
     noise = mean("obsvar") + mean("fcstvar")
     return sums.withColumns({
@@ -62,6 +64,12 @@ def weighted(stats: DataFrame, keys: list[str], columns: list[str], least: int =
     return stats.groupBy(*keys).agg(*[F.try_divide(F.sum(F.when(ok, F.col(c) * F.col("n"))), n).alias(c) for c in columns], F.sum("n").alias("n"))
 
 
+def pooled_group(parts: DataFrame, keys: list[str], tile: str) -> DataFrame:
+    """The partial sums of a group's species pooled for each tile, finalised, then the plain mean over tiles."""
+    stats = finalise(merge(parts, [*keys, tile]))
+    return stats.groupBy(*keys).agg(F.sum("n").alias("n"), F.avg("omf_mean").alias("omf_mean"), F.avg("omf_std").alias("omf_std"))
+
+
 def daily_series(ofa: DataFrame, keys: list[str]) -> DataFrame:
     """A7."""
     omf, oma = F.col("obs") - F.col("fcst"), F.col("obs") - F.col("ana")

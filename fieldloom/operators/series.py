@@ -21,6 +21,26 @@ def deseasonalise(x: DataFrame, clim: DataFrame, keys: list[str], value: str) ->
     return x.withColumn("month", F.month("ts")).join(clim.select(*keys, "month", "clim"), [*keys, "month"]).withColumn("anom", F.col(value) - F.col("clim"))
 
 
+def standard_anomalies(x: DataFrame, keys: list[str], value: str, first: int, last: int) -> DataFrame:
+    """(value - mean) / std (population) of the calendar month in the years ``first`` to ``last``; null where the std is 0."""
+    inside = F.when(F.year("ts").between(first, last), F.col(value))
+    clim = x.groupBy(*keys, F.month("ts").alias("_m")).agg(F.avg(inside).alias("_mean"), F.stddev_pop(inside).alias("_std"))
+    return x.withColumn("_m", F.month("ts")).join(clim, [*keys, "_m"]).withColumn("z", F.when(F.col("_std") > 1e-9, (F.col(value) - F.col("_mean")) / F.col("_std"))).drop("_m", "_mean", "_std")
+
+
+def annual_z(x: DataFrame, keys: list[str], value: str, first: int, last: int) -> DataFrame:
+    """The variance (population) of annual means of standard anomalies, and how many years it has."""
+    z = standard_anomalies(x, keys, value, first, last).groupBy(*keys, F.year("ts").alias("_y")).agg(F.avg("z").alias("_z"))
+    return z.groupBy(*keys).agg(F.var_pop("_z").alias("z_var"), F.count("_z").alias("years"))
+
+
+def pentad_anomalies(x: DataFrame, keys: list[str], day: str, columns: list[str]) -> DataFrame:
+    """Minus the mean of the pentad of the year."""
+    p = x.withColumn("_p", F.least(F.lit(73), F.floor((F.dayofyear(day) - 1) / 5) + 1))
+    clim = p.groupBy(*keys, "_p").agg(*[F.avg(c).alias(f"_c_{c}") for c in columns])
+    return p.join(clim, [*keys, "_p"]).withColumns({c: F.col(c) - F.col(f"_c_{c}") for c in columns}).drop("_p", *[f"_c_{c}" for c in columns])
+
+
 def cyclic_doy(x: DataFrame, keys: list[str], value: str, half: int = 15, days: int = 366, zero_fill: bool = False) -> DataFrame:
     """Daily means by day of year, then a centred mean that wraps at the year's end.
 

@@ -15,17 +15,12 @@ from pyspark.sql import functions as F
 from ..functions.scalar import haversine
 
 
-def _near(left: DataFrame, right: DataFrame, radius: float, lx: str, ly: str, rx: str, ry: str, wrap: float | None = None) -> DataFrame:
-    """Pairs whose buckets of side ``radius`` are neighbours; ``wrap``: the circumference of x."""
-    side = radius
+def _near(left: DataFrame, right: DataFrame, radius: float, lx: str, ly: str, rx: str, ry: str) -> DataFrame:
+    """Pairs whose buckets of side ``radius`` are neighbours."""
     around = F.sequence(F.lit(-1), F.lit(1))
-    count = int(math.floor(wrap / side)) if wrap else None
-    side_x = wrap / count if count else side
-    bx = lambda c: F.floor(F.col(c) / side_x)
-    key = (lambda c: F.pmod(c, F.lit(count))) if count else (lambda c: c)
-    a = left.withColumns({"_bx": key(bx(lx)), "_by": F.floor(F.col(ly) / side)})
+    a = left.withColumns({"_bx": F.floor(F.col(lx) / radius), "_by": F.floor(F.col(ly) / radius)})
     b = right.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
-    b = b.withColumns({"_bx": key(bx(rx) + F.col("_dx")), "_by": F.floor(F.col(ry) / side) + F.col("_dy")}).drop("_dx", "_dy")
+    b = b.withColumns({"_bx": F.floor(F.col(rx) / radius) + F.col("_dx"), "_by": F.floor(F.col(ry) / radius) + F.col("_dy")}).drop("_dx", "_dy")
     return a.join(b, ["_bx", "_by"]).drop("_bx", "_by")
 
 
@@ -42,11 +37,21 @@ def nearest(left: DataFrame, right: DataFrame, key: str, tile: str, radius: floa
     return p.groupBy(key).agg(F.min(F.struct("d2", tile)).alias("b")).select(key, F.col(f"b.{tile}").alias(tile), F.sqrt("b.d2").alias("distance"))
 
 
-def nearest_km(left: DataFrame, right: DataFrame, key: str, tile: str, km: float, left_ll: tuple[str, str], right_ll: tuple[str, str], top: float = 80.0) -> DataFrame:
-    """Nearest on the sphere within ``km``, for latitudes up to ``top``; buckets wrap at the date line."""
-    degrees = km / 111.19 / math.cos(math.radians(min(89.0, top)))
-    p = _near(left, right, degrees, left_ll[1], left_ll[0], right_ll[1], right_ll[0], wrap=360.0)
-    p = p.withColumn("km", haversine(F.col(left_ll[0]), F.col(left_ll[1]), F.col(right_ll[0]), F.col(right_ll[1]))).where(F.col("km") <= km)
+def _earth_cells(lat: Column, lon: Column, side: float, reach: float = 0.0) -> Column:
+    """The cells of ``side`` (of the unit sphere's space) that lie within ``reach`` of a point along each axis: one, or at most eight."""
+    la, lo = F.radians(lat), F.radians(lon)
+    axes = [F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la)]
+    near = [F.array_distinct(F.array(F.floor((x - reach) / side), F.floor((x + reach) / side))) for x in axes]
+    return F.flatten(F.transform(near[0], lambda i: F.flatten(F.transform(near[1], lambda j: F.transform(near[2], lambda k: F.array(i, j, k))))))
+
+
+def nearest_km(left: DataFrame, right: DataFrame, key: str, tile: str, km: float, left_ll: tuple[str, str], right_ll: tuple[str, str], radius: float = 6371.0) -> DataFrame:
+    """Nearest on the sphere within ``km``, at any latitude: buckets are cells of space, so neither poles nor the date line are special."""
+    chord = 2 * math.sin(min(math.pi, km / radius) / 2) * (1 + 1e-9) + 1e-12
+    a = left.withColumn("_cell", F.element_at(_earth_cells(F.col(left_ll[0]), F.col(left_ll[1]), 2 * chord), 1))
+    b = right.withColumn("_cell", F.explode(_earth_cells(F.col(right_ll[0]), F.col(right_ll[1]), 2 * chord, chord)))
+    p = a.join(b, "_cell").drop("_cell")
+    p = p.withColumn("km", haversine(F.col(left_ll[0]), F.col(left_ll[1]), F.col(right_ll[0]), F.col(right_ll[1]), radius)).where(F.col("km") <= km)
     return p.groupBy(key).agg(F.min(F.struct("km", tile)).alias("b")).select(key, F.col(f"b.{tile}").alias(tile), F.col("b.km").alias("km"))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .compare import consecutive
+from .compare import consecutive, cycle_before
 from .masks import MATERIAL_OTHER
 
 
@@ -86,9 +86,8 @@ def duplicate_keys(x: DataFrame, cycle: str, keys: list[str]) -> DataFrame:
 
 def duplicate_report(x: DataFrame, keys: list[str], cycle: str, value: str, other: str, row: str, tolerance: float = 1e-6) -> DataFrame:
     """Per cycle, the rows that repeat the cycle before, their share of both cycles, and how their ``other`` value differs from that of their first match (of equal row ids the smallest value)."""
-    a = x.select(*keys, (F.col(cycle) + 1).alias(cycle), F.col(value).alias("_v"), F.col(other).alias("_o"), F.col(row).alias("_r"))
-    p = x.select(*keys, cycle, value, other, row).join(a, [*keys, cycle]).where(F.abs(F.col(value) - F.col("_v")) <= tolerance)
-    one = p.groupBy(row, cycle).agg((F.min(other) - F.min_by("_o", F.struct("_r", "_o"))).alias("d"))
+    p = cycle_before(x.select(*keys, cycle, value, other, row), keys, cycle, value, F.min(F.struct(F.col(row).alias("_r"), F.col(other).alias("_o"))), tolerance)
+    one = p.groupBy(row, cycle).agg((F.min(other) - F.min("_first")["_o"]).alias("d"))
     stats = one.groupBy(cycle).agg(F.count(F.lit(1)).alias("n_dup"), F.avg("d").alias("mean"), F.percentile("d", F.lit(0.5)).alias("median"), F.stddev_pop("d").alias("std"), F.percentile(F.abs("d"), F.lit(0.95)).alias("p95_abs"), F.avg((F.abs("d") > 1e-3).cast("int")).alias("share_large"))
     n = x.groupBy(cycle).agg(F.count(F.lit(1)).alias("n_now"))
     before = n.select((F.col(cycle) + 1).alias(cycle), F.col("n_now").alias("n_before"))

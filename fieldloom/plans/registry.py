@@ -47,6 +47,11 @@ def r(df: DataFrame, *columns: str, places: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), places) for c in columns})
 
 
+def off_halves(df: DataFrame, column: str) -> DataFrame:
+    """Rounded to 5 places, 1e-7 beside the halves: stds of one or two rows are exact decimals, and so often exact halves that the order of sums would round either way."""
+    return df.withColumn(column, F.round(F.col(column) + 1e-7, 5))
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -69,19 +74,20 @@ FINAL_SQL = """
        FROM s JOIN g USING (species) GROUP BY tile, grp""")
 def omf_stats(spark: SparkSession, d: str) -> DataFrame:
     """A1-A4, F2: partial sums by month, merged, finalised, weighted by counts."""
-    x = ofa_table(spark, d).where((F.col("species") > 2) | F.col("assim")).withColumn("month", ofa.month_of(F.col("ts")))
+    params = spark.createDataFrame([(s, s <= 2) for s, _ in GROUPS], "species int, assimilates boolean")
+    x = ofa.assimilated(ofa_table(spark, d), params).withColumn("month", ofa.month_of(F.col("ts")))
     parts = ofa.partial_sums(x, ["month", "tile", "species"])
     stats = ofa.finalise(ofa.merge(parts, ["tile", "species"]))
     return r(ofa.weighted(groups(stats), ["tile", "grp"], ["omf_mean", "omf_std", "norm_std"]), "omf_mean", "omf_std", "norm_std")
 
 
 @query(f"WITH {OFA_SQL}, {GROUPS_SQL}, m AS (SELECT *, {MONTH_SQL} AS month FROM ofa), {FINAL_SQL.format(keys='month, tile, species', source='m')}"
-       " SELECT month, grp, CAST(sum(n) AS BIGINT) AS n, round(sum((mo - mf) * n) / sum(n), 4) AS omf_mean, round(sum(omf_std * n) / sum(n), 4) AS omf_std, round(sum((mo - ma) * n) / sum(n), 4) AS oma_mean FROM s JOIN g USING (species) GROUP BY month, grp")
+       " SELECT month, grp, CAST(sum(n) AS BIGINT) AS n, round(sum((mo - mf) * n) / sum(n), 8) AS omf_mean, round(sum(omf_std * n) / sum(n) + 1e-7, 5) AS omf_std, round(sum((mo - ma) * n) / sum(n), 8) AS oma_mean FROM s JOIN g USING (species) GROUP BY month, grp")
 def omf_monthly_group(spark: SparkSession, d: str) -> DataFrame:
-    """A5, A6."""
+    """A5."""
     x = ofa_table(spark, d).withColumn("month", ofa.month_of(F.col("ts")))
     stats = groups(ofa.finalise(ofa.partial_sums(x, ["month", "tile", "species"])))
-    return r(ofa.weighted(stats, ["month", "grp"], ["omf_mean", "omf_std", "oma_mean"], least=0), "omf_mean", "omf_std", "oma_mean")
+    return off_halves(r(ofa.weighted(stats, ["month", "grp"], ["omf_mean", "omf_std", "oma_mean"], least=0), "omf_mean", "oma_mean", places=8), "omf_std")
 
 
 @query(f"""WITH {OFA_SQL} SELECT CAST(ts AS DATE) AS day, species, count(*) AS n, round(avg(obs), 8) AS mean_obs, round(avg(fcst), 8) AS mean_fcst, round(avg(ana), 8) AS mean_ana, round(avg(obs - fcst), 8) AS omf_mean,
@@ -113,12 +119,12 @@ def innov_hist(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {OFA_SQL}, ol AS (SELECT * FROM ofa WHERE NOT assim), da AS (SELECT CAST(ts AS DATE) AS day, tile, max_by(obs, id * 10 + species) AS obs_da FROM ofa WHERE assim GROUP BY 1, 2)
-  SELECT ol.tile, count(*) AS n, round(avg(obs_da - fcst), 4) AS omf_mean FROM ol JOIN da ON CAST(ol.ts AS DATE) = da.day AND ol.tile = da.tile GROUP BY ol.tile""")
+  SELECT ol.tile, count(*) AS n, round(avg(obs_da - fcst), 8) AS omf_mean FROM ol JOIN da ON CAST(ol.ts AS DATE) = da.day AND ol.tile = da.tile GROUP BY ol.tile""")
 def crossmask(spark: SparkSession, d: str) -> DataFrame:
     """J4-J6."""
     x = ofa_table(spark, d).withColumn("day", F.to_date("ts")).withColumn("order", F.col("id") * 10 + F.col("species"))
     both = compare.crossmask(x.where("not assim"), x.where("assim"), ["day", "tile"], ["order"])
-    return r(both.groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("obs_da") - F.col("fcst")).alias("omf_mean")), "omf_mean")
+    return r(both.groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("obs_da") - F.col("fcst")).alias("omf_mean")), "omf_mean", places=8)
 
 
 DUP_SQL = f"{OFA_SQL}, c AS (SELECT *, date_diff('day', DATE '1990-01-01', CAST(ts AS DATE)) AS cycle, id * 10 + species AS rid FROM ofa)"
@@ -143,10 +149,10 @@ def dup_keep_last(spark: SparkSession, d: str) -> DataFrame:
     return series.keep_last(x, ["tile", "species", "q"], "cycle", ["rid"]).select("rid", "cycle", "tile")
 
 
-@query(f"WITH {STATE_SQL} SELECT tile, CAST(month(ts) AS INTEGER) AS month, round(avg(v), 4) AS clim, count(v) AS n FROM st WHERE year(ts) BETWEEN 1995 AND 1997 GROUP BY 1, 2")
+@query(f"WITH {STATE_SQL} SELECT tile, CAST(month(ts) AS INTEGER) AS month, round(avg(v), 8) AS clim, count(v) AS n FROM st WHERE year(ts) BETWEEN 1995 AND 1997 GROUP BY 1, 2")
 def monthly_clim(spark: SparkSession, d: str) -> DataFrame:
     """A16."""
-    return r(series.monthly_climatology(states(spark, d), ["tile"], "v", 1995, 1997), "clim")
+    return r(series.monthly_climatology(states(spark, d), ["tile"], "v", 1995, 1997), "clim", places=8)
 
 
 @query(f"""WITH {STATE_SQL}, d AS (SELECT tile, dayofyear(ts) AS doy, avg(v) AS v FROM st GROUP BY 1, 2)
@@ -177,7 +183,7 @@ def scaling_window(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {STATE_SQL}, c AS (SELECT tile, month(ts) AS m, avg(v) AS clim FROM st WHERE exp = 'F' GROUP BY 1, 2)
   SELECT exp, tile, count(*) AS n, round(var_samp(v - clim), 4) AS var FROM st JOIN c ON st.tile = c.tile AND month(ts) = m GROUP BY exp, st.tile ORDER BY 1""".replace("SELECT exp, tile", "SELECT exp, st.tile AS tile"))
 def anom_variance(spark: SparkSession, d: str) -> DataFrame:
-    """Anomalies of both runs against the control run's climatology."""
+    """Anomalies of both runs against the control run's climatology."""
     x = states(spark, d)
     clim = series.monthly_climatology(x.where("exp = 'F'"), ["tile"], "v", 0, 9999).drop("n")
     a = series.deseasonalise(x, clim, ["tile"], "v")
@@ -286,7 +292,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {PAIR_SQL}, {SUITE_SQL} SELECT tile, n, round(mean_diff, 3) AS mean_diff, round(abs_diff, 3) AS abs_diff, round(std_ratio, 3) AS std_ratio, round(amp_change, 3) AS amp_change, round(CASE WHEN isnan(r) THEN NULL ELSE r END, 3) AS r, round(rmse, 3) AS rmse FROM su")
 def compare_suite(spark: SparkSession, d: str) -> DataFrame:
-    """A37, J1, J2."""
+    """J1 and T1's measures: plain differences of aligned months (A37 is ``anomaly_suite``)."""
     return r(compare.experiment_difference(_pairs(spark, d), ["tile"]), "mean_diff", "abs_diff", "std_ratio", "amp_change", "r", "rmse", places=3)
 
 
@@ -300,17 +306,12 @@ def hotspots(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {OFA_SQL}, e(period, y0, y1) AS (VALUES ('early', 1990, 1994), ('late', 1995, 2005), ('all', 1990, 2005)), x AS (SELECT period, tile, month(ts) AS m, obs, fcst FROM ofa JOIN e ON year(ts) BETWEEN y0 AND y1),
   c AS (SELECT *, obs - avg(obs) OVER w AS ao, fcst - avg(fcst) OVER w AS af FROM x WINDOW w AS (PARTITION BY period, tile, m))
-  SELECT period, tile, count(*) AS n, round(sum(ao * af) / nullif(sqrt(sum(ao * ao) * sum(af * af)), 0), 4) AS anomaly_r, round(sqrt(avg((ao - af) ** 2)), 4) AS anomaly_rmse FROM c GROUP BY 1, 2 HAVING count(*) >= 24""")
+  SELECT period, tile, count(*) AS n, round(corr(obs, fcst), 5) AS r, round(sum(ao * af) / nullif(sqrt(sum(ao * ao) * sum(af * af)), 0), 4) AS anomaly_r, round(sqrt(avg((ao - af) ** 2)), 4) AS anomaly_rmse FROM c GROUP BY 1, 2 HAVING count(*) >= 24""")
 def period_skill(spark: SparkSession, d: str) -> DataFrame:
     """The climatology is that of the period."""
-    from pyspark.sql import Window
-
     periods = spark.createDataFrame([("early", 1990, 1994), ("late", 1995, 2005), ("all", 1990, 2005)], "period string, y0 int, y1 int")
-    x = ofa_table(spark, d).join(F.broadcast(periods), F.year("ts").between(F.col("y0"), F.col("y1")))
-    w = Window.partitionBy("period", "tile", F.month("ts"))
-    c = x.withColumns({"ao": F.col("obs") - F.avg("obs").over(w), "af": F.col("fcst") - F.avg("fcst").over(w)})
-    s = c.groupBy("period", "tile").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.sum(F.col("ao") * F.col("af")), F.sqrt(F.sum(F.col("ao") ** 2) * F.sum(F.col("af") ** 2))).alias("anomaly_r"), F.sqrt(F.avg((F.col("ao") - F.col("af")) ** 2)).alias("anomaly_rmse"))
-    return r(s.where("n >= 24"), "anomaly_r", "anomaly_rmse")
+    x = ofa_table(spark, d).join(F.broadcast(periods), F.year("ts").between(F.col("y0"), F.col("y1")))  # three periods
+    return r(compare.reference_skill(x, ["period", "tile"], "obs", "fcst", 24), "anomaly_r", "anomaly_rmse").withColumn("r", F.round("r", 5))
 
 
 @query("""SELECT CAST(least(10, floor((p_size - 1) / 4.9) + 1) AS INTEGER) AS bin, count(*) AS n, round(avg(p_retailprice), 4) AS mean, round(stddev_pop(p_retailprice), 4) AS std, round(quantile_cont(p_retailprice, 0.5), 4) AS median,
@@ -393,12 +394,12 @@ def radius_pool(spark: SparkSession, d: str) -> DataFrame:
     return r(spatial.pool(b, a, 2.0, ("u", "v"), ("x", "y"), "site", "val"), "mean")
 
 
-@query(f"""WITH {XY_SQL}, q AS (SELECT site, tile, 2 * 6371.0 * asin(sqrt(least(1.0, sin(radians(v - y) / 2) ** 2 + cos(radians(y)) * cos(radians(v)) * sin(radians(u - x) / 2) ** 2))) AS km FROM a JOIN b ON abs(y - v) <= 3 AND abs(y) <= 80 AND abs(v) <= 80)
+@query(f"""WITH {XY_SQL}, q AS (SELECT site, tile, 2 * 6371.0 * asin(sqrt(least(1.0, sin(radians(v - y) / 2) ** 2 + cos(radians(y)) * cos(radians(v)) * sin(radians(u - x) / 2) ** 2))) AS km FROM a JOIN b ON abs(y - v) <= 3)
   SELECT site, tile, round(km, 3) AS km FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY km, tile) AS k FROM q WHERE km <= 200) WHERE k = 1""")
 def nearest_km(spark: SparkSession, d: str) -> DataFrame:
     """J14."""
     a, b = _points(spark, d)
-    return r(spatial.nearest_km(a.where(F.abs("y") <= 80), b.where(F.abs("v") <= 80), "site", "tile", 200.0, ("y", "x"), ("v", "u")), "km", places=3)
+    return r(spatial.nearest_km(a, b, "site", "tile", 200.0, ("y", "x"), ("v", "u")), "km", places=3)
 
 
 @query(f"WITH {PAIR_SQL} SELECT month(month) :: INTEGER AS m, round(avg(da - ol), 3) AS mean_delta, round(stddev_samp(da - ol), 3) AS std_delta, count(DISTINCT tile) AS n_sites FROM pr GROUP BY 1")
@@ -455,7 +456,7 @@ def percentile_clip(spark: SparkSession, d: str) -> DataFrame:
   SELECT d, CAST(CASE WHEN leap AND doy >= 59 THEN floor((doy - 2) / 5) + 1 ELSE floor((doy - 1) / 5) + 1 END AS INTEGER) AS pentad, CAST(floor((doy + 2) / 5) AS INTEGER) AS pentad_scaling, CAST(doy - CASE WHEN leap AND doy >= 60 THEN 1 ELSE 0 END AS INTEGER) AS normal_doy,
   CAST(day(last_day(d)) AS INTEGER) AS days_in_month, CAST(date_diff('day', DATE '1950-01-01', d) AS INTEGER) AS since_1950 FROM t""")
 def calendar(spark: SparkSession, d: str) -> DataFrame:
-    """The calendar of every day in the data."""
+    """The calendar of every day in the data."""
     days = ofa_table(spark, d).select(F.to_date("ts").alias("d")).distinct()
     c = F.col("d")
     return days.select("d", scalar.pentad(c).alias("pentad"), scalar.pentad_scaling(F.dayofyear(c)).alias("pentad_scaling"), scalar.normal_doy(c).alias("normal_doy"), scalar.days_in_month(c).alias("days_in_month"), scalar.days_since_1950(c).alias("since_1950"))
@@ -485,4 +486,4 @@ def ease_grid(spark: SparkSession, d: str) -> DataFrame:
     return cells.select("site", "row", "col", lat.alias("lat"), lon.alias("lon"))
 
 
-from . import summaries  # noqa: E402,F401  (registers its queries; needs the names above)
+from . import comparison, summaries  # noqa: E402,F401  (they register their queries and need the names above)
