@@ -7,6 +7,7 @@ bytes outside ``[\\x20\\x09-\\x0D]``; its identity is a 64-bit hash of its bytes
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,9 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs in one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="fieldloom-")
     return f"{base.rstrip('/')}/fieldloom-{uuid.uuid4().hex}/{name}"
 

@@ -15,7 +15,8 @@ neighbours are nowhere near each other on a curve, and reach grows with the data
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part,
 nor do vectors of another length than the commonest. Null identifiers take no part.
-Ties go to the smaller vec_id. With fewer than k candidates all are returned.
+Ties go to the smaller vec_id. With fewer than k candidates all are returned. Of rows with one vec_id a query
+gets one, and a query none with its own vec_id. An empty table gives an empty result; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -90,12 +91,15 @@ def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.n
     order = np.argsort(ids, kind="stable")
     rows, ids = rows[order], ids[order]
     out: list[list[np.ndarray]] = [[], [], []]
+    longest = np.linalg.norm(rows, axis=1).max(initial=0.0)
     for lo in range(0, len(queries), 256):
         scores = queries[lo : lo + 256] @ rows.T
         scores[query_ids[lo : lo + 256, None] == ids[None, :]] = -np.inf
         floor = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(scores), -np.inf)
+        # what rounding can hide from the matrix product grows with the norms
+        floor = floor - 1e-15 * (rows.shape[1] + 8) * np.linalg.norm(queries[lo : lo + 256], axis=1) * longest
         for i in range(len(scores)):
-            near = np.flatnonzero((scores[i] >= floor[i] - 1e-9) & (scores[i] > -np.inf))
+            near = np.flatnonzero((scores[i] >= floor[i]) & (scores[i] > -np.inf))
             exact = (rows[near] * queries[lo + i]).sum(axis=1)  # the same sum for the same vectors, wherever they are
             top = np.argsort(-exact, kind="stable")[:k]
             out[0].append(np.full(len(top), lo + i))

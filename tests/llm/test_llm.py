@@ -545,6 +545,74 @@ def test_quality(docs, none):
     assert quality.score_quality(docs, quality.train([])).where("score = 0.5").count() == len(ROWS)
 
 
+def test_pipeline_stages_on_awkward_rows(spark, docs, none, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from fieldloom.llm import common
+
+    spark.createDataFrame([(k, k % 2, 0) for k in range(1, 15)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        for rows in (docs, none):
+            out = stage(spark, rows, str(tmp_path))
+            assert name == "packing" or out.columns == docs.columns
+            n = out.count()
+            assert n == 0 if rows is none else name == "quality" or n > 0
+    monkeypatch.setattr(common.tempfile, "mkdtemp", lambda **_: pytest.fail("a local folder"))
+
+    class Cluster:
+        conf, sparkContext = type("C", (), {"get": staticmethod(lambda *_: None)}), type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        common.scratch(Cluster, "x")
+
+
+def _drop_by_brute_force(rows):
+    """What stays of (doc_id, text) rows after exact, near and substring dedup: doc_id -> text."""
+    squash = lambda t: "".join(chr(c) for c in map(ord, t) if c not in (9, 10, 11, 12, 13, 32))
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(squash(t), []).append((-len(t), i, t))
+    left = sorted((i, t) for g in groups.values() for _, i, t in [min(g)])
+    near = _brute_classes(left)
+    left = [(i, t) for i, t in left if i not in near or near[i][1] == i]
+    first = {}
+    for i, t in left:
+        w = words(t)
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), i)
+    out = {}
+    for i, t in left:
+        w = words(t)
+        gone = {k + x for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for x in range(50)}
+        if not gone:
+            out[i] = t
+        elif len(gone) < len(w):
+            out[i] = b" ".join(x for k, x in enumerate(w) if k not in gone).decode()
+    return out
+
+
+def test_pipeline_against_brute_force(spark):
+    """All stages after the learnt one, on real rows."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = _drop_by_brute_force([(r["doc_id"], r["text"] or "") for r in docs.collect()])
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        docs = keep(stage(spark, docs, ""), name)
+    assert {r["doc_id"]: r["text"] or "" for r in docs.collect()} == want
+
+
+def test_a_text_above_the_size_of_a_piece(spark):
+    rnd = random.Random(21)
+    long = " ".join(f"w{rnd.randrange(40_000)}" for _ in range(420_000))  # above 2 MB
+    assert len(long) > 2 << 20
+    rows = spark.createDataFrame([(1, long), (2, "short text of a few words"), (3, long[: len(long) // 2] + " tail")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(rows).collect()}
+    assert got[1]["n_removed"] == 0 and got[3]["n_words"] - got[3]["n_removed"] <= 2
+    assert {r["doc_id"]: r["class_id"] for r in ngram_join.jaccard_classes(rows).collect()} == {1: 1, 2: 2, 3: 3}
+    assert {r["doc_id"]: r["n_tokens"] for r in class_lm.score_documents(rows, F.lit(False)).collect()} == {1: 420_001, 2: 7, 3: got[3]["n_words"] + 1}
+    assert sorted(r["size"] for r in sharding.shard_by_splitters(rows).collect())[-1] == len(long) + 1
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
 def test_pipeline(spark, sf):
     import corpus_pipeline
