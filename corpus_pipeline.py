@@ -5,6 +5,12 @@ and returns a DataFrame; all but the last return the columns of ``documents``.
 ``run`` writes each stage's rows as Parquet to the shared folder and reads them back.
 SQL can't express the learnt and hashed stages, so there is no ORACLE_SQL; the
 tests hold the stages against brute force.
+
+In every stage a null text counts as empty, a very long text is read whole, an empty table gives an empty
+one, and columns beside doc_id and text are carried along whatever their names. Quality
+scores empty texts by the share of good rows. Of rows alike in every way exact dedup keeps one; near dedup leaves empty
+texts, which stand alone, and of rows with one text and doc_id one. Rows with a null doc_id come after all others
+when one of a group is to stay, and lose no words to substring dedup, which drops rows of which no word is left.
 """
 
 from __future__ import annotations
