@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import strings, table
 
 #: Most chunks, matches, states and token pairs that a worker remembers, and the longest chunk or match that it does.
-CACHE, TOKENS, STATES, PAIRS, LONGEST = 200_000, 500_000, 200_000, 1_000_000, 64
+CACHE, TOKENS, STATES, PAIRS, LONGEST = 200_000, 500_000, 800_000, 1_000_000, 64
 _NONE = 1 << 40
 
 
@@ -153,6 +153,8 @@ class Transducer:
         if shared:
             before = first[shared - 1]
             kept = [p[shared:] for p in kept]
+        if all(kept):
+            before = -1  # every path has a last token of its own: states that differ in the token before are one
         key = (before, rest, tuple(kept))
         n = self.number.get(key)
         if n is None and len(self.states) >= STATES:
