@@ -176,11 +176,12 @@ def fixed_columns(spark: SparkSession, path: str, last: int = 8) -> DataFrame:
 
 
 def observation_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV with three header lines; complete only if it ends with EOF."""
-    lines = spark.read.text(path).withColumn("_n", F.monotonically_increasing_id())
-    if lines.where(F.trim("value") == "EOF").isEmpty():
-        raise ValueError("the log is not complete")
-    rows = lines.where((F.col("_n") > 2) & (F.trim("value") != "EOF"))
+    """CSV files, each with three header lines; a file is complete only if its last line is EOF."""
+    lines = F.transform(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n"), F.trim)
+    files = spark.read.text(path, wholetext=True).select(lines.alias("l"))
+    if not files.where(F.element_at("l", -1) != "EOF").isEmpty():
+        raise ValueError("a log is not complete")
+    rows = files.select(F.explode(F.expr("slice(l, 4, greatest(0, size(l) - 4))")).alias("value"))
     return rows.select(F.from_csv("value", schema).alias("r")).select("r.*")
 
 
