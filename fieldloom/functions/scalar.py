@@ -92,6 +92,10 @@ _A, _E, _PHI1 = 6378137.0, 0.081819190843, math.radians(30.0)
 EASE_GRIDS = {"M36": (36032.220840584, 964, 406), "M09": (9008.055210146, 3856, 1624), "M03": (3002.6850700487, 11568, 4872), "M01": (1000.89502334956, 34704, 14616)}
 
 
+# the polar grids, north (N) and south (S): cell size in m, cells along each side
+EASE_POLAR = {"36": (36000.0, 500), "09": (9000.0, 2000), "03": (3000.0, 6000), "01": (1000.0, 18000)}
+
+
 def _k0() -> float:
     return math.cos(_PHI1) / math.sqrt(1 - (_E * math.sin(_PHI1)) ** 2)
 
@@ -101,8 +105,39 @@ def _q(sin_phi: Column) -> Column:
     return (1 - _E**2) * (sin_phi / (1 - es * es) - F.log((1 - es) / (1 + es)) / (2 * _E))
 
 
+def _qp() -> float:
+    """q of the pole."""
+    return 1 - (1 - _E**2) / (2 * _E) * math.log((1 - _E) / (1 + _E))
+
+
+def _latitude(beta: Column) -> Column:
+    """The latitude, in radians, of an authalic one, by its series."""
+    e2, e4, e6 = _E**2, _E**4, _E**6
+    return beta + F.sin(2 * beta) * (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) + F.sin(4 * beta) * (23 * e4 / 360 + 251 * e6 / 3780) + F.sin(6 * beta) * (761 * e6 / 45360)
+
+
+def _polar_index(lat: Column, lon: Column, grid: str) -> tuple[Column, Column]:
+    size, cells = EASE_POLAR[grid[1:]]
+    side = 1 if grid[0] == "N" else -1
+    rho = F.sqrt(F.greatest(F.lit(0.0), F.lit(_qp()) - side * _q(F.sin(F.radians(lat))))) * _A
+    x, y = rho * F.sin(F.radians(lon)), rho * F.cos(F.radians(lon)) * -side
+    row, col = F.floor(F.lit(cells / 2) - y / size).cast("int"), F.floor(x / size + cells / 2).cast("int")
+    inside = row.between(0, cells - 1) & col.between(0, cells - 1)
+    return F.when(inside, row), F.when(inside, col)
+
+
+def _polar_center(row: Column, col: Column, grid: str) -> tuple[Column, Column]:
+    size, cells = EASE_POLAR[grid[1:]]
+    side = 1 if grid[0] == "N" else -1
+    x, y = (col - (cells - 1) / 2) * size, (F.lit((cells - 1) / 2) - row) * size
+    beta = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - (x * x + y * y) / (_A**2 * _qp())))) * side
+    return F.degrees(_latitude(beta)), F.degrees(F.atan2(x, y * -side))
+
+
 def ease_index(lat: Column, lon: Column, grid: str) -> tuple[Column, Column]:
-    """0-based (row, column) of a global cylindrical grid."""
+    """0-based (row, column) of a grid: global cylindrical (M36) or polar (N36, S36), the latter null outside it."""
+    if grid[0] in "NS":
+        return _polar_index(lat, lon, grid)
     size, cols, rows = EASE_GRIDS[grid]
     x = F.radians(lon) * (_A * _k0())
     y = _q(F.sin(F.radians(lat))) * (_A / (2 * _k0()))
@@ -113,13 +148,12 @@ def ease_index(lat: Column, lon: Column, grid: str) -> tuple[Column, Column]:
 
 def ease_center(row: Column, col: Column, grid: str) -> tuple[Column, Column]:
     """(lat, lon) of the cell's centre, by the authalic series."""
+    if grid[0] in "NS":
+        return _polar_center(row, col, grid)
     size, cols, rows = EASE_GRIDS[grid]
     x, y = (col - (cols - 1) / 2) * size, (F.lit((rows - 1) / 2) - row) * size
-    qp = (1 - _E**2) * (1 / (1 - _E**2) - math.log((1 - _E) / (1 + _E)) / (2 * _E))
-    beta = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), y * (2 * _k0() / (_A * qp)))))
-    e2, e4, e6 = _E**2, _E**4, _E**6
-    phi = beta + F.sin(2 * beta) * (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) + F.sin(4 * beta) * (23 * e4 / 360 + 251 * e6 / 3780) + F.sin(6 * beta) * (761 * e6 / 45360)
-    return F.degrees(phi), F.degrees(x / (_A * _k0()))
+    beta = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), y * (2 * _k0() / (_A * _qp())))))
+    return F.degrees(_latitude(beta)), F.degrees(x / (_A * _k0()))
 
 
 def register(spark: SparkSession) -> None:

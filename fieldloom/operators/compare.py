@@ -28,10 +28,15 @@ def first_of_month(x: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return x.withColumn("_r", F.row_number().over(w)).where("_r = 1").withColumn("month", F.last_day("ts")).drop("_r")
 
 
-def crossmask(ol: DataFrame, da: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Control rows that the other run has too, with its (rescaled) observation; of repeated keys its last."""
+def at_place(x: DataFrame, lon: str = "lon", lat: str = "lat", places: int = 6) -> DataFrame:
+    """J4's place: coordinates rounded into ``rlon`` and ``rlat``."""
+    return x.withColumns({"rlon": F.round(lon, places), "rlat": F.round(lat, places)})
+
+
+def crossmask(ol: DataFrame, da: DataFrame, keys: list[str], order: list[str], how: str = "inner") -> DataFrame:
+    """Control rows that the other run has too, with its (rescaled) observation; of repeated keys its last. ``left`` keeps the others with a null."""
     last = da.groupBy(*keys).agg(F.max_by("obs", F.struct(*order)).alias("obs_da"))
-    return ol.join(last, keys)
+    return ol.join(last, keys, how)
 
 
 def within(value: Column, tolerance: float, spread: bool = False) -> Column:
@@ -317,6 +322,15 @@ def standard_betas(x: DataFrame, target: str, predictors: list[str]) -> list[tup
     return sorted(zip(predictors, map(float, beta)), key=lambda p: -abs(p[1]))
 
 
+def standard_regression(x: DataFrame, target: str, predictors: list[str]) -> DataFrame:
+    """A row for each predictor with its beta, the largest first, and the R2 of the whole."""
+    betas = standard_betas(x, target, predictors)
+    used = x.dropna(subset=[*predictors, target])
+    r = used.agg(*[F.corr(p, target).alias(p) for p, _ in betas]).first()
+    r2 = sum(b * r[p] for p, b in betas)
+    return x.sparkSession.createDataFrame([(k + 1, p, b, r2) for k, (p, b) in enumerate(betas)], "place int, predictor string, beta double, r2 double")
+
+
 def area_summary(x: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """Weighted mean, weighted median (first value with half of the weight), weighted share above 0."""
     ok = x.where(F.col(value).isNotNull() & (F.col(weight) > 0))
@@ -332,6 +346,13 @@ def threshold_sweep(x: DataFrame, keys: list[str], value: str, thresholds: list[
     return t.groupBy("threshold", *keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
 
 
+def clear_sweep(x: DataFrame, keys: list[str], cover: str, clear: str, thresholds: list[int], snowy: float = 0.9) -> DataFrame:
+    """A68 for snow: for every least clear index the largest corrected cover, how many values there are, and how many exceed ``snowy``."""
+    t = x.withColumn("threshold", F.explode(F.array(*[F.lit(int(v)) for v in thresholds]))).where(F.col(clear) > F.col("threshold"))
+    t = t.withColumn("_f", F.try_divide(F.col(cover), F.col(clear)))
+    return t.groupBy("threshold", *keys).agg(F.max("_f").alias("most"), F.count("_f").alias("n"), F.count_if(F.col("_f") > snowy).alias("n_snowy"))
+
+
 def welch(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Welch t and two-sided F between two tables of (n, mean, std)."""
     p = a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in ("n", "mean", "std")]).join(b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("n", "mean", "std")]), keys).where("a_n > 2 and b_n > 2 and a_std > 0 and b_std > 0")
@@ -380,6 +401,12 @@ def root_zone(values: list[str], depths: list[float]) -> Column:
     return total / sum(depths)
 
 
+def station_daily(x: DataFrame, keys: list[str], means: list[str], sums: list[str], legacy: bool = False) -> DataFrame:
+    """Hours to days: means of states, sums of fluxes; the sum of a day without values is null (``legacy``: 0)."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0)) if legacy else F.sum(c)
+    return x.groupBy(*keys, F.to_date("ts").alias("day")).agg(*[F.avg(c).alias(c) for c in means], *[total(c).alias(c) for c in sums])
+
+
 def balanced_sites(counts: DataFrame, site: str, periods: list[str], most: int = 30, best: int = 15) -> DataFrame:
     """The sites with most days, of these the ones whose periods are most alike."""
     mean = sum((F.col(p) for p in periods), F.lit(0)) / len(periods)

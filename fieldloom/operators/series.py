@@ -146,6 +146,19 @@ def ols_trend(x: DataFrame, keys: list[str], t: Column, value: str) -> DataFrame
     return x.groupBy(*keys).agg(F.regr_slope(F.col(value), t).alias("slope"), F.count(value).alias("n"))
 
 
+def index_trend(x: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """Slope by the running number of a series' values."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return ols_trend(x.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(w)), keys, F.col("_k"), value)
+
+
+def cumulative_trend(x: DataFrame, keys: list[str], order: list[str], t: Column, value: str, skip: bool = False) -> DataFrame:
+    """Slope of the running sum and the mean increment; a null counts as 0, or (``skip``) its row as none."""
+    rows = x.where(F.col(value).isNotNull()) if skip else x.withColumn(value, F.coalesce(F.col(value), F.lit(0.0)))
+    run = running_sum(rows, keys, order, value, "_total")
+    return run.groupBy(*keys).agg(F.regr_slope(F.col("_total"), t).alias("slope"), F.avg(value).alias("mean"), F.count(value).alias("n"))
+
+
 def theil_sen_pairs(x: DataFrame, keys: list[str], t: str, value: str) -> DataFrame:
     """A30 for short series: the median of all slopes, by a self-join within the series."""
     a = x.where(F.col(value).isNotNull()).select(*keys, F.col(t).alias("t1"), F.col(value).alias("y1"))

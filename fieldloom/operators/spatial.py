@@ -101,10 +101,10 @@ def modal(x: DataFrame, keys: list[str], value: str) -> DataFrame:
     return x.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("m"), value)).alias("b")).select(*keys, F.col(f"b.{value}").alias(value), (-F.col("b.m")).alias("n"))
 
 
-def clip(x: DataFrame, regions: DataFrame, lon: str, lat: str) -> DataFrame:
-    """rows inside the (few) named boxes, edges included."""
-    inside = F.col(lon).between(F.col("lon0"), F.col("lon1")) & F.col(lat).between(F.col("lat0"), F.col("lat1"))
-    return x.join(F.broadcast(regions), inside).drop("lon0", "lon1", "lat0", "lat1")
+def clip(x: DataFrame, regions: dict[str, tuple[float, float, float, float]], lon: str, lat: str) -> DataFrame:
+    """a row for each of the named boxes (lon0, lon1, lat0, lat1) that holds the point, edges included; the few boxes are part of the expression."""
+    hits = [F.when(F.col(lon).between(w, e) & F.col(lat).between(s, n), F.lit(name)) for name, (w, e, s, n) in regions.items()]
+    return x.withColumn("region", F.explode(F.array_compact(F.array(*hits))))
 
 
 def tile_by_cell(obs: DataFrame, tiles: DataFrame, limit: Column) -> DataFrame:

@@ -179,6 +179,11 @@ def increment_total(surface: Column, root: Column, deficit: Column) -> Column:
     return surface + root - deficit
 
 
+def snow_total(*layers: Column) -> Column:
+    """The snow that an increment adds to its layers; null if one is."""
+    return sum(layers[1:], layers[0])
+
+
 def increment_stats(x: DataFrame, keys: list[str], value: str, limit: float = MATERIAL_OTHER) -> DataFrame:
     """Mean, population std and count of material increments, per tile or per time."""
     return x.where(F.abs(F.col(value)) > limit).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))

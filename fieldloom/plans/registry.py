@@ -486,4 +486,4 @@ def ease_grid(spark: SparkSession, d: str) -> DataFrame:
     return cells.select("site", "row", "col", lat.alias("lat"), lon.alias("lon"))
 
 
-from . import comparison, summaries  # noqa: E402,F401  (they register their queries and need the names above)
+from . import comparison, rules, summaries  # noqa: E402,F401  (they register their queries and need the names above)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions import scalar
-from fieldloom.operators import compare, spatial
+from fieldloom.operators import compare, series, spatial
 from fieldloom.sources import ingest
 from fieldloom.streaming import streams
 
@@ -169,3 +169,38 @@ def test_cross_mask_stream_equals_batch(spark, tmp_path):
     a, b = batch.select("tile", "ts", "value"), batch.select(F.col("tile").alias("t"), F.col("ts").alias("ts_da"), F.col("value").alias("value_da"))
     want = a.join(b, (a["tile"] == b["t"]) & (F.abs(F.col("ts").cast("long") - F.col("ts_da").cast("long")) <= 3 * 3600)).drop("t")
     assert sorted(map(str, got.select("tile", "ts", "ts_da", "value", "value_da").collect())) == sorted(map(str, want.select("tile", "ts", "ts_da", "value", "value_da").collect()))
+
+
+def test_polar_grids_go_there_and_back(spark):
+    x = spark.createDataFrame([(a, b) for a in (10, 60, 250, 251, 400) for b in (20, 249, 333)], "row int, col int")
+    for grid, sign in (("N36", 1), ("S36", -1)):
+        lat, lon = scalar.ease_center(F.col("row"), F.col("col"), grid)
+        y = x.withColumns({"lat": lat, "lon": lon})
+        row, col = scalar.ease_index(F.col("lat"), F.col("lon"), grid)
+        got = y.withColumns({"r": row, "c": col}).where(F.col("lat") * sign > 0).collect()
+        assert got and all((g["row"], g["col"]) == (g["r"], g["c"]) for g in got)
+    far = scalar.ease_index(F.lit(-80.0), F.lit(0.0), "N36")
+    assert spark.range(1).select(*far).first() == (None, None)
+
+
+def test_station_days_without_values(spark):
+    x = spark.createDataFrame([(1, at(5, 1), 0.2, None), (1, at(6, 1), 0.4, None), (1, at(5, 2), None, 2.0)], "k int, ts timestamp, sm double, p double")
+    rows = lambda legacy: [(round(r["sm"], 9) if r["sm"] is not None else None, r["p"]) for r in compare.station_daily(x, ["k"], ["sm"], ["p"], legacy).orderBy("day").collect()]
+    assert rows(False) == [(0.3, None), (None, 2.0)]
+    assert rows(True) == [(0.3, 0.0), (None, 2.0)]
+
+
+def test_clip_keeps_edges_and_overlaps(spark):
+    x = spark.createDataFrame([(0.0, 0.0), (5.0, 5.0), (9.0, 9.0), (None, 1.0)], "lon double, lat double")
+    got = spatial.clip(x, {"a": (0.0, 5.0, 0.0, 5.0), "b": (5.0, 6.0, 5.0, 6.0)}, "lon", "lat").orderBy("lon", "region")
+    assert [(r["lon"], r["region"]) for r in got.collect()] == [(0.0, "a"), (5.0, "a"), (5.0, "b")]
+
+
+def test_left_cross_mask_and_cumulative_trend(spark):
+    ol = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, fcst double")
+    da = spark.createDataFrame([(1, 5.0, 1), (1, 6.0, 2)], "k int, obs double, o int")
+    assert [tuple(r) for r in compare.crossmask(ol, da, ["k"], ["o"], "left").orderBy("k").collect()] == [(1, 1.0, 6.0), (2, 2.0, None)]
+    x = spark.createDataFrame([("a", 1, 2.0), ("a", 2, None), ("a", 3, 2.0)], "k string, t int, v double")
+    one = lambda skip: tuple(series.cumulative_trend(x, ["k"], ["t"], F.col("t"), "v", skip).first())
+    assert one(False) == ("a", 1.0, 4 / 3, 3)
+    assert one(True) == ("a", 1.0, 2.0, 2)
