@@ -235,11 +235,11 @@ def standard_regression(spark: SparkSession, d: str) -> DataFrame:
     return r(compare.standard_regression(x, "y", ["size", "part"]), "beta", "r2", places=8)
 
 
-@query(f"""WITH {STATE_SQL}, y AS (SELECT tile, CAST(year(ts) AS INTEGER) AS yr, count(*) AS n FROM st WHERE exp = 'P' GROUP BY 1, 2) SELECT k.tile, CAST(a AS INTEGER) AS yr, n FROM (SELECT DISTINCT tile FROM y) k CROSS JOIN (SELECT unnest(generate_series(1990, 2000)) AS a) LEFT JOIN y ON y.tile = k.tile AND y.yr = a""")
+@query(f"""WITH {STATE_SQL}, y AS (SELECT tile, CAST(year(ts) AS INTEGER) AS yr, avg(v) AS v FROM st WHERE exp = 'P' GROUP BY 1, 2) SELECT k.tile, CAST(a AS INTEGER) AS yr, round(v, 6) AS v FROM (SELECT DISTINCT tile FROM y) k CROSS JOIN (SELECT unnest(generate_series(1990, 2000)) AS a) LEFT JOIN y ON y.tile = k.tile AND y.yr = a""")
 def year_axis(spark: SparkSession, d: str) -> DataFrame:
     """Every year for each tile."""
-    y = states(spark, d).where("exp = 'P'").groupBy("tile", F.year("ts").alias("yr")).agg(F.count(F.lit(1)).alias("n"))
-    return compare.fill_axis(y, ["tile"], "yr", 1990, 2000)
+    y = states(spark, d).where("exp = 'P'").groupBy("tile", F.year("ts").alias("yr")).agg(F.avg("v").alias("v"))
+    return r(compare.fill_axis(y, ["tile"], "yr", 1990, 2000), "v", places=6)
 
 
 TILE_SQL = "tl AS (SELECT s_suppkey AS tile, s_nationkey AS nation, s_suppkey % 10 AS i, s_nationkey % 5 AS j, s_suppkey % 10 * 0.25 + 0.1 AS com_lon, s_nationkey % 5 * 0.25 + 0.1 AS com_lat FROM supplier)"
