@@ -39,9 +39,11 @@ from pyspark.sql import functions as F
 from .common import CHUNK, keep, pieces, strings, table
 
 #: A word is frequent if it is at least one in so many of all words; the longest word (in bytes) that the lexicon takes.
-ONE_IN, LONGEST = 200_000, 64
-#: Most unseen words that a worker remembers.
-CACHE = 500_000
+ONE_IN, LONGEST = 500_000, 64
+#: Most unseen words, and most pieces of them, that a worker remembers; the longest piece that is merged together with others.
+CACHE, DIRECT = 300_000, 100
+#: What the vocabulary's pattern does to ASCII text, where letters, digits and blanks are beyond doubt.
+_ASCII = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII).findall
 
 # bytes that can end, and that can begin, a white-space character; 0x1C-0x1F are taken in to be safe
 _ENDS_BLANK, _BEGINS_BLANK = np.zeros(256, bool), np.zeros(256, bool)
@@ -71,12 +73,62 @@ class Vocabulary:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+        self.shown = {b: c for c, b in byte_of.items()}
+        self.pieces: dict[str, bytes] = {}
         table: dict[int, bytes] = {i: bytes(byte_of[c] for c in t) for t, i in self.ids.items()}
         table |= {i: s.encode() for s, i in self.special.items()}
         self.bytes_of = [table.get(i, b"") for i in range(max(table, default=-1) + 1)]
-
-    def merge(self, piece: str) -> list[int]:
-        """The ids of one piece: of all neighbours that merge, those of the least rank are merged first, from the left."""
+        self.id_of_char = np.zeros(512, np.int32)
+        for c in byte_of:
+            self.id_of_char[ord(c)] = self.ids[c]
+        self.merged = np.array([self.ids[a + b] for a, b in self.ranks], np.int32)
+        keys = np.array([self.ids[a] * len(self.bytes_of) + self.ids[b] for a, b in self.ranks], np.int64)
+        self.pair_ranks = np.argsort(keys)
+        self.pair_keys = keys[self.pair_ranks]
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of tokens; below 0 stands for no token."""
+        key = left.astype(np.int64) * len(self.bytes_of) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == key) & (left >= 0) & (right >= 0), self.pair_ranks[at], len(self.ranks))
+
+    def _merge_block(self, pieces: list[str]) -> Iterator[bytes]:
+        """The ids of some pieces, all at once: a round merges in each of them the pair of the least rank, the leftmost of equals."""
+        length = np.array([len(p) for p in pieces])
+        columns, never = np.arange(length.max()), len(self.ranks)
+        token = np.full((len(pieces), len(columns) + 1), -1, np.int32)
+        token[:, :-1][columns < length[:, None]] = self.id_of_char[np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)]
+        rank = np.append(self._rank(token[:, :-1], token[:, 1:]), np.full((len(pieces), 1), never), axis=1)  # the last two columns are no pairs
+        rows = np.arange(len(pieces))
+        while len(rows):
+            t, r = token[rows], rank[rows]
+            at = r.argmin(axis=1)
+            k = np.arange(len(rows))
+            least = r[k, at]
+            go = least < never
+            rows, t, r, at, least, k = rows[go], t[go], r[go], at[go], least[go], k[: go.sum()]
+            t = np.append(np.where(columns > at[:, None], t[:, 1:], t[:, :-1]), t[:, -1:], axis=1)
+            r = np.append(np.where(columns >= at[:, None], r[:, 1:], r[:, :-1]), r[:, -1:], axis=1)
+            t[k, at] = self.merged[least]
+            r[k, at] = self._rank(t[k, at], t[k, at + 1])
+            left = at > 0
+            r[k[left], at[left] - 1] = self._rank(t[k[left], at[left] - 1], t[k[left], at[left]])
+            token[rows], rank[rows] = t, r
+        count = 4 * (token >= 0).sum(axis=1)
+        ends = np.cumsum(count)
+        raw = token[token >= 0].tobytes()
+        return (raw[a:b] for a, b in zip((ends - count).tolist(), ends.tolist()))
+
+    def merge(self, pieces: list[str], block: int = 4096) -> dict[str, bytes]:
+        """The ids of each piece, as bytes of 32-bit integers: of all neighbours that merge, those of the least rank are merged first, from the left."""
+        short = sorted((p for p in pieces if len(p) <= DIRECT), key=len)
+        out = {p: np.array(self._merge_long(p), np.int32).tobytes() for p in pieces if len(p) > DIRECT}
+        for k in range(0, len(short), block):
+            out.update(zip(short[k : k + block], self._merge_block(short[k : k + block])))
+        return out
+
+    def _merge_long(self, piece: str) -> list[int]:
+        """A long piece by itself, by a heap of pairs."""
         parts: list[str | None] = list(piece)
         before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
         heap = [(r, i) for i, pair in enumerate(zip(piece, piece[1:])) if (r := self.ranks.get(pair)) is not None]
@@ -97,8 +149,19 @@ class Vocabulary:
                 heapq.heappush(heap, (r, h))
         return [self.ids[p] for p in parts if p is not None]
 
-    def word(self, text: str) -> list[int]:
-        return [i for piece, _ in self.cut(text) for i in self.merge(piece)]
+    def words(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes of 32-bit integers."""
+        # an ASCII piece without blanks has one name in both kinds of pieces, and others can't be taken for one another
+        cut = [_ASCII(t) if t.isascii() else [p for p, _ in self.cut(t)] for t in texts]
+        new = {p for c in cut for p in c}.difference(self.pieces)
+        names = {p: "".join(map(self.shown.__getitem__, p.encode())) if p.isascii() else p for p in new}
+        merged = self.merge(list(set(names.values())))
+        own = {p: merged[n] for p, n in names.items()}
+        out = [b"".join([own[p] if p in own else self.pieces[p] for p in c]) for c in cut]
+        if len(self.pieces) >= CACHE:
+            self.pieces.clear()
+        self.pieces.update((p, i) for p, i in own.items() if len(p) <= LONGEST)
+        return out
 
 
 class Builder:
@@ -250,12 +313,14 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
     A space begins a word unless white space stands on both of its sides: then it may belong to a longer match.
     """
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
     space = np.flatnonzero(data == 32)
-    after = np.append(data, 32)[space + 1]
-    before = np.append(data, 0)[space - 1]
-    at_end = np.isin(space + 1, offsets)
-    cut = space[~(_ENDS_BLANK[before] & (_BEGINS_BLANK[after] | at_end)) | np.isin(space, offsets)]
-    start = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], cut]))
+    after, before = np.append(data, 32)[space + 1], data[space - 1]
+    begins = edge.copy()
+    begins[offsets[-1]] = False
+    begins[space[~(_ENDS_BLANK[before] & (_BEGINS_BLANK[after] | edge[space + 1]))]] = True
+    start = np.flatnonzero(begins)
     whose = np.searchsorted(start, offsets)
     end = np.append(start[1:], offsets[-1])
     return np.stack([start, end]), whose
@@ -273,15 +338,15 @@ class Codec:
     def _column(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
-    def _unseen(self, raw: bytes) -> np.ndarray:
-        ids = self.seen.get(raw)
-        if ids is None:
-            ids = np.array(self.vocabulary.word(raw.decode("utf-8", "replace")), np.int32)
-            if len(raw) <= LONGEST:
-                if len(self.seen) >= CACHE:
-                    self.seen.clear()
-                self.seen[raw] = ids
-        return ids
+    def _unseen(self, raw: list[bytes]) -> list[bytes]:
+        """The ids of each word, as bytes of 32-bit integers; those that are new are merged together."""
+        new = {w for w in raw if w not in self.seen}
+        ids = dict(zip(new, self.vocabulary.words([w.decode("utf-8", "replace") for w in new])))
+        out = [ids[w] if w in ids else self.seen[w] for w in raw]
+        if len(self.seen) >= CACHE:
+            self.seen.clear()
+        self.seen.update((w, i) for w, i in ids.items() if len(w) <= LONGEST)
+        return out
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one behind the other, and where those of each begin; no special tokens."""
@@ -292,14 +357,14 @@ class Codec:
         known, count, ids = self.lexicon.walk(data, start, end)
         rare = np.flatnonzero(~known)
         raw = data.tobytes() if len(rare) else b""
-        own = [self._unseen(raw[a:b]) for a, b in zip(start[rare].tolist(), end[rare].tolist())]
-        count[rare] = [len(x) for x in own]
+        own = self._unseen([raw[a:b] for a, b in zip(start[rare].tolist(), end[rare].tolist())])
+        count[rare] = [len(x) // 4 for x in own]
         place = np.concatenate([[0], np.cumsum(count)])
         out = np.zeros(place[-1], np.int32)
         if len(rare):
             of_known = np.repeat(known, count)
             out[of_known] = ids
-            out[~of_known] = np.concatenate(own)
+            out[~of_known] = np.frombuffer(b"".join(own), np.int32)
         else:
             out = ids
         return out, place[whose]
@@ -361,9 +426,9 @@ def frequent_words(docs: DataFrame, one_in: int = ONE_IN, text: str = "text") ->
 
 
 def compiled(vocabulary: Vocabulary, words: Iterable[str]) -> bytes:
-    build = Builder()
-    for raw in sorted({w.encode() for w in words}):
-        build.add(raw, tuple(vocabulary.word(raw.decode())))
+    build, raw = Builder(), sorted({w.encode() for w in words})
+    for w, ids in zip(raw, vocabulary.words([w.decode() for w in raw])):
+        build.add(w, tuple(np.frombuffer(ids, np.int32).tolist()))
     return build.pack()
 
 

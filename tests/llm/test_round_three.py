@@ -73,8 +73,20 @@ def test_lexicon_shares_endings():
 
 def test_merging_a_long_piece():
     vocabulary = lexicon_bpe.Vocabulary(PATH)
-    text = "".join(RND.choice("abcdeinorst") for _ in range(20_000))
-    assert vocabulary.word(text) == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    texts = ["".join(RND.choice("abcdeinorst") for _ in range(n)) for n in (20_000, 101, 100, 99, 2, 1)]
+    got = [np.frombuffer(b, np.int32).tolist() for b in vocabulary.words(texts)]
+    assert got == [t.ids for t in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(lexicon_bpe, "CACHE", 50)
+    vocabulary = lexicon_bpe.Vocabulary(PATH)
+    own, tok = lexicon_bpe.Codec(vocabulary, lexicon_bpe.Lexicon(lexicon_bpe.compiled(vocabulary, []))), Tokenizer.from_file(PATH)
+    for k in range(20):
+        texts = [" ".join(f"wörd{RND.randrange(300)}, x{j}" for _ in range(20)) for j in range(3)]
+        ids, first = own.encode(pa.array(texts, pa.large_string()))
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [t.ids for t in tok.encode_batch(texts, add_special_tokens=False)]
+        assert len(own.seen) < 50 + 200 and len(vocabulary.pieces) < 50 + 200
 
 
 def test_strassen():
