@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -41,9 +42,24 @@ def days_since_1950(d: Column) -> Column:
     return F.datediff(d, F.lit("1950-01-01").cast("date"))
 
 
-def j2000(seconds: Column) -> Column:
-    """Seconds since noon of 1 January 2000 as a timestamp (leap seconds not counted)."""
-    return F.timestamp_seconds(seconds + 946728000)
+# fixed values: what second 0 is called, and the days before whose begin UTC has had a leap second
+J2000_EPOCHS = {"TT12": "2000-01-01 12:00:00", "UT12": "2000-01-01 11:58:55", "UT00": "2000-01-01 00:00:00"}
+LEAP_DAYS = ("2006-01-01", "2009-01-01", "2012-07-01", "2015-07-01", "2017-01-01")
+
+
+def _seconds(text: str) -> int:
+    return int(datetime.fromisoformat(text).replace(tzinfo=timezone.utc).timestamp())
+
+
+def j2000(seconds: Column, epoch: str = "TT12", leap: bool = False) -> Column:
+    """Elapsed seconds since 2000 as a timestamp. ``leap``: the leap seconds since then are elapsed seconds without a place in
+    the calendar; such a second reads as the first of the day that follows."""
+    zero = _seconds(J2000_EPOCHS[epoch])
+    if not leap:
+        return F.timestamp_seconds(seconds + zero)
+    # the k-th leap second is over when the elapsed seconds reach the day's begin and k more
+    past = sum(((seconds >= _seconds(d) - zero + k).cast("int") for k, d in enumerate(LEAP_DAYS, 1)), F.lit(0))
+    return F.timestamp_seconds(seconds + zero - past)
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371.0) -> Column:
@@ -156,12 +172,30 @@ def ease_center(row: Column, col: Column, grid: str) -> tuple[Column, Column]:
     return F.degrees(_latitude(beta)), F.degrees(x / (_A * _k0()))
 
 
+def _by_grid(pick) -> str:
+    """SQL that picks a number by the grid's name."""
+    return "CASE grid " + " ".join(f"WHEN '{g}' THEN {pick(*v)}" for g, v in EASE_GRIDS.items()) + " END"
+
+
 def register(spark: SparkSession) -> None:
-    """SQL functions that Catalyst inlines."""
+    """SQL functions that Catalyst inlines (G5): the calendar, cells, distances and the global cylindrical grids, whose ``grid`` is M36, M09, M03 or M01."""
+    size, cols, rows = (_by_grid(lambda *v, k=k: repr(v[k])) for k in range(3))
+    e2 = _E**2
+    q = f"({1 - e2!r}D * (sin(radians(lat)) / (1 - pow({_E!r}D * sin(radians(lat)), 2)) - ln((1 - {_E!r}D * sin(radians(lat))) / (1 + {_E!r}D * sin(radians(lat)))) / {2 * _E!r}D))"
+    b = f"asin(greatest(-1D, least(1D, (({rows} - 1) / 2 - y) * {size} * {2 * _k0() / (_A * _qp())!r}D)))"
+    series = [e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040, 23 * e2**2 / 360 + 251 * e2**3 / 3780, 761 * e2**3 / 45360]
+    leap = "dayofyear(make_date(year(d), 12, 31)) = 366"
     for text in (
         "pentad_plain(doy INT) RETURNS INT RETURN CAST(floor((doy - 1) / 5) + 1 AS INT)",
         "pentad_scaling(doy INT) RETURNS INT RETURN CAST(floor((doy + 2) / 5) AS INT)",
+        f"pentad(d DATE) RETURNS INT RETURN CAST(floor((dayofyear(d) - CASE WHEN {leap} AND dayofyear(d) >= 59 THEN 2 ELSE 1 END) / 5) + 1 AS INT)",
+        f"normal_doy(d DATE) RETURNS INT RETURN dayofyear(d) - CASE WHEN {leap} AND dayofyear(d) >= 60 THEN 1 ELSE 0 END",
         "wrap360(lon DOUBLE) RETURNS DOUBLE RETURN pmod(lon, 360.0D)",
+        "cell_index(x DOUBLE, low DOUBLE, step DOUBLE, cells INT) RETURNS INT RETURN CASE WHEN floor((x - low) / step) BETWEEN 0 AND cells - 1 THEN CAST(floor((x - low) / step) AS INT) END",
         "haversine_km(lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE) RETURNS DOUBLE RETURN 2 * 6371.0D * asin(sqrt(least(1.0D, pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2))))",
+        f"ease_row(grid STRING, lat DOUBLE) RETURNS INT RETURN CAST(greatest(0, least({rows} - 1, floor({rows} / 2 - {q} * {_A / (2 * _k0())!r}D / {size}))) AS INT)",
+        f"ease_col(grid STRING, lon DOUBLE) RETURNS INT RETURN CAST(greatest(0, least({cols} - 1, floor(radians(lon) * {_A * _k0()!r}D / {size} + {cols} / 2))) AS INT)",
+        f"ease_lat(grid STRING, y DOUBLE) RETURNS DOUBLE RETURN degrees({b} + {' + '.join(f'sin({2 * k} * {b}) * {c!r}D' for k, c in enumerate(series, 1))})",
+        f"ease_lon(grid STRING, x DOUBLE) RETURNS DOUBLE RETURN degrees((x - ({cols} - 1) / 2) * {size} / {_A * _k0()!r}D)",
     ):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {text}")

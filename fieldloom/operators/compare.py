@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..functions.scalar import bit
+from .quantiles import column_percentiles, weighted_median, with_percentiles
 
 
 def align(a: DataFrame, b: DataFrame, keys: list[str], value: str, names: tuple[str, str] = ("ol", "da")) -> DataFrame:
@@ -97,42 +98,9 @@ def station_good(sm: Column, kelvin: Column) -> Column:
     return F.when((kelvin >= 277.16) & (sm >= 1e-4), sm)
 
 
-def value_at_rank(v: DataFrame, rows: int, rank: int, most: int) -> float:
-    """The value with ``rank`` (from 0) of column v, by narrowing the values between approximate quantiles until at most ``most`` rows are left."""
-    while rows > most:
-        cuts = sorted(set(v.agg(F.percentile_approx("v", F.lit([k / 64 for k in range(1, 64)]), 1000)).first()[0]))
-        edges = F.array(*[F.lit(c) for c in cuts])
-        # even: between two cuts; odd: a cut itself
-        place = 2 * F.size(F.filter(edges, lambda c: c < F.col("v"))) + F.array_contains(edges, F.col("v")).cast("int")
-        placed = v.withColumn("_p", place)
-        for r in sorted(placed.groupBy("_p").count().collect()):  # at most 127 rows
-            if rank < r["count"]:
-                break
-            rank -= r["count"]
-        if r["_p"] % 2:
-            return cuts[r["_p"] // 2]
-        v, rows = placed.where(F.col("_p") == r["_p"]).drop("_p"), r["count"]
-    return sorted(r[0] for r in v.collect())[rank]
-
-
-def exact_percentiles(x: DataFrame, value: str, shares: list[float], most: int = 50_000) -> list[float | None]:
-    """Interpolated percentiles of a whole column; no task or driver holds more than ``most`` of its values."""
-    v = x.select(F.col(value).cast("double").alias("v")).where("v is not null")
-    n = v.count()
-    if not n:
-        return [None] * len(shares)
-    need = sorted({min(n - 1, int(share * (n - 1)) + k) for share in shares for k in (0, 1)})
-    if n <= most:
-        whole = sorted(r[0] for r in v.collect())
-        at = {k: whole[k] for k in need}
-    else:
-        at = {k: value_at_rank(v, n, k, most) for k in need}
-    return [at[int(p)] + (p - int(p)) * (at[min(n - 1, int(p) + 1)] - at[int(p)]) for p in (share * (n - 1) for share in shares)]
-
-
 def percentile_clip(x: DataFrame, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """null outside the percentiles."""
-    lo, hi = exact_percentiles(x, value, [low, high])
+    lo, hi = column_percentiles(x, value, [low, high])
     return x.withColumn(value, F.when(F.col(value).between(F.lit(lo), F.lit(hi)), F.col(value)))
 
 
@@ -217,13 +185,18 @@ def bins_by_edges(x: DataFrame, by: str, value: str, edges: list[float]) -> Data
     if len(cuts) < 2:
         cuts = (cuts or [0.0]) * 2
     k = F.greatest(F.lit(1), F.size(F.filter(F.array(*[F.lit(float(e)) for e in cuts[:-1]]), lambda e: e < F.col(by))))
-    p = lambda q: F.percentile(value, F.lit(q))
-    return x.where(F.col(by).between(cuts[0], cuts[-1])).groupBy(k.alias("bin")).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), p(0.5).alias("median"), p(0.25).alias("q25"), p(0.75).alias("q75"))
+    return _distribution(x.where(F.col(by).between(cuts[0], cuts[-1])).withColumn("bin", k), value, F.stddev_samp)
+
+
+def _distribution(x: DataFrame, value: str, std) -> DataFrame:
+    """Of each bin the count, mean, std, median and quartiles."""
+    stats = x.groupBy("bin").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), std(value).alias("std"))
+    return with_percentiles(stats, x, ["bin"], value, {"median": 0.5, "q25": 0.25, "q75": 0.75})
 
 
 def quantile_bins(x: DataFrame, by: str, value: str, q: int = 5) -> DataFrame:
     """Bins of equally many rows."""
-    return bins_by_edges(x, by, value, exact_percentiles(x, by, [k / q for k in range(q + 1)]))
+    return bins_by_edges(x, by, value, column_percentiles(x, by, [k / q for k in range(q + 1)]))
 
 
 def log_bins(x: DataFrame, by: str, value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -250,14 +223,15 @@ def hotspots(stats: DataFrame, key: str, k: int = 20) -> DataFrame:
 
 def robust(x: DataFrame, keys: list[str], value: str) -> DataFrame:
     """A54."""
-    p = lambda q: F.percentile(value, F.lit(q))
-    return x.groupBy(*keys).agg(F.count(value).alias("n"), p(0.5).alias("median"), p(0.25).alias("p25"), p(0.75).alias("p75"), p(0.05).alias("p05"), p(0.95).alias("p95"), (p(0.75) - p(0.25)).alias("iqr"), F.avg((F.col(value) > 0).cast("int")).alias("positive"))
+    stats = x.groupBy(*keys).agg(F.count(value).alias("n"), F.avg((F.col(value) > 0).cast("int")).alias("positive"))
+    out = with_percentiles(stats, x, keys, value, {"median": 0.5, "p25": 0.25, "p75": 0.75, "p05": 0.05, "p95": 0.95})
+    return out.withColumn("iqr", F.col("p75") - F.col("p25"))
 
 
 def binned(x: DataFrame, by: str, value: str, low: float, high: float, bins: int) -> DataFrame:
     """Equal bins, the last closed on both sides."""
     k = F.least(F.lit(bins), F.floor((F.col(by) - low) / ((high - low) / bins)) + 1).cast("int")
-    return x.where(F.col(by).between(low, high)).groupBy(k.alias("bin")).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.25)).alias("q25"), F.percentile(value, F.lit(0.75)).alias("q75"))
+    return _distribution(x.where(F.col(by).between(low, high)).withColumn("bin", k), value, F.stddev_pop)
 
 
 def vegetation_class(primary: Column, p_frac: Column, s_frac: Column) -> Column:
@@ -334,10 +308,9 @@ def standard_regression(x: DataFrame, target: str, predictors: list[str]) -> Dat
 def area_summary(x: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """Weighted mean, weighted median (first value with half of the weight), weighted share above 0."""
     ok = x.where(F.col(value).isNotNull() & (F.col(weight) > 0))
-    w = Window.partitionBy(*keys).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(*keys)
-    run = ok.withColumns({"_run": F.sum(weight).over(w), "_all": F.sum(weight).over(total)})
-    return run.groupBy(*keys).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("wmean"), F.min(F.when(F.col("_run") >= 0.5 * F.col("_all"), F.col(value))).alias("wmedian"), (F.sum(F.when(F.col(value) > 0, F.col(weight)).otherwise(0.0)) / F.sum(weight)).alias("share_positive"))
+    stats = ok.groupBy(*keys).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("wmean"), (F.sum(F.when(F.col(value) > 0, F.col(weight)).otherwise(0.0)) / F.sum(weight)).alias("share_positive"))
+    median = weighted_median(ok, keys, value, weight)
+    return stats.withColumn("_g", F.struct(*keys)).join(median.select(F.struct(*keys).alias("_g"), "wmedian"), "_g").drop("_g")
 
 
 def threshold_sweep(x: DataFrame, keys: list[str], value: str, thresholds: list[float]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .compare import exact_percentiles
+from .quantiles import column_percentiles
 from .series import monthly_climatology
 
 # fixed values: what counts as a material increment
@@ -91,7 +91,7 @@ def percent_change(x: DataFrame, base: str, value: str, eps: float | None = None
     change = 100 * (F.col(value) - F.col(base)) / F.col(base)
     if eps is not None:
         return x.withColumn(name, F.when(F.col(base) > eps, change))
-    floor = max(tiny, exact_percentiles(x, base, [share])[0] or 0.0)
+    floor = max(tiny, column_percentiles(x, base, [share])[0] or 0.0)
     return x.withColumn(name, F.when(F.col(base) > floor, change))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SUMMED = ("obs", "obsvar", "fcst", "fcstvar", "ana", "anavar")
@@ -95,6 +95,53 @@ def extended(ofa: DataFrame, keys: list[str], least: int) -> DataFrame:
     return s.withColumn("skew", skew).drop("s1", "s2", "s3")
 
 
+def moments(ofa: DataFrame, keys: list[str], month: bool = False, normalise: bool = False, hour: int | None = None) -> DataFrame:
+    """Centred moments of O-F (to the third order) and O-A (to the second), their co-moment, O-A's extremes, and those of obs and ana.
+
+    Rows need obs, fcst and ana. ``normalise`` divides O-F by the root of the ensemble variances (rows without a positive one play no part), ``hour`` takes the rows of an hour of the day, ``month`` adds the month as a key.
+    Centred sums come from Spark's own central moments, which merge partial results without cancelling, so means much larger than spreads do no harm.
+    """
+    noise = F.col("obsvar") + F.col("fcstvar")
+    x = ofa.where("obs is not null and fcst is not null and ana is not null")
+    x = x.where(noise > 0) if normalise else x
+    x = x.where(F.hour("ts") == hour) if hour is not None else x
+    x = x.withColumn("month", month_of(F.col("ts"))) if month else x
+    omf = F.col("obs") - F.col("fcst")
+    x = x.withColumns({"_d": omf / F.sqrt(noise) if normalise else omf, "_e": F.col("obs") - F.col("ana")})
+    var_pop = lambda c: F.var_pop(c) * F.count(F.lit(1))
+    co = lambda a, b: F.covar_pop(a, b) * F.count(F.lit(1))
+    third = F.when(F.var_pop("_d") > 0, F.skewness("_d") * F.pow(F.var_pop("_d"), 1.5) * F.count(F.lit(1))).otherwise(0.0)
+    return x.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("_d").alias("m_d"), F.avg("_e").alias("m_e"), F.avg("obs").alias("m_o"), F.avg("ana").alias("m_a"), F.avg("obsvar").alias("m_ov"), F.avg("fcstvar").alias("m_fv"),
+        var_pop("_d").alias("dd"), var_pop("_e").alias("ee"), co("_d", "_e").alias("de"), var_pop("obs").alias("oo"), var_pop("ana").alias("aa"), co("obs", "ana").alias("oa"), third.alias("ddd"), F.min("_e").alias("oma_min"), F.max("_e").alias("oma_max"))
+
+
+def merge_moments(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Moments of the union of what the parts cover: means first, then every part's sums about the new mean."""
+    w = Window.partitionBy(*keys)
+    means = ("m_d", "m_e", "m_o", "m_a", "m_ov", "m_fv")
+    x = parts.withColumns({f"_{c}": F.col(c) - F.sum(F.col(c) * F.col("n")).over(w) / F.sum("n").over(w) for c in means})  # each part's distance from the mean of all
+    n, d = F.col("n"), F.col("_m_d")
+    moved = {a + b: F.col(a + b) + n * F.col(f"_m_{a}") * F.col(f"_m_{b}") for a, b in ("dd", "ee", "de", "oo", "aa", "oa")}
+    moved["ddd"] = F.col("ddd") + 3 * d * F.col("dd") + n * d * d * d
+    sums = [F.sum(v).alias(k) for k, v in moved.items()]
+    return x.groupBy(*keys).agg(F.sum("n").alias("n"), *[(F.sum(F.col(c) * n) / F.sum("n")).alias(c) for c in means], *sums, F.min("oma_min").alias("oma_min"), F.max("oma_max").alias("oma_max"))
+
+
+def moment_statistics(m: DataFrame, least: int = 1) -> DataFrame:
+    """Means, sample variances, the published third-moment skew, sample covariance, extremes, ensemble variances and the correlation of obs and ana.
+
+    The published skew is (S3 / (n - 1) - 3 m S2 / n + 2 m^3) / var^1.5 of raw sums, which is (M3 + 3 m M2 / n + m^3) / (n - 1) / var^1.5 of centred ones.
+    """
+    n, mean = F.col("n"), F.col("m_d")
+    var = F.try_divide(F.col("dd"), n - 1)
+    skew = F.try_divide((F.col("ddd") + 3 * mean * F.col("dd") / n + mean * mean * mean) / F.nullif(n - 1, F.lit(0)), F.pow(var, 1.5))
+    return m.where(n >= least).select(
+        *[c for c in m.columns if c not in {"n", "m_d", "m_e", "m_o", "m_a", "m_ov", "m_fv", "dd", "ee", "de", "oo", "aa", "oa", "ddd", "oma_min", "oma_max"}], "n", mean.alias("omf_mean"), var.alias("omf_var"), skew.alias("omf_skew"),
+        F.col("m_e").alias("oma_mean"), F.try_divide(F.col("ee"), n - 1).alias("oma_var"), F.try_divide(F.col("de"), n - 1).alias("cov"), "oma_min", "oma_max", F.col("m_ov").alias("obsvar"), F.col("m_fv").alias("fcstvar"),
+        F.try_divide(F.col("oa"), F.sqrt(F.col("oo") * F.col("aa"))).alias("oa_corr"))
+
+
 def histogram(ofa: DataFrame, keys: list[str], low: float, step: float, bins: int) -> DataFrame:
     """A10: fixed bins; the first and the last hold what lies outside."""
     k = F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil((F.col("obs") - F.col("fcst") - low) / step))).cast("int")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dist
+from ..functions import dist, trend
 
 
 def monthly_climatology(x: DataFrame, keys: list[str], value: str, first: int, last: int) -> DataFrame:
@@ -168,21 +168,20 @@ def theil_sen_pairs(x: DataFrame, keys: list[str], t: str, value: str) -> DataFr
 
 
 def theil_sen_mk(x: DataFrame, key: str, t: str, value: str, least: int = 10) -> DataFrame:
-    """Per series the median of pairwise slopes per decade and the Mann-Kendall p with ties; one shuffle on the series."""
+    """Per series the median of pairwise slopes per decade and the Mann-Kendall p with ties; one shuffle on the series.
+
+    The pairs are never formed: a series of n values takes n log^2 n steps and memory in proportion to n.
+    """
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.dropna().sort_values(t)
-        n, out = len(g), {key: g[key].iloc[0] if len(g) else None, "slope_decade": None, "p": None, "n": len(g)}
+        own = g.dropna()
+        n, out = len(own), {key: g[key].iloc[0], "slope_decade": None, "p": None, "n": len(own)}
         if n >= least:
-            ti, y = g[t].to_numpy(float), g[value].to_numpy(float)
-            i, j = np.triu_indices(n, 1)
-            dt, dy = ti[j] - ti[i], y[j] - y[i]
-            out["slope_decade"] = float(np.median(dy[dt > 0] / dt[dt > 0]) * 10) if (dt > 0).any() else None
-            s = np.sign(dy).sum()
-            ties = np.unique(y, return_counts=True)[1]
+            slope, s = trend.slope_and_s(own[t].to_numpy(float), own[value].to_numpy(float))
+            ties = np.unique(own[value].to_numpy(float), return_counts=True)[1].astype(float)
             var = (n * (n - 1) * (2 * n + 5) - (ties * (ties - 1) * (2 * ties + 5)).sum()) / 18
             z = (s - np.sign(s)) / np.sqrt(var) if var > 0 else 0.0
-            out["p"] = float(2 * (1 - dist.normal_cdf(abs(z))))
+            out["slope_decade"], out["p"] = None if slope is None else slope * 10, float(2 * (1 - dist.normal_cdf(abs(z))))
         return pd.DataFrame([out])
 
     kind = dict(x.dtypes)[key]
@@ -200,25 +199,26 @@ def validation(x: DataFrame, keys: list[str], order: list[str], least: int = 20,
     s = s.withColumns({"n_r": eff(both), "n_b": eff(own), "ubmse": F.col("mse") - F.col("bias") ** 2})
     z = float(dist.normal_quantile((1 + level) / 2))
 
-    @F.pandas_udf("double")
-    def t_of(df: pd.Series) -> pd.Series:
-        ok = df > 1
-        return pd.Series(np.where(ok, dist.t_quantile((1 + level) / 2, np.where(ok, df - 1, 1)), np.nan)).where(ok)
-
-    @F.pandas_udf("double")
-    def chi_of(p: pd.Series, df: pd.Series) -> pd.Series:
-        ok = df > 1
-        return pd.Series(dist.chi2_quantile(p.to_numpy(), np.where(ok, df - 1, 1))).where(ok)
-
+    def factors(df: pd.Series) -> pd.DataFrame:
+        """t and both chi-square quantiles; null below two degrees."""
+        v = df.to_numpy(float)
+        ok = v > 1
+        free = np.where(ok, v - 1, 1)
+        cut = lambda q: pd.Series(q).where(ok)
+        return pd.DataFrame({"t": cut(dist.t_quantile((1 + level) / 2, free)), "up": cut(dist.chi2_quantile((1 + level) / 2, free)), "lo": cut(dist.chi2_quantile((1 - level) / 2, free))})
+
+    # the factors of each effective size, once
+    sizes = s.select("n_b").distinct().withColumn("_f", F.pandas_udf(factors, "t double, up double, lo double")("n_b"))
+    s = s.join(sizes, "n_b")
     half = F.when(F.col("n_r") > 3, z / F.sqrt(F.greatest(F.lit(1), F.col("n_r") - 3)))
     r = F.greatest(F.lit(-1 + 1e-12), F.least(F.lit(1 - 1e-12), F.col("r")))
     fisher = F.atanh(r)
-    t = t_of("n_b")
     root = F.sqrt(F.greatest(F.lit(1), F.col("n_b")))
+    free = (F.col("n_b") - 1) * F.col("ubmse")
     return s.withColumns({
-        "r_lo": F.tanh(fisher - half), "r_up": F.tanh(fisher + half), "bias_half": t * F.col("sd") / root, "mse_half": t * F.col("sd2") / root,
-        "ubmse_lo": F.try_divide((F.col("n_b") - 1) * F.col("ubmse"), chi_of(F.lit((1 + level) / 2), F.col("n_b"))), "ubmse_up": F.try_divide((F.col("n_b") - 1) * F.col("ubmse"), chi_of(F.lit((1 - level) / 2), F.col("n_b"))),
-    }).drop("sd", "sd2", "rx", "ry")
+        "r_lo": F.tanh(fisher - half), "r_up": F.tanh(fisher + half), "bias_half": F.col("_f.t") * F.col("sd") / root, "mse_half": F.col("_f.t") * F.col("sd2") / root,
+        "ubmse_lo": F.try_divide(free, F.col("_f.up")), "ubmse_up": F.try_divide(free, F.col("_f.lo")),
+    }).drop("sd", "sd2", "rx", "ry", "_f")
 
 
 def sparse_tiles(x: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:

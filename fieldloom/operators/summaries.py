@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .compare import consecutive, cycle_before
 from .masks import MATERIAL_OTHER
+from .quantiles import group_percentiles
 
 
 # lookups and joins
@@ -87,8 +89,13 @@ def duplicate_keys(x: DataFrame, cycle: str, keys: list[str]) -> DataFrame:
 def duplicate_report(x: DataFrame, keys: list[str], cycle: str, value: str, other: str, row: str, tolerance: float = 1e-6) -> DataFrame:
     """Per cycle, the rows that repeat the cycle before, their share of both cycles, and how their ``other`` value differs from that of their first match (of equal row ids the smallest value)."""
     p = cycle_before(x.select(*keys, cycle, value, other, row), keys, cycle, value, F.min(F.struct(F.col(row).alias("_r"), F.col(other).alias("_o"))), tolerance)
-    one = p.groupBy(row, cycle).agg((F.min(other) - F.min("_first")["_o"]).alias("d"))
-    stats = one.groupBy(cycle).agg(F.count(F.lit(1)).alias("n_dup"), F.avg("d").alias("mean"), F.percentile("d", F.lit(0.5)).alias("median"), F.stddev_pop("d").alias("std"), F.percentile(F.abs("d"), F.lit(0.95)).alias("p95_abs"), F.avg((F.abs("d") > 1e-3).cast("int")).alias("share_large"))
+    one = written(p.groupBy(row, cycle).agg((F.min(other) - F.min("_first")["_o"]).alias("d")), "repeats")
+    stats = one.groupBy(cycle).agg(F.count(F.lit(1)).alias("n_dup"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"), F.avg((F.abs("d") > 1e-3).cast("int")).alias("share_large"))
+    # both measures in one pass, as two kinds of rows
+    both = one.select(cycle, F.posexplode(F.array("d", F.abs("d"))).alias("_kind", "_d"))
+    p = group_percentiles(both, [cycle, "_kind"], "_d", [0.5, 0.95])
+    p = p.groupBy(cycle).agg(F.max(F.when(F.col("_kind") == 0, F.get("p", F.lit(0)))).alias("median"), F.max(F.when(F.col("_kind") == 1, F.get("p", F.lit(1)))).alias("p95_abs"))
+    stats = stats.join(p, cycle, "left")
     n = x.groupBy(cycle).agg(F.count(F.lit(1)).alias("n_now"))
     before = n.select((F.col(cycle) + 1).alias(cycle), F.col("n_now").alias("n_before"))
     out = stats.join(n, cycle).join(before, cycle)

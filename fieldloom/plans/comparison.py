@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import compare, ofa, series
-from .registry import COL_SQL, GROUPS_SQL, MONTH_SQL, OFA_SQL, PAIR_SQL, STATE_SQL, _cells, _cycles, _pairs, _t, groups, ofa_table, off_halves, query, r, states
+from .registry import COL_SQL, GROUPS_SQL, MONTH_SQL, OFA_SQL, PAIR_SQL, STATE_SQL, _cells, _cycles, _pairs, _t, groups, ofa_table, query, r, states
 
 
 @query(f"""WITH {OFA_SQL}, {GROUPS_SQL}, s AS (SELECT {MONTH_SQL} AS month, grp, tile, count(*) AS n, avg(obs) - avg(fcst) AS m, stddev_pop(obs - fcst) AS s FROM ofa JOIN g USING (species) WHERE obs IS NOT NULL GROUP BY 1, 2, 3)
-  SELECT month, grp, CAST(sum(n) AS BIGINT) AS n, round(avg(m), 8) AS omf_mean, round(avg(s) + 1e-7, 5) AS omf_std FROM s GROUP BY 1, 2""")
+  SELECT month, grp, CAST(sum(n) AS BIGINT) AS n, round(avg(m), 8) AS omf_mean, round(avg(s), 8) AS omf_std FROM s GROUP BY 1, 2""")
 def omf_pooled_group(spark: SparkSession, d: str) -> DataFrame:
     """Species pooled in each tile, tiles averaged."""
     x = groups(ofa_table(spark, d)).withColumn("month", ofa.month_of(F.col("ts")))
     parts = ofa.partial_sums(x, ["month", "tile", "species", "grp"])
-    return off_halves(r(ofa.pooled_group(parts, ["month", "grp"], "tile"), "omf_mean", places=8), "omf_std")
+    return r(ofa.pooled_group(parts, ["month", "grp"], "tile"), "omf_mean", "omf_std", places=8)
 
 
 @query(f"""WITH {STATE_SQL}, c AS (SELECT exp, tile, month(ts) AS m, avg(v) FILTER (year(ts) BETWEEN 1993 AND 1997) AS mu, stddev_pop(v) FILTER (year(ts) BETWEEN 1993 AND 1997) AS sd FROM st GROUP BY 1, 2, 3),
@@ -45,11 +45,11 @@ def anomaly_suite(spark: SparkSession, d: str) -> DataFrame:
     return r(r(s, "mean_diff", "std_ratio", "anom_r", "anom_rmse", "norm_abs_diff", "delta_trend", "delta_rho1", places=5), "amp_change", places=4)
 
 
-@query(f"WITH {PAIR_SQL} SELECT CAST(month(month) AS INTEGER) AS m, count(*) AS n, round(avg(ol - da), 5) AS mean_delta, round(coalesce(stddev_samp(ol - da), 0) / sqrt(count(*)), 5) AS std_error FROM pr GROUP BY 1")
+@query(f"WITH {PAIR_SQL} SELECT CAST(month(month) AS INTEGER) AS m, count(*) AS n, round(avg(ol - da), 8) AS mean_delta, round(coalesce(stddev_samp(ol - da), 0) / sqrt(count(*)), 8) AS std_error FROM pr GROUP BY 1")
 def paired_error(spark: SparkSession, d: str) -> DataFrame:
     """A27, where less is better; ``paired_interval`` has the t half-width."""
     p = _pairs(spark, d).withColumn("m", F.month("month"))
-    return r(compare.paired_interval(p, ["m"], "ol", "da", up=False).drop("ci_half"), "mean_delta", "std_error", places=5)
+    return r(compare.paired_interval(p, ["m"], "ol", "da", up=False).drop("ci_half"), "mean_delta", "std_error", places=8)
 
 
 @query()

@@ -47,11 +47,6 @@ def r(df: DataFrame, *columns: str, places: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), places) for c in columns})
 
 
-def off_halves(df: DataFrame, column: str) -> DataFrame:
-    """Rounded to 5 places, 1e-7 beside the halves: stds of one or two rows are exact decimals, and so often exact halves that the order of sums would round either way."""
-    return df.withColumn(column, F.round(F.col(column) + 1e-7, 5))
-
-
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -82,12 +77,12 @@ def omf_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {OFA_SQL}, {GROUPS_SQL}, m AS (SELECT *, {MONTH_SQL} AS month FROM ofa), {FINAL_SQL.format(keys='month, tile, species', source='m')}"
-       " SELECT month, grp, CAST(sum(n) AS BIGINT) AS n, round(sum((mo - mf) * n) / sum(n), 8) AS omf_mean, round(sum(omf_std * n) / sum(n) + 1e-7, 5) AS omf_std, round(sum((mo - ma) * n) / sum(n), 8) AS oma_mean FROM s JOIN g USING (species) GROUP BY month, grp")
+       " SELECT month, grp, CAST(sum(n) AS BIGINT) AS n, round(sum((mo - mf) * n) / sum(n), 8) AS omf_mean, round(sum(omf_std * n) / sum(n), 8) AS omf_std, round(sum((mo - ma) * n) / sum(n), 8) AS oma_mean FROM s JOIN g USING (species) GROUP BY month, grp")
 def omf_monthly_group(spark: SparkSession, d: str) -> DataFrame:
     """A5."""
     x = ofa_table(spark, d).withColumn("month", ofa.month_of(F.col("ts")))
     stats = groups(ofa.finalise(ofa.partial_sums(x, ["month", "tile", "species"])))
-    return off_halves(r(ofa.weighted(stats, ["month", "grp"], ["omf_mean", "omf_std", "oma_mean"], least=0), "omf_mean", "oma_mean", places=8), "omf_std")
+    return r(ofa.weighted(stats, ["month", "grp"], ["omf_mean", "omf_std", "oma_mean"], least=0), "omf_mean", "omf_std", "oma_mean", places=8)
 
 
 @query(f"""WITH {OFA_SQL} SELECT CAST(ts AS DATE) AS day, species, count(*) AS n, round(avg(obs), 8) AS mean_obs, round(avg(fcst), 8) AS mean_fcst, round(avg(ana), 8) AS mean_ana, round(avg(obs - fcst), 8) AS omf_mean,
@@ -486,4 +481,4 @@ def ease_grid(spark: SparkSession, d: str) -> DataFrame:
     return cells.select("site", "row", "col", lat.alias("lat"), lon.alias("lon"))
 
 
-from . import comparison, rules, summaries  # noqa: E402,F401  (they register their queries and need the names above)
+from . import calendars, comparison, rules, summaries  # noqa: E402,F401  (they register their queries and need the names above)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,6 +152,21 @@ def scan_states(spark: SparkSession, path: str, columns: list[str], start: str,
     return require(spark.read.parquet(path), [*columns, "ts"]).select("ts", *columns).where(F.col("ts").between(F.to_timestamp(F.lit(start)), F.to_timestamp(F.lit(end))))
 
 
+def scan_state_files(spark: SparkSession, path: str, columns: list[str], start: str, end: str, key: str = "tile", places: tuple[str, ...] = ("lat", "lon"), pattern: str = r"\.(\d{8})_") -> DataFrame:
+    """S5 for raw files, a day's state in each: only those whose name has a date from ``start`` to ``end`` are opened. The places come from the first of them alone.
+
+    Only names reach the driver. A file without a date in its name isn't read; no file in the period is an error.
+    """
+    first, last = start.replace("-", ""), end.replace("-", "")
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).inputFiles()
+    dated = sorted((m[1], name) for name in names if (m := re.search(pattern, name.rsplit("/", 1)[1])) and first <= m[1] <= last)
+    if not dated:
+        raise ValueError(f"no state file from {start} to {end}")
+    days = spark.read.parquet(*[name for _, name in dated])
+    found = spark.read.parquet(dated[0][1]).select(key, *places)
+    return require(days, [key, *columns]).select(date_of_file(pattern).alias("day"), key, *columns).join(found, key, "left")
+
+
 def date_of_file(pattern: str = r"\.(\d{8})_", form: str = "yyyyMMdd"):
     """X11: the date in a file's name."""
     return F.to_date(F.regexp_extract(F.col("_metadata.file_name"), pattern, 1), form)

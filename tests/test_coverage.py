@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions import scalar
-from fieldloom.operators import compare, series, spatial
+from fieldloom.operators import compare, quantiles, series, spatial
 from fieldloom.sources import ingest
 from fieldloom.streaming import streams
 
@@ -100,10 +100,10 @@ def test_ranks_and_percentiles_of_whole_columns(spark):
     assert a == b
     values = sorted(r["v"] for r in x.collect())
     for most in (50, 50_000):
-        got = compare.exact_percentiles(x, "v", [0.0, 0.01, 0.5, 0.999, 1.0], most=most)
+        got = quantiles.column_percentiles(x, "v", [0.0, 0.01, 0.5, 0.999, 1.0], small=most)
         want = [values[int(p)] + (p - int(p)) * (values[min(2999, int(p) + 1)] - values[int(p)]) for p in (q * 2999 for q in (0.0, 0.01, 0.5, 0.999, 1.0))]
         assert got == pytest.approx(want)
-    assert compare.exact_percentiles(x.where("false"), "v", [0.5]) == [None]
+    assert quantiles.column_percentiles(x.where("false"), "v", [0.5]) == [None]
 
 
 def test_nearest_at_the_poles_and_the_date_line(spark):
