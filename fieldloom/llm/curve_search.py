@@ -15,8 +15,8 @@ neighbours are nowhere near each other on a curve, and reach grows with the data
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part,
 nor do vectors of another length than the commonest. Null identifiers take no part.
-Ties go to the smaller vec_id. With fewer than k candidates all are returned. Of rows with one vec_id a query
-gets one, and a query none with its own vec_id. An empty table gives an empty result; other columns play no part, whatever their names.
+Ties go to the smaller vec_id. With fewer than k candidates all are returned. Rows of one vec_id are folded into one before
+anything else, that of the least vector (component by component), as a query and as a candidate. An empty table gives an empty result; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, curves: int = CURVES, rows
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     usable_rows, d = usable(vectors)
-    base = keep(usable_rows, "vectors")
+    base = keep(usable_rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     total = base.count()
     if not total:
         return spark.createDataFrame([], schema)

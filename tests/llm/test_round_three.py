@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fieldloom.llm import fill_middle, hard_negatives, lexicon_bpe
+from fieldloom.llm import curve_search, fill_middle, hard_negatives, lexicon_bpe
 from fieldloom.llm.common import keep
 
 RND = random.Random(8)
@@ -182,3 +182,27 @@ def test_exceptions_convert_both_ways():
     there = index.bytes(at)
     assert there.tolist() == [len(text[:k].encode()) for k in range(501)] and (index.chars(there) == at).all()
     assert len(fill_middle.Exceptions(np.frombuffer(b"plain" * 99, np.uint8)).byte) == 0
+
+
+def test_curve_search_folds_repeated_identifiers(spark):
+    """Every identifier thirty times, some with unlike vectors: each query has its k nearest among the rows that stay."""
+    rng = np.random.default_rng(2)
+    own = {i: rng.normal(size=8) for i in range(400)}
+    rows = [(i, v.tolist()) for i, v in own.items() for _ in range(30)]
+    for i in range(0, 400, 7):  # an unlike vector, of a smaller or a greater first component
+        other = rng.normal(size=8)
+        rows.append((i, other.tolist()))
+        own[i] = min(own[i], other, key=lambda v: v.tolist())
+    RND.shuffle(rows)
+    x = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    got = {}
+    for r in curve_search.search(x, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hits = 0
+    for q in range(0, 400, 20):
+        scores = sorted(((-float((own[q] * own[i]).sum()), i) for i in own if i != q))[:20]
+        mine = sorted(got[q])
+        assert [m[0] for m in mine] == list(range(1, 21)) and len({m[1] for m in mine}) == 20
+        assert all(m[2] == pytest.approx(float((own[q] * own[m[1]]).sum())) for m in mine)
+        hits += len({i for _, i in scores} & {m[1] for m in mine})
+    assert hits >= 0.9 * 20 * 20
