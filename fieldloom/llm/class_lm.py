@@ -4,9 +4,9 @@ All training documents are counted, and every word gets its class by exchange. T
 (``k``) start it: exchange clustering on the counts of their bigrams, collected from
 the whole corpus, until none moves (at most k x k numbers reach the driver). From there the whole vocabulary
 takes part, in ``rounds`` over the corpus: every word's neighbours are counted by class, over all blocks, and the
-word moves to the class that gains most. Neighbours of all kinds count, each with the class it has by
-then; in the first round words that aren't frequent have the class that their
-frequent neighbours in the same block speak for. All words of a round move at
+word moves to the class that gains most. Neighbours count with the class that they have by
+then: in the first round those are the frequent words, in further ones all. What is counted is summed over all blocks before a word moves, so the
+classes, and the scores, don't depend on how the input is cut into files and blocks. All words of a round move at
 once, so the gain is that of the class bigrams of the round before. Words none of whose neighbours has a
 class share a class of their own. The model tells the frequent words of a class from the others. One round is
 the default: each further one moves fewer words and writes about as much again as the input.
@@ -253,18 +253,12 @@ def _evidence(block: _Block, cls: np.ndarray, classes: int) -> pa.Table:
     return pa.table([signed(block.words[places]), pa.array(cls[places].astype(np.int32)), packed], ["word", "cls", "near"])
 
 
-def _first_evidence(frequent: np.ndarray, of: np.ndarray, affinity: tuple[np.ndarray, np.ndarray]):
-    classes = len(affinity[0])
-
+def _first_evidence(frequent: np.ndarray, of: np.ndarray, classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             block = _Block(row)
             at, known = _lookup(frequent, block.words)
             cls = np.where(known & (block.words != END), of[at], -1)
-            key, n = _neighbours(block, cls, classes)
-            for lo, hi, m, gain in _gains(key // (2 * classes), key % (2 * classes), n, len(cls), affinity):
-                own = cls[lo:hi]  # what is written here is read no more
-                own[:] = np.where(known[lo:hi] | ~m.any(axis=1), own, gain.argmax(axis=1))
             yield from _evidence(block, cls, classes).to_batches()
 
     return run
@@ -413,7 +407,7 @@ def cluster(blocks: DataFrame, counts: DataFrame, k: int, classes: int, rounds:
     joint = one.T @ bigrams @ one
     rows = blocks.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
     bucket = 1 + int(rows) // BUCKET
-    evidence = blocks.mapInArrow(_first_evidence(frequent, of, affinities(joint)), "word long, cls int, near binary")
+    evidence = blocks.mapInArrow(_first_evidence(frequent, of, len(joint)), "word long, cls int, near binary")
     named, joint, _ = _round(evidence, bucket, joint)
     for _ in range(rounds - 1):
         places = _named_places(blocks, named.withColumn("n", F.lit(0).cast("long")))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fieldloom.llm import curve_search, fill_middle, hard_negatives, lexicon_bpe
+from fieldloom.llm import class_lm, curve_search, fill_middle, hard_negatives, lexicon_bpe
 from fieldloom.llm.common import keep
 
 RND = random.Random(8)
@@ -206,3 +206,13 @@ def test_curve_search_folds_repeated_identifiers(spark):
         assert all(m[2] == pytest.approx(float((own[q] * own[m[1]]).sum())) for m in mine)
         hits += len({i for _, i in scores} & {m[1] for m in mine})
     assert hits >= 0.9 * 20 * 20
+
+
+def test_class_scores_do_not_depend_on_the_layout(spark, docs):
+    """The same scores for 1, 4 and 7 partitions and for blocks of one and of many texts."""
+    texts = [" ".join(RND.choice(["the", "a", f"w{RND.randrange(40)}", f"rare{RND.randrange(400)}"]) for _ in range(RND.randrange(60))) for _ in range(250)]
+    x = keep(docs.select("doc_id", "text").where("doc_id <> 3").unionByName(spark.createDataFrame([(k + 1000, t) for k, t in enumerate(texts)], "doc_id long, text string")), "texts")
+    held = F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False))
+    scores = [{r.doc_id: r.score for r in class_lm.score_documents(x.repartition(n), held, k=20, classes=4, block=size).collect()} for n, size in ((1, 16 << 20), (4, 16 << 20), (7, 2000))]
+    assert scores[0].keys() == scores[1].keys() and len(scores[0]) > 500
+    assert all(s[i] == pytest.approx(v, rel=1e-12) for s in scores[1:] for i, v in scores[0].items())
