@@ -44,7 +44,7 @@ SPECIES = [(1, 0, [40.0]), (2, 1, [40.0]), (3, 0, [50.0, 52.5]), (4, 1, [50.0]),
   g AS (SELECT tile, (last - 48) % 365 + 1 AS doy, k, pol, oc, mc, CASE WHEN n >= 20 AND ni >= 8 THEN om END AS om, CASE WHEN n >= 20 AND ni >= 8 THEN os END AS os, CASE WHEN n >= 20 AND ni >= 8 THEN mm END AS mm, CASE WHEN n >= 20 AND ni >= 8 THEN ms END AS ms,
     CASE WHEN n >= 20 AND ni >= 8 THEN n END AS n FROM s)
   SELECT tile, CAST(doy AS INTEGER) AS doy, CAST(k AS INTEGER) AS angle, {', '.join(f"round(max({c}) FILTER (pol = {p}), 6) AS {n}_{s}" for p, s in enumerate('hv') for c, n in (('om', 'o_mean'), ('os', 'o_std'), ('mm', 'm_mean'), ('ms', 'm_std'), ('oc', 'o_centre'), ('mc', 'm_centre')))},
-    CAST(max(n) FILTER (pol = 0) AS BIGINT) AS n_h, CAST(max(n) FILTER (pol = 1) AS BIGINT) AS n_v FROM g GROUP BY tile, doy, k
+    CAST(max(n) FILTER (pol = 0) AS DOUBLE) AS n_h, CAST(max(n) FILTER (pol = 1) AS DOUBLE) AS n_v FROM g GROUP BY tile, doy, k
   HAVING max(coalesce(om, oc)) IS NOT NULL""")
 def scaling_angles(spark: SparkSession, d: str) -> DataFrame:
     """By polarisation and angle, the centre day beside the window; the arrays as rows."""
@@ -54,7 +54,7 @@ def scaling_angles(spark: SparkSession, d: str) -> DataFrame:
     s = scaling.scaling_angles(x, species, [40.0, 50.0], START, END)
     names = [f"{f}_{p}" for f in scaling.FIELDS for p in "hv"]
     rows = s.select("tile", "doy", F.posexplode(F.arrays_zip(*names)).alias("angle", "a")).select("tile", "doy", "angle", *[F.col(f"a.{n}").alias(n) for n in names])
-    rows = rows.where(F.coalesce(*names).isNotNull()).withColumns({n: F.col(n).cast("long") for n in ("n_h", "n_v")})
+    rows = rows.where(F.coalesce(*names).isNotNull())
     return r(rows, *[n for n in names if n[:2] != "n_"], places=6)
 
 
