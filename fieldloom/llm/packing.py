@@ -1,24 +1,29 @@
 """Mixture-controlled packing by deficit round-robin (operator 5).
 
-Documents are queued by source. In every round each queue may send as many
-tokens as its target share of a window; what it can't spend is carried to later
-rounds as its deficit, so that queues keep their proportions across windows and
-partitions. The rounds have a closed form: a queue with rate x and phase p has sent
-floor(r x + p) tokens before round r, so fractions of a token are carried and never lost, and
-the phases keep queues of low rates from sending in the same round. What all queues have sent
-before a round is a sum over the queues. So no task waits for another: documents get their place in
-their queue by running sums inside the tasks that read them and over those tasks, every run of tokens within a round its
-place in the one stream, and the stream is cut every 4096 tokens.
+Documents are queued by source. In every round each queue is credited with its target share of a
+window of tokens; what it can't spend on whole documents is its deficit, carried to later rounds, so
+that queues keep their proportions across windows and partitions. A document leaves whole. One of
+more than ``unit`` tokens leaves in equal units of at most ``unit``, so that it can't hold the stream.
+Beyond that, pieces end at the edges of windows alone.
+
+The rounds have a closed form: a queue of rate x has been credited with r x tokens before round r,
+fractions too, so none is lost. A unit leaves in the round that credits the point at the share p
+of it. So a queue overdraws at most a share 1 - p of a unit and pays it back:
+it is never more than a unit ahead of its credit, nor behind. The shares p are spread evenly over sources in order of
+their sizes, so that alike queues of low rates don't send in the same round.
+
+No task waits for another: documents get their place in their queue by running sums inside the tasks
+that read them and over those tasks; the tokens sent before a block of ``SPAN`` rounds are running
+sums over blocks; a block's units are sorted in one task, by round, source and place, and
+cut every ``window`` tokens. The plan is the same for any number of sources.
 
 Targets default to the sources' own shares of tokens. Sources without a target
-follow when those with one are through, by their own shares. Up to ``queues`` sources, every task
-sums over a table of them. Beyond that the table is joined, and the stream's places are
-running sums over blocks of ``SPAN`` rounds; a piece then also ends with its block. A source due less than
-a token a window is cut into pieces of one token.
-
-A null text is empty: one token, the end id. A null source is a source.
-Repeated rows are packed as often as they occur. An empty table gives an
-empty result.
+follow when those with one are through, by their own shares.
+
+A null text is empty: one token, the end id. A null source is the source with the empty name. Rows
+with a null doc_id are packed as others are. Very long texts are packed whole, in units. Repeated
+rows are packed as often as they occur. Columns other than doc_id, text and source are not
+read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,9 +40,9 @@ from pyspark.sql import functions as F
 
 from .common import keep, strings, table
 
-WINDOW, END, QUEUES, CACHE = 4096, 2, 64, 300_000
-SPAN, BUCKETS = 16, 1024  # rounds in a block; buckets in which sources are numbered
-GOLDEN = 0.6180339887498949
+WINDOW, UNIT, END, CACHE = 4096, 2048, 2, 300_000
+SPAN, FAR = 64, 1024  # rounds in a block; blocks over which places are summed at once
+STEPS = 0.6180339887498949, 0.7548776662466927  # multiples of these, modulo 1, spread evenly
 #: Python's split() also cuts at these, the tokenizer's \s does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 SPACE = re.compile(rf"[^\S{SEPARATORS}]+")
@@ -102,247 +107,150 @@ def _tokens(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_ids(path)
         tail, width = np.array([end], own.type).tobytes(), np.dtype(own.type).itemsize
-        sent: dict[int, int] = {}
+        sent: dict[str, int] = {}
         for batch in batches:
-            texts, queue = strings(batch.column("text")), batch.column("queue").to_pylist()
+            texts, queue = strings(batch.column("text")), batch.column("source").to_pylist()
             for lo in range(0, len(texts), 500):
                 got, ahead = [own.ids(x.as_py()) + tail for x in texts.slice(lo, 500)], []
                 for q, x in zip(queue[lo : lo + 500], got):
                     ahead.append(before := sent.get(q, 0))
                     sent[q] = before + len(x) // width
-                cols = [batch.column(c).slice(lo, 500) for c in ("doc_id", "queue", "task")]
+                cols = [batch.column(c).slice(lo, 500) for c in ("doc_id", "source", "task")]
                 yield pa.RecordBatch.from_arrays(
                     [*cols, pa.array(ahead, pa.int64()), pa.array([len(x) // width for x in got], pa.int64()), pa.array([width] * len(got), pa.int32()), pa.array(got, pa.binary())],
-                    ["doc_id", "queue", "task", "inside", "doc_tokens", "width", "ids"],
+                    ["doc_id", "source", "task", "inside", "doc_tokens", "width", "ids"],
                 )
 
     return run
 
 
-class Pace:
-    """When queues send: ``rates`` in tokens a round, ``phases`` below one token, ``first`` rounds."""
-
-    def __init__(self, rates: np.ndarray, phases: np.ndarray, first: np.ndarray):
-        self.rates, self.phases, self.first = rates, phases, first
-
-    def edge(self, rounds: np.ndarray) -> np.ndarray:
-        """How many tokens a queue without an end has sent before these rounds."""
-        return np.floor(np.maximum(rounds - self.first, 0) * self.rates + self.phases).astype(np.int64)
-
-    def round_of(self, token: np.ndarray) -> np.ndarray:
-        """The round in which the queue's token leaves."""
-        r = self.first + np.maximum(np.floor((token + 1 - self.phases) / self.rates).astype(np.int64) - 1, 0)
-        while (low := self.edge(r + 1) <= token).any():
-            r = r + low
-        while (high := self.edge(r) > token).any():
-            r = r - high
-        return r
-
-    def of(self, queue: np.ndarray) -> Pace:
-        return Pace(self.rates[queue], self.phases[queue], self.first[queue])
-
-
-class Rounds(Pace):
-    """The closed form of the rounds: ``totals`` and ``quanta`` (tokens a round, fractions too) of the queues."""
-
-    def __init__(self, totals: np.ndarray, quanta: np.ndarray, first: np.ndarray | None = None):
-        super().__init__(np.asarray(quanta, float), phases(np.arange(len(totals))), np.zeros(len(totals), np.int64) if first is None else first)
-        self.totals, self.quanta = totals, quanta
-
-    def start(self, queue: np.ndarray, rounds: np.ndarray) -> np.ndarray:
-        """Where in the stream the queues' tokens of these rounds begin."""
-        out = np.empty(len(rounds), np.int64)
-        for lo in range(0, len(rounds), 1 << 16):
-            (r, back), q = np.unique(rounds[lo : lo + (1 << 16)], return_inverse=True), queue[lo : lo + (1 << 16)]
-            done = np.minimum(self.totals, self.edge(r[:, None]))
-            now = np.minimum(self.totals, self.edge(r[:, None] + 1)) - done
-            out[lo : lo + (1 << 16)] = (done.sum(axis=1)[:, None] + np.cumsum(now, axis=1) - now)[back, q]
-        return out
-
-
-def phases(queue: np.ndarray) -> np.ndarray:
-    return (queue + 0.5) * GOLDEN % 1.0
-
-
 def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each of ``counts`` parts of each row: the row, and the number of the part."""
     k = np.repeat(np.arange(len(counts)), counts)
     return k, np.arange(len(k)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _runs(pace: Pace, ahead: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Documents cut at the ends of rounds: document, round, and the first token and the number of them in the queue. ``pace``: by document."""
-    low = pace.round_of(ahead)
-    slow = pace.rates < 1  # most rounds are empty: one run for each token
-    doc, i = _spread(np.where(slow, tokens, pace.round_of(ahead + tokens - 1) - low + 1))
-    own, slow, ahead = pace.of(doc), slow[doc], ahead[doc]
-    r = low[doc] + i
-    if slow.any():
-        r = np.where(slow, own.round_of(ahead + np.where(slow, i, 0)), r)
-    left = np.where(slow, ahead + i, np.maximum(ahead, own.edge(r)))
-    right = np.where(slow, left + 1, np.minimum(ahead + tokens[doc], own.edge(r + 1)))
-    return doc, r, left, right - left
+def _units(batch: pa.RecordBatch, unit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents in equal units of at most ``unit`` tokens: document, round, first token in the document, and tokens."""
+    ahead, tokens, first, rate, phase = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ahead", "doc_tokens", "first", "rate", "phase"))
+    parts = -(-tokens // unit)
+    doc, i = _spread(parts)
+    start, stop = i * tokens[doc] // parts[doc], (i + 1) * tokens[doc] // parts[doc]
+    due = (ahead[doc] + start + phase[doc] * (stop - start)) / rate[doc]
+    return doc, first[doc] + np.floor(due).astype(np.int64), start, stop - start
 
 
-def _cut(at: np.ndarray, size: np.ndarray, start: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs cut at the ends of windows; runs of one document that are neighbours in the stream are one piece: run, document, start, begin, length."""
+def _cut(at: np.ndarray, size: np.ndarray, start: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Units cut at the ends of windows; units of one document that are neighbours in a window are one piece: unit, start, begin, length."""
     k, inner = _spread((at + size - 1) // window - at // window + 1)
     edge = (at[k] // window + inner) * window
     begin, end = np.maximum(at[k], edge), np.minimum((at + size)[k], edge + window)
     start, doc = start[k] + (begin - at[k]), doc[k]
     glue = np.zeros(len(k), bool)
-    glue[1:] = (begin[1:] == end[:-1]) & (begin[1:] % window != 0) & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + (end - begin)[:-1])
+    glue[1:] = (begin[1:] % window != 0) & (doc[1:] == doc[:-1])
     head = np.flatnonzero(~glue)
-    return k[head], doc[head], start[head], begin[head], np.add.reduceat(end - begin, head) if len(head) else end - begin
-
+    return k[head], start[head], begin[head], np.add.reduceat(end - begin, head) if len(head) else end - begin
 
-OUT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"]
 
+def _wide(ids: pa.Scalar, width: int) -> bytes:
+    return np.frombuffer(ids.as_buffer(), np.uint16 if width == 2 else np.uint32).astype("<u4").tobytes()
 
-def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
-    return [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
 
+def _block_sizes(unit: int):
+    """How many tokens leave in each block of rounds."""
 
-def _wide(ids: pa.Scalar, width: int) -> memoryview:
-    return memoryview(np.frombuffer(ids.as_buffer(), np.uint16 if width == 2 else np.uint32).astype("<u4").tobytes())
-
-
-def _pieces(rounds: Rounds, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
-                yield cut(whole.slice(lo, 2000))
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        queue, ahead, tokens = _numbers(batch, "queue", "ahead", "doc_tokens")
-        doc, r, left, size = _runs(rounds.of(queue), ahead, tokens)
-        at = rounds.start(queue[doc], r) + (left - rounds.of(queue[doc]).edge(r))
-        _, doc, start, begin, length = _cut(at, size, left - ahead[doc], doc, window)
-        crcs, raw, width, view, seen = [], batch.column("ids"), batch.column("width").to_pylist(), memoryview(b""), -1
-        for i, s, n in zip(doc.tolist(), start.tolist(), length.tolist()):
-            if i != seen:
-                view, seen = _wide(raw[i], width[i]), i
-            crcs.append(zlib.crc32(view[4 * s : 4 * (s + n)]))
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.array(tokens[doc]), pa.array(begin // window), pa.array(begin % window), pa.array(queue[doc].astype(np.int32))],
-            OUT,
-        )
+                batch = whole.slice(lo, 2000)
+                _, r, _, size = _units(batch, unit)
+                block, back = np.unique(r // SPAN, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.bincount(back, size, len(block)).astype(np.int64))], ["block", "n"])
 
     return run
 
 
-def _pace(batch: pa.RecordBatch) -> Pace:
-    return Pace(batch.column("rate").to_numpy(), phases(batch.column("queue").to_numpy()), batch.column("first").to_numpy())
-
-
-def _block_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 2000):
-            batch = whole.slice(lo, 2000)
-            _, r, _, size = _runs(_pace(batch), *_numbers(batch, "ahead", "doc_tokens"))
-            block, back = np.unique(r // SPAN, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.bincount(back, size, len(block)).astype(np.int64))], ["block", "n"])
+def _block_units(unit: int):
+    """The units with their ids."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 200):
+                batch = whole.slice(lo, 200)
+                doc, r, start, size = _units(batch, unit)
+                width, raw = batch.column("width").to_pylist(), batch.column("ids").to_pylist()
+                ids = [raw[i][s * width[i] : (s + n) * width[i]] for i, s, n in zip(doc.tolist(), start.tolist(), size.tolist())]
+                cols = [batch.column(c).take(pa.array(doc)) for c in ("doc_id", "source", "doc_tokens", "ahead", "width")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(r // SPAN), pa.array(r), pa.array(start), pa.array(size), pa.array(ids, pa.binary())], ["doc_id", "source", "doc_tokens", "ahead", "width", "block", "round", "start", "size", "ids"])
 
-def _block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of documents with their ids, cut at the ends of rounds."""
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 200):
-            batch = whole.slice(lo, 200)
-            ahead, tokens = _numbers(batch, "ahead", "doc_tokens")
-            doc, r, left, size = _runs(_pace(batch), ahead, tokens)
-            start, width, raw = left - ahead[doc], batch.column("width").to_pylist(), batch.column("ids").to_pylist()
-            ids = [raw[i][s * width[i] : (s + n) * width[i]] for i, s, n in zip(doc.tolist(), start.tolist(), size.tolist())]
-            cols = [batch.column(c).take(pa.array(doc)) for c in ("doc_id", "queue", "doc_tokens", "width")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(r // SPAN), pa.array(r), pa.array(left), pa.array(start), pa.array(size), pa.array(ids, pa.binary())], ["doc_id", "queue", "doc_tokens", "width", "block", "round", "left", "start", "size", "ids"])
+    return run
 
 
 def _placed(window: int):
+    """The pieces of one block of rounds."""
+
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("round", "ascending"), ("queue", "ascending"), ("left", "ascending")]).combine_chunks()
-        size, start, left, tokens, queue = (rows.column(c).to_numpy() for c in ("size", "start", "left", "doc_tokens", "queue"))
+        rows = rows.sort_by([("round", "ascending"), ("source", "ascending"), ("ahead", "ascending"), ("start", "ascending")]).combine_chunks()
+        size, start, ahead = (rows.column(c).to_numpy() for c in ("size", "start", "ahead"))
         at = rows.column("before").to_numpy() + np.cumsum(size) - size
-        # a document is known by its queue and its place there
-        _, doc = np.unique(np.stack([queue.astype(np.int64), left - start]), axis=1, return_inverse=True)
-        k, _, start, begin, length = _cut(at, size, start, doc.ravel(), window)
-        raw = b"".join(bytes(_wide(x, w)) for x, w in zip(rows.column("ids").combine_chunks(), rows.column("width").to_pylist()))
-        view, place = memoryview(raw), begin - (at[0] if len(at) else 0)
-        crcs = [zlib.crc32(view[4 * b : 4 * (b + n)]) for b, n in zip(place.tolist(), length.tolist())]
-        return pa.table([rows.column("doc_id").take(pa.array(k)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.array(tokens[k]), pa.array(begin // window), pa.array(begin % window), pa.array(queue[k].astype(np.int32))], OUT)
+        # a document is known by its source and its place there; its units in one round are neighbours
+        source = rows.column("source").combine_chunks().dictionary_encode().indices.to_numpy()
+        new = np.ones(len(size), bool)
+        new[1:] = (source[1:] != source[:-1]) | (ahead[1:] != ahead[:-1])
+        k, start, begin, length = _cut(at, size, start, np.cumsum(new), window)
+        view = memoryview(b"".join(_wide(x, w) for x, w in zip(rows.column("ids").combine_chunks(), rows.column("width").to_pylist())))
+        crcs = [zlib.crc32(view[4 * b : 4 * (b + n)]) for b, n in zip((begin - at[0]).tolist(), length.tolist())]
+        doc_id, tokens, source = (rows.column(c).take(pa.array(k)) for c in ("doc_id", "doc_tokens", "source"))
+        return pa.table([doc_id, pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), tokens, pa.array(begin // window), pa.array(begin % window), source], OUT)
 
     return run
 
 
-def _numbered(docs: DataFrame, source) -> DataFrame:
-    """source -> queue, without gaps."""
-    names = docs.select(source.alias("source")).distinct().withColumn("bucket", F.pmod(F.xxhash64("source"), F.lit(BUCKETS)))
-    names = keep(names.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("source"))), "sources")
-    heads, before = [], 0
-    for r in names.groupBy("bucket").count().orderBy("bucket").collect():  # at most BUCKETS rows
-        heads.append((r["bucket"], before))
-        before += r["count"]
-    heads = docs.sparkSession.createDataFrame(heads, "bucket long, head long")
-    return names.join(F.broadcast(heads), "bucket").select("source", (F.col("head") + F.col("place") - 1).cast("int").alias("queue"))
+OUT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
 
 
-def _rates(names: DataFrame, sums: DataFrame, window: int, targets: dict[str, float] | None) -> DataFrame:
-    """queue, rate, first."""
-    wanted = names.sparkSession.createDataFrame(list((targets or {}).items()), "source string, target double")
-    table = names.join(sums, "queue").join(wanted, "source", "left").withColumn("ahead", F.coalesce(F.col("target") > 0, F.lit(False)))
-    share = F.when(F.col("ahead"), F.col("target")).otherwise(F.col("n").cast("double"))
-    table = keep(table.select("queue", "n", "ahead", share.alias("share")), "shares")
-    of = {r["ahead"]: r["s"] for r in table.groupBy("ahead").agg(F.sum("share").alias("s")).collect()}
-    rate = F.col("share") * float(window) / F.when(F.col("ahead"), F.lit(of.get(True, 1.0))).otherwise(F.lit(of.get(False, 1.0)))
-    table = table.withColumn("rate", rate)
-    last = table.where("ahead").agg(F.max(F.ceil(F.col("n") / F.col("rate")) + 1).alias("r")).first()["r"] or 0
-    return table.select("queue", "rate", F.when(F.col("ahead"), F.lit(0)).otherwise(F.lit(last)).cast("long").alias("first"))
+def _rates(sums: DataFrame, window: int, targets: dict[str, float] | None) -> DataFrame:
+    """source, rate, first, phase."""
+    wanted = sums.sparkSession.createDataFrame(list((targets or {}).items()), "source string, target double")
+    shares = sums.join(wanted, "source", "left").withColumn("led", F.coalesce(F.col("target") > 0, F.lit(False)))
+    shares = keep(shares.select("source", "n", "led", F.when(F.col("led"), F.col("target")).otherwise(F.col("n").cast("double")).alias("share")), "shares")
+    of = {r["led"]: r["s"] for r in shares.groupBy("led").agg(F.sum("share").alias("s")).collect()}  # two rows
+    rate = F.col("share") * float(window) / F.when(F.col("led"), F.lit(of.get(True, 1.0))).otherwise(F.lit(of.get(False, 1.0)))
+    shares = shares.withColumn("rate", rate)
+    last = shares.where("led").agg(F.max(F.ceil(F.col("n") / F.col("rate")) + 1).alias("r")).first()["r"] or 0
+    place = F.monotonically_increasing_id()  # of sorted rows: the partition, and from bit 33 down the row in it
+    phase = F.pmod((F.shiftright(place, 33) + 0.5) * STEPS[1] + place.bitwiseAND(F.lit((1 << 33) - 1)) * STEPS[0], F.lit(1.0))
+    first = F.when(F.col("led"), F.lit(0)).otherwise(F.lit(last)).cast("long")
+    return keep(shares.orderBy("n", "source").select("source", "rate", first.alias("first"), phase.alias("phase")), "rates")
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END, queues: int = QUEUES, targets: dict[str, float] | None = None) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue.
+def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END, targets: dict[str, float] | None = None, unit: int = UNIT) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     ``targets``: a share of the window's tokens for each source; by default the
     sources' own shares, so that all queues end together. A queue that runs dry
     leaves its part of the round to the others. All sequences but the last are full.
     """
+    kind = dict(docs.dtypes)["doc_id"]
     source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
-    names = [r[0] for r in docs.select(source.alias("s")).distinct().orderBy("s").limit(queues + 1).collect()]
-    kind, few = dict(docs.dtypes)["doc_id"], len(names) <= queues
-    if few:
-        number = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(names) for x in (s, i)]), source), F.lit(0)) if names else F.lit(0)
-        rows = docs.select("doc_id", "text", number.cast("int").alias("queue"), F.spark_partition_id().alias("task"))
-    else:
-        numbers = keep(_numbered(docs, source), "queues")
-        rows = docs.select("doc_id", "text", source.alias("source")).join(numbers, "source").select("doc_id", "text", "queue", F.spark_partition_id().alias("task"))
-    ids = keep(rows.mapInArrow(_tokens(vocabulary, end), f"doc_id {kind}, queue int, task int, inside long, doc_tokens long, width int, ids binary"), "ids", compression="zstd")
-    sums = ids.groupBy("queue").agg(F.sum("doc_tokens").alias("n"))
+    rows = docs.select("doc_id", "text", source.alias("source"), F.spark_partition_id().alias("task"))
+    ids = keep(rows.mapInArrow(_tokens(vocabulary, end), f"doc_id {kind}, source string, task int, inside long, doc_tokens long, width int, ids binary"), "ids", compression="zstd")
     # places in the queues: running sums inside the tasks that read them, then over the tasks
-    over = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    heads = ids.groupBy("queue", "task").agg(F.sum("doc_tokens").alias("n"))
-    heads = heads.select("queue", "task", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before"))
-    placed = ids.join(heads, ["queue", "task"]).withColumn("ahead", F.col("before") + F.col("inside"))
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue int"
-    if few:
-        # at most `queues` rows
-        held = {r["queue"]: r["n"] for r in sums.collect()}
-        totals = np.array([held.get(q, 0) for q in range(max(held, default=-1) + 1)], np.int64)
-        want = np.array([(targets or {}).get(s, 0.0) for s in names][: len(totals)], float)
-        led = want > 0
-        rates, first = np.where(led, want, totals).astype(float), np.zeros(len(totals), np.int64)
-        for part in (led, ~led):
-            rates[part] *= window / max(rates[part].sum(), 1e-300)
-        if led.any():
-            first[~led] = int((np.ceil(totals[led] / rates[led]) + 1).max())
-        return placed.select("doc_id", "queue", "ahead", "doc_tokens", "width", "ids").mapInArrow(_pieces(Rounds(totals, rates, first), window), schema)
-    placed = placed.join(_rates(numbers, sums, window, targets), "queue").select("doc_id", "queue", "ahead", "doc_tokens", "width", "rate", "first", "ids")
-    sizes = placed.drop("ids").mapInArrow(_block_sizes, "block long, n long").groupBy("block").agg(F.sum("n").alias("n")).withColumn("far", F.floor(F.col("block") / 1024))
-    sizes = keep(sizes, "sizes")
+    heads = keep(ids.groupBy("source", "task").agg(F.sum("doc_tokens").alias("n")), "heads")
+    rates = _rates(heads.groupBy("source").agg(F.sum("n").alias("n")), window, targets)
+    over = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    heads = heads.select("source", "task", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before")).join(rates, "source")
+    placed = ids.join(heads, ["source", "task"]).withColumn("ahead", F.col("before") + F.col("inside"))
+    placed = placed.select("doc_id", "source", "ahead", "doc_tokens", "rate", "phase", "first", "width", "ids")
+    sizes = placed.select("ahead", "doc_tokens", "rate", "phase", "first").mapInArrow(_block_sizes(unit), "block long, n long").groupBy("block").agg(F.sum("n").alias("n"))
+    sizes = keep(sizes.withColumn("far", F.floor(F.col("block") / FAR)), "sizes")
     inner = Window.partitionBy("far").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.orderBy("far").rowsBetween(Window.unboundedPreceding, -1)  # a row for 16,384 rounds
+    outer = Window.orderBy("far").rowsBetween(Window.unboundedPreceding, -1)  # a row for 65,536 rounds
     far = sizes.groupBy("far").agg(F.sum("n").alias("n")).select("far", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("head"))
     starts = sizes.select("far", "block", F.coalesce(F.sum("n").over(inner), F.lit(0)).alias("inner")).join(far, "far").select("block", (F.col("head") + F.col("inner")).alias("before"))
-    runs = placed.mapInArrow(_block_runs, f"doc_id {kind}, queue int, doc_tokens long, width int, block long, round long, left long, start long, size long, ids binary")
-    return runs.join(starts, "block").groupBy("block").applyInArrow(_placed(window), schema)
+    units = placed.mapInArrow(_block_units(unit), f"doc_id {kind}, source string, doc_tokens long, ahead long, width int, block long, round long, start long, size long, ids binary")
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
+    return units.join(starts, "block").groupBy("block").applyInArrow(_placed(window), schema)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
