@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,6 +47,9 @@ STEPS = 0.6180339887498949, 0.7548776662466927  # multiples of these, modulo 1,
 #: Python's split() also cuts at these, the tokenizer's \s does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 SPACE = re.compile(rf"[^\S{SEPARATORS}]+")
+#: Letters that stay single and alike under composition, and that lower() treats as the tokenizer does.
+LETTERS = [chr(c) for c in (*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100))]
+LATIN = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+([.,!?;:]?)")
 
 
 class WordIds(dict):
@@ -60,7 +64,9 @@ class WordIds(dict):
         self.added = [t.content for t in added]
         self.whole = any(t.normalized for t in added)  # these show only in the normalised text
         self.type = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        self.code = np.dtype(self.type).char
         self.normal, self.cut, self.model = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
+        self.spelt = {ord(c): "".join(p for p, _ in self.cut(c)) for c in LETTERS}  # letters as the model reads them
         self.old: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
@@ -69,17 +75,16 @@ class WordIds(dict):
         if got is None:
             if len(self.known) > 2 * CACHE:
                 self.known.clear()
-            got = self.known[part] = np.array([t.id for t in self.model(part)], self.type).tobytes()
+            got = self.known[part] = array(self.code, [t.id for t in self.model(part)]).tobytes()
         return got
 
     def __missing__(self, run: str) -> bytes:
         got = self.old.get(run)
         if got is None:
-            low = run.lower() if run.isascii() else ""
-            if low.isalpha():
-                got = self._part(low)
-            elif low[:-1].isalpha() and low[-1] in ".,!?;:":  # a plain word and one mark: two matches
-                got = self._part(low[:-1]) + self._part(low[-1])
+            if plain := LATIN.fullmatch(run):  # a plain word, or one and a mark: two matches
+                low = run.lower()
+                word = low[:-1] if plain[1] else low
+                got = self._part(word if word.isascii() else word.translate(self.spelt)) + (self._part(plain[1]) if plain[1] else b"")
             else:
                 got = b"".join([self._part(p) for p, _ in self.cut(self.normal(run))]) if run else b""
         if len(self) >= CACHE:  # the last generation stays in reach
@@ -240,6 +245,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END,
     rates = _rates(heads.groupBy("source").agg(F.sum("n").alias("n")), window, targets)
     over = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
     heads = heads.select("source", "task", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before")).join(rates, "source")
+    heads = keep(heads, "places")  # of known size, so that the ids need no shuffle while it is below Spark's limit for broadcasts
     placed = ids.join(heads, ["source", "task"]).withColumn("ahead", F.col("before") + F.col("inside"))
     placed = placed.select("doc_id", "source", "ahead", "doc_tokens", "rate", "phase", "first", "width", "ids")
     sizes = placed.select("ahead", "doc_tokens", "rate", "phase", "first").mapInArrow(_block_sizes(unit), "block long, n long").groupBy("block").agg(F.sum("n").alias("n"))

@@ -187,6 +187,8 @@ def test_packing_ids_are_the_tokenizers():
     texts = ["a\x1cb", "a\x1fb", "\x1d", " \x1e x\x1c\x1c y ", "x <|endoftext|> y", "x<|startoftext|>É\x1cy<|endoftext|>", "x <|ENDOFTEXT|> y", "<|endoftext|>"]
     texts += [f"a{chr(c)}b {chr(c)} É{chr(c)}" for c in (*range(0x100), 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
     texts += ["".join(RND.choice(["a", "É", "e\u0301", "ΑΣ", "'s", "9", " ", "\u0301", "\x1c", "\x85", "<|endoftext|>", "<|", "漢", "."]) for _ in range(30)) for _ in range(300)]
+    texts += ["".join(RND.choice([chr(c) for c in (*range(0x41, 0x7B), *range(0xC0, 0x100))] + [*".,!?;:'"]) for _ in range(RND.randint(1, 9))) for _ in range(3000)]
+    texts += ["ÜBER, ﬁ ÿ. ß! Äx; ª µ º × ÷ a×b Ÿ \u0130 über\u0308 ü\u0301."]
     for s in texts:
         assert np.frombuffer(own.ids(s), own.type).tolist() == tokenizer.encode(s, add_special_tokens=False).ids, repr(s)
 
