@@ -131,3 +131,14 @@ def ease_sql(spark: SparkSession, d: str) -> DataFrame:
     a = _t(spark, d, "customer").select(F.col("c_custkey").alias("site"), ((F.col("c_custkey") * 37 % 3600) / 10.0 - 180).cast("double").alias("x"), (F.col("c_acctbal") / 125).cast("double").alias("y"))
     c = a.selectExpr("site", "y", "ease_row('M09', y) AS row", "ease_col('M09', x) AS col", "cell_index(y, -5D, 2.5D, 20) AS cell").where("abs(y) < 89 and cell is not null")
     return r(c.selectExpr("site", "row", "col", "ease_lat('M09', row) AS lat", "ease_lon('M09', col) AS lon", "cell"), "lat", "lon", places=8)
+
+
+@query("""WITH a AS (SELECT c_custkey AS site, (c_acctbal / 125) :: DOUBLE AS lat, ((c_custkey * 37 % 3600) / 10.0 - 180) :: DOUBLE AS lon, (c_custkey % 1000) / 1e9 :: DOUBLE AS flux FROM customer)
+  SELECT CAST(floor((lat + 90) / 5) AS INTEGER) AS band, CAST(floor(CASE WHEN lon < 0 THEN lon + 360 ELSE lon END / 90) AS INTEGER) AS quarter, count(*) AS n, round(avg(4.0 * (lat + 90) / 90), 8) AS std_increment, round(avg(0.05 * (lat + 90) / 90), 8) AS std_fraction,
+    round(avg(flux * 365.25 * 86400), 8) AS yearly FROM a WHERE lat >= -90 AND lat < 90 GROUP BY 1, 2""")
+def perturbation_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Standard deviations of perturbations that grow with latitude, for two variables, and yearly fluxes, by band of latitude and quarter of longitude."""
+    a = _t(spark, d, "customer").select((F.col("c_acctbal") / 125).cast("double").alias("lat"), ((F.col("c_custkey") * 37 % 3600) / 10.0 - 180).cast("double").alias("lon"), ((F.col("c_custkey") % 1000) / 1e9).alias("flux"))
+    cells = a.select(scalar.cell_index(F.col("lat"), -90.0, 5.0, 36).alias("band"), scalar.cell_index(scalar.wrap360(F.col("lon")), 0.0, 90.0, 4).alias("quarter"), "lat", "flux").where("band is not null")
+    out = cells.groupBy("band", "quarter").agg(F.count(F.lit(1)).alias("n"), F.avg(scalar.perturbation(F.lit(4.0), F.col("lat"))).alias("std_increment"), F.avg(scalar.perturbation(F.lit(0.05), F.col("lat"))).alias("std_fraction"), F.avg(scalar.per_year(F.col("flux"))).alias("yearly"))
+    return r(out, "std_increment", "std_fraction", "yearly", places=8)
