@@ -62,6 +62,12 @@ def j2000(seconds: Column, epoch: str = "TT12", leap: bool = False) -> Column:
     return F.timestamp_seconds(seconds + zero - past)
 
 
+def pearson(x: str | Column, y: str | Column) -> Column:
+    """The correlation of the pairs without a null, as an aggregate; null where a side is constant, for which ``corr`` fails in ANSI mode."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    return F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x)))
+
+
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371.0) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), a)))

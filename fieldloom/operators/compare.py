@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from ..functions.scalar import bit
+from ..functions.scalar import bit, pearson
 from .quantiles import column_percentiles, weighted_median, with_percentiles
 
 
@@ -107,7 +107,7 @@ def percentile_clip(x: DataFrame, value: str, low: float = 0.01, high: float = 0
 def experiment_difference(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """OL against DA for each key."""
     ol, da = F.col("ol"), F.col("da")
-    s = pairs.where("ol is not null and da is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(da - ol).alias("mean_diff"), F.avg(F.abs(da - ol)).alias("abs_diff"), F.stddev_pop("ol").alias("std_ol"), F.stddev_pop("da").alias("std_da"), F.max("ol").alias("h1"), F.min("ol").alias("l1"), F.max("da").alias("h2"), F.min("da").alias("l2"), F.corr("ol", "da").alias("r"), F.sqrt(F.avg((da - ol) ** 2)).alias("rmse"))
+    s = pairs.where("ol is not null and da is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(da - ol).alias("mean_diff"), F.avg(F.abs(da - ol)).alias("abs_diff"), F.stddev_pop("ol").alias("std_ol"), F.stddev_pop("da").alias("std_da"), F.max("ol").alias("h1"), F.min("ol").alias("l1"), F.max("da").alias("h2"), F.min("da").alias("l2"), pearson("ol", "da").alias("r"), F.sqrt(F.avg((da - ol) ** 2)).alias("rmse"))
     amp = lambda p: F.col(f"h{p}") - F.col(f"l{p}")
     return s.select(*keys, "n", "mean_diff", "abs_diff", F.try_divide(F.col("std_da"), F.col("std_ol")).alias("std_ratio"), F.try_divide(100 * (amp(2) - amp(1)), amp(1)).alias("amp_change"), "r", "rmse")
 
@@ -141,7 +141,7 @@ def reference_skill(x: DataFrame, keys: list[str], reference: str, value: str, l
     """Plain and anomaly correlation and the anomalies' RMSE, the climatology being that of the group."""
     w = Window.partitionBy(*keys, F.month("ts"))
     c = x.withColumns({"ao": F.col(reference) - F.avg(reference).over(w), "af": F.col(value) - F.avg(value).over(w)})
-    s = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr(reference, value).alias("r"), F.try_divide(F.sum(F.col("ao") * F.col("af")), F.sqrt(F.sum(F.col("ao") ** 2) * F.sum(F.col("af") ** 2))).alias("anomaly_r"), F.sqrt(F.avg((F.col("ao") - F.col("af")) ** 2)).alias("anomaly_rmse"))
+    s = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson(reference, value).alias("r"), F.try_divide(F.sum(F.col("ao") * F.col("af")), F.sqrt(F.sum(F.col("ao") ** 2) * F.sum(F.col("af") ** 2))).alias("anomaly_r"), F.sqrt(F.avg((F.col("ao") - F.col("af")) ** 2)).alias("anomaly_rmse"))
     return s.where(F.col("n") >= least)
 
 
@@ -269,29 +269,45 @@ def screening(x: DataFrame, target: str, predictors: list[str]) -> DataFrame:
     pairs = ", ".join(f"'{p}', CAST(`{p}` AS DOUBLE)" for p in predictors)
     long = x.selectExpr(f"CAST(`{target}` AS DOUBLE) AS y", f"stack({len(predictors)}, {pairs}) AS (predictor, x)").where("x is not null and y is not null")
     long = whole_rank(whole_rank(long, ["predictor"], "x", "rx"), ["predictor"], "y", "ry")
-    return long.groupBy("predictor").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"), F.corr("rx", "ry").alias("rho"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
+    return long.groupBy("predictor").agg(F.count(F.lit(1)).alias("n"), pearson("x", "y").alias("r"), pearson("rx", "ry").alias("rho"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
 
 
-def with_p(stats: DataFrame, r: str = "r", n: str = "n") -> DataFrame:
-    """The two-sided p of a correlation."""
+def with_p(stats: DataFrame, r: str = "r", n: str = "n", name: str = "p") -> DataFrame:
+    """The two-sided p of a correlation of n pairs; null below three."""
 
     @F.pandas_udf("double")
     def p(r_: pd.Series, n_: pd.Series) -> pd.Series:
         rr, df = r_.to_numpy(float), np.maximum(n_.to_numpy(float) - 2, 1)
         return pd.Series(dist.t_two_sided(rr * np.sqrt(df / np.maximum(1e-300, 1 - rr * rr)), df))
 
-    return stats.withColumn("p", p(r, n))
+    return stats.withColumn(name, F.when(F.col(r).isNotNull() & (F.col(n) > 2), p(r, n)))
+
+
+def screen_pairs(x: DataFrame, targets: list[str], predictors: list[str], best: int | None = None) -> DataFrame:
+    """Every target against every predictor, with the p of both correlations; place 1 has the largest abs(r) of its target.
+
+    The pairs of columns are unpivoted once, so the rows are read once whatever their number; ``best`` keeps the first places.
+    """
+    pairs = [(t, p) for t in targets for p in predictors]
+    cells = ", ".join(f"'{t}', '{p}', CAST(`{t}` AS DOUBLE), CAST(`{p}` AS DOUBLE)" for t, p in pairs)
+    long = x.selectExpr(f"stack({len(pairs)}, {cells}) AS (target, predictor, y, x)").where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    keys = ["target", "predictor"]
+    long = whole_rank(whole_rank(long, keys, "x", "rx"), keys, "y", "ry")
+    stats = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson("x", "y").alias("r"), pearson("rx", "ry").alias("rho"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
+    stats = stats.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(F.desc(F.abs("r")), "predictor")))
+    stats = stats if best is None else stats.where(F.col("place") <= best)
+    return with_p(with_p(stats, "r", "n", "p_r"), "rho", "n", "p_rho")
 
 
 def standard_betas(x: DataFrame, target: str, predictors: list[str]) -> list[tuple[str, float]]:
     """Standardised regression from one pass of pairwise correlations; only a k x k system is solved on the driver."""
     names = [*predictors, target]
-    row = x.dropna(subset=names).agg(*[F.corr(a, b).alias(f"c{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i < j]).first()
+    row = x.dropna(subset=names).agg(*[pearson(a, b).alias(f"c{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i < j]).first()
     k = len(names)
     c = np.eye(k)
     for i in range(k):
         for j in range(i + 1, k):
-            c[i, j] = c[j, i] = row[f"c{i}_{j}"]
+            c[i, j] = c[j, i] = row[f"c{i}_{j}"] or 0.0  # a constant is related to nothing
     beta = np.linalg.lstsq(c[:-1, :-1], c[:-1, -1], rcond=None)[0]
     return sorted(zip(predictors, map(float, beta)), key=lambda p: -abs(p[1]))
 
@@ -300,8 +316,8 @@ def standard_regression(x: DataFrame, target: str, predictors: list[str]) -> Dat
     """A row for each predictor with its beta, the largest first, and the R2 of the whole."""
     betas = standard_betas(x, target, predictors)
     used = x.dropna(subset=[*predictors, target])
-    r = used.agg(*[F.corr(p, target).alias(p) for p, _ in betas]).first()
-    r2 = sum(b * r[p] for p, b in betas)
+    r = used.agg(*[pearson(p, target).alias(p) for p, _ in betas]).first()
+    r2 = sum(b * (r[p] or 0.0) for p, b in betas)
     return x.sparkSession.createDataFrame([(k + 1, p, b, r2) for k, (p, b) in enumerate(betas)], "place int, predictor string, beta double, r2 double")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import pearson
+
 SUMMED = ("obs", "obsvar", "fcst", "fcstvar", "ana", "anavar")
 CROSS = (("obs", "fcst"), ("obs", "ana"), ("fcst", "ana"))
 
@@ -87,7 +89,7 @@ def joint_coverage(ofa: DataFrame, a: str, b: str) -> DataFrame:
 def extended(ofa: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Means, sample variance, the third-moment skew, sample covariance, extremes, times."""
     v = ofa.where("obs is not null").select(*keys, "ts", (F.col("obs") - F.col("fcst")).alias("d"), (F.col("obs") - F.col("ana")).alias("e"), "obs", "ana")
-    s = v.groupBy(*keys).agg(F.count("d").alias("n"), F.sum("d").alias("s1"), F.sum(F.col("d") ** 2).alias("s2"), F.sum(F.col("d") ** 3).alias("s3"), F.covar_samp("d", "e").alias("cov"), F.min("e").alias("oma_min"), F.max("e").alias("oma_max"), F.corr("obs", "ana").alias("oa_corr"), F.countDistinct("ts").alias("n_times"))
+    s = v.groupBy(*keys).agg(F.count("d").alias("n"), F.sum("d").alias("s1"), F.sum(F.col("d") ** 2).alias("s2"), F.sum(F.col("d") ** 3).alias("s3"), F.covar_samp("d", "e").alias("cov"), F.min("e").alias("oma_min"), F.max("e").alias("oma_max"), pearson("obs", "ana").alias("oa_corr"), F.countDistinct("ts").alias("n_times"))
     m = F.col("s1") / F.col("n")
     var = F.try_divide(F.col("s2") - F.col("n") * m * m, F.col("n") - 1)
     s = s.where(F.col("n") >= least).withColumns({"mean": m, "var": var})

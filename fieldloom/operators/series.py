@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist, trend
+from ..functions.scalar import pearson
 
 
 def monthly_climatology(x: DataFrame, keys: list[str], value: str, first: int, last: int) -> DataFrame:
@@ -96,7 +97,7 @@ def running_sum(x: DataFrame, keys: list[str], order: list[str], value: str, nam
 def lag_pairs(x: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """The correlation of consecutive retained rows."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return x.where(F.col(value).isNotNull()).withColumn("_before", F.lag(value).over(w)).groupBy(*keys).agg(F.corr("_before", value).alias("lag1"), F.count("_before").alias("n"))
+    return x.where(F.col(value).isNotNull()).withColumn("_before", F.lag(value).over(w)).groupBy(*keys).agg(pearson("_before", value).alias("lag1"), F.count("_before").alias("n"))
 
 
 def day_lag_join(x: DataFrame, keys: list[str], day: str, lag: int, columns: list[str]) -> DataFrame:
@@ -189,10 +190,10 @@ def theil_sen_mk(x: DataFrame, key: str, t: str, value: str, least: int = 10) ->
 
 
 def validation(x: DataFrame, keys: list[str], order: list[str], least: int = 20, level: float = 0.95, port: bool = False) -> DataFrame:
-    """R, bias, MSE and ubMSE of (obs, model) with intervals at the effective sample size."""
+    """R, bias, MSE and ubMSE of (obs, model) with intervals at the effective sample size. A series that never moves has no R, and counts whole."""
     w = Window.partitionBy(*keys).orderBy(*order)
     v = x.where("obs is not null and model is not null").withColumns({"ob": F.lag("obs").over(w), "mb": F.lag("model").over(w), "d": F.col("obs") - F.col("model")})
-    s = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("obs", "model").alias("r"), F.corr("obs", "ob").alias("rx"), F.corr("model", "mb").alias("ry"), F.avg("d").alias("bias"), F.avg(F.col("d") ** 2).alias("mse"), F.stddev_samp("d").alias("sd"), F.stddev_samp(F.col("d") ** 2).alias("sd2")).where(F.col("n") > least)
+    s = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson("obs", "model").alias("r"), pearson("obs", "ob").alias("rx"), pearson("model", "mb").alias("ry"), F.avg("d").alias("bias"), F.avg(F.col("d") ** 2).alias("mse"), F.stddev_samp("d").alias("sd"), F.stddev_samp(F.col("d") ** 2).alias("sd2")).where(F.col("n") > least)
     both = F.col("rx") * F.col("ry")
     own = both if port else F.col("rx") ** 2
     eff = lambda c: F.greatest(F.lit(0), F.least(F.col("n"), F.ceil(F.try_divide(F.col("n") * (1 - c), 1 + c)))).cast("int")
@@ -211,7 +212,7 @@ def validation(x: DataFrame, keys: list[str], order: list[str], least: int = 20,
     sizes = s.select("n_b").distinct().withColumn("_f", F.pandas_udf(factors, "t double, up double, lo double")("n_b"))
     s = s.join(sizes, "n_b")
     half = F.when(F.col("n_r") > 3, z / F.sqrt(F.greatest(F.lit(1), F.col("n_r") - 3)))
-    r = F.greatest(F.lit(-1 + 1e-12), F.least(F.lit(1 - 1e-12), F.col("r")))
+    r = F.when(F.col("r").isNotNull(), F.greatest(F.lit(-1 + 1e-12), F.least(F.lit(1 - 1e-12), F.col("r"))))
     fisher = F.atanh(r)
     root = F.sqrt(F.greatest(F.lit(1), F.col("n_b")))
     free = (F.col("n_b") - 1) * F.col("ubmse")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import compare, ofa, series
-from .registry import COL_SQL, GROUPS_SQL, MONTH_SQL, OFA_SQL, PAIR_SQL, STATE_SQL, _cells, _cycles, _pairs, _t, groups, ofa_table, query, r, states
+from . import tails
+from .registry import COL_SQL, GROUPS_SQL, MONTH_SQL, OFA_SQL, PAIR_SQL, STATE_SQL, WELCH_SQL, _cells, _cycles, _pairs, _t, groups, ofa_table, query, r, states, welch_cells
 
 
 @query(f"""WITH {OFA_SQL}, {GROUPS_SQL}, s AS (SELECT {MONTH_SQL} AS month, grp, tile, count(*) AS n, avg(obs) - avg(fcst) AS m, stddev_pop(obs - fcst) AS s FROM ofa JOIN g USING (species) WHERE obs IS NOT NULL GROUP BY 1, 2, 3)
@@ -52,10 +53,32 @@ def paired_error(spark: SparkSession, d: str) -> DataFrame:
     return r(compare.paired_interval(p, ["m"], "ol", "da", up=False).drop("ci_half"), "mean_delta", "std_error", places=8)
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIR_SQL}, s AS (SELECT CAST(month(month) AS INTEGER) AS m, count(*) AS n, avg(da - ol) AS delta, coalesce(stddev_samp(da - ol), 0) / sqrt(count(*)) AS se FROM pr GROUP BY 1),
+  fr AS (SELECT DISTINCT CAST(greatest(n - 1, 1) AS DOUBLE) AS df FROM s), {tails.t_quantiles("tq", "fr")}
+  SELECT m, n, round(delta, 8) AS mean_delta, round(se, 8) AS std_error, round(t * se, 6) AS ci_half FROM s JOIN tq ON df = greatest(n - 1, 1)""")
 def paired_interval(spark: SparkSession, d: str) -> DataFrame:
-    """A27 with the t half-width, which DuckDB has no quantile for."""
-    return compare.paired_interval(_pairs(spark, d).withColumn("m", F.month("month")), ["m"], "ol", "da")
+    """A27 with the t half-width; the SQL integrates the distribution, as DuckDB has no quantile of it."""
+    s = compare.paired_interval(_pairs(spark, d).withColumn("m", F.month("month")), ["m"], "ol", "da")
+    return r(r(s, "mean_delta", "std_error", places=8), "ci_half", places=6)
+
+
+SCREEN_TARGETS, SCREEN_PREDICTORS = ["bias", "gain"], ["price", "tile", "species", "obsvar", "fcstvar", "doy"]
+SCREEN_COLUMNS = ["obs - fcst AS bias", "abs(obs - fcst) - abs(obs - ana) AS gain", "price", "tile", "species", "obsvar", "fcstvar", "dayofyear(ts) AS doy"]
+SCREEN_PAIRS_SQL = " UNION ALL ".join(f"SELECT '{t}' AS target, '{p}' AS predictor, CAST({t} AS DOUBLE) AS y, CAST({p} AS DOUBLE) AS x FROM sc" for t in SCREEN_TARGETS for p in SCREEN_PREDICTORS)
+
+
+def _corr_p(c: str) -> str:
+    return tails.t_two_sided(f"{c} * sqrt((n - 2) / (1 - {c} * {c}))", "(n - 2)")
+
+
+@query(f"""WITH {OFA_SQL}, sc AS (SELECT {", ".join(SCREEN_COLUMNS)} FROM ofa), u AS ({SCREEN_PAIRS_SQL}),
+  k AS (SELECT *, rank() OVER (PARTITION BY target, predictor ORDER BY x) + (count(*) OVER (PARTITION BY target, predictor, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY target, predictor ORDER BY y) + (count(*) OVER (PARTITION BY target, predictor, y) - 1) / 2.0 AS ry FROM u WHERE x IS NOT NULL AND y IS NOT NULL),
+  s AS (SELECT target, predictor, count(*) AS n, corr(x, y) AS r, corr(rx, ry) AS rho, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM k GROUP BY 1, 2), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY target ORDER BY abs(r) DESC, predictor) AS INTEGER) AS place FROM s)
+  SELECT target, predictor, place, n, round(r, 6) AS r, round(rho, 6) AS rho, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round({_corr_p("r")}, 6) AS p_r, round({_corr_p("rho")}, 6) AS p_rho FROM o WHERE place <= 3""")
+def screening_top(spark: SparkSession, d: str) -> DataFrame:
+    """The three predictors of each target with the largest correlations, and their p."""
+    x = ofa_table(spark, d).selectExpr(*SCREEN_COLUMNS)
+    return r(compare.screen_pairs(x, SCREEN_TARGETS, SCREEN_PREDICTORS, 3), "r", "rho", "slope", "intercept", "p_r", "p_rho", places=6)
 
 
 SLOPES_SQL = "sl AS (SELECT p_size % 5 AS region, p_retailprice - 1400 AS a, p_size * 40.0 - 1000 AS b, (p_partkey * 7 % 100) / 1000.0 AS pa, (p_partkey * 13 % 100) / 1000.0 AS pb, p_partkey % 7 + 1.0 AS w FROM part)"
@@ -138,9 +161,8 @@ def scaling_cells(spark: SparkSession, d: str) -> DataFrame:
     return r(r(series.scaling_windows(x, ["i", "j"]), "o_mean", "m_mean", "m_min", "m_max", places=6), "o_std", "m_std", places=5)
 
 
-@query()
+@query(f"WITH {WELCH_SQL} SELECT tile % 2 AS region, count(*) AS n_cells, round(avg(CAST(t_p < 0.05 AS INTEGER)), 6) AS share_t_p, round(avg(CAST(f_p < 0.05 AS INTEGER)), 6) AS share_f_p FROM we GROUP BY 1")
 def significance_shares(spark: SparkSession, d: str) -> DataFrame:
     """The shares of tiles whose means and variances differ."""
-    x = ofa_table(spark, d).withColumn("v", F.col("obs") - F.col("fcst")).groupBy("tile", "assim").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
-    cells = compare.welch(x.where("assim").drop("assim"), x.where("not assim").drop("assim"), ["tile"]).withColumn("region", F.col("tile") % 2)
-    return compare.significant_shares(cells, ["region"], ["t_p", "f_p"])
+    cells = welch_cells(spark, d).withColumn("region", F.col("tile") % 2)
+    return r(compare.significant_shares(cells, ["region"], ["t_p", "f_p"]), "share_t_p", "share_f_p", places=6)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import compare, ofa, series, spatial
+from . import tails
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -248,10 +249,13 @@ def theil_sen_small(spark: SparkSession, d: str) -> DataFrame:
     return r(series.theil_sen_pairs(_monthly(spark, d), ["tile"], "t", "v"), "slope", places=3)
 
 
-@query()
+@query(f"""WITH {ANNUAL_SQL}, pr AS (SELECT x.tile, 10 * quantile_cont((y.v - x.v) / (y.t - x.t), 0.5) AS slope, sum(sign(y.v - x.v)) AS s FROM a x JOIN a y ON x.tile = y.tile AND x.t < y.t GROUP BY 1),
+  ti AS (SELECT tile, sum(k) AS n, sum(k * (k - 1) * (2 * k + 5)) AS ties FROM (SELECT tile, v, CAST(count(*) AS DOUBLE) AS k FROM a GROUP BY 1, 2) GROUP BY 1),
+  z AS (SELECT ti.*, slope, (s - sign(s)) / sqrt((n * (n - 1) * (2 * n + 5) - ties) / 18) AS z FROM ti LEFT JOIN pr USING (tile))
+  SELECT tile, CAST(n AS BIGINT) AS n, round(CASE WHEN n >= 10 THEN slope END, 3) AS slope_decade, round(CASE WHEN n >= 10 THEN {tails.normal_two_sided("z")} END, 6) AS p FROM z""")
 def theil_sen_mk(spark: SparkSession, d: str) -> DataFrame:
     """With the Mann-Kendall p."""
-    return series.theil_sen_mk(_monthly(spark, d), "tile", "t", "v")
+    return r(r(series.theil_sen_mk(_monthly(spark, d), "tile", "t", "v"), "slope_decade", places=3), "p", places=6)
 
 
 @query(f"WITH {STATE_SQL} SELECT tile, id, round(sum(v - 150) OVER (PARTITION BY tile ORDER BY ts, id ROWS UNBOUNDED PRECEDING), 6) AS total FROM st")
@@ -457,28 +461,49 @@ def calendar(spark: SparkSession, d: str) -> DataFrame:
     return days.select("d", scalar.pentad(c).alias("pentad"), scalar.pentad_scaling(F.dayofyear(c)).alias("pentad_scaling"), scalar.normal_doy(c).alias("normal_doy"), scalar.days_in_month(c).alias("days_in_month"), scalar.days_since_1950(c).alias("since_1950"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {OFA_SQL}, v AS (SELECT tile, obs, fcst AS model, lag(obs) OVER w AS ob, lag(fcst) OVER w AS mb, obs - fcst AS d FROM ofa WHERE obs IS NOT NULL AND fcst IS NOT NULL WINDOW w AS (PARTITION BY tile ORDER BY ts, id, species)),
+  s AS (SELECT tile, count(*) AS n, corr(obs, model) AS r, corr(obs, ob) AS rx, corr(model, mb) AS ry, avg(d) AS bias, avg(d * d) AS mse, stddev_samp(d) AS sd, stddev_samp(d * d) AS sd2 FROM v GROUP BY 1 HAVING count(*) > 20),
+  e AS (SELECT *, mse - bias ** 2 AS ubmse, CAST(greatest(0, least(n, ceil(n * (1 - rx * ry) / (1 + rx * ry)))) AS INTEGER) AS n_r, CAST(greatest(0, least(n, ceil(n * (1 - rx * rx) / (1 + rx * rx)))) AS INTEGER) AS n_b FROM s),
+  fr AS (SELECT DISTINCT CAST(n_b - 1 AS DOUBLE) AS df FROM e WHERE n_b > 1), {tails.t_quantiles("tq", "fr")}, {tails.chi2_quantiles("cl", "fr", 0.025)}, {tails.chi2_quantiles("cu", "fr", 0.975)}
+  SELECT tile, n, round(r, 6) AS r, round(bias, 6) AS bias, round(mse, 6) AS mse, round(ubmse, 6) AS ubmse, n_r, n_b, round(tanh(atanh(r) - h), 6) AS r_lo, round(tanh(atanh(r) + h), 6) AS r_up, round(tq.t * sd / sqrt(n_b), 6) AS bias_half, round(tq.t * sd2 / sqrt(n_b), 5) AS mse_half,
+    round((n_b - 1) * ubmse / cu.x, 5) AS ubmse_lo, round((n_b - 1) * ubmse / cl.x, 5) AS ubmse_up
+  FROM (SELECT *, CASE WHEN n_r > 3 THEN 1.959963984540054 / sqrt(n_r - 3) END AS h FROM e) LEFT JOIN tq ON tq.df = n_b - 1 LEFT JOIN cl ON cl.df = n_b - 1 LEFT JOIN cu ON cu.df = n_b - 1""")
 def validation(spark: SparkSession, d: str) -> DataFrame:
     """Confidence limits at the effective sample size."""
     x = ofa_table(spark, d).select("tile", "species", "ts", "id", "obs", F.col("fcst").alias("model"))
-    return series.validation(x, ["tile"], ["ts", "id", "species"])
+    v = series.validation(x, ["tile"], ["ts", "id", "species"])
+    return r(r(v, "r", "bias", "mse", "ubmse", "r_lo", "r_up", "bias_half", places=6), "mse_half", "ubmse_lo", "ubmse_up", places=5)
 
 
-@query()
+WELCH_SQL = f"""{OFA_SQL}, mo AS (SELECT tile, assim, CAST(count(*) AS DOUBLE) AS n, avg(obs - fcst) AS mean, stddev_samp(obs - fcst) AS std FROM ofa GROUP BY 1, 2),
+  ab AS (SELECT a.tile, a.n AS a_n, a.mean AS a_mean, a.std AS a_std, b.n AS b_n, b.mean AS b_mean, b.std AS b_std, a.std ** 2 / a.n AS va, b.std ** 2 / b.n AS vb, a.std ** 2 / b.std ** 2 AS f FROM mo a JOIN mo b ON a.tile = b.tile AND a.assim AND NOT b.assim WHERE a.n > 2 AND b.n > 2 AND a.std > 0 AND b.std > 0),
+  tf AS (SELECT *, (a_mean - b_mean) / sqrt(va + vb) AS t, (va + vb) ** 2 / (va ** 2 / (a_n - 1) + vb ** 2 / (b_n - 1)) AS df FROM ab),
+  we AS (SELECT *, {tails.t_two_sided("t", "df")} AS t_p, {tails.f_two_sided("f", "(a_n - 1)", "(b_n - 1)")} AS f_p FROM tf)"""
+
+
+@query(f"""WITH {WELCH_SQL} SELECT tile, CAST(a_n AS BIGINT) AS a_n, round(a_mean, 6) AS a_mean, round(a_std, 6) AS a_std, CAST(b_n AS BIGINT) AS b_n, round(b_mean, 6) AS b_mean, round(b_std, 6) AS b_std, round(t, 6) AS t, round(df, 5) AS df, round(f, 6) AS f, round(t_p, 6) AS t_p, round(f_p, 6) AS f_p FROM we""")
 def significance(spark: SparkSession, d: str) -> DataFrame:
     """Welch t and F between assimilated and other rows."""
+    return r(r(welch_cells(spark, d), "a_mean", "a_std", "b_mean", "b_std", "t", "f", "t_p", "f_p", places=6), "df", places=5)
+
+
+def welch_cells(spark: SparkSession, d: str) -> DataFrame:
     x = ofa_table(spark, d).withColumn("v", F.col("obs") - F.col("fcst")).groupBy("tile", "assim").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
     return compare.welch(x.where("assim").drop("assim"), x.where("not assim").drop("assim"), ["tile"])
 
 
-@query()
+@query("""WITH a AS (SELECT c_custkey AS site, ((c_custkey * 37 % 3600) / 10.0 - 180) :: DOUBLE AS x, (c_acctbal / 125) :: DOUBLE AS y FROM customer), e AS (SELECT 0.081819190843 :: DOUBLE AS e, 6378137.0 :: DOUBLE AS a, cos(radians(30.0)) / sqrt(1 - (0.081819190843 * sin(radians(30.0))) ** 2) AS k0, 36032.220840584 :: DOUBLE AS size),
+  q AS (SELECT *, (1 - e * e) * (sin(radians(y)) / (1 - (e * sin(radians(y))) ** 2) - ln((1 - e * sin(radians(y))) / (1 + e * sin(radians(y)))) / (2 * e)) AS q, 1 - (1 - e * e) / (2 * e) * ln((1 - e) / (1 + e)) AS qp FROM a, e WHERE abs(y) < 84),
+  c AS (SELECT *, CAST(greatest(0, least(405, floor(203 - q * a / (2 * k0) / size))) AS INTEGER) AS row, CAST(greatest(0, least(963, floor(radians(x) * a * k0 / size + 482))) AS INTEGER) AS col FROM q),
+  b AS (SELECT *, asin(greatest(-1, least(1, (202.5 - row) * size * 2 * k0 / (a * qp)))) AS b FROM c)
+  SELECT site, row, col, round(degrees(b + (e ** 2 / 3 + 31 * e ** 4 / 180 + 517 * e ** 6 / 5040) * sin(2 * b) + (23 * e ** 4 / 360 + 251 * e ** 6 / 3780) * sin(4 * b) + 761 * e ** 6 / 45360 * sin(6 * b)), 8) AS lat, round(degrees((col - 481.5) * size / (a * k0)), 8) AS lon FROM b""")
 def ease_grid(spark: SparkSession, d: str) -> DataFrame:
     """Cells of points and the cells' centres."""
     a, _ = _points(spark, d)
     row, col = scalar.ease_index(F.col("y"), F.col("x"), "M36")
     cells = a.where(F.abs("y") < 84).select("site", "y", "x", row.alias("row"), col.alias("col"))
     lat, lon = scalar.ease_center(F.col("row"), F.col("col"), "M36")
-    return cells.select("site", "row", "col", lat.alias("lat"), lon.alias("lon"))
+    return r(cells.select("site", "row", "col", lat.alias("lat"), lon.alias("lon")), "lat", "lon", places=8)
 
 
 from . import calendars, comparison, rules, summaries  # noqa: E402,F401  (they register their queries and need the names above)

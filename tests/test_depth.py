@@ -7,13 +7,15 @@ import statistics
 import tracemalloc
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from fieldloom.functions import scalar, trend
+from fieldloom.functions import dist, scalar, trend
 from fieldloom.operators import compare, ofa, quantiles, scaling, series, summaries
+from fieldloom.plans import tails
 from fieldloom.sources import ingest
 
 RND = random.Random(11)
@@ -294,3 +296,41 @@ def test_p_of_a_correlation(spark):
     x = spark.createDataFrame([("a", 0.5, 20), ("b", 0.0, 30), ("c", -0.9, 5)], "predictor string, r double, n int")
     got = {r["predictor"]: r["p"] for r in compare.with_p(x).collect()}
     assert got == pytest.approx({"a": 0.024769558, "b": 1.0, "c": 0.037386074}, abs=1e-6)
+
+
+def test_tails_by_integration_and_by_fractions_agree():
+    """The SQL of the oracles integrates densities; the library sums continued fractions."""
+    con = duckdb.connect()
+    con.sql("CREATE TABLE d AS SELECT unnest([1, 2, 3, 5, 29, 100, 700]) :: DOUBLE AS df")
+    got = con.sql(f"WITH RECURSIVE {tails.t_quantiles('tq', 'd')}, {tails.chi2_quantiles('lo', 'd', 0.025)}, {tails.chi2_quantiles('up', 'd', 0.975)} SELECT df, t, lo.x AS lo, up.x AS up FROM tq JOIN lo USING (df) JOIN up USING (df)").df()
+    assert np.allclose(got["t"], dist.t_quantile(0.975, got["df"]), atol=1e-8)
+    assert np.allclose(got["lo"], dist.chi2_quantile(0.025, got["df"]), atol=1e-6) and np.allclose(got["up"], dist.chi2_quantile(0.975, got["df"]), atol=1e-6)
+    con.sql("CREATE TABLE e AS SELECT t, df FROM (SELECT unnest([0.05, 0.3, 1.0, 2.0, 4.5, 20.0]) AS t), d")
+    got = con.sql(f"SELECT t, df, {tails.t_two_sided('t', 'df')} AS p, {tails.f_two_sided('t', 'df + 1', '300.0')} AS f, {tails.normal_two_sided('-t')} AS z FROM e").df()
+    assert np.allclose(got["p"], dist.t_two_sided(got["t"], got["df"]), atol=1e-9)
+    assert np.allclose(got["f"], dist.f_two_sided(got["t"], got["df"] + 1, 300.0), atol=1e-8)
+    assert np.allclose(got["z"], 2 * (1 - dist.normal_cdf(got["t"])), atol=1e-9)
+
+
+def test_screening_of_all_pairs_skips_gaps_and_keeps_the_best(spark):
+    rows = [(float(i), float(i * i % 7), 2.0 * i + i % 2, None if i % 5 == 0 else float(-i), float("nan") if i == 3 else 1.0) for i in range(20)]
+    x = spark.createDataFrame(rows, "t double, u double, a double, b double, c double")
+    got = {(r["target"], r["predictor"]): r for r in compare.screen_pairs(x, ["t", "u"], ["a", "b", "c"]).collect()}
+    assert {k: r["n"] for k, r in got.items() if k[0] == "t"} == {("t", "a"): 20, ("t", "b"): 16, ("t", "c"): 19}
+    assert got["t", "b"]["r"] == pytest.approx(-1) and got["t", "b"]["place"] == 1 and got["t", "b"]["p_r"] == pytest.approx(0, abs=1e-12)
+    assert got["t", "c"]["r"] is None and got["t", "c"]["p_r"] is None and got["t", "c"]["place"] == 3  # a constant has no correlation
+    best = compare.screen_pairs(x, ["t", "u"], ["a", "b", "c"], best=1).collect()
+    assert sorted((r["target"], r["place"]) for r in best) == [("t", 1), ("u", 1)]
+    assert compare.screen_pairs(x.limit(0), ["t"], ["a", "b"]).count() == 0
+
+
+def test_constant_series_have_no_correlation_and_stop_no_job(spark):
+    """A frozen or bare site: one side never moves."""
+    rows = [("flat", i, 1.0, float(i % 3), 1.0) for i in range(40)] + [("good", i, float(i * i % 11), float(i * i % 11) + i % 2, 1.0) for i in range(40)]
+    x = spark.createDataFrame(rows, "site string, t int, obs double, model double, w double")
+    got = {v["site"]: v for v in series.validation(x, ["site"], ["t"]).collect()}
+    assert got["flat"]["r"] is None and got["flat"]["r_lo"] is None and got["flat"]["bias"] is not None
+    assert got["good"]["r"] == pytest.approx(np.corrcoef([v[2] for v in rows[40:]], [v[3] for v in rows[40:]])[0, 1])
+    assert {v["predictor"]: v["r"] for v in compare.screening(x.where("site = 'flat'"), "model", ["obs", "t"]).collect()}["obs"] is None
+    pair = spark.createDataFrame([(None, 1.0), (2.0, None), (3.0, 1.0)], "a double, b double").agg(scalar.pearson("a", "b").alias("r")).first()["r"]
+    assert pair is None
