@@ -19,7 +19,7 @@ share that words seen once have after the same class (Good-Turing).
 Texts are kept as blocks of some MB: the distinct words of a block, and its tokens as their
 places. The words of blocks meet the vocabulary in sort merge joins, and a block and
 the classes of its words meet in a cogroup. The vocabulary is never broadcast; what is summed for a word comes
-as one row from each block that holds it.
+as one row from each block that holds it, by parts of some ``FOLD`` blocks and then one row from each part, so no group grows with the input.
 
 Words are lower-cased (A-Z) runs outside ``[\\x20\\x09-\\x0D]``, known by 64 bits of
 hash; every text ends with an end token. Null texts are empty: the end token alone.
@@ -43,6 +43,9 @@ from .common import Words, keep, remainder, signed, strings, table
 K, CLASSES, ROUNDS = 1000, 40, 1
 #: Bytes of text in a block, rows of evidence that are summed in one group, and words of blocks that are packed together.
 BLOCK, BUCKET, PACK = 16 << 20, 400_000, 1_000_000
+#: Blocks whose evidence of a word meets in one group; of more blocks it is summed in parts first, which changes no sum.
+FOLD = 4096
+EVIDENCE = "word long, cls int, near binary"
 END = np.uint64(0x51ED270B7F2A94C3)
 ONCE = 128  # the bit of a word that training holds once
 
@@ -215,6 +218,7 @@ def exchange(bigrams: np.ndarray, classes: int) -> np.ndarray:
 
 
 _ENTRY = np.dtype([("code", "u1"), ("n", "<u4")])
+_SUM = np.dtype([("code", "u1"), ("n", "<i8")])
 
 
 def _neighbours(block: _Block, cls: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,23 +247,55 @@ def _gains(place: np.ndarray, code: np.ndarray, n: np.ndarray, size: int, affini
 def _evidence(block: _Block, cls: np.ndarray, classes: int) -> pa.Table:
     """For each word of a block the classes of its neighbours with counts."""
     key, n = _neighbours(block, cls, classes)
-    entries = np.empty(len(key), _ENTRY)
-    entries["code"], entries["n"] = key % (2 * classes), n
     at = key // (2 * classes)
-    heads = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
-    offsets = (np.r_[heads, len(at)] * _ENTRY.itemsize).astype(np.int32)
-    packed = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
-    places = at[heads]
+    places, packed = _pack(at, key % (2 * classes), n, _ENTRY)
     return pa.table([signed(block.words[places]), pa.array(cls[places].astype(np.int32)), packed], ["word", "cls", "near"])
 
 
-def _first_evidence(frequent: np.ndarray, of: np.ndarray, classes: int):
+def _pack(at: np.ndarray, code: np.ndarray, n: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, pa.Array]:
+    """The distinct places of ``at`` (sorted), and the codes and counts of each as bytes."""
+    entries = np.empty(len(at), kind)
+    entries["code"], entries["n"] = code, n
+    heads = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+    offsets = (np.r_[heads, len(at)] * kind.itemsize).astype(np.int32)
+    return at[heads], pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
+
+
+def _in_parts(evidence: pa.Table, block: int, parts: int) -> pa.Table:
+    """Evidence with the part of its block, if there are parts."""
+    if parts == 1:
+        return evidence
+    mixed = (block * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 40
+    return evidence.append_column("part", pa.array(np.full(len(evidence), mixed % parts, np.int32)))
+
+
+def _unpack(rows: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words, their classes, the place of each entry's word among them, and the entries."""
+    near = rows.column("near").to_pylist()
+    lengths = np.array([len(x) // kind.itemsize for x in near], np.int64)
+    words, at = np.unique(rows.column("word").to_numpy(), return_inverse=True)
+    cls = np.full(len(words), -1, np.int64)
+    np.maximum.at(cls, at, rows.column("cls").to_numpy())
+    return words, cls, np.repeat(at, lengths), np.frombuffer(b"".join(near), kind)
+
+
+def _fold(rows: pa.Table) -> pa.Table:
+    """Evidence of some words in some blocks -> one row a word."""
+    words, cls, place, entries = _unpack(rows, _ENTRY)
+    key, at = np.unique(place * 256 + entries["code"], return_inverse=True)
+    n = np.zeros(len(key), np.int64)
+    np.add.at(n, at, entries["n"].astype(np.int64))
+    places, packed = _pack(key // 256, key % 256, n, _SUM)
+    return pa.table([pa.array(words[places]), pa.array(cls[places].astype(np.int32)), packed], ["word", "cls", "near"])
+
+
+def _first_evidence(frequent: np.ndarray, of: np.ndarray, classes: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             block = _Block(row)
             at, known = _lookup(frequent, block.words)
             cls = np.where(known & (block.words != END), of[at], -1)
-            yield from _evidence(block, cls, classes).to_batches()
+            yield from _in_parts(_evidence(block, cls, classes), row["block"], parts).to_batches()
 
     return run
 
@@ -273,10 +309,11 @@ def _by_place(named: pa.Table, size: int, none: int) -> tuple[np.ndarray, np.nda
     return cls, n
 
 
-def _next_evidence(classes: int):
+def _next_evidence(classes: int, parts: int):
     def run(blocks: pa.Table, named: pa.Table) -> pa.Table:
-        block = _Block(next(_rows(blocks.to_batches())))
-        return _evidence(block, _by_place(named, len(block.words), -1)[0], classes)
+        row = next(_rows(blocks.to_batches()))
+        block = _Block(row)
+        return _in_parts(_evidence(block, _by_place(named, len(block.words), -1)[0], classes), row["block"], parts)
 
     return run
 
@@ -288,21 +325,14 @@ def affinities(joint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return log, log.T
 
 
-def _assign(affinity: tuple[np.ndarray, np.ndarray]):
+def _assign(affinity: tuple[np.ndarray, np.ndarray], kind: np.dtype):
     """All evidence of some words -> the class of each that gains most; and the sums of their neighbours by class (rows without a word)."""
     classes = len(affinity[0])
 
     def run(rows: pa.Table) -> pa.Table:
-        word, cls = rows.column("word").to_numpy(), rows.column("cls").to_numpy()
-        near = rows.column("near").to_pylist()
-        lengths = np.array([len(x) // _ENTRY.itemsize for x in near], np.int64)
-        entries = np.frombuffer(b"".join(near), _ENTRY)
-        words, at = np.unique(word, return_inverse=True)
-        old = np.full(len(words), -1, np.int64)
-        np.maximum.at(old, at, cls)
+        words, old, place, entries = _unpack(rows, kind)
         new = old.copy()
         joint = np.zeros((classes, 2 * classes))
-        place = np.repeat(at, lengths)
         order = np.argsort(place, kind="stable")
         for lo, hi, m, gain in _gains(place[order], entries["code"][order].astype(np.int64), entries["n"][order], len(words), affinity):
             was = old[lo:hi]
@@ -374,10 +404,13 @@ def transition_logs(counts: np.ndarray, unknown: int, prior: float = 20.0) -> np
     return np.log10(np.maximum(p, 1e-300))
 
 
-def _round(evidence: DataFrame, bucket: int, joint: np.ndarray) -> tuple[DataFrame, np.ndarray, bool]:
+def _round(evidence: DataFrame, bucket: int, parts: int, joint: np.ndarray) -> tuple[DataFrame, np.ndarray, bool]:
     """One exchange of all words that have evidence: (word, cls), the class bigrams that it leaves behind, and whether words moved."""
     classes = len(joint)
-    out = evidence.groupBy(F.pmod(F.xxhash64("word"), F.lit(bucket)).alias("bucket")).applyInArrow(_assign(affinities(joint)), "word long, cls int, moved boolean, at int, n double")
+    of = lambda n: F.pmod(F.xxhash64("word"), F.lit(n)).alias("bucket")
+    if parts > 1:
+        evidence = evidence.groupBy(of(1 + bucket // parts), "part").applyInArrow(_fold, EVIDENCE)
+    out = evidence.groupBy(of(bucket)).applyInArrow(_assign(affinities(joint), _SUM if parts > 1 else _ENTRY), "word long, cls int, moved boolean, at int, n double")
     out = keep(out, "assigned")
     sums = np.zeros((classes, 2 * classes))
     for r in out.where("word is null").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most 2 classes^2 numbers
@@ -405,14 +438,15 @@ def cluster(blocks: DataFrame, counts: DataFrame, k: int, classes: int, rounds:
     of[order] = exchange(bigrams[order][:, order], min(classes, len(frequent)))
     one = np.eye(classes)[of]
     joint = one.T @ bigrams @ one
-    rows = blocks.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
-    bucket = 1 + int(rows) // BUCKET
-    evidence = blocks.mapInArrow(_first_evidence(frequent, of, len(joint)), "word long, cls int, near binary")
-    named, joint, _ = _round(evidence, bucket, joint)
+    size = blocks.agg(F.sum(F.octet_length("words") / 8).alias("rows"), F.count(F.lit(1)).alias("blocks")).first()
+    bucket, parts = 1 + int(size["rows"] or 0) // BUCKET, max(1, -(-size["blocks"] // FOLD))
+    schema = EVIDENCE if parts == 1 else EVIDENCE + ", part int"
+    evidence = blocks.mapInArrow(_first_evidence(frequent, of, len(joint), parts), schema)
+    named, joint, _ = _round(evidence, bucket, parts, joint)
     for _ in range(rounds - 1):
         places = _named_places(blocks, named.withColumn("n", F.lit(0).cast("long")))
-        evidence = blocks.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_next_evidence(classes), "word long, cls int, near binary")
-        named, joint, moved = _round(evidence, bucket, joint)
+        evidence = blocks.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_next_evidence(classes, parts), schema)
+        named, joint, moved = _round(evidence, bucket, parts, joint)
         if not moved:
             break
     chosen = spark.createDataFrame([(w,) for w in top], "word long").withColumn("frequent", F.lit(True))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fill_middle, hard_negatives
+from . import exact_dedup, fill_middle, hard_negatives, substring_dedup
 from .byte_bpe import op3_byte_bpe
 from .class_lm import op4_class_lm
 from .curve_search import op7_curve_search
@@ -32,4 +32,4 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup, "op10_ngram_join": op10_ngram_join, "op11_lexicon_bpe": op11_lexicon_bpe, "op12_hard_negatives": op12_hard_negatives,
     "op13_fill_middle": op13_fill_middle, "pipeline": pipeline,
 }
-SQL = {"op9_exact_dedup": exact_dedup.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_fill_middle": fill_middle.ORACLE}
+SQL = {"op1_substring_dedup": substring_dedup.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_fill_middle": fill_middle.ORACLE}

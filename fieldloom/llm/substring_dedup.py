@@ -253,3 +253,12 @@ def strip_documents(docs: DataFrame, window: int = 50) -> DataFrame:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+ORACLE = r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda v: v <> '') AS w FROM documents),
+  p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t),
+  k AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 49 <= len(w) THEN md5(array_to_string(w[i : i + 49], ' ')) END AS run FROM p),
+  f AS (SELECT run, min(doc_id) AS a FROM k WHERE run IS NOT NULL GROUP BY 1),
+  m AS (SELECT k.doc_id, k.i, k.word, coalesce(bool_or(f.a < k.doc_id) OVER (PARTITION BY k.doc_id ORDER BY k.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone FROM k LEFT JOIN f USING (run)),
+  s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS g, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM m GROUP BY 1)
+  SELECT t.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(g, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN s USING (doc_id)"""

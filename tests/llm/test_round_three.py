@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fieldloom.llm import class_lm, curve_search, fill_middle, hard_negatives, lexicon_bpe
+from fieldloom.llm import class_lm, curve_search, fill_middle, hard_negatives, lexicon_bpe, quality, substring_dedup
 from fieldloom.llm.common import keep
 
 RND = random.Random(8)
@@ -208,11 +209,56 @@ def test_curve_search_folds_repeated_identifiers(spark):
     assert hits >= 0.9 * 20 * 20
 
 
-def test_class_scores_do_not_depend_on_the_layout(spark, docs):
-    """The same scores for 1, 4 and 7 partitions and for blocks of one and of many texts."""
+def test_class_scores_do_not_depend_on_the_layout(spark, docs, monkeypatch):
+    """The same scores for 1, 4 and 7 partitions and for blocks of one and of many texts, whether evidence is summed in parts or at once."""
     texts = [" ".join(RND.choice(["the", "a", f"w{RND.randrange(40)}", f"rare{RND.randrange(400)}"]) for _ in range(RND.randrange(60))) for _ in range(250)]
     x = keep(docs.select("doc_id", "text").where("doc_id <> 3").unionByName(spark.createDataFrame([(k + 1000, t) for k, t in enumerate(texts)], "doc_id long, text string")), "texts")
     held = F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False))
     scores = [{r.doc_id: r.score for r in class_lm.score_documents(x.repartition(n), held, k=20, classes=4, block=size).collect()} for n, size in ((1, 16 << 20), (4, 16 << 20), (7, 2000))]
     assert scores[0].keys() == scores[1].keys() and len(scores[0]) > 500
     assert all(s[i] == pytest.approx(v, rel=1e-12) for s in scores[1:] for i, v in scores[0].items())
+    score = lambda size: {r.doc_id: r.score for r in class_lm.score_documents(x, held, k=20, classes=4, rounds=2, block=size).collect()}
+    whole = score(1000)
+    monkeypatch.setattr(class_lm, "FOLD", 5)
+    parts = score(1000)
+    assert whole.keys() == parts.keys() and all(parts[i] == pytest.approx(v, rel=1e-12) for i, v in whole.items())
+
+
+def test_folded_evidence_holds_every_count():
+    """Counts beyond 32 bits too."""
+    rows = [(RND.randrange(5), RND.randrange(3), [(c, RND.randrange(1, 2**32)) for c in sorted(RND.sample(range(80), 6))]) for _ in range(60)]
+    near = [np.array(e, class_lm._ENTRY).tobytes() for _, _, e in rows]
+    got = class_lm._fold(pa.table([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array(near, pa.binary())], ["word", "cls", "near"]))
+    want = {}
+    for w, _, entries in rows:
+        for c, n in entries:
+            want[w, c] = want.get((w, c), 0) + n
+    assert {(w, int(e["code"])): int(e["n"]) for w, b in zip(got["word"].to_pylist(), got["near"].to_pylist()) for e in np.frombuffer(b, class_lm._SUM)} == want
+    assert dict(zip(got["word"].to_pylist(), got["cls"].to_pylist())) == {w: max(r[1] for r in rows if r[0] == w) for w, _ in want}
+    assert max(want.values()) > 2**32
+
+
+def test_substring_dedup_against_sql(spark):
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS FROM '/root/testdata/sf0.001/documents.parquet'")
+    got = substring_dedup.op1_substring_dedup(spark, "/root/testdata/sf0.001").select("doc_id", "n_words", "n_removed", "kept_sha256")
+    want = con.sql(f"SELECT doc_id, n_words, n_removed, kept_sha256 FROM ({substring_dedup.ORACLE})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and sum(r[2] for r in want) > 1000
+
+
+def test_quality_learns_from_training_labels_alone(spark, tmp_path):
+    """Other labels of held-out rows change no score, other labels of training rows do; neither identifiers, languages nor sources enter."""
+    table = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    docs, labels = table("documents"), table("labels")
+    out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    flipped = lambda where: labels.withColumn("quality", F.when(where, 1 - F.col("quality")).otherwise(F.col("quality")))
+    scores = []
+    for k, (d, own) in enumerate([(docs, labels), (docs.withColumns({"lang": F.lit("xx"), "source": F.col("doc_id").cast("string")}), flipped(out)), (docs, flipped(~out))]):
+        d.write.parquet(str(tmp_path / f"{k}" / "documents.parquet"))
+        own.write.parquet(str(tmp_path / f"{k}" / "labels.parquet"))
+        rows = quality.op6_quality(spark, str(tmp_path / f"{k}")).collect()
+        assert all(r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in rows)
+        assert {r["doc_id"] for r in rows if r["held_out"]} == {r["doc_id"] for r in docs.where(out).collect()}
+        scores.append({r["doc_id"]: r["score"] for r in rows})
+    assert scores[1] == pytest.approx(scores[0], abs=1e-9)
+    assert max(abs(scores[2][i] - v) for i, v in scores[0].items()) > 0.5
