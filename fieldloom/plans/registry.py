@@ -169,11 +169,11 @@ def pooled_clim(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {OFA_SQL}, p AS (SELECT species, {NDOY_SQL.replace('>= 60', '>= 61')} AS d, obs, fcst FROM ofa WHERE NOT (month(ts) = 2 AND day(ts) = 29)), c AS (SELECT k AS pentad, 5 * k - 2 AS doy FROM (SELECT unnest(generate_series(1, 73)) AS k))
-  SELECT species, CAST(pentad AS INTEGER) AS pentad, count(*) AS n, round(avg(obs), 4) AS o_mean, round(stddev_pop(obs), 4) AS o_std, round(avg(fcst), 4) AS m_mean, round(stddev_pop(fcst), 4) AS m_std, round(min(fcst), 4) AS m_min, round(max(fcst), 4) AS m_max
+  SELECT species, CAST(pentad AS INTEGER) AS pentad, count(*) AS n, round(avg(obs), 8) AS o_mean, round(stddev_pop(obs), 8) AS o_std, round(avg(fcst), 8) AS m_mean, round(stddev_pop(fcst), 8) AS m_std, round(min(fcst), 8) AS m_min, round(max(fcst), 8) AS m_max
   FROM p JOIN c ON (d - doy + 37 + 730) % 365 < 75 GROUP BY 1, 2 HAVING count(*) >= 20""")
 def scaling_window(spark: SparkSession, d: str) -> DataFrame:
     """A20, W3."""
-    return r(series.scaling_windows(ofa_table(spark, d), ["species"]), "o_mean", "o_std", "m_mean", "m_std", "m_min", "m_max")
+    return r(series.scaling_windows(ofa_table(spark, d), ["species"]), "o_mean", "o_std", "m_mean", "m_std", "m_min", "m_max", places=8)
 
 
 @query(f"""WITH {STATE_SQL}, c AS (SELECT tile, month(ts) AS m, avg(v) AS clim FROM st WHERE exp = 'F' GROUP BY 1, 2)
