@@ -56,11 +56,12 @@ def _earth_cells(lat: Column, lon: Column, side: float, reach: float = 0.0) -> C
 def nearest_km(left: DataFrame, right: DataFrame, key: str, tile: str, km: float, left_ll: tuple[str, str], right_ll: tuple[str, str], radius: float = 6371.0) -> DataFrame:
     """Nearest on the sphere within ``km``, at any latitude: buckets are cells of space, so neither poles nor the date line are special."""
     chord = 2 * math.sin(min(math.pi, km / radius) / 2) * (1 + 1e-9) + 1e-12
-    a = left.withColumn("_cell", F.element_at(_earth_cells(F.col(left_ll[0]), F.col(left_ll[1]), 2 * chord), 1))
-    b = right.withColumn("_cell", F.explode(_earth_cells(F.col(right_ll[0]), F.col(right_ll[1]), 2 * chord, chord)))
-    p = a.join(b, "_cell").drop("_cell")
+    a = left.select(*left_ll).distinct().withColumn("_cell", F.element_at(_earth_cells(F.col(left_ll[0]), F.col(left_ll[1]), 2 * chord), 1))
+    b = right.groupBy(*right_ll).agg(F.min(tile).alias(tile)).withColumn("_cell", F.explode(_earth_cells(F.col(right_ll[0]), F.col(right_ll[1]), 2 * chord, chord)))
+    p = a.hint("merge").join(b, "_cell").drop("_cell")
     p = p.withColumn("km", haversine(F.col(left_ll[0]), F.col(left_ll[1]), F.col(right_ll[0]), F.col(right_ll[1]), radius)).where(F.col("km") <= km)
-    return p.groupBy(key).agg(F.min(F.struct("km", tile)).alias("b")).select(key, F.col(f"b.{tile}").alias(tile), F.col("b.km").alias("km"))
+    best = p.groupBy(*left_ll).agg(F.min(F.struct("km", tile)).alias("b"))
+    return _back(left, key, left_ll, best).groupBy(key).agg(F.min("b").alias("b")).select(key, F.col(f"b.{tile}").alias(tile), F.col("b.km").alias("km"))
 
 
 def pool(obs: DataFrame, cells: DataFrame, radius: float, obs_xy: tuple[str, str], cell_xy: tuple[str, str], key: str, value: str) -> DataFrame:

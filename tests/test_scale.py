@@ -36,3 +36,19 @@ def test_nearest_by_place(spark, tmp_path):
     p["d2"] = (p.x - p.u) ** 2 + (p.y - p.v) ** 2
     want = p[p.d2 <= 0.36].sort_values(["site", "d2", "tile"]).groupby("site").first()
     assert {r["site"]: (r["tile"], round(r["distance"], 9)) for r in df.collect()} == {k: (r.tile, round(r.d2**0.5, 9)) for k, r in want.iterrows()}
+
+
+def test_nearest_km_by_place(spark, tmp_path):
+    a, b = crowd()
+    df = spatial.nearest_km(stored(spark, tmp_path / "a", a), stored(spark, tmp_path / "b", b), "site", "tile", 60.0, ("y", "x"), ("v", "u"))
+    assert "Broadcast" not in plan(df)
+    p = a.merge(b, how="cross")
+    la, lo, ma, mo = (np.radians(p[c]) for c in ("y", "x", "v", "u"))
+    p["km"] = 2 * 6371 * np.arcsin(np.sqrt(np.sin((ma - la) / 2) ** 2 + np.cos(la) * np.cos(ma) * np.sin((mo - lo) / 2) ** 2))
+    least = p[p.km <= 60].groupby("site").km.min()
+    got = {r["site"]: (r["tile"], r["km"]) for r in df.collect()}
+    assert set(got) == set(least.index) and all(abs(got[k][1] - v) < 1e-6 for k, v in least.items())
+    near = p[p.km <= p.site.map(least) + 1e-6].groupby("site").tile.min()  # of copies of a place the lowest tile
+    same = p.groupby(["u", "v"]).tile.min()
+    first = {r.tile: same[(r.u, r.v)] for r in b.itertuples()}
+    assert all(first[got[k][0]] == got[k][0] for k in near.index)
