@@ -52,3 +52,24 @@ def test_nearest_km_by_place(spark, tmp_path):
     same = p.groupby(["u", "v"]).tile.min()
     first = {r.tile: same[(r.u, r.v)] for r in b.itertuples()}
     assert all(first[got[k][0]] == got[k][0] for k in near.index)
+
+
+def test_pool_by_place(spark, tmp_path):
+    a, b = crowd()
+    obs, cells = stored(spark, tmp_path / "b", b), stored(spark, tmp_path / "a", a)
+    p = a.merge(b, how="cross")
+    p["d2"] = (p.x - p.u) ** 2 + (p.y - p.v) ** 2
+    p = p[p.d2 <= 1]
+    df = spatial.pool(obs, cells, 1.0, ("u", "v"), ("x", "y"), "site", "val")
+    assert "Broadcast" not in plan(df)
+    want = p.groupby("site").val.agg(["count", "mean"])
+    got = {r["site"]: (r["n"], r["mean"]) for r in df.collect()}
+    assert set(got) == set(want.index)
+    for k, w in want.iterrows():
+        assert got[k][0] == w["count"] and (got[k][1] is None if w["count"] == 0 else abs(got[k][1] - w["mean"]) < 1e-9)
+    df = spatial.inverse_distance(obs, cells, 1.0, ("u", "v"), ("x", "y"), "site", "val")
+    assert "Broadcast" not in plan(df)
+    p = p.dropna(subset="val").assign(w=lambda q: 1 / (q.d2 + 1e-9))
+    want = (p.w * p.val).groupby(p.site).sum() / p.w.groupby(p.site).sum()
+    got = {r["site"]: r["val"] for r in df.collect()}
+    assert set(got) == set(want.index) and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
