@@ -15,7 +15,7 @@ from .registry import COL_SQL, GROUPS_SQL, MONTH_SQL, OFA_SQL, PAIR_SQL, STATE_S
 def omf_pooled_group(spark: SparkSession, d: str) -> DataFrame:
     """Species pooled in each tile, tiles averaged."""
     x = groups(ofa_table(spark, d)).withColumn("month", ofa.month_of(F.col("ts")))
-    parts = ofa.partial_sums(x, ["month", "tile", "species", "grp"])
+    parts = ofa.partial_sums(x, ["month", "tile", "species", "grp"], deal=["month", "tile"])
     return r(ofa.pooled_group(parts, ["month", "grp"], "tile"), "omf_mean", "omf_std", places=8)
 
 

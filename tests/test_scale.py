@@ -2,9 +2,20 @@
 
 import numpy as np
 import pandas as pd
+import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
-from fieldloom.operators import spatial
+from fieldloom.operators import ofa, spatial
+from fieldloom.plans import registry
+
+
+@pytest.fixture
+def large(spark):
+    """Plans as for large tables: nothing is broadcast for its size."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def plan(df):
@@ -73,3 +84,15 @@ def test_pool_by_place(spark, tmp_path):
     want = (p.w * p.val).groupby(p.site).sum() / p.w.groupby(p.site).sum()
     got = {r["site"]: r["val"] for r in df.collect()}
     assert set(got) == set(want.index) and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_few_species_are_not_sorted(spark, large):
+    assert "SortMergeJoin" not in plan(registry.QUERIES["omf_stats"](spark, SF))
+
+
+def test_dealt_sums(spark):
+    x = registry.ofa_table(spark, SF).withColumn("month", ofa.month_of(F.col("ts")))
+    keys = ["month", "tile", "species"]
+    plain, dealt = (ofa.partial_sums(x, keys, deal=d).orderBy(*keys).toPandas() for d in (None, ["month", "tile"]))
+    assert list(plain.columns) == list(dealt.columns)
+    pd.testing.assert_frame_equal(plain, dealt)
