@@ -191,7 +191,7 @@ def bins_by_edges(x: DataFrame, by: str, value: str, edges: list[float]) -> Data
 def _distribution(x: DataFrame, value: str, std) -> DataFrame:
     """Of each bin the count, mean, std, median and quartiles."""
     stats = x.groupBy("bin").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), std(value).alias("std"))
-    return with_percentiles(stats, x, ["bin"], value, {"median": 0.5, "q25": 0.25, "q75": 0.75})
+    return with_percentiles(stats, x, ["bin"], value, {"median": 0.5, "q25": 0.25, "q75": 0.75}, few=True)
 
 
 def quantile_bins(x: DataFrame, by: str, value: str, q: int = 5) -> DataFrame:
@@ -221,10 +221,10 @@ def hotspots(stats: DataFrame, key: str, k: int = 20) -> DataFrame:
     return out
 
 
-def robust(x: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """A54."""
+def robust(x: DataFrame, keys: list[str], value: str, few: bool = False) -> DataFrame:
+    """A54; ``few`` if there are few groups."""
     stats = x.groupBy(*keys).agg(F.count(value).alias("n"), F.avg((F.col(value) > 0).cast("int")).alias("positive"))
-    out = with_percentiles(stats, x, keys, value, {"median": 0.5, "p25": 0.25, "p75": 0.75, "p05": 0.05, "p95": 0.95})
+    out = with_percentiles(stats, x, keys, value, {"median": 0.5, "p25": 0.25, "p75": 0.75, "p05": 0.05, "p95": 0.95}, few)
     return out.withColumn("iqr", F.col("p75") - F.col("p25"))
 
 

@@ -20,8 +20,11 @@ def _group(keys: list[str]) -> Column:
     return F.struct(*keys) if keys else F.struct(F.lit(1).alias("all"))
 
 
-def group_percentiles(x: DataFrame, keys: list[str], value: str | Column, shares: list[float], small: int = SMALL) -> DataFrame:
-    """keys, n, p: the interpolated percentiles of each group, an array in the order of ``shares``. Nulls play no part; a group without values has no row."""
+def group_percentiles(x: DataFrame, keys: list[str], value: str | Column, shares: list[float], small: int = SMALL, few: bool = False) -> DataFrame:
+    """keys, n, p: the interpolated percentiles of each group, an array in the order of ``shares``. Nulls play no part; a group without values has no row.
+
+    ``few``: there are few groups (bins, species), whose brackets are broadcast, as a join by group would sort every row in as many tasks.
+    """
     v = x.select(_group(keys).alias("_g"), (F.col(value) if isinstance(value, str) else value).cast("double").alias("_v")).where("_v is not null")
     order = sorted(set(shares))
     edges = [min(1.0, max(0.0, s + side * 4 / small)) for side in (-1, 1) for s in order]
@@ -33,7 +36,7 @@ def group_percentiles(x: DataFrame, keys: list[str], value: str | Column, shares
     for k in range(len(order)):
         inside = inside | F.col("_v").between(F.col(f"_lo{k}"), F.col(f"_hi{k}"))
         passed = passed + F.coalesce((F.col("_hi" + str(k)) < F.col("_v")).cast("int"), F.lit(0))
-    some = v.join(bounds, "_g").select("_g", passed.alias("_after"), F.when(inside, F.col("_v")).alias("_v"))
+    some = v.join(F.broadcast(bounds) if few or not keys else bounds, "_g").select("_g", passed.alias("_after"), F.when(inside, F.col("_v")).alias("_v"))
     some = some.groupBy("_g", "_after", "_v").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("_g").orderBy("_after", F.asc_nulls_first("_v"))  # what lies outside comes before the bracket that it is below
     ranked = some.withColumns({"_end": F.sum("_n").over(w), "n": F.sum("_n").over(Window.partitionBy("_g"))})
@@ -51,9 +54,9 @@ def group_percentiles(x: DataFrame, keys: list[str], value: str | Column, shares
     return ends.select(*[F.col(f"_g.{k}") for k in keys], "n", F.array(*[p(s) for s in shares]).alias("p"))
 
 
-def with_percentiles(stats: DataFrame, x: DataFrame, keys: list[str], value: str | Column, names: dict[str, float]) -> DataFrame:
+def with_percentiles(stats: DataFrame, x: DataFrame, keys: list[str], value: str | Column, names: dict[str, float], few: bool = False) -> DataFrame:
     """Statistics of groups with exact percentiles beside them, null where a group has no values."""
-    p = group_percentiles(x, keys, value, list(names.values()))
+    p = group_percentiles(x, keys, value, list(names.values()), few=few)
     p = p.select(_group(keys).alias("_g"), *[F.get("p", F.lit(k)).alias(n) for k, n in enumerate(names)])
     return stats.withColumn("_g", _group(keys)).join(p, "_g", "left").drop("_g")
 

@@ -6,7 +6,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from fieldloom.operators import ofa, spatial
+from fieldloom.operators import compare, ofa, quantiles, spatial
 from fieldloom.plans import registry
 
 
@@ -96,3 +96,18 @@ def test_dealt_sums(spark):
     plain, dealt = (ofa.partial_sums(x, keys, deal=d).orderBy(*keys).toPandas() for d in (None, ["month", "tile"]))
     assert list(plain.columns) == list(dealt.columns)
     pd.testing.assert_frame_equal(plain, dealt)
+
+
+def test_bins_are_not_sorted(spark, large, tmp_path):
+    x = stored(spark, tmp_path / "x", pd.DataFrame({"p": np.arange(1, 3001) % 60 + 0.5, "y": np.arange(3000) * 7 % 3000 * 1.0}))
+    x = x.withColumn("bin", F.floor(F.log2("p")))
+    one = plan(quantiles.group_percentiles(x, ["bin"], "y", [0.25, 0.5], small=20, few=True))
+    assert "SortMergeJoin" not in one
+    whole = quantiles.group_percentiles(x, [], "y", [0.25, 0.5], small=20)
+    assert "SortMergeJoin" not in plan(whole) and whole.first()["p"] == [749.75, 1499.5]
+    got = compare.log_bins(x, "p", "y", 1.0, 64.0, 6)
+    assert plan(got).count("SortMergeJoin") == 1  # of the few rows of statistics and percentiles
+    v = x.toPandas()
+    v = v[v.p >= 1].assign(b=lambda q: np.maximum(1, np.ceil(np.log2(q.p))))
+    want = v.groupby("b").y.median()
+    assert {r["bin"]: r["median"] for r in got.collect()} == {int(k): m for k, m in want.items()}
