@@ -63,9 +63,13 @@ def scaling_angles(spark: SparkSession, d: str) -> DataFrame:
   SELECT tile, n, n_times, round(s1 / n, 7) AS omf_mean, round((s2 - s1 * s1 / n) / (n - 1), 6) AS omf_var, round((s3 / (n - 1) - 3 * (s2 / n) * (s1 / n) + 2 * (s1 / n) ** 3) / ((s2 - s1 * s1 / n) / (n - 1)) ** 1.5, 5) AS omf_skew, round(t1 / n, 7) AS oma_mean,
     round((t2 - t1 * t1 / n) / (n - 1), 6) AS oma_var, round((de - s1 * t1 / n) / (n - 1), 6) AS cov, round(lo, 7) AS oma_min, round(hi, 7) AS oma_max, round(ov, 8) AS obsvar, round(fv, 8) AS fcstvar, round(oa, 6) AS oa_corr FROM s""")
 def ofa_moments(spark: SparkSession, d: str) -> DataFrame:
-    """A9 in full: normalised innovations, months' centred moments merged, ensemble variances, least count by distinct times."""
-    parts = ofa.moments(ofa_table(spark, d), ["month", "tile"], month=True, normalise=True)
-    times = ofa_table(spark, d).where("obsvar + fcstvar > 0").groupBy("tile").agg(F.countDistinct("ts").alias("n_times"))
+    """A9 in full: normalised innovations, months' centred moments merged, ensemble variances, least count by distinct times.
+
+    Rows are dealt by tile first: a row is much smaller than the buffers of a month's moments, of which there are nearly as many.
+    """
+    x = ofa_table(spark, d).where("obsvar + fcstvar > 0")
+    parts = ofa.moments(x.select("tile", "ts", "obs", "fcst", "ana", "obsvar", "fcstvar").repartition("tile"), ["month", "tile"], month=True, normalise=True)
+    times = x.select("tile", "ts").repartition("tile").groupBy("tile").agg(F.countDistinct("ts").alias("n_times"))
     s = ofa.moment_statistics(ofa.merge_moments(parts, ["tile"])).join(times, "tile").where("n_times >= 20")
     s = r(s, "omf_mean", "oma_mean", "oma_min", "oma_max", places=7)
     return r(r(r(s, "omf_var", "oma_var", "cov", "oa_corr", places=6), "omf_skew", places=5), "obsvar", "fcstvar", places=8)

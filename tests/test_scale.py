@@ -111,3 +111,8 @@ def test_bins_are_not_sorted(spark, large, tmp_path):
     v = v[v.p >= 1].assign(b=lambda q: np.maximum(1, np.ceil(np.log2(q.p))))
     want = v.groupby("b").y.median()
     assert {r["bin"]: r["median"] for r in got.collect()} == {int(k): m for k, m in want.items()}
+
+
+def test_moments_travel_as_rows(spark, large):
+    sent = [line for line in plan(registry.QUERIES["ofa_moments"](spark, SF)).splitlines() if "Exchange" in line]
+    assert len(sent) == 2 and all("REPARTITION_BY_COL" in line for line in sent)
