@@ -125,8 +125,18 @@ def clip(x: DataFrame, regions: dict[str, tuple[float, float, float, float]], lo
     return x.withColumn("region", F.explode(F.array_compact(F.array(*hits))))
 
 
-def tile_by_cell(obs: DataFrame, tiles: DataFrame, limit: Column) -> DataFrame:
-    """By cell; a pair goes if the observation is outside the tile's box and farther than the limit."""
-    p = obs.join(tiles, ["i", "j"])
+def tile_by_cell(obs: DataFrame, tiles: DataFrame, limit: Column, tile: str = "tile", pack: int = 4096) -> DataFrame:
+    """By cell; a pair goes if the observation is outside the tile's box and farther than the limit. Rows of ``obs`` with ``tile``.
+
+    The pairs are as many as a cell's observations times its tiles. Tiles of one cell and box come in packs of about ``pack``, are judged
+    once a pack, and unpacked last, in as many tasks as a shuffle has; the packs hold one value a tile and are broadcast.
+    """
+    at = ["i", "j", "min_lon", "max_lon", "min_lat", "max_lat", "com_lon", "com_lat"]
+    place = F.struct(*at)
+    t = tiles.select(place.alias("_at"), tile)
+    packs = t.join(t.groupBy("_at").agg(F.ceil(F.count(F.lit(1)) / pack).alias("_packs")), "_at").groupBy("_at", F.pmod(F.xxhash64(tile), "_packs").alias("_pack")).agg(F.collect_list(tile).alias("_tiles"))
+    spread = obs.repartition(int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[c for c in obs.columns if c not in ("i", "j")])
+    p = spread.join(F.broadcast(packs.select("_at.*", "_tiles")), ["i", "j"])
     outside = ~(F.col("lon").between(F.col("min_lon"), F.col("max_lon")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat")))
-    return p.where(~(outside & (F.greatest(F.abs(F.col("lon") - F.col("com_lon")), F.abs(F.col("lat") - F.col("com_lat"))) > limit)))
+    p = p.where(~(outside & (F.greatest(F.abs(F.col("lon") - F.col("com_lon")), F.abs(F.col("lat") - F.col("com_lat"))) > limit)))
+    return p.select(*obs.columns, F.explode("_tiles").alias(tile))

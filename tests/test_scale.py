@@ -116,3 +116,14 @@ def test_bins_are_not_sorted(spark, large, tmp_path):
 def test_moments_travel_as_rows(spark, large):
     sent = [line for line in plan(registry.QUERIES["ofa_moments"](spark, SF)).splitlines() if "Exchange" in line]
     assert len(sent) == 2 and all("REPARTITION_BY_COL" in line for line in sent)
+
+
+def test_cells_are_unpacked_last(spark, tmp_path):
+    tiles = pd.DataFrame({"tile": np.arange(60), "i": np.arange(60) % 3, "j": 0, "com_lon": np.arange(60) % 3 + 0.5, "com_lat": 0.5}).assign(min_lon=lambda t: t.com_lon - 0.2, max_lon=lambda t: t.com_lon + 0.3, min_lat=0.2, max_lat=0.8)
+    obs = pd.DataFrame({"id": np.arange(500), "lon": np.arange(500) % 40 / 10, "lat": np.arange(500) % 7 / 7}).assign(i=lambda o: np.floor(o.lon).astype(int), j=0)
+    df = spatial.tile_by_cell(stored(spark, tmp_path / "o", obs), stored(spark, tmp_path / "t", tiles), F.lit(0.35), pack=4)
+    assert df.rdd.getNumPartitions() == 4 and "Generate explode" in plan(df)
+    p = obs.merge(tiles, on=["i", "j"])
+    inside = p.lon.between(p.min_lon, p.max_lon) & p.lat.between(p.min_lat, p.max_lat)
+    p = p[inside | (np.maximum(abs(p.lon - p.com_lon), abs(p.lat - p.com_lat)) <= 0.35)]
+    assert sorted((r["id"], r["tile"]) for r in df.select("id", "tile").collect()) == sorted(zip(p.id, p.tile))
