@@ -264,12 +264,73 @@ def whole_rank(x: DataFrame, keys: list[str], value: str, name: str, parts: int
     return x.join(ranks, [*keys, value])
 
 
+#: Distinct values of a target up to which the table of its ranks is broadcast.
+FEW_RANKS = 200_000
+
+
+def _centred_ranks(counts: DataFrame, keys: list[str], value: str, parts: int = 64) -> DataFrame:
+    """W11 from distinct values and their counts ``_n``: ``_rank``, the mean rank less the mean of all ranks of its group, of which there are few.
+
+    As in ``whole_rank``, values are cut into ``parts``, so that no task sorts a whole group.
+    """
+    shares = [k / parts for k in range(1, parts)]
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, F.lit(shares), 1_000).alias("_cuts"), F.sum("_n").alias("_rows"))
+    counts = counts.join(F.broadcast(cuts), keys).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    ahead = counts.groupBy(*keys, "_part").agg(F.sum("_n").alias("_all"))
+    ahead = ahead.withColumn("_ahead", F.sum("_all").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_all")).drop("_all")  # at most ``parts`` rows of each group
+    run = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy(value))
+    ranks = counts.withColumn("_run", run).join(F.broadcast(ahead), [*keys, "_part"])
+    return ranks.withColumn("_rank", F.col("_ahead") + F.col("_run") - F.col("_n") + (F.col("_n") - F.col("_rows")) / 2).drop("_part", "_run", "_ahead", "_rows")
+
+
+def _screen(x: DataFrame, targets: list[str], predictors: list[str], few: set[str]) -> DataFrame:
+    """Every target on every predictor, all of whose values are present.
+
+    Only the targets' ranks are put beside the rows. A predictor's rows are then summed by value, which gives both its ranks and what they meet.
+    """
+    ts, ps = {t: f"_t{k}" for k, t in enumerate(targets)}, {p: f"_p{k}" for k, p in enumerate(predictors)}
+    x = x.select(*[F.col(c).cast("double").alias(n) for names in (ts, ps) for c, n in names.items()])
+    ranked = x
+    for t, c in sorted(ts.items(), key=lambda i: i[0] in few):  # joins that shuffle come before rows are wider
+        ranks = _centred_ranks(x.groupBy(c).agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", F.lit(0)), ["_g"], c).select(c, F.col("_rank").alias(f"_r{c}"))
+        ranked = ranked.join(F.broadcast(ranks) if t in few else ranks, c)
+    long = ranked.selectExpr(f"stack({len(ps)}, {', '.join(f'{k}, {c}' for k, c in enumerate(ps.values()))}) AS (_p, _x)", *[f"_r{c}" for c in ts.values()])
+    values = _centred_ranks(long.groupBy("_p", "_x").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_r{c}").alias(f"_s{c}") for c in ts.values()]), ["_p"], "_x")
+    met = values.groupBy("_p").agg(F.sum(F.col("_n") * F.col("_rank") ** 2).alias("_xx"), F.array(*[F.sum(F.col("_rank") * F.col(f"_s{c}")) for c in ts.values()]).alias("_xy"))
+    whole = ranked.agg(
+        F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{a}{c}") for c in [*ts.values(), *ps.values()] for a, f in (("m", F.avg), ("v", F.var_pop))],
+        *[F.covar_pop(t, p).alias(f"c{t}{p}") for t in ts.values() for p in ps.values()], *[F.sum(F.col(f"_r{t}") ** 2).alias(f"q{t}") for t in ts.values()])
+    c = F.col
+    rows = []
+    for k, (t, tc) in enumerate(ts.items()):
+        for j, (p, pc) in enumerate(ps.items()):
+            slope = F.try_divide(c(f"c{tc}{pc}"), c(f"v{pc}"))
+            r = F.try_divide(c(f"c{tc}{pc}"), F.sqrt(f"v{pc}") * F.sqrt(f"v{tc}"))
+            rows.append(F.struct(F.lit(t).alias("target"), F.lit(p).alias("predictor"), c("n"), r.alias("r"), slope.alias("slope"), (c(f"m{tc}") - slope * c(f"m{pc}")).alias("intercept"), c(f"q{tc}").alias("_yy"), F.lit(k).alias("_k"), F.lit(j).alias("_p")))
+    pairs = whole.where("n > 0").select(F.inline(F.array(*rows)))
+    rho = F.try_divide(F.get("_xy", "_k"), F.sqrt("_xx") * F.sqrt("_yy"))
+    return pairs.join(F.broadcast(met), "_p").select("target", "predictor", "n", "r", rho.alias("rho"), "slope", "intercept")
+
+
+def _screen_all(x: DataFrame, targets: list[str], predictors: list[str]) -> DataFrame:
+    """A57 of every pair over the rows in which both are present; the complete columns in one go, other pairs each by itself."""
+    names = list(dict.fromkeys([*targets, *predictors]))
+    ok = {c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in names}
+    row = x.agg(*[F.count_if(~ok[c]).alias(f"b{k}") for k, c in enumerate(names)], *[F.approx_count_distinct(F.col(t).cast("double")).alias(f"d{k}") for k, t in enumerate(targets)]).first()
+    complete = {c for k, c in enumerate(names) if row[f"b{k}"] == 0}
+    few = {t for k, t in enumerate(targets) if row[f"d{k}"] <= FEW_RANKS}
+    ts, ps = [t for t in targets if t in complete], [p for p in predictors if p in complete]
+    parts = [_screen(x, ts, ps, few)] if ts and ps else []
+    parts += [_screen(x.where(ok[t] & ok[p]), [t], [p], few) for t in targets for p in predictors if not {t, p} <= complete]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def screening(x: DataFrame, target: str, predictors: list[str]) -> DataFrame:
     """Correlation, rank correlation and line of the target on each predictor."""
-    pairs = ", ".join(f"'{p}', CAST(`{p}` AS DOUBLE)" for p in predictors)
-    long = x.selectExpr(f"CAST(`{target}` AS DOUBLE) AS y", f"stack({len(predictors)}, {pairs}) AS (predictor, x)").where("x is not null and y is not null")
-    long = whole_rank(whole_rank(long, ["predictor"], "x", "rx"), ["predictor"], "y", "ry")
-    return long.groupBy("predictor").agg(F.count(F.lit(1)).alias("n"), pearson("x", "y").alias("r"), pearson("rx", "ry").alias("rho"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
+    return _screen_all(x, [target], predictors).drop("target")
 
 
 def with_p(stats: DataFrame, r: str = "r", n: str = "n", name: str = "p") -> DataFrame:
@@ -286,14 +347,9 @@ def with_p(stats: DataFrame, r: str = "r", n: str = "n", name: str = "p") -> Dat
 def screen_pairs(x: DataFrame, targets: list[str], predictors: list[str], best: int | None = None) -> DataFrame:
     """Every target against every predictor, with the p of both correlations; place 1 has the largest abs(r) of its target.
 
-    The pairs of columns are unpivoted once, so the rows are read once whatever their number; ``best`` keeps the first places.
+    Work grows with columns, not with pairs, where columns are complete; ``best`` keeps the first places.
     """
-    pairs = [(t, p) for t in targets for p in predictors]
-    cells = ", ".join(f"'{t}', '{p}', CAST(`{t}` AS DOUBLE), CAST(`{p}` AS DOUBLE)" for t, p in pairs)
-    long = x.selectExpr(f"stack({len(pairs)}, {cells}) AS (target, predictor, y, x)").where("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    keys = ["target", "predictor"]
-    long = whole_rank(whole_rank(long, keys, "x", "rx"), keys, "y", "ry")
-    stats = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson("x", "y").alias("r"), pearson("rx", "ry").alias("rho"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
+    stats = _screen_all(x, targets, predictors)
     stats = stats.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(F.desc(F.abs("r")), "predictor")))
     stats = stats if best is None else stats.where(F.col("place") <= best)
     return with_p(with_p(stats, "r", "n", "p_r"), "rho", "n", "p_rho")

@@ -127,3 +127,28 @@ def test_cells_are_unpacked_last(spark, tmp_path):
     inside = p.lon.between(p.min_lon, p.max_lon) & p.lat.between(p.min_lat, p.max_lat)
     p = p[inside | (np.maximum(abs(p.lon - p.com_lon), abs(p.lat - p.com_lat)) <= 0.35)]
     assert sorted((r["id"], r["tile"]) for r in df.select("id", "tile").collect()) == sorted(zip(p.id, p.tile))
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_screening_ranks_columns_once(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(compare, "FEW_RANKS", few)
+    rng = np.random.default_rng(5)
+    v = pd.DataFrame({"a": rng.integers(0, 40, 900) * 0.5, "b": rng.normal(size=900), "p": rng.integers(0, 7, 900) * 1.0, "q": rng.normal(size=900), "w": rng.normal(size=900), "k": 3.0})
+    v["q"] += v.a
+    v.loc[::9, "w"] = np.nan
+    x = stored(spark, tmp_path / "x", v)
+    df = compare.screen_pairs(x, ["a", "b"], ["p", "q", "w", "k"])
+    got = {(r["target"], r["predictor"]): r for r in df.collect()}
+    assert len(got) == 8
+    for (t, p), r in got.items():
+        z = v[[t, p]].dropna()
+        assert r["n"] == len(z)
+        if p == "k":
+            assert r["r"] is None and r["rho"] is None and r["slope"] is None
+            continue
+        slope, cut = np.polyfit(z[p], z[t], 1)
+        want = z[t].corr(z[p]), z[t].rank().corr(z[p].rank()), slope, cut
+        assert np.allclose([r["r"], r["rho"], r["slope"], r["intercept"]], want, atol=1e-9)
+    # two complete targets on three complete predictors are unpivoted by predictor, not by pair
+    assert "stack(6" not in plan(compare.screen_pairs(x, ["a", "b"], ["p", "q", "k"]))
+    assert compare.screening(x, "a", ["p", "w"]).count() == 2
