@@ -125,18 +125,30 @@ def clip(x: DataFrame, regions: dict[str, tuple[float, float, float, float]], lo
     return x.withColumn("region", F.explode(F.array_compact(F.array(*hits))))
 
 
-def tile_by_cell(obs: DataFrame, tiles: DataFrame, limit: Column, tile: str = "tile", pack: int = 4096) -> DataFrame:
+def tile_by_cell(obs: DataFrame, tiles: DataFrame, limit: Column, tile: str = "tile", pack: int = 512, rows: int = 32) -> DataFrame:
     """By cell; a pair goes if the observation is outside the tile's box and farther than the limit. Rows of ``obs`` with ``tile``.
 
-    The pairs are as many as a cell's observations times its tiles. Tiles of one cell and box come in packs of about ``pack``, are judged
-    once a pack, and unpacked last, in as many tasks as a shuffle has; the packs hold one value a tile and are broadcast.
+    The pairs are as many as a cell's observations times its tiles. Tiles of one cell and box come in packs of ``pack``, which are broadcast (one
+    value a tile); observations of a cell come in slices of at most some 16 * ``pack`` rows and 16 * ``pack`` ** 2 pairs, and a task holds neighbouring
+    slices. A pack meets ``rows`` observations, is judged once for each, and unpacked last: one short list of tiles follows row after row, from
+    few cells in a task, and a columnar file of the pairs takes a fraction of a byte for each, however many they are.
     """
-    at = ["i", "j", "min_lon", "max_lon", "min_lat", "max_lat", "com_lon", "com_lat"]
-    place = F.struct(*at)
-    t = tiles.select(place.alias("_at"), tile)
-    packs = t.join(t.groupBy("_at").agg(F.ceil(F.count(F.lit(1)) / pack).alias("_packs")), "_at").groupBy("_at", F.pmod(F.xxhash64(tile), "_packs").alias("_pack")).agg(F.collect_list(tile).alias("_tiles"))
-    spread = obs.repartition(int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[c for c in obs.columns if c not in ("i", "j")])
-    p = spread.join(F.broadcast(packs.select("_at.*", "_tiles")), ["i", "j"])
-    outside = ~(F.col("lon").between(F.col("min_lon"), F.col("max_lon")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat")))
-    p = p.where(~(outside & (F.greatest(F.abs(F.col("lon") - F.col("com_lon")), F.abs(F.col("lat") - F.col("com_lat"))) > limit)))
+    cell, box = ["i", "j"], ["min_lon", "max_lon", "min_lat", "max_lat", "com_lon", "com_lat"]
+    own, tasks = [c for c in obs.columns if c not in cell], int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = tiles.select(F.struct(*cell, *box).alias("_at"), tile)
+    lots = t.join(t.groupBy("_at").agg(F.ceil(F.count(F.lit(1)) / (8 * pack)).alias("_lots")), "_at").groupBy("_at", F.pmod(F.xxhash64(tile), "_lots").alias("_lot")).agg(F.collect_list(tile).alias("_of"))
+    packs = lots.where(F.size("_of") > 0).select("_at.*", F.explode(_cut("_of", pack)).alias("_tiles"))
+    pairs = F.col("_n") * F.greatest("_m", F.lit(pack))
+    counts = obs.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).join(tiles.groupBy(*cell).agg(F.count(F.lit(1)).alias("_m")), cell).select(*cell, F.ceil(pairs / (16 * pack * pack)).alias("_slices"))
+    slices = obs.join(F.broadcast(counts), cell).groupBy(*cell, F.pmod(F.xxhash64(*own), "_slices").alias("_slice")).agg(F.collect_list(F.struct(*own)).alias("_of"))
+    p = slices.repartitionByRange(tasks, *cell, "_slice").select(*cell, F.explode(_cut("_of", rows)).alias("_rows")).join(F.broadcast(packs), cell)
+    # generated code holds all that comes of a row it reads; ``coalesce`` ends a stage of it, so that row is one pack with its observations, not a slice with all packs
+    p = p.coalesce(tasks).select("*", F.explode("_rows").alias("_row")).select(*cell, "_row.*", F.struct(*box).alias("_at"), "_tiles")
+    outside = ~(F.col("lon").between(F.col("_at.min_lon"), F.col("_at.max_lon")) & F.col("lat").between(F.col("_at.min_lat"), F.col("_at.max_lat")))
+    p = p.where(~(outside & (F.greatest(F.abs(F.col("lon") - F.col("_at.com_lon")), F.abs(F.col("lat") - F.col("_at.com_lat"))) > limit)))
     return p.select(*obs.columns, F.explode("_tiles").alias(tile))
+
+
+def _cut(values: str, size: int) -> Column:
+    """An array that isn't empty as an array of parts of ``size``, the last one with the rest."""
+    return F.transform(F.sequence(F.lit(1), F.size(values), F.lit(size)), lambda k: F.slice(values, k, size))

@@ -152,3 +152,36 @@ def test_screening_ranks_columns_once(spark, tmp_path, monkeypatch, few):
     # two complete targets on three complete predictors are unpivoted by predictor, not by pair
     assert "stack(6" not in plan(compare.screen_pairs(x, ["a", "b"], ["p", "q", "k"]))
     assert compare.screening(x, "a", ["p", "w"]).count() == 2
+
+
+def test_pairs_of_cells_are_written_small(spark, tmp_path):
+    n = np.arange(12_000)
+    tiles = pd.DataFrame({"tile": n * 7919 % 100003, "i": 0, "j": 0, "com_lon": 0.5, "com_lat": 0.5, "min_lon": 0.0, "max_lon": 1.0, "min_lat": 0.0, "max_lat": 1.0})
+    obs = pd.DataFrame({"id": np.arange(120) * 104729 % 1000003, "lon": 0.5, "lat": 0.5, "i": 0, "j": 0})
+    spatial.tile_by_cell(stored(spark, tmp_path / "o", obs), stored(spark, tmp_path / "t", tiles), F.lit(0.35)).select("id", "tile").write.parquet(str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).distinct().count() == 1_440_000
+    assert sum(f.stat().st_size for f in (tmp_path / "p").glob("*.parquet")) < 0.5 * 1_440_000
+
+
+def test_cells_of_odd_rows(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    tiles = pd.DataFrame({"tile": rng.integers(0, 150, 200) * 1.0, "i": rng.integers(0, 3, 200) * 1.0, "j": 0, "com_lon": rng.integers(0, 12, 200) / 4, "com_lat": 0.5}).assign(min_lon=lambda t: t.com_lon - 0.1, max_lon=lambda t: t.com_lon + 0.2, min_lat=0.2, max_lat=0.8)
+    tiles.loc[::9, "tile"], tiles.loc[::11, "i"], tiles.loc[::13, "min_lon"] = np.nan, np.nan, np.nan
+    obs = pd.DataFrame({"id": np.arange(400) % 390, "lon": rng.integers(0, 40, 400) / 10, "lat": rng.integers(0, 9, 400) / 9}).assign(i=lambda o: np.where(np.arange(400) < 250, 1.0, np.floor(o.lon)), j=0)
+    obs.loc[::10, "i"], obs.loc[::17, "lon"] = np.nan, np.nan
+    obs = pd.concat([obs, obs[:40]])  # the same rows again
+    o, t = stored(spark, tmp_path / "o", obs), stored(spark, tmp_path / "t", tiles)
+    got = [spatial.tile_by_cell(o, t, F.lit(0.35), pack=k, rows=m).select("id", "i", "lon", "tile") for k, m in ((4, 3), (512, 32))]
+    outside = "not (lon between min_lon and max_lon and lat between min_lat and max_lat) and greatest(abs(lon - com_lon), abs(lat - com_lat)) > 0.35"
+    want = o.join(t.where("tile is not null"), ["i", "j"]).where(f"not ({outside})").select("id", "i", "lon", "tile")
+    assert want.count() > 3000 and all(g.exceptAll(want).isEmpty() and want.exceptAll(g).isEmpty() for g in got)
+    assert spatial.tile_by_cell(o.limit(0), t, F.lit(0.35)).isEmpty() and spatial.tile_by_cell(o, t.limit(0), F.lit(0.35)).isEmpty()
+    assert spatial.tile_by_cell(o, t.withColumn("tile", F.lit(None).cast("double")), F.lit(0.35)).isEmpty()
+
+
+def test_a_cell_with_every_row_is_shared(spark, tmp_path):
+    tiles = pd.DataFrame({"tile": np.arange(40), "i": 0, "j": 0, "com_lon": 0.5, "com_lat": 0.5, "min_lon": 0.0, "max_lon": 1.0, "min_lat": 0.0, "max_lat": 1.0})
+    obs = pd.DataFrame({"id": np.arange(2000), "lon": 0.5, "lat": 0.5, "i": 0, "j": 0})
+    df = spatial.tile_by_cell(stored(spark, tmp_path / "o", obs), stored(spark, tmp_path / "t", tiles), F.lit(0.35), pack=8)
+    shares = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) == 4 and sum(shares) == 80_000 and max(shares) < 30_000
