@@ -131,7 +131,7 @@ def tile_by_cell(obs: DataFrame, tiles: DataFrame, limit: Column, tile: str = "t
     The pairs are as many as a cell's observations times its tiles. Tiles of one cell and box come in packs of ``pack``, which are broadcast (one
     value a tile); observations of a cell come in slices of at most some 16 * ``pack`` rows and 16 * ``pack`` ** 2 pairs, and a task holds neighbouring
     slices. A pack meets ``rows`` observations, is judged once for each, and unpacked last: one short list of tiles follows row after row, from
-    few cells in a task, and a columnar file of the pairs takes a fraction of a byte for each, however many they are.
+    few cells in a task, and a columnar file of the pairs takes a fraction of a byte for each.
     """
     cell, box = ["i", "j"], ["min_lon", "max_lon", "min_lat", "max_lat", "com_lon", "com_lat"]
     own, tasks = [c for c in obs.columns if c not in cell], int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
